@@ -68,14 +68,14 @@ def _sql() -> str:
     pairs = lambda x: f"list_distinct(list_transform(range(1, len({x})), lambda i: {x}[i] || ' ' || {x}[i + 1]))"
     return f"""
 WITH t AS (SELECT licence, {pairs('w')} AS theirs FROM (SELECT licence, string_split({norm('notice')}, ' ') AS w FROM (VALUES {notices}) n(licence, notice))),
-l AS (SELECT doc_id, at, {pairs('w')} AS ours FROM (
-  SELECT doc_id, at, string_split({norm('lines[at]')}, ' ') AS w
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) u(at))
+l AS (SELECT doc_id, pos, {pairs('w')} AS ours FROM (
+  SELECT doc_id, pos, string_split({norm('lines[pos]')}, ' ') AS w
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) u(pos))
   WHERE len(w) > 1),
-h AS (SELECT doc_id, at, licence, 2.0::DOUBLE * len(list_intersect(ours, theirs)) / (len(ours) + len(theirs)) AS dice FROM l, t
+h AS (SELECT doc_id, pos, licence, 2.0::DOUBLE * len(list_intersect(ours, theirs)) / (len(ours) + len(theirs)) AS dice FROM l, t
       WHERE len(list_intersect(ours, theirs)) > 0),
 g AS (SELECT * FROM h WHERE dice >= {THRESHOLD})
-SELECT doc_id, first(licence ORDER BY dice DESC, licence) AS licence, round(max(dice), 6) AS dice, count(DISTINCT at) AS n_lines FROM g GROUP BY doc_id
+SELECT doc_id, first(licence ORDER BY dice DESC, licence) AS licence, round(max(dice), 6) AS dice, count(DISTINCT pos) AS n_lines FROM g GROUP BY doc_id
 """
 
 
