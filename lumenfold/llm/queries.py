@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import licences, mixing, packing, search, sharding, warc
+from lumenfold.llm import licences, mixing, packing, quality, rulelist, search, sharding, warc
 
 QUERIES = {
+    "op1_rule_ensemble_quality": quality.op1_rule_ensemble_quality,
     "op2_licences": licences.op2_licences,
     "op3_feistel_shards": sharding.op3_feistel_shards,
     "op4_warc_archive": warc.op4_warc_archive,
     "op6_packed_sequences": packing.op6_packed_sequences,
+    "op7_decision_list": rulelist.op7_decision_list,
     "op8_exact_top_k": search.op8_exact_top_k,
     "op9_mixed_sources": mixing.op9_mixed_sources,
 }
