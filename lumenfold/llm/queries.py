@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import licences, mixing, packing, quality, rulelist, search, sharding, warc
+from lumenfold.llm import licences, mixing, packing, quality, rulelist, search, sharding, toxicity, warc
 
 QUERIES = {
     "op1_rule_ensemble_quality": quality.op1_rule_ensemble_quality,
+    "op10_deobfuscated_toxicity": toxicity.op10_deobfuscated_toxicity,
     "op2_licences": licences.op2_licences,
     "op3_feistel_shards": sharding.op3_feistel_shards,
     "op4_warc_archive": warc.op4_warc_archive,
