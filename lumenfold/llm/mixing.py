@@ -79,3 +79,12 @@ def op9_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, sizes in words, mixed to weights 1, 2, 3 in turn with at most 3 epochs."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """docs with each row as often as the mix takes it. Rows that share a doc_id are repeated alike; null ids go by their text."""
+    key = F.coalesce(F.col("doc_id"), F.xxhash64("text", F.lit(1)))
+    keyed = docs.withColumn("_key", key)
+    mix_of = mix(keyed.select(F.col("_key").alias("doc_id"), "source", word_count("text").alias("size")))
+    times = mix_of.groupBy(F.col("doc_id").alias("_key")).agg(F.max("repeats").alias("_times")).where("_times > 0")
+    return keyed.join(times, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*docs.columns)

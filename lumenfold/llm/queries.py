@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import licences, mixing, packing, quality, rulelist, search, sharding, toxicity, warc
+from lumenfold.llm import licences, mixing, neardup, packing, quality, rulelist, search, sharding, toxicity, warc
 
 QUERIES = {
     "op1_rule_ensemble_quality": quality.op1_rule_ensemble_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_licences": licences.op2_licences,
     "op3_feistel_shards": sharding.op3_feistel_shards,
     "op4_warc_archive": warc.op4_warc_archive,
+    "op5_bag_min_hash": neardup.op5_bag_min_hash,
     "op6_packed_sequences": packing.op6_packed_sequences,
     "op7_decision_list": rulelist.op7_decision_list,
     "op8_exact_top_k": search.op8_exact_top_k,
