@@ -23,6 +23,9 @@ BANDS, ROWS = 32, 6
 #: Bytes of text that are hashed together.
 BATCH_BYTES = 4 << 20
 
+#: Rows of slim tables (links, pairs, roots) that one task takes.
+ROWS_A_TASK = 200_000
+
 _U = np.uint64
 
 
@@ -180,19 +183,25 @@ def overlaps(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than its rows need; rows is an upper bound of what a shuffle left."""
+    return df.coalesce(1 + rows // ROWS_A_TASK)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each node's component, for edges(a, b).
 
     Rounds of two steps until nothing changes: every node takes the least root among itself and its neighbours, then its root's root. Each
-    round is written to the shared folder.
+    round is written to the shared folder, in as many partitions as the number of edges asks for.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    state = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "roots")
+    both = written(edges.select("a", "b").union(edges.select("b", "a")), "edges")
+    n = both.count()
+    state = written(_small(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), n), "roots")
     while True:
         near = both.join(state, both["b"] == state["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        new = state.join(near, "node", "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
-        up = new.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        new = written(new.join(up, "root", "left").select("node", "old", F.coalesce("above", "root").alias("root")), "roots")
+        new = state.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        up = state.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        new = written(_small(new.join(up, "root").select("node", "old", "above"), n), "roots").withColumnRenamed("above", "root")
         if new.where("old <> root").isEmpty():
             return new.select("node", "root")
         state = new.select("node", "root")
@@ -212,37 +221,33 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     docs = docs.select("doc_id", "text")
     digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
     rows = written(signed(docs.select("doc_id", "text", digest.alias("digest")).where("doc_id is not null")), "signatures")
-    nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    same = rows.groupBy("doc_id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e")  # ids with several texts
-    shared = rows.join(same.select("doc_id"), "doc_id").join(nodes, "digest").select("doc_id", "node")
-    first = shared.groupBy("doc_id").agg(F.min("node").alias("a"))
-    links = written(shared.join(first, "doc_id").select("a", F.col("node").alias("b")).where("a <> b"), "links")
-    nodes = written(nodes, "nodes")
-    mine = rows.join(nodes.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "n", F.explode("keys").alias("key")).distinct()
-    many = mine.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    held = written(mine.join(many, "key"), "buckets")
-    texts = held.select(F.col("node").alias("doc_id")).distinct()
-    texts = written(docs.where("doc_id is not null").join(texts, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    # rows of one digest have the same shingles, so any of their keys will do
+    nodes = written(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    links = _links_of_ids(rows, nodes)
+    mine = nodes.select("node", "n", F.explode("keys").alias("key"))
+    lead = mine.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("l")).where("c > 1")
+    held = written(mine.join(lead.select("key", F.col("l.node").alias("node0"), F.col("l.n").alias("n0")), "key"), "buckets")
+    texts = docs.where("doc_id is not null").join(held.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    texts = written(texts.dropDuplicates(["doc_id", "text"]), "texts")  # all texts of an id
 
     def verified(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
         b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        return written(overlaps(pairs.join(b, "b").join(a, "a"), similarity), "links")
+        return written(_small(overlaps(pairs.join(b, "b").join(a, "a"), similarity), 400 * pairs.count()), "links")
 
     fit = (F.least("n", "n0") >= similarity * F.greatest("n", "n0") - 1e-9) & (F.col("node") > F.col("node0"))
-    lead = held.groupBy("key").agg(F.min(F.struct("node", "n")).alias("l")).select("key", F.col("l.node").alias("node0"), F.col("l.n").alias("n0"))
-    pairs = held.join(lead, "key").where(fit).select(F.col("node0").alias("a"), F.col("node").alias("b")).distinct()
-    tried = written(pairs, "pairs")
+    tried = written(held.where(fit).select(F.col("node0").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links, turn = links.union(verified(tried)), 0
     while True:
         roots = components(links)
         now = held.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
         open_ = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
         now = written(now.join(open_, "key"), "open")
-        per = now.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
-        left, members = per.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0], now.count()
+        members = now.count()
         if not members:
             break
+        per = now.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
+        left = per.agg(F.sum("p")).first()[0]
         size = F.least("n", "n0") >= similarity * F.greatest("n", "n0") - 1e-9
         last = left <= 16 * members
         if last:  # members of one root with members of another, by equi-joins: pairs within a root never come up
@@ -256,7 +261,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             other = best.select("key", F.col("l.node").alias("node0"), F.col("l.n").alias("n0"), F.col("l.root").alias("root0"))
             found = now.join(other, "key").where(size & (F.col("root") != F.col("root0")))
         found = found.select(F.least("node", "node0").alias("a"), F.greatest("node", "node0").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        found = written(found, "pairs")
+        found = written(_small(found, 20 * members), "pairs")
         if not found.isEmpty():
             links, tried = links.union(verified(found)), tried.union(found)
             if last:
@@ -269,6 +274,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return known.union(none)
 
 
+def _links_of_ids(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the nodes of rows that share a doc_id but not their text; in a sound table there are none, and that costs one count."""
+    several = rows.groupBy("doc_id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e").select("doc_id")
+    several = written(several, "ids")
+    if several.isEmpty():
+        return rows.sparkSession.createDataFrame([], "a long, b long")
+    shared = rows.join(several, "doc_id").join(nodes, "digest").select("doc_id", "node")
+    first = shared.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return written(shared.join(first, "doc_id").select("a", F.col("node").alias("b")).where("a <> b"), "links")
+
+
 def op5_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their classes."""
     return near_duplicates(table(spark, sf_dir, "documents"))
