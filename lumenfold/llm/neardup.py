@@ -207,14 +207,22 @@ def components(edges: DataFrame) -> DataFrame:
         state = new.select("node", "root")
 
 
+def _rooted(df: DataFrame, column: str, maps: list[DataFrame]) -> DataFrame:
+    """df with the column's nodes replaced by their roots, through each of maps(node, root) in turn."""
+    for m in maps:
+        df = df.join(m.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col(column) == F.col("_node"), "left")
+        df = df.withColumn(column, F.coalesce("_root", column)).drop("_node", "_root")
+    return df
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs(doc_id, text) as (doc_id, class_id), a row for each: class_id is the least doc_id of the class.
 
     A class holds rows that links join: equal texts (null and empty ones are equal), and texts whose multisets of five-word shingles have a weighted
     Jaccard similarity of at least `similarity`. Texts of fewer than five words have one shingle of all their words. Rows with a null
-    doc_id have a null class_id and link nothing; rows that share a doc_id are one document and one class.
+    doc_id have a null class_id and link nothing; rows that share a doc_id go by their texts, and texts with the same least doc_id are one node.
 
-    Equal texts are one node. In each band bucket of several nodes, the least node is compared with all others of a fitting size; then every
+    Equal texts are one node. Each node is first compared with the least of the nodes that lead its band buckets; then every
     pair of nodes that share a bucket and that links don't join yet is compared, too, so no candidate is left out. While those would be many,
     rounds of one more leader a bucket come first: copies join one component, so pairs within a large group never all come up.
     """
@@ -223,7 +231,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     rows = written(signed(docs.select("doc_id", "text", digest.alias("digest")).where("doc_id is not null")), "signatures")
     # rows of one digest have the same shingles, so any of their keys will do
     nodes = written(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
-    links = _links_of_ids(rows, nodes)
     mine = nodes.select("node", "n", F.explode("keys").alias("key"))
     lead = mine.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("l")).where("c > 1")
     held = written(mine.join(lead.select("key", F.col("l.node").alias("node0"), F.col("l.n").alias("n0")), "key"), "buckets")
@@ -236,23 +243,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         return written(_small(overlaps(pairs.join(b, "b").join(a, "a"), similarity), 400 * pairs.count()), "links")
 
     fit = (F.least("n", "n0") >= similarity * F.greatest("n", "n0") - 1e-9) & (F.col("node") > F.col("node0"))
-    tried = written(held.where(fit).select(F.col("node0").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links, turn = links.union(verified(tried)), 0
+    tried = written(held.where(fit).groupBy(F.col("node").alias("b")).agg(F.min("node0").alias("a")).select("a", "b"), "pairs")
+    maps, turn = [components(verified(tried))], 0
     while True:
-        roots = components(links)
-        now = held.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        open_ = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        now = written(now.join(open_, "key"), "open")
+        at = _rooted(held.select("key", "node", "n", F.col("node").alias("root")), "root", maps)
+        open_ = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        now = written(at.join(open_, "key"), "open")
         members = now.count()
         if not members:
             break
         per = now.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
-        left = per.agg(F.sum("p")).first()[0]
+        last = _small(per, members).agg(F.sum("p")).first()[0] <= 16 * members
         size = F.least("n", "n0") >= similarity * F.greatest("n", "n0") - 1e-9
-        last = left <= 16 * members
         if last:  # members of one root with members of another, by equi-joins: pairs within a root never come up
-            roots_of = now.select("key", "root").distinct()
-            two = roots_of.join(roots_of.select("key", F.col("root").alias("root0")), "key").where("root < root0")
+            roots = now.select("key", "root").distinct()
+            two = roots.join(roots.select("key", F.col("root").alias("root0")), "key").where("root < root0")
             other = now.select("key", F.col("root").alias("root0"), F.col("node").alias("node0"), F.col("n").alias("n0"))
             found = now.join(two, ["key", "root"]).join(other, ["key", "root0"]).where(size)
         else:  # one more leader a bucket: the least by a hash that changes from round to round
@@ -262,29 +267,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             found = now.join(other, "key").where(size & (F.col("root") != F.col("root0")))
         found = found.select(F.least("node", "node0").alias("a"), F.greatest("node", "node0").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         found = written(_small(found, 20 * members), "pairs")
-        if not found.isEmpty():
-            links, tried = links.union(verified(found)), tried.union(found)
-            if last:
-                roots = components(links)
+        tried = tried.union(found)
+        if not found.isEmpty():  # links between what earlier links have joined
+            maps.append(components(_rooted(_rooted(verified(found), "a", maps), "b", maps).where("a <> b").distinct()))
         if last:
             break
-    classes = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("class_id"))
+    classes = _rooted(nodes.select("digest", F.col("node").alias("class_id")), "class_id", maps)
     known = rows.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")
     none = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
     return known.union(none)
 
 
-def _links_of_ids(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links between the nodes of rows that share a doc_id but not their text; in a sound table there are none, and that costs one count."""
-    several = rows.groupBy("doc_id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e").select("doc_id")
-    several = written(several, "ids")
-    if several.isEmpty():
-        return rows.sparkSession.createDataFrame([], "a long, b long")
-    shared = rows.join(several, "doc_id").join(nodes, "digest").select("doc_id", "node")
-    first = shared.groupBy("doc_id").agg(F.min("node").alias("a"))
-    return written(shared.join(first, "doc_id").select("a", F.col("node").alias("b")).where("a <> b"), "links")
-
-
 def op5_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their classes."""
     return near_duplicates(table(spark, sf_dir, "documents"))
