@@ -105,9 +105,13 @@ def op1_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, with all their columns. The model sees the labelled sample alone; then every row is scored in one scan."""
-    sample = F.broadcast(training_sample(labels, "quality", 5, 0, MAX_TRAINING_ROWS))
-    train = written(with_statistics(docs.join(sample, "doc_id").select("label", "text")).select("label", *RATIOS), "training")
+    """The rows of docs that the classifier doesn't reject, with all their columns.
+
+    Rows are written with their statistics once: the model is fitted on that table and its rules then filter it. Without that table
+    the filter would be pushed below the statistics and work them out again for each condition of each rule.
+    """
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    stats = with_statistics(docs.select(row, F.col("text").alias("_text")), "_text")
+    stats = written(with_statistics(docs.select(row, F.col("text").alias("_text")), "_text").drop("_text"), "statistics")
+    sample = F.broadcast(training_sample(labels, "quality", 5, 0, MAX_TRAINING_ROWS))
+    train = written(stats.withColumn("doc_id", F.col("_row.doc_id")).join(sample, "doc_id").select("label", *RATIOS), "training")
     return stats.where(fit(train).score() >= THRESHOLD).select("_row.*")
