@@ -58,7 +58,7 @@ def write_archive(pages: DataFrame, path: str, revisit_from: int = 1000, date: s
     kept = F.struct(F.lit("header").alias("kind"), "no", F.when(revisit, F.lit(None)).otherwise(F.col("address")).alias("address"), F.encode(header, "UTF-8").alias("bytes"))
     stored = F.struct(F.lit("payload").alias("kind"), F.lit(None).cast("long").alias("no"), "address", F.col("payload").alias("bytes"))
     parts = F.when(chosen, F.array(kept, stored)).otherwise(F.array(kept))
-    joined.select(F.inline(parts)).write.partitionBy("kind").parquet(path)
+    joined.select(F.inline(parts)).write.option("compression", "zstd").partitionBy("kind").parquet(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
