@@ -22,9 +22,13 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Bytes of text that are hashed together.
 BATCH_BYTES = 4 << 20
-
+#: Counters of the sketch that orders shingles by frequency, as a power of two.
+COUNTER_BITS = 20
 #: Rows of slim tables (links, pairs, roots) that one task takes.
 ROWS_A_TASK = 200_000
+#: Pairs of a bucket's members under different roots that are compared at once, for each member on average: before and after nodes of dense
+#: buckets are dealt anew (a pair then shares many of its keys, so it counts many times).
+PAIRS, PAIRS_DEALT = 16, 256
 
 _U = np.uint64
 
@@ -129,6 +133,16 @@ def bag_min_hash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n_te
     return least.reshape(n_texts, size)
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Cuts texts into runs of about BATCH_BYTES, at least a text each."""
+    sizes = np.cumsum(np.r_[0, [len(t.as_buffer()) if t.is_valid else 0 for t in texts]])
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(sizes, sizes[a] + BATCH_BYTES, side="right")) - 1)
+        yield a, b
+        a = b
+
+
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs(doc_id, digest, text) as (doc_id, digest, n long, keys array<long>): n shingles and a key for each band (none without words)."""
 
@@ -136,11 +150,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
         salt = _mix(np.arange(1, bands + 1, dtype=_U) * _U(0xA24BAED4963EE407))
         for batch in batches:
             texts = batch["text"]
-            sizes = np.cumsum(np.r_[0, [len(t.as_buffer()) if t.is_valid else 0 for t in texts]])
-            cuts = [0]
-            while cuts[-1] < len(texts):
-                cuts.append(max(cuts[-1] + 1, int(np.searchsorted(sizes, sizes[cuts[-1]] + BATCH_BYTES, side="right")) - 1))
-            for a, b in zip(cuts, cuts[1:], strict=False):
+            for a, b in _slices(texts):
                 text, element, weight = shingles(texts.slice(a, b - a))
                 total = np.bincount(text, weights=weight, minlength=b - a).astype("int64")
                 times = bag_min_hash(text, element, weight, b - a, bands * rows).view(_U).reshape(b - a, bands, rows)
@@ -156,6 +166,53 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest string, n long, keys array<long>")
 
 
+def _occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(text, item): an item for each occurrence of a shingle; the i-th of one shingle is the same item in every text."""
+    text, element, weight = shingles(texts)
+    place = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+    with np.errstate(over="ignore"):
+        return np.repeat(text, weight), _mix(np.repeat(element, weight) + place.astype(_U) * _U(0x9E3779B97F4A7C15))
+
+
+def rare_keys(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs(node, text) as (key, node, n, i): of each text's n shingle occurrences the rarest n - ceil(similarity * n) + 1, as keys; i counts rarer ones.
+
+    Exact: in one order of all occurrences, two texts of at least that similarity share one of these. The order is by frequency, which keeps
+    passages that many texts share out of the keys. Frequencies come from a sketch of 2 ** COUNTER_BITS counters, whatever the input;
+    where counters are shared, only the order is another.
+    """
+    shift = _U(64 - COUNTER_BITS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTER_BITS, "int64")
+        for batch in batches:
+            for a, b in _slices(batch["text"]):
+                _, item = _occurrences(batch["text"].slice(a, b - a))
+                total += np.bincount((item >> shift).astype("int64"), minlength=1 << COUNTER_BITS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype("int32")), pa.array(total[used])], ["counter", "c"])
+
+    counted = docs.select("text").mapInArrow(count, "counter int, c long").groupBy("counter").agg(F.sum("c").alias("c")).toArrow()  # bounded by the sketch
+    often = np.zeros(1 << COUNTER_BITS, "int64")
+    often[counted["counter"].to_numpy()] = counted["c"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(often)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch["node"].to_numpy(zero_copy_only=False)
+            for a, b in _slices(batch["text"]):
+                text, item = _occurrences(batch["text"].slice(a, b - a))
+                order = np.lexsort((item, sent.value[(item >> shift).astype("int64")], text))
+                text, item = text[order], item[order]
+                n = np.bincount(text, minlength=b - a)
+                rank = np.arange(len(text)) - (np.cumsum(n) - n)[text]
+                first = rank <= (n - np.ceil(similarity * n - 1e-9).astype("int64"))[text]
+                text, item, rank = text[first], item[first], rank[first]
+                yield pa.RecordBatch.from_arrays([pa.array(item.view("int64")), pa.array(node[a:b][text]), pa.array(n[text]), pa.array(rank)], ["key", "node", "n", "i"])
+
+    return docs.select("node", "text").mapInArrow(choose, "key long, node long, n long, i long")
+
+
 def overlaps(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """pairs(a, b, text_a, text_b) as (a, b) of those whose shingle multisets have a weighted Jaccard similarity of at least that."""
 
@@ -223,8 +280,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     doc_id have a null class_id and link nothing; rows that share a doc_id go by their texts, and texts with the same least doc_id are one node.
 
     Equal texts are one node. Each node is first compared with the least of the nodes that lead its band buckets; then every
-    pair of nodes that share a bucket and that links don't join yet is compared, too, so no candidate is left out. While those would be many,
-    rounds of one more leader a bucket come first: copies join one component, so pairs within a large group never all come up.
+    pair of nodes that share a bucket and that links don't join yet is compared, too, so no candidate is left out. Where those would be many
+    (texts around one common passage fill a bucket without being near copies), the nodes of such buckets are dealt anew by their rarest
+    shingles (`rare_keys`, exact). While that still leaves many, rounds of one more leader a bucket come first: copies join one
+    component, so pairs within a large group never all come up.
     """
     docs = docs.select("doc_id", "text")
     digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
@@ -233,7 +292,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     nodes = written(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
     mine = nodes.select("node", "n", F.explode("keys").alias("key"))
     lead = mine.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("l")).where("c > 1")
-    held = written(mine.join(lead.select("key", F.col("l.node").alias("node0"), F.col("l.n").alias("n0")), "key"), "buckets")
+    held = written(mine.join(lead.select("key", F.col("l.node").alias("node0"), F.col("l.n").alias("n0")), "key").withColumn("i", F.lit(0).cast("long")), "buckets")
     texts = docs.where("doc_id is not null").join(held.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     texts = written(texts.dropDuplicates(["doc_id", "text"]), "texts")  # all texts of an id
 
@@ -244,26 +303,31 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     fit = (F.least("n", "n0") >= similarity * F.greatest("n", "n0") - 1e-9) & (F.col("node") > F.col("node0"))
     tried = written(held.where(fit).groupBy(F.col("node").alias("b")).agg(F.min("node0").alias("a")).select("a", "b"), "pairs")
-    maps, turn = [components(verified(tried))], 0
+    maps, turn, dealt = [components(verified(tried))], 0, False
     while True:
-        at = _rooted(held.select("key", "node", "n", F.col("node").alias("root")), "root", maps)
+        at = _rooted(held.select("key", "node", "n", "i", F.col("node").alias("root")), "root", maps)
         open_ = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
         now = written(at.join(open_, "key"), "open")
         members = now.count()
         if not members:
             break
         per = now.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
-        last = _small(per, members).agg(F.sum("p")).first()[0] <= 16 * members
-        size = F.least("n", "n0") >= similarity * F.greatest("n", "n0") - 1e-9
+        last = _small(per, members).agg(F.sum("p")).first()[0] <= (PAIRS_DEALT if dealt else PAIRS) * members
+        if not last and not dealt:
+            own = written(texts.join(now.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "dense")
+            held, dealt = written(rare_keys(own, similarity), "buckets"), True
+            continue
+        # two texts share at most what either has from their first common key on; with bands (i is 0) that bounds the sizes
+        size = F.least(F.col("n") - F.col("i"), F.col("n0") - F.col("i0")) >= similarity / (1 + similarity) * (F.col("n") + F.col("n0")) - 1e-9
         if last:  # members of one root with members of another, by equi-joins: pairs within a root never come up
             roots = now.select("key", "root").distinct()
             two = roots.join(roots.select("key", F.col("root").alias("root0")), "key").where("root < root0")
-            other = now.select("key", F.col("root").alias("root0"), F.col("node").alias("node0"), F.col("n").alias("n0"))
+            other = now.select("key", F.col("root").alias("root0"), F.col("node").alias("node0"), F.col("n").alias("n0"), F.col("i").alias("i0"))
             found = now.join(two, ["key", "root"]).join(other, ["key", "root0"]).where(size)
         else:  # one more leader a bucket: the least by a hash that changes from round to round
             turn += 1
-            best = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root")).alias("l"))
-            other = best.select("key", F.col("l.node").alias("node0"), F.col("l.n").alias("n0"), F.col("l.root").alias("root0"))
+            best = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root", "i")).alias("l"))
+            other = best.select("key", F.col("l.node").alias("node0"), F.col("l.n").alias("n0"), F.col("l.i").alias("i0"), F.col("l.root").alias("root0"))
             found = now.join(other, "key").where(size & (F.col("root") != F.col("root0")))
         found = found.select(F.least("node", "node0").alias("a"), F.greatest("node", "node0").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         found = written(_small(found, 20 * members), "pairs")

@@ -187,6 +187,37 @@ def test_near_duplicates_equal_all_pairs(spark, odd):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in root}) and kept.columns == docs(spark, []).columns
 
 
+def test_rare_keys_and_their_bound_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(8)
+    vocab, passage = [f"w{i}" for i in range(40)], [f"p{i}" for i in range(60)]
+    rows = []
+    for _ in range(60):  # own words around a common passage: most pairs are under the threshold, some are not
+        own = [rng.choice(vocab) for _ in range(rng.randint(2, 16))]
+        rows.append((len(rows), " ".join(own + passage), "s"))
+        rows.append((len(rows), " ".join(own + passage[: rng.randint(50, 60)]), "s"))
+    bags = {i: shingled(t) for i, t, _ in rows}
+    near = {(i, j) for i, j in itertools.combinations(bags, 2) if sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values())}
+    keys = collections.defaultdict(dict)
+    for r in neardup.rare_keys(docs(spark, rows).withColumnRenamed("doc_id", "node")).collect():
+        keys[r.node][r.key] = (r.n, r.i)
+    for i, j in near:
+        (n, _), (m, _) = next(iter(keys[i].values())), next(iter(keys[j].values()))
+        assert any(min(n - keys[i][k][1], m - keys[j][k][1]) >= 0.8 / 1.8 * (n + m) - 1e-9 for k in keys[i].keys() & keys[j].keys())
+    root = {i: i for i in bags}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in near:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    monkeypatch.setattr(neardup, "PAIRS", 0)  # deals dense buckets anew on few rows, too
+    got = {(r.doc_id, r.class_id) for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {(i, find(i)) for i in root}
+
+
 def test_packing_is_whole_and_tight(spark, odd):
     from public_tokenizers import path
     from tokenizers import Tokenizer
