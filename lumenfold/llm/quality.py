@@ -93,7 +93,7 @@ def scored(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS
     """
     stats = written(with_statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
     sample = training_sample(labels, "quality", 5, 0, max_rows)
-    train = written(stats.join(F.broadcast(sample), "doc_id").select("label", *RATIOS), "training")  # at most max_rows labels
+    train = written(stats.join(F.broadcast(sample), "doc_id").select("label", *RATIOS).repartition(4), "training")  # at most max_rows labels
     model = fit(train)
     return stats.withColumn("score", model.score()).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
@@ -113,5 +113,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
     stats = written(with_statistics(docs.select(row, F.col("text").alias("_text")), "_text").drop("_text"), "statistics")
     sample = F.broadcast(training_sample(labels, "quality", 5, 0, MAX_TRAINING_ROWS))
-    train = written(stats.withColumn("doc_id", F.col("_row.doc_id")).join(sample, "doc_id").select("label", *RATIOS), "training")
+    train = written(stats.withColumn("doc_id", F.col("_row.doc_id")).join(sample, "doc_id").select("label", *RATIOS).repartition(4), "training")
     return stats.where(fit(train).score() >= THRESHOLD).select("_row.*")

@@ -96,7 +96,7 @@ def judged(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS
     """
     stats = written(with_statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
     sample = training_sample(labels, "quality", 5, 0, max_rows)
-    rules = fit(written(stats.join(F.broadcast(sample), "doc_id").select("doc_id", "label", *RATIOS), "training"))
+    rules = fit(written(stats.join(F.broadcast(sample), "doc_id").select("doc_id", "label", *RATIOS).repartition(4), "training"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return stats.withColumn("base_failed", failed).withColumn("kept", ~failed & rules.keeps())
 
