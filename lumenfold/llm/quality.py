@@ -12,7 +12,7 @@ from functools import reduce
 from operator import add, and_
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,14 +73,15 @@ def fit(train: DataFrame, names: list[str] = RATIOS, trees: int = 12, depth: int
     if not n or ones in (0, n):
         share = min(max((ones or 0) / n if n else 0.5, 1e-3), 1 - 1e-3)
         return RuleEnsemble((), (), math.log(share / (1 - share)))
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(train).select("label", "features", *names)
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=max(1, min(20, n // 50)), subsamplingRate=0.7, featureSubsetStrategy="0.5", seed=seed).fit(rows.select("label", "features"))
+    rows = train.select("label", array_to_vector(F.array(*names)).alias("features"))
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=max(1, min(20, n // 50)), subsamplingRate=0.7, featureSubsetStrategy="0.5", seed=seed).fit(rows)
     rules = paths(forest, names)
     if not rules:
         return RuleEnsemble((), (), math.log(ones / (n - ones)))
-    held = train.select("label", *[conjunction(r).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
-    inputs = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(held).select("label", "features")
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=strength, maxIter=60, standardization=False).fit(inputs)
+    # rows in which the same rules hold count once, by their number: few rows, for many iterations
+    held = train.select("label", F.array(*[conjunction(r).cast("double") for r in rules]).alias("held")).groupBy("label", "held").agg(F.count("*").cast("double").alias("n"))
+    inputs = written(held.select("label", "n", array_to_vector("held").alias("features")).coalesce(1), "rules")  # no more rows than the sample
+    lasso = LogisticRegression(weightCol="n", elasticNetParam=1.0, regParam=strength, maxIter=60, standardization=False).fit(inputs)
     kept = [(r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray(), strict=True) if w]
     return RuleEnsemble(tuple(r for r, _ in kept), tuple(w for _, w in kept), float(lasso.intercept))
 
