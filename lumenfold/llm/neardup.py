@@ -8,6 +8,7 @@ probability of their weighted Jaccard similarity. Points are made in the order o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ ROWS_A_TASK = 200_000
 #: Pairs of a bucket's members under different roots that are compared at once, for each member on average: before and after nodes of dense
 #: buckets are dealt anew (a pair then shares many of its keys, so it counts many times).
 PAIRS, PAIRS_DEALT = 16, 256
+#: A further round of leaders comes only where the last one left at most this share of the pairs.
+LEADERS_GAIN = 0.75
 
 _U = np.uint64
 
@@ -283,7 +286,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     pair of nodes that share a bucket and that links don't join yet is compared, too, so no candidate is left out. Where those would be many
     (texts around one common passage fill a bucket without being near copies), the nodes of such buckets are dealt anew by their rarest
     shingles (`rare_keys`, exact). While that still leaves many, rounds of one more leader a bucket come first: copies join one
-    component, so pairs within a large group never all come up.
+    component, so pairs within a large group never all come up. Once such a round no longer cuts the pairs by a quarter, the rest is compared
+    in a fixed number of slices. Buckets in which the positional bound rejects all pairs are closed without a comparison.
     """
     docs = docs.select("doc_id", "text")
     digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
@@ -303,39 +307,55 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     fit = (F.least("n", "n0") >= similarity * F.greatest("n", "n0") - 1e-9) & (F.col("node") > F.col("node0"))
     tried = written(held.where(fit).groupBy(F.col("node").alias("b")).agg(F.min("node0").alias("a")).select("a", "b"), "pairs")
-    maps, turn, dealt = [components(verified(tried))], 0, False
-    while True:
+    maps, turn, dealt, before = [components(verified(tried))], 0, False, math.inf
+    # two texts share at most what either has from their first common key on; with bands (i is 0) that bounds the sizes
+    share = similarity / (1 + similarity)
+    size = F.least(F.col("n") - F.col("i"), F.col("n0") - F.col("i0")) >= share * (F.col("n") + F.col("n0")) - 1e-9
+    # of two rows that pass, the smaller one would pass with its like, so each pair has such a row, and buckets without any are closed
+    able = F.col("n") - F.col("i") >= share * 2 * F.col("n") - 1e-9
+
+    def still_open() -> DataFrame:
         at = _rooted(held.select("key", "node", "n", "i", F.col("node").alias("root")), "root", maps)
-        open_ = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        now = written(at.join(open_, "key"), "open")
-        members = now.count()
+        per = at.groupBy("key", "root").agg(F.count_if(able).cast("double").alias("x"), F.count("*").cast("double").alias("c")).groupBy("key")
+        x, c, xc, xx = F.sum("x"), F.sum("c"), F.sum(F.col("x") * F.col("c")), F.sum(F.col("x") * F.col("x"))
+        pairs = per.agg((x * c - xc - (x * x - xx) / 2).alias("p"), c.alias("c")).where("p > 0")  # pairs under different roots, one of them able
+        return written(at.join(pairs.select("key", (F.col("p") / F.col("c")).alias("p")), "key"), "open")
+
+    def join_up(found: DataFrame, members: int) -> DataFrame:
+        """The pairs that weren't tried before; their links go to maps."""
+        found = found.select(F.least("node", "node0").alias("a"), F.greatest("node", "node0").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        found = written(_small(found, 20 * members), "pairs")
+        if not found.isEmpty():  # links between what earlier links have joined
+            maps.append(components(_rooted(_rooted(verified(found), "a", maps), "b", maps).where("a <> b").distinct()))
+        if len(maps) > 6:  # one map in place of a chain of joins
+            maps[:] = [written(_rooted(nodes.select("node", F.col("node").alias("root")), "root", maps).where("node <> root"), "roots")]
+        return found
+
+    while True:
+        now = still_open()
+        members, pairs = now.agg(F.count("*"), F.sum("p")).first()
         if not members:
             break
-        per = now.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
-        last = _small(per, members).agg(F.sum("p")).first()[0] <= (PAIRS_DEALT if dealt else PAIRS) * members
-        if not last and not dealt:
+        most = max(1, (PAIRS_DEALT if dealt else PAIRS) * members)
+        if pairs > most and not dealt:
             own = written(texts.join(now.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "dense")
             held, dealt = written(rare_keys(own, similarity), "buckets"), True
             continue
-        # two texts share at most what either has from their first common key on; with bands (i is 0) that bounds the sizes
-        size = F.least(F.col("n") - F.col("i"), F.col("n0") - F.col("i0")) >= similarity / (1 + similarity) * (F.col("n") + F.col("n0")) - 1e-9
-        if last:  # members of one root with members of another, by equi-joins: pairs within a root never come up
-            roots = now.select("key", "root").distinct()
-            two = roots.join(roots.select("key", F.col("root").alias("root0")), "key").where("root < root0")
-            other = now.select("key", F.col("root").alias("root0"), F.col("node").alias("node0"), F.col("n").alias("n0"), F.col("i").alias("i0"))
-            found = now.join(two, ["key", "root"]).join(other, ["key", "root0"]).where(size)
-        else:  # one more leader a bucket: the least by a hash that changes from round to round
-            turn += 1
-            best = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root", "i")).alias("l"))
+        if most < pairs <= LEADERS_GAIN * before:  # one more leader a bucket: the least by a hash that changes from round to round
+            turn, before = turn + 1, pairs
+            best = now.where(able).groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root", "i")).alias("l"))
             other = best.select("key", F.col("l.node").alias("node0"), F.col("l.n").alias("n0"), F.col("l.i").alias("i0"), F.col("l.root").alias("root0"))
-            found = now.join(other, "key").where(size & (F.col("root") != F.col("root0")))
-        found = found.select(F.least("node", "node0").alias("a"), F.greatest("node", "node0").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        found = written(_small(found, 20 * members), "pairs")
-        tried = tried.union(found)
-        if not found.isEmpty():  # links between what earlier links have joined
-            maps.append(components(_rooted(_rooted(verified(found), "a", maps), "b", maps).where("a <> b").distinct()))
-        if last:
-            break
+            tried = tried.union(join_up(now.join(other, "key").where(size & (F.col("root") != F.col("root0"))), members))
+            continue
+        # all that are left, in slices by the smaller row, so that each has about as many pairs as may be compared at once
+        slices = math.ceil(pairs / most)
+        for k in range(slices):
+            now = still_open() if k else now
+            # members of one root with members of another, by equi-joins: pairs within a root never come up
+            small = now.where(able & (F.pmod(F.xxhash64("node"), F.lit(slices)) == k)).select("key", F.col("root").alias("root0"), F.col("node").alias("node0"), F.col("n").alias("n0"), F.col("i").alias("i0"))
+            two = small.select("key", "root0").distinct().join(now.select("key", "root").distinct(), "key").where("root <> root0")
+            join_up(small.join(two, ["key", "root0"]).join(now, ["key", "root"]).where(size & (F.struct("n0", "node0") < F.struct(F.col("n"), F.col("node")))), members)
+        break
     classes = _rooted(nodes.select("digest", F.col("node").alias("class_id")), "class_id", maps)
     known = rows.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")
     none = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))

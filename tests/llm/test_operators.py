@@ -218,6 +218,52 @@ def test_rare_keys_and_their_bound_lose_no_pair(spark, monkeypatch):
     assert got == {(i, find(i)) for i in root}
 
 
+def ends(monkeypatch, most=150):
+    """Fails instead of running for ever: a job may write so many tables."""
+    count, plain = itertools.count(1), neardup.written
+
+    def limited(df, name):
+        assert next(count) <= most, "too many rounds"
+        return plain(df, name)
+
+    monkeypatch.setattr(neardup, "written", limited)
+
+
+def test_texts_around_one_long_passage_come_to_an_end(spark, monkeypatch):
+    ends(monkeypatch)
+    passage = " ".join(f"p{i}" for i in range(84))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(16)) + " " + passage, "s") for i in range(600)]  # 80 of 96 shingles shared: 0.71
+    rows += [(600, rows[7][1] + " end", "s"), (601, rows[7][1] + " end of it", "s")]
+    got = {(r.doc_id, r.class_id) for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {(i, i if i < 600 else 7) for i in range(602)}
+
+
+def test_slices_of_hot_buckets_lose_no_pair(spark, monkeypatch):
+    ends(monkeypatch)
+    rng = random.Random(9)
+    phrases = [" ".join(f"{c}{i}" for i in range(20)) for c in "abcdefgh"]
+    rows = []
+    for _ in range(40):  # every phrase is common, so no key is rare; most pairs pass the bound and are under the threshold
+        own = " ".join(f"x{len(rows)}y{i}" for i in range(rng.randint(0, 4)))
+        rows.append((len(rows), " ".join([p for p in phrases if rng.random() < 0.8] + [own]), "s"))
+    bags = {i: shingled(t) for i, t, _ in rows}
+    root = {i: i for i in bags}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(bags, 2):
+        if sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values()):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    monkeypatch.setattr(neardup, "PAIRS", 0)
+    monkeypatch.setattr(neardup, "PAIRS_DEALT", 2)
+    got = {(r.doc_id, r.class_id) for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert 1 < len({c for _, c in got}) < len(rows) and got == {(i, find(i)) for i in root}
+
+
 def test_packing_is_whole_and_tight(spark, odd):
     from public_tokenizers import path
     from tokenizers import Tokenizer
