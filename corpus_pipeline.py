@@ -26,7 +26,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.tokenised(docs))
+    return packing.pack(packing.tokenised(docs, added=packing.ADDED))
 
 
 #: Name and function(spark, docs, sf_dir) of each stage; all but the last return the columns of documents.

@@ -10,6 +10,7 @@ a to b of length l go to sequences s, s + 1, ..., at offset o"; the executors nu
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -27,6 +28,8 @@ from lumenfold.llm.common import table, written
 
 CAPACITY = 2048
 END_ID = 0
+#: The added tokens of byte_bpe_50k.json.
+ADDED = {"<|endoftext|>": 50256}
 #: (groups, bound of large as a part of the capacity) that are tried in this order.
 CHOICES = ((4, 0.4), (6, 0.3), (3, 0.45), (5, 0.4), (8, 0.4), (12, 0.45), (24, 0.4), (48, 0.4))
 
@@ -40,15 +43,23 @@ def encoding(ranks_path: str | None = None) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def tokenised(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def tokenised(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY, added: dict[str, int] | None = None) -> DataFrame:
     """docs(doc_id, text) as pieces (doc_id, piece int, start long, length long, ids_crc32 long).
 
     A document is its text's ids and the end id; a null or empty text is the end id alone. One of more than `capacity` ids is cut
-    into pieces of `capacity`, of which the first takes what is over.
+    into pieces of `capacity`, of which the first takes what is over. Where a text holds one of the tokens `added`, it has that one id, as
+    `tokenizers` has it by default with ADDED; without them such a token is text like any other (encode_special_tokens).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(ranks_path).encode_ordinary
+        plain = encoding(ranks_path).encode_ordinary
+        cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+        def encode(text: str) -> list[int]:
+            if cut is None or not cut.search(text):
+                return plain(text)
+            return [i for part in cut.split(text) for i in ([added[part]] if part in added else plain(part))]
+
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
@@ -261,4 +272,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def op6_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
-    return pack(tokenised(table(spark, sf_dir, "documents")))
+    return pack(tokenised(table(spark, sf_dir, "documents"), added=ADDED))

@@ -290,6 +290,24 @@ def test_packing_is_whole_and_tight(spark, odd):
     assert packing.pack(packing.tokenised(docs(spark, []))).count() == 0
 
 
+def test_packed_ids_are_those_of_tokenizers_by_default(spark, tmp_path):
+    import corpus_pipeline
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    exact, end = Tokenizer.from_file(path("byte_bpe_50k.json")), "<|endoftext|>"
+    texts = [end, f"a {end} b", f"  {end}x{end}{end}\n", "<|endoftext| > é", f"{end} a  b\n\n c", f"a <{end}> {end.upper()}", "", None]
+    texts.append(f"word {end} " * 1500)
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    ids = {i: exact.encode(t or "", add_special_tokens=False).ids + [packing.END_ID] for i, t, _ in rows}
+    for packed in (packing.op6_packed_sequences(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs(spark, rows), "")):
+        got = packed.collect()
+        for r in got:
+            assert zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+        assert sum(r.length for r in got) == sum(map(len, ids.values()))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_place_every_piece_once(seed):
     rng = random.Random(seed)
