@@ -36,14 +36,11 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 GAPS = " .-_*~·"
 #: Costs of the channel, as negative natural logarithms: a letter as it is, for another sign, written once more, a gap.
 AS_IS, LEET_COST, AGAIN_COST, GAP_COST, KEPT_SIGN = 0.05, 1.5, 1.0, 0.7, 9.0
-#: A token so long is no disguised word.
-LONGEST = 64
-#: Tokens whose features each Python worker keeps.
-KEPT_TOKENS = 200_000
-
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€(])(?:[ .\-_*~·](?:[^\W_]|[@$!|+€(])){3,}(?!\S)")
-_THRICE = re.compile(r"(.)\1\1")
-_INNER = re.compile(r"[^\W\d_][0-9@$!|+€(.\-_*~·]+[^\W\d_]|^[0-9@$|+€(][^\W\d_]{2}|[^\W\d_][0-9@$]$")
+#: Tokens whose features each Python worker keeps, and how long they are at most.
+KEPT_TOKENS, KEPT_LENGTH = 200_000, 64
+
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€(])(?:[ .\-_*~·](?:[^\W_]|[@$!|+€(])){2,}(?!\S)")
+_DISGUISED = re.compile("[" + re.escape("".join(LEET) + GAPS.strip()) + r"]|(.)\1")
 _DECOR = re.compile(r"([^\w\s])\1{2,}")
 
 
@@ -86,42 +83,53 @@ class Channel:
         self.costs = costs.tolist()
         self.place = {c: i + 1 for i, c in enumerate(LETTERS)}
 
-    def restore(self, token: str) -> str:
+    def restore(self, token: str, breaks: bool = False) -> str:
         """The likeliest reading of a token, in lower case: each sign is read as a letter, as the last letter once more, or as a gap.
 
-        The search keeps the best way to each pair of last letters, so it takes time in proportion to the token.
+        A gap, with `breaks` every sign, may also end a word; words are parted by a space. The search keeps the best way to each pair of
+        last letters, so it takes time in proportion to the token.
         """
-        at = self.place.get
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        at, costs = self.place.get, self.costs
+        # a way is its cost and its signs, as links from the last one back
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for sign in token.lower():
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
-            def offer(key: tuple[int, int], cost: float, text: str, new=new) -> None:
+            def offer(key: tuple[int, int], cost: float, way: tuple | None, new=new) -> None:
                 if key not in new or cost < new[key][0]:
-                    new[key] = (cost, text)
+                    new[key] = (cost, way)
 
+            gap = sign in GAPS
             readings = [(sign, AS_IS if sign.isalpha() else KEPT_SIGN)] + [(c, LEET_COST) for c in LEET.get(sign, "")]
-            for (a, b), (cost, text) in states.items():
+            for (a, b), (cost, way) in states.items():
                 for letter, price in readings:
                     c = at(letter, OTHER)
-                    offer((b, c), cost + price + self.costs[a][b][c], text + letter)
-                    if text and text[-1] == letter:
-                        offer((a, b), cost + price + AGAIN_COST, text)
-                if sign in GAPS:
-                    offer((a, b), cost + GAP_COST, text)
+                    offer((b, c), cost + price + costs[a][b][c], (way, letter))
+                    if way and way[1] == letter:
+                        offer((a, b), cost + price + AGAIN_COST, way)
+                if gap:
+                    offer((a, b), cost + GAP_COST, way)
+            if breaks or gap:
+                for (a, b), (cost, way) in list(new.items()):
+                    if b:
+                        offer((b, 0), cost + costs[a][b][0], (way, " "))
             states = new
-        ends = ((cost + self.costs[a][b][0], text) for (a, b), (cost, text) in states.items())
-        return min(ends, default=(0.0, ""))[1]
+        ends = [(cost + (costs[a][b][0] if b else 0.0), way) for (a, b), (cost, way) in states.items()]
+        way, signs = min(ends, key=lambda e: e[0])[1], []
+        while way:
+            way, sign = way
+            signs.append(sign)
+        return "".join(reversed(signs)).strip()
 
 
 def _features(token: str, channel: Channel) -> tuple[str, ...]:
-    """Of a token: the word as written and, where it looks disguised, as restored; of either the first 4 to 8 letters."""
-    bare = _DECOR.sub("", token).strip(".,;:!?\"'()[]{}…«»“”")
-    if not bare or len(bare) > LONGEST:
-        return ()
-    words = {bare}
-    if _THRICE.search(bare) or _INNER.search(bare):
-        words.add(channel.restore(bare))
+    """Of a token: the word as written and, where it may be disguised, the words as restored; of each the first 4 to 8 letters."""
+    ends = ".,;:!?\"'()[]{}…«»“”"
+    bare = _DECOR.sub("", token).strip(ends)
+    words = {bare} if bare else set()
+    for form in {bare, token.lstrip(ends.replace("!", "")).rstrip(ends)}:  # signs that were taken for decoration may be letters
+        if _DISGUISED.search(form):
+            words.update(channel.restore(form).split())
     return tuple({f for w in words for f in (f"={w}", *(f"^{w[:n]}" for n in range(4, 9) if len(w) >= n))})
 
 
@@ -138,19 +146,17 @@ class Reader:
             found = _features(token, self.channel)
             if self.weights is not None:
                 found = tuple(f for f in found if f in self.weights)
-            if len(self.kept) < KEPT_TOKENS:
+            if len(self.kept) < KEPT_TOKENS and len(token) <= KEPT_LENGTH:
                 self.kept[token] = found
         return found
 
     def tokens(self, text: str) -> set[str]:
-        """The distinct tokens of a text, and runs of spaced single letters as one token each, without their gaps."""
+        """The distinct tokens of a text, and of runs of spaced single letters the whole run, without its gaps, and its words as restored."""
         text = text.lower()
         found = set(text.split())
-        if len(found) and any(len(t) == 1 or "." in t[1:-1] or "-" in t or "*" in t or "_" in t for t in found):
-            for run in _SPACED.findall(text):
-                letters = re.sub(r"[ .\-_*~·]", "", run)
-                if len(set(letters)) > 2:
-                    found.update({letters, self.channel.restore(letters[:LONGEST])})
+        for run in _SPACED.findall(text):
+            letters = re.sub(r"[ .\-_*~·]", "", run)
+            found.update({letters, self.channel.restore(letters), *self.channel.restore(letters, breaks=True).split()})
         return found
 
     def features(self, text: str) -> tuple[list[str], float]:

@@ -105,6 +105,21 @@ def test_restores_disguised_words():
     assert reader.features("")[0] == []
 
 
+def test_disguises_of_any_length_reach_the_features():
+    costs = np.full((toxicity.SIZE,) * 3, 9.0)
+    for text in ("a loser", "you idiot", "ass", "hell", "shit", "stupid"):
+        at = [0, 0, *(toxicity.LETTERS.find(c) + 1 for c in text), 0]  # find gives -1 for a space: the edge
+        for a, b, c in zip(at, at[1:], at[2:]):
+            costs[a, b, c] = 0.1
+    reader = toxicity.Reader(costs)
+    forms = {"a l o s e r": "loser", "y o u i d i o t": "idiot", "a s s": "ass", "a55": "ass", "a$$": "ass", "he11": "hell", "5h1t": "shit", "$h!t": "shit"}
+    forms |= {"stu" + "p" * 80 + "id": "stupid", ".".join("s" * 30 + "tupid"): "stupid", " ".join("stupid" + "d" * 70): "stupid", "s" + "-" * 70 + "tupid": "stupid", "you~idiot": "idiot"}
+    for form, word in forms.items():
+        assert "=" + word in reader.features(f"so {form} so"[3:-3])[0], form
+    run = " ".join("youidiot" * 12)  # longer than 64 letters: its end counts, too
+    assert "=stupid" in reader.features(run + " " + " ".join("stupid"))[0]
+
+
 def test_feistel_is_a_permutation_and_computable(spark, odd):
     for n in (1, 2, 3, 24, 1000, 4097):
         assert sorted(sharding.permute(np.arange(n), n, 5).tolist()) == list(range(n))
