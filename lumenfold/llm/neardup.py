@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import table, written
@@ -27,11 +28,11 @@ BATCH_BYTES = 4 << 20
 COUNTER_BITS = 20
 #: Rows of slim tables (links, pairs, roots) that one task takes.
 ROWS_A_TASK = 200_000
-#: Pairs of a bucket's members under different roots that are compared at once, for each member on average: before and after nodes of dense
-#: buckets are dealt anew (a pair then shares many of its keys, so it counts many times).
+#: Pairs of a bucket's members under different roots, for each member on average: from where on leaders come first and dense buckets are
+#: dealt anew, and how many are compared at once in the end (a pair shares many of its keys, so it counts many times).
 PAIRS, PAIRS_DEALT = 16, 256
 #: A further round of leaders comes only where the last one left at most this share of the pairs.
-LEADERS_GAIN = 0.75
+LEADERS_GAIN = 0.5
 
 _U = np.uint64
 
@@ -178,7 +179,7 @@ def _occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rare_keys(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs(node, text) as (key, node, n, i): of each text's n shingle occurrences the rarest n - ceil(similarity * n) + 1, as keys; i counts rarer ones.
+    """docs(node, root, text) as (key, node, root, n, i): of each text's n shingle occurrences the rarest n - ceil(similarity * n) + 1, as keys; i counts rarer ones.
 
     Exact: in one order of all occurrences, two texts of at least that similarity share one of these. The order is by frequency, which keeps
     passages that many texts share out of the keys. Frequencies come from a sketch of 2 ** COUNTER_BITS counters, whatever the input;
@@ -202,7 +203,7 @@ def rare_keys(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch["node"].to_numpy(zero_copy_only=False)
+            node, root = (batch[c].to_numpy(zero_copy_only=False) for c in ("node", "root"))
             for a, b in _slices(batch["text"]):
                 text, item = _occurrences(batch["text"].slice(a, b - a))
                 order = np.lexsort((item, sent.value[(item >> shift).astype("int64")], text))
@@ -211,9 +212,9 @@ def rare_keys(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 rank = np.arange(len(text)) - (np.cumsum(n) - n)[text]
                 first = rank <= (n - np.ceil(similarity * n - 1e-9).astype("int64"))[text]
                 text, item, rank = text[first], item[first], rank[first]
-                yield pa.RecordBatch.from_arrays([pa.array(item.view("int64")), pa.array(node[a:b][text]), pa.array(n[text]), pa.array(rank)], ["key", "node", "n", "i"])
+                yield pa.RecordBatch.from_arrays([pa.array(item.view("int64")), pa.array(node[a:b][text]), pa.array(root[a:b][text]), pa.array(n[text]), pa.array(rank)], ["key", "node", "root", "n", "i"])
 
-    return docs.select("node", "text").mapInArrow(choose, "key long, node long, n long, i long")
+    return docs.select("node", "root", "text").mapInArrow(choose, "key long, node long, root long, n long, i long")
 
 
 def overlaps(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -267,99 +268,127 @@ def components(edges: DataFrame) -> DataFrame:
         state = new.select("node", "root")
 
 
-def _rooted(df: DataFrame, column: str, maps: list[DataFrame]) -> DataFrame:
-    """df with the column's nodes replaced by their roots, through each of maps(node, root) in turn."""
-    for m in maps:
-        df = df.join(m.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col(column) == F.col("_node"), "left")
-        df = df.withColumn(column, F.coalesce("_root", column)).drop("_node", "_root")
-    return df
+def _moved(rows: DataFrame, m: DataFrame) -> DataFrame:
+    """rows(root, ...) with each root replaced by what m(node, root) says of it, if it says anything."""
+    to = m.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return rows.join(to, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs(doc_id, text) as (doc_id, class_id), a row for each: class_id is the least doc_id of the class.
+def _composed(roots: DataFrame, m: DataFrame) -> DataFrame:
+    """roots(node, root) followed by m(node, root), which holds roots only."""
+    return _moved(roots, m).select("node", "root").unionByName(m.select("node", "root").join(roots.select("node"), "node", "left_anti"))
 
-    A class holds rows that links join: equal texts (null and empty ones are equal), and texts whose multisets of five-word shingles have a weighted
-    Jaccard similarity of at least `similarity`. Texts of fewer than five words have one shingle of all their words. Rows with a null
-    doc_id have a null class_id and link nothing; rows that share a doc_id go by their texts, and texts with the same least doc_id are one node.
 
-    Equal texts are one node. Each node is first compared with the least of the nodes that lead its band buckets; then every
-    pair of nodes that share a bucket and that links don't join yet is compared, too, so no candidate is left out. Where those would be many
-    (texts around one common passage fill a bucket without being near copies), the nodes of such buckets are dealt anew by their rarest
-    shingles (`rare_keys`, exact). While that still leaves many, rounds of one more leader a bucket come first: copies join one
-    component, so pairs within a large group never all come up. Once such a round no longer cuts the pairs by a quarter, the rest is compared
-    in a fixed number of slices. Buckets in which the positional bound rejects all pairs are closed without a comparison.
-    """
-    docs = docs.select("doc_id", "text")
-    digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
-    rows = written(signed(docs.select("doc_id", "text", digest.alias("digest")).where("doc_id is not null")), "signatures")
-    # rows of one digest have the same shingles, so any of their keys will do
-    nodes = written(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+def _digest() -> Column:
+    return F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+
+
+def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of docs(doc_id, text), ids not null: (doc_id, digest) of every row, and (digest, class_id, class_digest) of every text: the least doc_id of
+    the class, and which of its texts has it (the least, if several do)."""
+    rows = written(signed(docs.select("doc_id", "text", _digest().alias("digest"))), "signatures")
+    # rows of one digest have the same shingles, so any of their keys will do; a node's number is fixed once the table is written
+    least = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = written(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
     mine = nodes.select("node", "n", F.explode("keys").alias("key"))
     lead = mine.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("l")).where("c > 1")
     held = written(mine.join(lead.select("key", F.col("l.node").alias("node0"), F.col("l.n").alias("n0")), "key").withColumn("i", F.lit(0).cast("long")), "buckets")
-    texts = docs.where("doc_id is not null").join(held.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    texts = written(texts.dropDuplicates(["doc_id", "text"]), "texts")  # all texts of an id
+    met = nodes.select("node", "digest", F.col("first").alias("doc_id")).join(held.select("node").distinct(), "node", "left_semi")
+    texts = docs.select("doc_id", "text").join(met, "doc_id").where(_digest() == F.col("digest")).dropDuplicates(["node"])
+    texts = written(texts.select("node", "text"), "texts")  # a text for each node that shares a bucket
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+        a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         return written(_small(overlaps(pairs.join(b, "b").join(a, "a"), similarity), 400 * pairs.count()), "links")
 
     fit = (F.least("n", "n0") >= similarity * F.greatest("n", "n0") - 1e-9) & (F.col("node") > F.col("node0"))
-    tried = written(held.where(fit).groupBy(F.col("node").alias("b")).agg(F.min("node0").alias("a")).select("a", "b"), "pairs")
-    maps, turn, dealt, before = [components(verified(tried))], 0, False, math.inf
+    pairs = written(held.where(fit).groupBy(F.col("node").alias("b")).agg(F.min("node0").alias("a")).select("a", "b"), "pairs")
+    tried = [pairs]
+    roots = components(verified(pairs))
     # two texts share at most what either has from their first common key on; with bands (i is 0) that bounds the sizes
     share = similarity / (1 + similarity)
     size = F.least(F.col("n") - F.col("i"), F.col("n0") - F.col("i0")) >= share * (F.col("n") + F.col("n0")) - 1e-9
     # of two rows that pass, the smaller one would pass with its like, so each pair has such a row, and buckets without any are closed
     able = F.col("n") - F.col("i") >= share * 2 * F.col("n") - 1e-9
 
-    def still_open() -> DataFrame:
-        at = _rooted(held.select("key", "node", "n", "i", F.col("node").alias("root")), "root", maps)
+    def still_open(at: DataFrame) -> DataFrame:
+        """Of rows(key, node, n, i, root) those of buckets with pairs left; what is closed stays closed, so rounds work on ever fewer rows."""
         per = at.groupBy("key", "root").agg(F.count_if(able).cast("double").alias("x"), F.count("*").cast("double").alias("c")).groupBy("key")
         x, c, xc, xx = F.sum("x"), F.sum("c"), F.sum(F.col("x") * F.col("c")), F.sum(F.col("x") * F.col("x"))
-        pairs = per.agg((x * c - xc - (x * x - xx) / 2).alias("p"), c.alias("c")).where("p > 0")  # pairs under different roots, one of them able
-        return written(at.join(pairs.select("key", (F.col("p") / F.col("c")).alias("p")), "key"), "open")
-
-    def join_up(found: DataFrame, members: int) -> DataFrame:
-        """The pairs that weren't tried before; their links go to maps."""
-        found = found.select(F.least("node", "node0").alias("a"), F.greatest("node", "node0").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        found = written(_small(found, 20 * members), "pairs")
-        if not found.isEmpty():  # links between what earlier links have joined
-            maps.append(components(_rooted(_rooted(verified(found), "a", maps), "b", maps).where("a <> b").distinct()))
-        if len(maps) > 6:  # one map in place of a chain of joins
-            maps[:] = [written(_rooted(nodes.select("node", F.col("node").alias("root")), "root", maps).where("node <> root"), "roots")]
-        return found
-
+        left = per.agg((x * c - xc - (x * x - xx) / 2).alias("p"), c.alias("c")).where("p > 0")  # pairs under different roots, one of them able
+        return written(at.select("key", "node", "n", "i", "root").join(left.select("key", (F.col("p") / F.col("c")).alias("p")), "key"), "open")
+
+    def join_up(found: DataFrame, members: int) -> DataFrame | None:
+        """Compares the pairs found(node, root, node0, root0) that weren't before; gives the map of roots that links between them join."""
+        nonlocal roots
+        old = reduce(DataFrame.unionByName, tried)
+        sides = F.when(F.col("node") < F.col("node0"), F.struct(F.col("node").alias("a"), F.col("root").alias("ra"), F.col("node0").alias("b"), F.col("root0").alias("rb")))
+        sides = sides.otherwise(F.struct(F.col("node0").alias("a"), F.col("root0").alias("ra"), F.col("node").alias("b"), F.col("root").alias("rb")))
+        found = found.select(sides.alias("s")).select("s.*").groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"))
+        found = written(_small(found.join(old, ["a", "b"], "left_anti"), 20 * members), "pairs")
+        if found.isEmpty():
+            return None
+        tried.append(found.select("a", "b"))
+        if len(tried) > 8:
+            tried[:] = [written(reduce(DataFrame.unionByName, tried), "pairs")]
+        links = found.join(verified(found.select("a", "b")), ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+        m = components(links)  # links between what earlier links have joined
+        roots = written(_composed(roots, m), "roots")
+        return m
+
+    at = held.select("key", "node", "n", "i").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    turn, dealt, before = 0, False, math.inf
     while True:
-        now = still_open()
-        members, pairs = now.agg(F.count("*"), F.sum("p")).first()
+        now = still_open(at)
+        members, left = now.agg(F.count("*"), F.sum("p")).first()
         if not members:
             break
-        most = max(1, (PAIRS_DEALT if dealt else PAIRS) * members)
-        if pairs > most and not dealt:
-            own = written(texts.join(now.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "dense")
-            held, dealt = written(rare_keys(own, similarity), "buckets"), True
-            continue
-        if most < pairs <= LEADERS_GAIN * before:  # one more leader a bucket: the least by a hash that changes from round to round
-            turn, before = turn + 1, pairs
+        dense = left > PAIRS * members
+        if dense and left <= LEADERS_GAIN * before:  # one more leader a bucket: the least by a hash that changes from round to round
+            turn, before = turn + 1, left
             best = now.where(able).groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root", "i")).alias("l"))
             other = best.select("key", F.col("l.node").alias("node0"), F.col("l.n").alias("n0"), F.col("l.i").alias("i0"), F.col("l.root").alias("root0"))
-            tried = tried.union(join_up(now.join(other, "key").where(size & (F.col("root") != F.col("root0"))), members))
+            m = join_up(now.join(other, "key").where(size & (F.col("root") != F.col("root0"))), members)
+            at = now if m is None else _moved(now, m)
+            continue
+        if dense and not dealt:
+            met = now.groupBy("node").agg(F.first("root").alias("root"))
+            at, dealt, before = written(rare_keys(met.join(texts, "node"), similarity), "buckets"), True, math.inf
             continue
         # all that are left, in slices by the smaller row, so that each has about as many pairs as may be compared at once
-        slices = math.ceil(pairs / most)
+        slices = math.ceil(left / (PAIRS_DEALT * members))
         for k in range(slices):
-            now = still_open() if k else now
             # members of one root with members of another, by equi-joins: pairs within a root never come up
             small = now.where(able & (F.pmod(F.xxhash64("node"), F.lit(slices)) == k)).select("key", F.col("root").alias("root0"), F.col("node").alias("node0"), F.col("n").alias("n0"), F.col("i").alias("i0"))
             two = small.select("key", "root0").distinct().join(now.select("key", "root").distinct(), "key").where("root <> root0")
-            join_up(small.join(two, ["key", "root0"]).join(now, ["key", "root"]).where(size & (F.struct("n0", "node0") < F.struct(F.col("n"), F.col("node")))), members)
+            m = join_up(small.join(two, ["key", "root0"]).join(now, ["key", "root"]).where(size & (F.struct("n0", "node0") < F.struct(F.col("n"), F.col("node")))), members)
+            if m is not None and k + 1 < slices:
+                now = still_open(_moved(now, m))
         break
-    classes = _rooted(nodes.select("digest", F.col("node").alias("class_id")), "class_id", maps)
-    known = rows.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")
-    none = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
-    return known.union(none)
+    named = nodes.select("node", "digest", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = written(named, "named")
+    least = named.groupBy("root").agg(F.min(F.struct("first", "digest")).alias("l")).select("root", F.col("l.first").alias("class_id"), F.col("l.digest").alias("class_digest"))
+    return rows.select("doc_id", "digest"), named.join(least, "root").select("digest", "class_id", "class_digest")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs(doc_id, text) as (doc_id, class_id), a row for each: class_id is the least doc_id of the class.
+
+    A class holds rows that links join: equal texts (null and empty ones are equal), and texts whose multisets of five-word shingles have a weighted
+    Jaccard similarity of at least `similarity`. Texts of fewer than five words have one shingle of all their words. Rows with a null
+    doc_id have a null class_id and link nothing; rows that share a doc_id go by their texts. Other columns don't matter; an empty table gives no rows.
+
+    Equal texts are one node. Each node is first compared with the least of the nodes that lead its band buckets; then every
+    pair of nodes that share a bucket and that links don't join yet is compared, too, so no candidate is left out. While those would be many,
+    rounds of one more leader a bucket come first: copies join one component, so pairs within a large group never all come up. Once such a
+    round no longer halves the pairs (texts around one common passage fill a bucket without being near copies), the nodes of such buckets
+    are dealt anew by their rarest shingles (`rare_keys`, exact) and have such rounds again; the rest is compared in a fixed number of
+    slices. Buckets in which the positional bound rejects all pairs are closed without a comparison.
+    """
+    rows, classes = _classes(docs.select("doc_id", "text").where("doc_id is not null"), similarity)
+    known = rows.join(classes, "digest").select("doc_id", "class_id")
+    return known.union(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
 
 
 def op5_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,8 +397,13 @@ def op5_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Of each class the row with the least doc_id (of rows that share it, one), with all columns of docs; rows with a null doc_id stay."""
-    classes = near_duplicates(docs)
-    kept = classes.where("doc_id = class_id").select("doc_id").distinct()
-    stay = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return stay.unionByName(docs.where("doc_id is null"))
+    """Of each class the row with the least doc_id, with all columns of docs whatever their names.
+
+    Of rows that share that doc_id one with the class's text stays (of equal rows one); rows of another class stay or go by that class. Rows
+    with a null doc_id stay.
+    """
+    _, classes = _classes(docs.select("doc_id", "text").where("doc_id is not null"), SIMILARITY)
+    kept = classes.where(F.col("digest") == F.col("class_digest")).select(F.col("class_id").alias("doc_id"), "digest")
+    full = docs.select("doc_id", _digest().alias("digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    stay = full.join(kept, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    return stay.unionByName(full.where("doc_id is null")).select("_row.*")

@@ -213,7 +213,7 @@ def test_rare_keys_and_their_bound_lose_no_pair(spark, monkeypatch):
     bags = {i: shingled(t) for i, t, _ in rows}
     near = {(i, j) for i, j in itertools.combinations(bags, 2) if sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values())}
     keys = collections.defaultdict(dict)
-    for r in neardup.rare_keys(docs(spark, rows).withColumnRenamed("doc_id", "node")).collect():
+    for r in neardup.rare_keys(docs(spark, rows).selectExpr("doc_id as node", "doc_id as root", "text")).collect():
         keys[r.node][r.key] = (r.n, r.i)
     for i, j in near:
         (n, _), (m, _) = next(iter(keys[i].values())), next(iter(keys[j].values()))
