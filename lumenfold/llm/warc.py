@@ -1,8 +1,12 @@
 """Content-addressed web archive: payload bytes once per verified strong digest, exact record headers apart, records by join.
 
-`write_archive` writes two tables, headers and payloads; `read_records` joins them to the original WARC record bytes;
-`parse_records` reads those bytes as a WARC reader does. A payload's address is its SHA-256; the SHA-1 that the record names is
-checked against the bytes on every read, and a difference stops the read with an error.
+`write_archive` writes headers and payloads as tables of their own; `read_records` joins them to the original WARC record bytes;
+`parse_records` reads those bytes as a WARC reader does. A payload's address is its SHA-256, which is worked out again from the stored
+bytes on every read, as the SHA-1 that the record names is; a difference stops the read with an error.
+
+Payloads from `revisit_from` bytes on have one response each. They and those responses are clustered by address into as many buckets as there are
+shuffle partitions, so a payload's bytes are shuffled once, when they are stored, and never when they are read. Smaller payloads
+may have many responses; they meet those in an ordinary join, whose skewed keys are split at run time.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import scratch_dir, table
+from lumenfold.llm.common import scratch_dir, table, written
 
 #: Line ends of the WARC format.
 CRLF = "\r\n"
@@ -25,22 +29,41 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), clean, F.lit(CRLF)), F.lit(""))
 
 
+def _clustered(df: DataFrame, path: str, buckets: int) -> None:
+    """Writes df below path in buckets of its address. The table's entry in the catalog is dropped again; the files stay."""
+    name = f"archive_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, "address").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")
+
+
+def _read_clustered(spark: SparkSession, path: str, schema: str, buckets: int) -> DataFrame:
+    name = f"archive_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY (address) INTO {buckets} BUCKETS LOCATION '{path}'")
+    df = spark.table(name)
+    df.schema  # resolved: the plan holds the files from here on
+    spark.sql(f"DROP TABLE {name}")
+    return df
+
+
 def write_archive(pages: DataFrame, path: str, revisit_from: int = 1000, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Writes a record per row of pages(page_id, url, html) below path, as kind=header and kind=payload.
+    """Writes a record per row of pages(page_id, url, html) below path.
 
     The payload is the html in UTF-8 (null: empty). Of rows with equal payloads of at least revisit_from bytes, that with the
     largest page_id (nulls smallest, then the last row) is the response, the others are revisits of it; smaller payloads are
-    all responses. Either way a payload's bytes are stored once. A null url writes no target line. Other columns don't matter.
+    all responses. Either way a payload's bytes are stored once. A null url writes no target line. Other columns don't matter; an empty table
+    gives an archive without records. Responses are chosen on slim rows, whose numbers are fixed by writing them first.
     """
+    spark = pages.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", payload.alias("payload")).select(
-        "*", F.monotonically_increasing_id().alias("no"), F.sha2("payload", 256).alias("address"), F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("n")
-    )
+    full = pages.select("page_id", "url", payload.alias("payload"))
+    slim = full.select("page_id", "url", F.sha2("payload", 256).alias("address"), F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("n"))
+    rows = written(slim.withColumn("no", F.monotonically_increasing_id()), "rows")
     first = rows.groupBy("address").agg(F.max(F.struct("page_id", "no")).alias("first"))
-    joined = rows.join(first, "address")
+    large = F.col("n") >= revisit_from
     chosen = F.col("no") == F.col("first.no")
     name = lambda page, no: F.concat(F.lit("<urn:x-page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), no.cast("string"), F.lit(">"))
-    revisit = ~chosen & (F.col("n") >= revisit_from)
+    revisit = large & ~chosen
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
@@ -55,24 +78,34 @@ def write_archive(pages: DataFrame, path: str, revisit_from: int = 1000, date: s
         _line("Content-Length", F.when(revisit, "0").otherwise(F.col("n").cast("string"))),
         F.lit(CRLF),
     )
-    kept = F.struct(F.lit("header").alias("kind"), "no", F.when(revisit, F.lit(None)).otherwise(F.col("address")).alias("address"), F.encode(header, "UTF-8").alias("bytes"))
-    stored = F.struct(F.lit("payload").alias("kind"), F.lit(None).cast("long").alias("no"), "address", F.col("payload").alias("bytes"))
-    parts = F.when(chosen, F.array(kept, stored)).otherwise(F.array(kept))
-    joined.select(F.inline(parts)).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    kind = F.when(revisit, "revisit").when(large, "large").otherwise("small")
+    headers = written(rows.join(first, "address").select("no", "address", kind.alias("kind"), F.encode(header, "UTF-8").alias("header")), "headers")
+    headers.where("kind <> 'large'").write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/headers")
+    _clustered(headers.where("kind = 'large'").select("no", "address", "header"), f"{path}/headers-large", buckets)
+    # a payload of each address; each task keeps one of a page's copies before they are shuffled
+    size = F.octet_length("payload")
+    stored = full.where(size >= revisit_from).select(F.sha2("payload", 256).alias("address"), "payload").groupBy("address").agg(F.first("payload").alias("payload"))
+    _clustered(stored, f"{path}/payloads-large", buckets)
+    small = full.where(size < revisit_from).select(F.sha2("payload", 256).alias("address"), "payload").distinct()
+    small.write.option("compression", "zstd").parquet(f"{path}/payloads-small")
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/layout")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(no, record): the original bytes of every record: its header, its payload (none for a revisit), two line ends.
 
-    A header whose payload is missing stops the read with an error.
+    A header whose payload is missing, or has another SHA-256 than its address, stops the read with an error.
     """
-    both = spark.read.schema("no long, address string, bytes binary, kind string").parquet(path)
-    headers = both.where("kind = 'header'").select("no", "address", F.col("bytes").alias("header"))
-    payloads = both.where("kind = 'payload'").select("address", F.col("bytes").alias("payload"))
+    buckets = spark.read.schema("buckets int").parquet(f"{path}/layout").first()["buckets"]
+    headers = spark.read.schema("no long, address string, header binary, kind string").parquet(f"{path}/headers")
     end = F.encode(F.lit(CRLF * 2), "UTF-8")
-    lost = F.raise_error(F.concat(F.lit("no payload of record "), F.col("no").cast("string"))).cast("binary")
-    full = headers.where("address is not null").join(payloads, "address", "left").select("no", F.concat("header", F.coalesce("payload", lost), end).alias("record"))
-    return full.unionByName(headers.where("address is null").select("no", F.concat("header", end).alias("record")))
+    lost = F.raise_error(F.concat(F.lit("no sound payload of record "), F.col("no").cast("string"))).cast("binary")
+    record = F.concat("header", F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload")).otherwise(lost), end).alias("record")
+    large = _read_clustered(spark, f"{path}/headers-large", "no bigint, address string, header binary", buckets)
+    whole = large.join(_read_clustered(spark, f"{path}/payloads-large", "address string, payload binary", buckets), "address", "left").select("no", record)
+    small = spark.read.schema("address string, payload binary").parquet(f"{path}/payloads-small")
+    short = headers.where("kind = 'small'").join(small, "address", "left").select("no", record)
+    return whole.unionByName(short).unionByName(headers.where("kind = 'revisit'").select("no", F.concat("header", end).alias("record")))
 
 
 def parse_records(records: DataFrame) -> DataFrame:
@@ -103,9 +136,10 @@ def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 SELECT page_id, n AS payload_bytes, digest AS payload_digest,
-       CASE WHEN n < 1000 OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN n < 1000 OR page_id = last THEN NULL ELSE last END AS refers_to
+       CASE WHEN n < 1000 OR place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n < 1000 OR place = 1 THEN NULL ELSE last END AS refers_to
 FROM (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest,
-             max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+             max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last,
+             row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) AS place
       FROM pages)
 """

@@ -146,8 +146,12 @@ def test_archive_round_trip(spark, tmp_path):
     assert types[1] == types[2] == ("revisit", 3) and types[3] == types[4] == types[5] == ("response", None)
     assert {r.page_id: r.payload_bytes for r in got}[1] == 1200
     assert {bytes(r.payload).decode() for r in got if r.payload is not None} == {big, "small", "", "y" * 200_000}
-    stored = spark.read.parquet(str(tmp_path / "a")).where("kind = 'payload'")
+    stored = spark.read.parquet(*(str(tmp_path / "a" / f"payloads-{k}") for k in ("large", "small")))
     assert stored.count() == stored.select("address").distinct().count() == 4
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = warc.read_records(spark, str(tmp_path / "a"))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Bucketed: true") == 2 and plan.count("Exchange") == 2  # only small payloads are shuffled
     first = next(bytes(r.record) for r in records.collect() if b"page:8:" in r.record)
     head, _, rest = first.partition(b"\r\n\r\n")
     assert head.startswith(b"WARC/1.1\r\n") and rest == b"y" * 200_000 + b"\r\n\r\n"
@@ -155,6 +159,33 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.parse_records(warc.read_records(spark, str(tmp_path / "b"))).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["large", "small"])
+def test_damaged_payload_stops_the_read(spark, tmp_path, kind):
+    pages = spark.createDataFrame([(1, "u", "x" * 5000), (2, "u", "x" * 5000), (3, "u", "small")], "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "a"))
+    place = str(tmp_path / "a" / f"payloads-{kind}")
+    other = spark.read.parquet(place).selectExpr("address", "encode(translate(decode(payload, 'UTF-8'), 'xs', 'yt'), 'UTF-8') AS payload").collect()
+    damaged = spark.createDataFrame(other, "address string, payload binary")
+    if kind == "large":
+        warc._clustered(damaged.coalesce(1), str(tmp_path / "new"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    else:
+        damaged.write.parquet(str(tmp_path / "new"))
+    (tmp_path / "a" / f"payloads-{kind}").rename(tmp_path / "old")
+    (tmp_path / "new").rename(place)
+    with pytest.raises(Exception, match="no sound payload"):
+        warc.read_records(spark, str(tmp_path / "a")).collect()
+
+
+def test_archive_of_repeated_page_ids_equals_its_sql(spark, tmp_path):
+    html = ["z" * 1500, "z" * 1500, "z" * 1500, "y" * 1200, "y" * 1200, None, ""]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in zip([5, 5, 4, None, None, 5, 5], html)], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = warc.op4_warc_archive(spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.sql(warc.OP4_SQL).fetchall()))
+
+
 def shingled(text):
     w = plain_words(text)
     return collections.Counter(zip(*[w[i:] for i in range(5)])) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
