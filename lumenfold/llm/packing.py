@@ -15,6 +15,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,8 @@ CAPACITY = 2048
 END_ID = 0
 #: The added tokens of byte_bpe_50k.json.
 ADDED = {"<|endoftext|>": 50256}
+#: Runs of white space, or of anything else, from this length on go to `tokenizers`: the other implementation recurses along them.
+LONG_RUN = 10_000
 #: (groups, bound of large as a part of the capacity) that are tried in this order.
 CHOICES = ((4, 0.4), (6, 0.3), (3, 0.45), (5, 0.4), (8, 0.4), (12, 0.45), (24, 0.4), (48, 0.4))
 
@@ -43,18 +46,36 @@ def encoding(ranks_path: str | None = None) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def tokenised(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY, added: dict[str, int] | None = None) -> DataFrame:
+@cache
+def exact_tokenizer(json_path: str | None = None):
+    """The tokenizer of byte_bpe_50k.json itself, with which added tokens are ordinary text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json"))
+    found.encode_special_tokens = True
+    return found
+
+
+def tokenised(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY, added: dict[str, int] | None = None, json_path: str | None = None) -> DataFrame:
     """docs(doc_id, text) as pieces (doc_id, piece int, start long, length long, ids_crc32 long).
 
     A document is its text's ids and the end id; a null or empty text is the end id alone. One of more than `capacity` ids is cut
     into pieces of `capacity`, of which the first takes what is over. Where a text holds one of the tokens `added`, it has that one id, as
-    `tokenizers` has it by default with ADDED; without them such a token is text like any other (encode_special_tokens).
+    `tokenizers` has it by default with ADDED; without them such a token is text like any other (encode_special_tokens). Texts with a run of
+    LONG_RUN signs without or of nothing but white space are encoded by `tokenizers`, to the same ids, since the faster implementation fails on them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = encoding(ranks_path).encode_ordinary
+        fast = encoding(ranks_path).encode_ordinary
+        runs = re.compile(rf"\s{{{LONG_RUN},}}|\S{{{LONG_RUN},}}")
         cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
+        def plain(text: str) -> list[int]:
+            if len(text) >= LONG_RUN and runs.search(text):
+                return exact_tokenizer(json_path).encode(text, add_special_tokens=False).ids
+            return fast(text)
+
         def encode(text: str) -> list[int]:
             if cut is None or not cut.search(text):
                 return plain(text)
