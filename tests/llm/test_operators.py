@@ -315,9 +315,8 @@ def test_packing_is_whole_and_tight(spark, odd):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     rows = [r for r in odd if r[0] is not None] + [(50, "<|endoftext|> a  b\n\n c", "s"), (51, "é̂ 中文 123 ' don't", "s")]
-    got = packing.pack(packing.tokenised(docs(spark, rows), capacity=256), capacity=256).collect()
+    got = packing.pack(packing.tokenised(docs(spark, rows), capacity=256, added=packing.ADDED), capacity=256).collect()
     ids = {i: exact.encode(t or "", add_special_tokens=False).ids + [0] for i, t, _ in rows}
     by = collections.defaultdict(list)
     for r in got:
@@ -344,6 +343,7 @@ def test_packed_ids_are_those_of_tokenizers_by_default(spark, tmp_path):
     exact, end = Tokenizer.from_file(path("byte_bpe_50k.json")), "<|endoftext|>"
     texts = [end, f"a {end} b", f"  {end}x{end}{end}\n", "<|endoftext| > é", f"{end} a  b\n\n c", f"a <{end}> {end.upper()}", "", None]
     texts.append(f"word {end} " * 1500)
+    texts += [" " * 2_000_000, "a" * 2_000_000, "a" + "\n" * 30_000 + " b", f"x{end}" + "=-" * 20_000]  # runs that the fast way can't take
     rows = [(i, t, "s") for i, t in enumerate(texts)]
     docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     ids = {i: exact.encode(t or "", add_special_tokens=False).ids + [packing.END_ID] for i, t, _ in rows}
@@ -369,20 +369,38 @@ def test_plans_place_every_piece_once(seed):
     assert n <= 1.01 * sum(k * v for k, v in histogram.items()) / 2048 + 1
 
 
-def test_top_k_equals_brute_force(spark):
+def test_top_k_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(search, "WAVE", 5)  # several waves
     rng = np.random.default_rng(3)
-    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(i, [1.0] * 8) for i in range(300, 420)] + [(500, None), (501, [1.0, None]), (550, [float("nan")] * 8), (551, [float("inf")] * 8), (600, [1e30] * 8), (601, [])]
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(i, [1.0] * 8) for i in range(300, 420)] + [(500, None), (501, [1.0, None]), (550, [float("nan")] * 8), (551, [float("inf")] * 8), (600, [1e30] * 8), (601, []), (650, [3e5, 1.0]), (651, [-1e300, 2.0]), (652, [1e200, 5e17])]
+    rows += [(300, [1.0] * 8), (301, [1.0] * 8), (301, [1.0] * 8), (50, [2.0] * 8)]  # repeated ids and rows
     v = search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in search.top_k(v, v.where("vec_id % 50 = 0")).collect()}
-    ints = {r.vec_id: list(r.v) for r in v.collect()}
-    assert 600 in ints and not {500, 501, 550, 551, 601} & set(ints)
+    ints = [(r.vec_id, [int(x) for x in r.v]) for r in v.collect()]
+    assert dict(ints)[651][0] == -256 * int(1e300) and 600 in dict(ints) and not {500, 501, 550, 551, 601} & set(dict(ints))
     big = 1 << 63
-    for q in (i for i in ints if i % 50 == 0):
-        best = sorted((-max(-big, min(big - 1, sum(a * b for a, b in zip(ints[q], x)))), i) for i, x in ints.items() if i != q)[:5]
-        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+    for q in {i for i, _ in ints if i % 50 == 0}:
+        pairs = [(-max(-big, min(big - 1, sum(a * b for a, b in zip(w, x)))), i) for own, w in ints if own == q for i, x in ints if i != q and len(x) == len(w)]
+        best = sorted(pairs)[:5]
+        assert [got.pop((q, k + 1)) for k in range(len(best))] == [(i, -s) for s, i in best]
+    assert not got
     assert search.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_approximations_bound_scores_and_save_exact_reads(spark):
+    rng = np.random.default_rng(4)
+    x = np.floor(256 * rng.normal(size=(2000, 16)))
+    vectors = spark.createDataFrame([(i, i, row.tolist()) for i, row in enumerate(x)], "no long, vec_id long, v array<double>")
+    low, high = search.marks(vectors, 16, 32)
+    file = search.approximated(vectors, low).orderBy("no").collect()
+    codes = np.frombuffer(b"".join(r.code for r in file), "uint8").reshape(2000, 16)
+    lower, upper = search.bounds(x[:40], low, high, codes)
+    exact = x[:40] @ x.T
+    assert (lower <= exact).all() and (exact <= upper).all()
+    found = search.candidates(vectors, vectors.where("vec_id % 50 = 0").withColumnRenamed("no", "q"), 16, 5)
+    assert 40 * 5 <= found.count() < 40 * 40  # of 40 * 1999
+
+
 def test_mix_meets_targets(spark, odd):
     rng = random.Random(6)
     rows = [(i, " ".join("w" for _ in range(int(rng.expovariate(1 / 50)))), rng.choice(["a", "b", "c", None])) for i in range(600)]
