@@ -11,8 +11,6 @@ from lumenfold.llm.common import WORD
 SPACE = r"[\x20\x09-\x0D]+"
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Low bits of a sort key that hold a window's place; a text has fewer words than 2**PLACE_BITS.
-PLACE_BITS = 24
 #: The ratios that models see, none of which grows with a text's length.
 RATIOS = ["mean_word", "symbol_rate", "dup_line_rate", "repeat_rate", "distinct_rate", "letter_rate", "upper_rate", "digit_rate", "stop_rate", "line_words"]
 
@@ -20,7 +18,6 @@ RATIOS = ["mean_word", "symbol_rate", "dup_line_rate", "repeat_rate", "distinct_
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long) and the RATIOS (double), for any text, also null
     (as an empty one: counts 0, ratios 0). Columns of docs with such names are replaced."""
-    mask = (1 << PLACE_BITS) - 1  # a sort key is the upper bits of a window's digest and the window's place
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *RATIOS]
     keep = [c for c in docs.columns if c not in names]
     t = F.coalesce(F.col(text), F.lit(""))
@@ -46,13 +43,12 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter("_w", lambda x: F.length(x) <= 3)).alias("_short"),
         F.when(F.size("_h") >= 3, F.slice(F.transform("_h", lambda x, i: F.xxhash64(x, F.get("_h", i + 1), F.get("_h", i + 2))), F.lit(1), F.greatest(F.size("_h") - 2, F.lit(0)))).otherwise(F.array().cast("array<bigint>")).alias("_win"),
     )
-    digest = lambda key: F.get("_win", key.bitwiseAND(F.lit(mask)).cast("int"))
-    keys = F.when(F.size(F.array_distinct("_win")) < F.size("_win"), F.sort_array(F.transform("_win", lambda x, i: x.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")))))
+    keys = F.when(F.size(F.array_distinct("_win")) < F.size("_win"), F.sort_array(F.transform("_win", lambda x, i: F.struct(x.alias("d"), i.alias("p")))))
     fourth = third.select("*", keys.alias("_keys"))
-    # neighbours with equal full digests repeat; their places, in order, cover 3 words each, or up to the next place
-    same = lambda k, other: digest(k) == digest(other)
-    twice = F.filter("_keys", lambda k, j: F.coalesce(same(k, F.get("_keys", j + 1)), F.lit(False)) | F.coalesce(same(k, F.get("_keys", j - 1)), F.lit(False)))
-    fifth = fourth.select("*", F.sort_array(F.transform(twice, lambda k: k.bitwiseAND(F.lit(mask)))).alias("_at"))
+    # neighbours with equal digests repeat; their places, in order, cover 3 words each, or up to the next place
+    same = lambda k, other: F.coalesce(k["d"] == other["d"], F.lit(False))
+    twice = F.filter("_keys", lambda k, j: same(k, F.get("_keys", j + 1)) | same(k, F.get("_keys", j - 1)))
+    fifth = fourth.select("*", F.sort_array(F.transform(twice, lambda k: k["p"].cast("long"))).alias("_at"))
     covered = F.aggregate(F.transform("_at", lambda p, j: F.least(F.lit(3).cast("long"), F.coalesce(F.get("_at", j + 1) - p, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
     sixth = fifth.select(*keep, *[F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "_rest", "_digits", "_upper", "_lines", "_distinct", "_short")
     rate = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
