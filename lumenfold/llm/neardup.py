@@ -28,9 +28,11 @@ BATCH_BYTES = 4 << 20
 COUNTER_BITS = 20
 #: Rows of slim tables (links, pairs, roots) that one task takes.
 ROWS_A_TASK = 200_000
-#: Pairs of a bucket's members under different roots, for each member on average: from where on leaders come first and dense buckets are
-#: dealt anew, and how many are compared at once in the end (a pair shares many of its keys, so it counts many times).
-PAIRS, PAIRS_DEALT = 16, 256
+#: Pairs of a bucket's members under different roots, for each member on average: from where on leaders come first, from where on dense buckets
+#: are dealt anew, and how many are compared at once in the end (a pair shares many of its keys, so it counts many times).
+PAIRS_LED, PAIRS, PAIRS_DEALT = 4, 16, 256
+#: Keys of a node before a row's own that the row carries, at most: a pair is compared at its first common key, not at each.
+BEFORE = 32
 #: A further round of leaders comes only where the last one left at most this share of the pairs.
 LEADERS_GAIN = 0.5
 
@@ -179,7 +181,8 @@ def _occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rare_keys(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs(node, root, text) as (key, node, root, n, i): of each text's n shingle occurrences the rarest n - ceil(similarity * n) + 1, as keys; i counts rarer ones.
+    """docs(node, root, text) as (key, node, root, n, i, prior): of each text's n shingle occurrences the rarest n - ceil(similarity * n) + 1, as keys; i counts rarer
+    ones, of which prior holds the last BEFORE.
 
     Exact: in one order of all occurrences, two texts of at least that similarity share one of these. The order is by frequency, which keeps
     passages that many texts share out of the keys. Frequencies come from a sketch of 2 ** COUNTER_BITS counters, whatever the input;
@@ -211,10 +214,14 @@ def rare_keys(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 n = np.bincount(text, minlength=b - a)
                 rank = np.arange(len(text)) - (np.cumsum(n) - n)[text]
                 first = rank <= (n - np.ceil(similarity * n - 1e-9).astype("int64"))[text]
-                text, item, rank = text[first], item[first], rank[first]
-                yield pa.RecordBatch.from_arrays([pa.array(item.view("int64")), pa.array(node[a:b][text]), pa.array(root[a:b][text]), pa.array(n[text]), pa.array(rank)], ["key", "node", "root", "n", "i"])
+                text, item, rank = text[first], item[first].view("int64"), rank[first]
+                held = np.minimum(rank, BEFORE)
+                offsets = np.r_[0, np.cumsum(held)]
+                prior = item[np.arange(offsets[-1]) - np.repeat(offsets[:-1] - np.arange(len(item)) + held, held)]
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(prior))
+                yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(node[a:b][text]), pa.array(root[a:b][text]), pa.array(n[text]), pa.array(rank), lists], ["key", "node", "root", "n", "i", "prior"])
 
-    return docs.select("node", "root", "text").mapInArrow(choose, "key long, node long, root long, n long, i long")
+    return docs.select("node", "root", "text").mapInArrow(choose, "key long, node long, root long, n long, i long, prior array<long>")
 
 
 def overlaps(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -317,7 +324,7 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
         per = at.groupBy("key", "root").agg(F.count_if(able).cast("double").alias("x"), F.count("*").cast("double").alias("c")).groupBy("key")
         x, c, xc, xx = F.sum("x"), F.sum("c"), F.sum(F.col("x") * F.col("c")), F.sum(F.col("x") * F.col("x"))
         left = per.agg((x * c - xc - (x * x - xx) / 2).alias("p"), c.alias("c")).where("p > 0")  # pairs under different roots, one of them able
-        return written(at.select("key", "node", "n", "i", "root").join(left.select("key", (F.col("p") / F.col("c")).alias("p")), "key"), "open")
+        return written(at.drop("p").join(left.select("key", (F.col("p") / F.col("c")).alias("p")), "key"), "open")
 
     def join_up(found: DataFrame, members: int) -> DataFrame | None:
         """Compares the pairs found(node, root, node0, root0) that weren't before; gives the map of roots that links between them join."""
@@ -345,7 +352,7 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
         if not members:
             break
         dense = left > PAIRS * members
-        if dense and left <= LEADERS_GAIN * before:  # one more leader a bucket: the least by a hash that changes from round to round
+        if left > PAIRS_LED * members and left <= LEADERS_GAIN * before:  # one more leader a bucket: the least by a hash that changes from round to round
             turn, before = turn + 1, left
             best = now.where(able).groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root", "i")).alias("l"))
             other = best.select("key", F.col("l.node").alias("node0"), F.col("l.n").alias("n0"), F.col("l.i").alias("i0"), F.col("l.root").alias("root0"))
@@ -358,11 +365,17 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
             continue
         # all that are left, in slices by the smaller row, so that each has about as many pairs as may be compared at once
         slices = math.ceil(left / (PAIRS_DEALT * members))
+        if not dealt:  # of a band's key, the keys of earlier bands
+            keys = nodes.select("node", "keys")
+            now = now.join(keys, "node").withColumn("prior", F.slice("keys", 1, F.array_position("keys", F.col("key")).cast("int") - 1)).drop("keys")
+            now = written(now, "open") if slices > 1 else now
         for k in range(slices):
             # members of one root with members of another, by equi-joins: pairs within a root never come up
-            small = now.where(able & (F.pmod(F.xxhash64("node"), F.lit(slices)) == k)).select("key", F.col("root").alias("root0"), F.col("node").alias("node0"), F.col("n").alias("n0"), F.col("i").alias("i0"))
+            small = now.where(able & (F.pmod(F.xxhash64("node"), F.lit(slices)) == k)).select("key", *[F.col(c).alias(f"{c}0") for c in ("root", "node", "n", "i", "prior")])
             two = small.select("key", "root0").distinct().join(now.select("key", "root").distinct(), "key").where("root <> root0")
-            m = join_up(small.join(two, ["key", "root0"]).join(now, ["key", "root"]).where(size & (F.struct("n0", "node0") < F.struct(F.col("n"), F.col("node")))), members)
+            # where two share an earlier key they meet there: its bucket is open, too, and the bounds are wider
+            meet = size & (F.struct("n0", "node0") < F.struct(F.col("n"), F.col("node"))) & ~F.arrays_overlap("prior", "prior0")
+            m = join_up(small.join(two, ["key", "root0"]).join(now, ["key", "root"]).where(meet), members)
             if m is not None and k + 1 < slices:
                 now = still_open(_moved(now, m))
         break
