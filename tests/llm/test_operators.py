@@ -432,7 +432,28 @@ def test_mix_meets_targets(spark, odd):
 
 
 def test_licences_of_odd_texts(spark, odd):
-    rows = [*odd, (20, "x\nReleased under the MIT license!\ny", "s"), (21, "licensed under CC BY 4.0", "s"), (22, "released to nobody under the law", "s")]
-    got = {r.doc_id: r.licence for r in licences.scan(docs(spark, rows)).collect()}
-    assert got == {20: "mit-notice", 21: "cc-by-4.0-notice"}
+    mit = licences.TEMPLATES["mit"].split()
+    wrapped = "Copyright 2020 A\n\n" + "\n".join(" * " + " ".join(mit[i : i + 9]) for i in range(0, len(mit), 9)) + "\n\nint main() {}"
+    rows = [*odd, (20, "x\nReleased under the MIT license!\ny", "s"), (21, "licensed under CC BY 4.0", "s"), (22, "released to nobody under the law", "s"), (23, wrapped, "s")]
+    rows += [(24, "As said, this text is\nlicensed under\nCC BY-NC 4.0, like others.", "s"), (25, licences.TEMPLATES["gpl-3.0-header"].replace("useful", "of use"), "s"), (26, licences.TEMPLATES["bsd-3-clause"][:300], "s")]
+    rows += [(20, "Released under the MIT license", "s")]
+    got = collections.defaultdict(dict)
+    for r in licences.scan(docs(spark, rows)).collect():
+        got[r.doc_id][r.licence] = (r.dice, r.first_word, r.n_windows)
+    assert {i: set(v) for i, v in got.items()} == {20: {"mit-notice"}, 21: {"cc-by-4.0-notice"}, 23: {"mit", "mit-permission"}, 24: {"cc-by-nc-4.0-notice"}, 25: {"gpl-3.0-header"}, 26: {"bsd-conditions"}}
+    assert got[20]["mit-notice"] == (1.0, 0, 3) and got[24]["cc-by-nc-4.0-notice"][:2] == (1.0, 5) and got[23]["mit"][0] == 1.0
     assert licences.scan(docs(spark, [])).count() == 0
+
+
+def test_licence_windows_equal_all_windows():
+    rng, known = random.Random(11), licences.Templates({"a": "p q r p q s", "b": "q r"}, 0.7)
+    for _ in range(200):
+        w = [rng.choice("pqrsx") for _ in range(rng.randint(0, 14))]
+        want = {}
+        for name, t in (("a", "p q r p q s".split()), ("b", ["q", "r"])):
+            own, m = collections.Counter(zip(t, t[1:])), len(t) - 1
+            pairs = list(zip(w, w[1:]))
+            every = [(2 * sum((collections.Counter(pairs[i : i + m]) & own).values()) / (len(pairs[i : i + m]) + m), -i) for i in range(len(pairs)) if pairs[i] in own]
+            if every and max(every)[0] >= 0.7:
+                want[name] = (max(every)[0], -max(every)[1], sum(d >= 0.7 for d, _ in every))
+        assert {n: rest for n, *rest in known.scan(" ".join(w))} == {k: list(v) for k, v in want.items()}
