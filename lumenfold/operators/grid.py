@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,24 +34,53 @@ def degree(mask: DataFrame, offsets: list[tuple[int, int]] = OFFSETS8) -> DataFr
     return mask.select("image", "y", "x").join(near, ["image", "y", "x"], "left").fillna(0, ["degree"])
 
 
-def components(mask: DataFrame, offsets: list[tuple[int, int]] = OFFSETS8, width: int = 1 << 20) -> DataFrame:
+def _tile_labels(offsets: list[tuple[int, int]], width: int):
+    """Labels the pixels of one tile: every pixel takes the least number among its neighbours, then its number's own, until nothing changes."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        y, x = f["y"].to_numpy(), f["x"].to_numpy()
+        order = np.lexsort((x, y))
+        f, y, x = f.iloc[order], y[order], x[order]
+        at = np.full((int(y.max() - y.min()) + 3, int(x.max() - x.min()) + 3), -1)
+        at[y - y.min() + 1, x - x.min() + 1] = np.arange(len(y))
+        pairs = [(i, at[y - y.min() + 1 + dy, x - x.min() + 1 + dx]) for i in [np.arange(len(y))] for dy, dx in offsets if (dy, dx) > (0, 0)]
+        a, b = (np.concatenate(c) for c in zip(*[(i[j >= 0], j[j >= 0]) for i, j in pairs], strict=True))
+        label, before = np.arange(len(y)), None
+        while before is None or (label != before).any():
+            before = label.copy()
+            least = np.minimum(label[a], label[b])
+            np.minimum.at(label, a, least)
+            np.minimum.at(label, b, least)
+            label = label[label]
+        return f[["image", "y", "x"]].assign(label=y[label] * width + x[label])
+
+    return run
+
+
+def components(mask: DataFrame, offsets: list[tuple[int, int]] = OFFSETS8, width: int = 1 << 20, tile: int = 256) -> DataFrame:
     """(image, y, x, label): label is the least y * width + x of the pixel's component.
 
-    Rounds of least label among neighbours, then the label's own label, until nothing changes; each is checkpointed.
+    Pixels are labelled tile by tile. Labels that meet where tiles do are edges of a graph, and only that graph, which has no more nodes than
+    tiles have components at their borders, takes rounds of least labels, each of them checkpointed.
     """
-    own = F.col("y") * width + F.col("x")
-    px = mask.select("image", own.cast("long").alias("id")).distinct().checkpoint()
-    pairs = _around(mask.select("image", "y", "x").distinct(), offsets).select("image", (F.col("y0") * width + F.col("x0")).cast("long").alias("id"), (F.col("y") * width + F.col("x")).cast("long").alias("to"))
-    edges = pairs.join(px.select("image", F.col("id").alias("to")), ["image", "to"]).checkpoint()
-    state = px.withColumn("label", F.col("id"))
-    while True:
+    px = mask.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct()
+    tiled = px.groupBy("image", F.floor(F.col("y") / tile), F.floor(F.col("x") / tile))
+    local = tiled.applyInPandas(_tile_labels(offsets, width), px.withColumn("label", F.lit(0).cast("long")).schema).checkpoint()
+    rim = local.where((F.pmod("y", F.lit(tile)) % (tile - 1) == 0) | (F.pmod("x", F.lit(tile)) % (tile - 1) == 0))
+    beside = _around(rim, offsets).where((F.floor(F.col("y") / tile) != F.floor(F.col("y0") / tile)) | (F.floor(F.col("x") / tile) != F.floor(F.col("x0") / tile)))
+    ends = beside.join(rim.select("image", "y", "x", F.col("label").alias("to")), ["image", "y", "x"])
+    ends = ends.join(rim.select("image", F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("label").alias("id")), ["image", "y0", "x0"])
+    edges = ends.select("image", "id", "to").distinct().checkpoint()
+    state = edges.select("image", "id").distinct().withColumn("label", F.col("id"))
+    moving = not edges.isEmpty()
+    while moving:
         near = edges.join(state.select("image", F.col("id").alias("to"), "label"), ["image", "to"]).groupBy("image", "id").agg(F.min("label").alias("near"))
-        new = state.join(near, ["image", "id"], "left").select("image", "id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        new = state.join(near, ["image", "id"]).select("image", "id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = new.select("image", F.col("id").alias("label"), F.col("label").alias("above"))
         new = new.join(up, ["image", "label"]).select("image", "id", "old", F.col("above").alias("label")).checkpoint()
-        state = new.select("image", "id", "label")
-        if new.where("old <> label").isEmpty():
-            return state.select("image", F.floor(F.col("id") / width).alias("y"), (F.col("id") % width).alias("x"), "label")
+        state, moving = new.select("image", "id", "label"), not new.where("old <> label").isEmpty()
+    roots = state.select("image", F.col("id").alias("label"), F.col("label").alias("root"))
+    return local.join(roots, ["image", "label"], "left").select("image", "y", "x", F.coalesce("root", "label").alias("label"))
 
 
 def component_features(labelled: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,44 @@ def earlier_overlap(rois: DataFrame) -> DataFrame:
     side = lambda p, n: F.greatest(F.lit(0), F.least(F.col(p) + F.col(n), F.col(f"{p}2") + F.col(f"{n}2")) - F.greatest(F.col(p), F.col(f"{p}2")))
     hit = rois.join(b, "sample").where("id2 < id").groupBy("sample", "id").agg(F.sum(side("x", "w") * side("y", "h")).alias("overlap"))
     return rois.select("sample", "id").join(hit, ["sample", "id"], "left").fillna(0, ["overlap"])
+
+
+def _boxes(points: DataFrame, reach: int) -> DataFrame:
+    """points(image, id, y, x) with each pixel (py, px) of the square around their whole-numbered place."""
+    axis = F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long"))
+    at = points.select("image", "id", F.col("y").alias("cy"), F.col("x").alias("cx"), F.explode(axis).alias("dy"))
+    at = at.select("*", F.explode(axis).alias("dx"))
+    return at.select("image", "id", "cy", "cx", "dy", "dx", (F.floor("cy") + F.col("dy")).alias("y"), (F.floor("cx") + F.col("dx")).alias("x"))
+
+
+def _d2() -> Column:
+    return (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")) + (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx"))
+
+
+def around_points(points: DataFrame, px: DataFrame, radius: int, inner: int, sectors: int) -> DataFrame:
+    """(image, id, n, total, dirs): pixels and their sum in a disk around each point, and the different sectors that those at least `inner` away lie in."""
+    near = _boxes(points, radius + 1).join(px.select("image", "y", "x", "v"), ["image", "y", "x"]).withColumn("d2", _d2()).where(F.col("d2") <= radius * radius)
+    sector = F.floor((F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx")) + F.pi()) / (2 * F.pi()) * sectors) % sectors
+    got = near.groupBy("image", "id").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.countDistinct(F.when(F.col("d2") >= inner * inner, sector)).alias("dirs"))
+    return points.select("image", "id").join(got, ["image", "id"], "left").fillna(0, ["n", "total", "dirs"])
+
+
+def prominence(points: DataFrame, px: DataFrame, reach: int) -> DataFrame:
+    """(image, id, prominence): the value nearest to each point against the median and its absolute deviation in a square around it."""
+    near = _boxes(points, reach + 1).join(px.select("image", "y", "x", "v"), ["image", "y", "x"]).where((F.abs(F.col("y") - F.col("cy")) <= reach) & (F.abs(F.col("x") - F.col("cx")) <= reach))
+    by = near.groupBy("image", "id").agg(F.median("v").alias("med"), F.min(F.struct(_d2().alias("d2"), "y", "x", "v")).alias("m"))
+    out = near.join(by, ["image", "id"]).groupBy("image", "id").agg(F.median(F.abs(F.col("v") - F.col("med"))).alias("mad"), F.first("med").alias("med"), F.first("m.v").alias("here"))
+    return out.select("image", "id", F.round((F.col("here") - F.col("med")) / (F.col("mad") + 1e-3), 6).alias("prominence"))
+
+
+def nearest_pixel(points: DataFrame, px: DataFrame, reach: int) -> DataFrame:
+    """(image, id, y, x): the first pixel that a square growing around each point meets, the nearest of those; none beyond reach."""
+    near = _boxes(points, reach).join(px.select("image", "y", "x"), ["image", "y", "x"])
+    ring = F.greatest(F.abs("dy"), F.abs("dx")).alias("ring")
+    return near.groupBy("image", "id").agg(F.min(F.struct(ring, _d2().alias("d2"), "y", "x")).alias("m")).select("image", "id", F.col("m.y").alias("y"), F.col("m.x").alias("x"))
+
+
+def outside_boxes(points: DataFrame, px: DataFrame, reach: int) -> DataFrame:
+    """(image, id) of points without any pixel in the square around them."""
+    hit = _boxes(points, reach).join(px.select("image", "y", "x"), ["image", "y", "x"], "left_semi").select("image", "id")
+    return points.select("image", "id").join(hit, ["image", "id"], "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,3 +66,27 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SEEDS = "seeds AS (SELECT p_partkey AS label, p_partkey * 37 % 1009 AS yc, p_partkey * 53 % 1013 AS xc, (p_size % 10) / 10.0::DOUBLE AS blob, (p_partkey % 7) / 7.0::DOUBLE AS compact, (p_size % 4) / 4.0::DOUBLE AS tube, (p_partkey % 5 - 1)::DOUBLE AS rprom, p_size % 8 AS n_dirs FROM part)"
+
+
+#: Rows and columns of a scene.
+SIDE = 32
+
+
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, y, x, v): sums of quantities on a 32 x 32 grid for each supplier, so the number of images grows with the table."""
+    key = [F.col("l_suppkey").alias("image"), (F.col("l_partkey") % SIDE).alias("y"), (F.col("l_orderkey") % SIDE).alias("x")]
+    return read(spark, sf_dir, "lineitem").groupBy(*key).agg(F.sum("l_quantity").cast("long").alias("v"))
+
+
+SCENES = f"scene AS (SELECT l_suppkey AS image, l_partkey % {SIDE} AS y, l_orderkey % {SIDE} AS x, sum(l_quantity)::BIGINT AS v FROM lineitem GROUP BY 1, 2, 3)"
+
+
+def rois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample, id, x, y, w, h): a rectangle for each order of a customer, numbered by order key; some reach over the edge of the plane."""
+    o = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy(k)).cast("long")
+    return o.select(F.col("o_custkey").alias("sample"), n.alias("id"), (k * 7 % 90 - 10).alias("x"), (k * 11 % 90 - 10).alias("y"), (k % 5 * 6 + 8).alias("w"), (k % 7 * 4 + 8).alias("h"))
+
+
+ROIS = "roi AS (SELECT o_custkey AS sample, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS id, o_orderkey * 7 % 90 - 10 AS x, o_orderkey * 11 % 90 - 10 AS y, o_orderkey % 5 * 6 + 8 AS w, o_orderkey % 7 * 4 + 8 AS h FROM orders)"
