@@ -34,7 +34,7 @@ PAIRS_LED, PAIRS, PAIRS_DEALT = 4, 16, 256
 #: Keys of a node before a row's own that the row carries, at most: a pair is compared at its first common key, not at each.
 BEFORE = 32
 #: A further round of leaders comes only where the last one left at most this share of the pairs.
-LEADERS_GAIN = 0.5
+LEADERS_GAIN = 0.25
 
 _U = np.uint64
 
@@ -321,10 +321,12 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
 
     def still_open(at: DataFrame) -> DataFrame:
         """Of rows(key, node, n, i, root) those of buckets with pairs left; what is closed stays closed, so rounds work on ever fewer rows."""
-        per = at.groupBy("key", "root").agg(F.count_if(able).cast("double").alias("x"), F.count("*").cast("double").alias("c")).groupBy("key")
+        per = at.groupBy("key", "root").agg(F.count_if(able).cast("double").alias("x"), F.count("*").cast("double").alias("c"), F.min(F.when(able, F.col("n"))).alias("least")).groupBy("key")
         x, c, xc, xx = F.sum("x"), F.sum("c"), F.sum(F.col("x") * F.col("c")), F.sum(F.col("x") * F.col("x"))
-        left = per.agg((x * c - xc - (x * x - xx) / 2).alias("p"), c.alias("c")).where("p > 0")  # pairs under different roots, one of them able
-        return written(at.drop("p").join(left.select("key", (F.col("p") / F.col("c")).alias("p")), "key"), "open")
+        # pairs under different roots, one of them able; a row whose bound fails even with the smallest able one has no partner
+        left = per.agg((x * c - xc - (x * x - xx) / 2).alias("p"), c.alias("c"), F.min("least").alias("_least")).where("p > 0")
+        rows = at.drop("p").join(left.select("key", (F.col("p") / F.col("c")).alias("p"), "_least"), "key")
+        return written(rows.where(able | (F.col("n") - F.col("i") >= share * (F.col("n") + F.col("_least")) - 1e-9)).drop("_least"), "open")
 
     def join_up(found: DataFrame, members: int) -> DataFrame | None:
         """Compares the pairs found(node, root, node0, root0) that weren't before; gives the map of roots that links between them join."""
@@ -352,9 +354,10 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
         if not members:
             break
         dense = left > PAIRS * members
-        if left > PAIRS_LED * members and left <= LEADERS_GAIN * before:  # one more leader a bucket: the least by a hash that changes from round to round
+        if left > PAIRS_LED * members and left <= LEADERS_GAIN * before:  # two more leaders a bucket: the least and the greatest by a hash that changes from round to round
             turn, before = turn + 1, left
-            best = now.where(able).groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root", "i")).alias("l"))
+            mixed = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root", "i")
+            best = now.where(able).groupBy("key").agg(F.array(F.min(mixed), F.max(mixed)).alias("l")).select("key", F.explode("l").alias("l"))
             other = best.select("key", F.col("l.node").alias("node0"), F.col("l.n").alias("n0"), F.col("l.i").alias("i0"), F.col("l.root").alias("root0"))
             m = join_up(now.join(other, "key").where(size & (F.col("root") != F.col("root0"))), members)
             at = now if m is None else _moved(now, m)
@@ -394,8 +397,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     Equal texts are one node. Each node is first compared with the least of the nodes that lead its band buckets; then every
     pair of nodes that share a bucket and that links don't join yet is compared, too, so no candidate is left out. While those would be many,
-    rounds of one more leader a bucket come first: copies join one component, so pairs within a large group never all come up. Once such a
-    round no longer halves the pairs (texts around one common passage fill a bucket without being near copies), the nodes of such buckets
+    rounds of two more leaders a bucket come first: copies join one component, so pairs within a large group never all come up. Once such a
+    round leaves over a quarter of the pairs (texts around one common passage fill a bucket without being near copies), the nodes of such buckets
     are dealt anew by their rarest shingles (`rare_keys`, exact) and have such rounds again; the rest is compared in a fixed number of
     slices. Buckets in which the positional bound rejects all pairs are closed without a comparison.
     """
