@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lumenfold.llm import mixing, neardup, packing, quality, toxicity
 from lumenfold.llm.common import table, written
@@ -14,7 +13,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.scored(docs, table(spark, sf_dir, "labels")).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

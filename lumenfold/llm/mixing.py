@@ -82,9 +82,10 @@ def op9_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes it. Rows that share a doc_id are repeated alike; null ids go by their text."""
-    key = F.coalesce(F.col("doc_id"), F.xxhash64("text", F.lit(1)))
-    keyed = docs.withColumn("_key", key)
-    mix_of = mix(keyed.select(F.col("_key").alias("doc_id"), "source", word_count("text").alias("size")))
+    """docs with each row as often as the mix takes it, with all columns whatever their names. Rows that share a doc_id are repeated alike;
+    null ids go by their text."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    keyed = docs.select(row, F.coalesce(F.col("doc_id"), F.xxhash64("text", F.lit(1))).alias("_key"), "source", word_count("text").alias("size"))
+    mix_of = mix(keyed.select(F.col("_key").alias("doc_id"), "source", "size"))
     times = mix_of.groupBy(F.col("doc_id").alias("_key")).agg(F.max("repeats").alias("_times")).where("_times > 0")
-    return keyed.join(times, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*docs.columns)
+    return keyed.select("_key", "_row").join(times, "_key").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select("_row.*")

@@ -55,17 +55,20 @@ def shard(df: DataFrame, order: list[str], n_shards: int, seed: int = 2024) -> D
     """df (its columns, any nulls in them) with shard int and slot long by the law `rows`.
 
     Row numbers follow `order` (nulls first); rows equal in it are interchangeable. An empty table gives no rows. Columns of
-    df named shard, slot or row_no are replaced.
+    df named shard or slot are replaced, any others are kept.
     """
-    df = df.drop("shard", "slot", "row_no")
-    rows = numbered(df, order)
+    df = df.drop("shard", "slot")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    by = [f"_by{i}" for i in range(len(order))]
+    rows = numbered(df.select(row, *[F.col(f"`{c}`").alias(b) for c, b in zip(order, by, strict=True)]), by)
     n = rows.count()
 
     @F.pandas_udf("long")
     def permuted(numbers: pd.Series) -> pd.Series:
         return pd.Series(permute(numbers.to_numpy(), n, seed))
 
-    return rows.withColumn("_p", permuted("row_no")).select(*df.columns, (F.col("_p") % n_shards).cast("int").alias("shard"), F.floor(F.col("_p") / n_shards).cast("long").alias("slot"))
+    placed = rows.select("_row", permuted("row_no").alias("_p"))
+    return placed.select("_row.*", (F.col("_p") % n_shards).cast("int").alias("shard"), F.expr(f"_p div {n_shards}").alias("slot"))
 
 
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,6 +242,12 @@ def scored(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS
     return score_texts(docs, costs, weights, intercept)
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that score under THRESHOLD, with all their columns whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return scored(docs.select("doc_id", "text", row), labels).where(F.col("score") < THRESHOLD).select("_row.*")
+
+
 def op10_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, scored from labels of two thirds of the labelled ones."""
     found = scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))

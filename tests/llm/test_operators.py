@@ -134,6 +134,16 @@ def test_feistel_is_a_permutation_and_computable(spark, odd):
     assert sharding.shard(docs(spark, []).select("doc_id", "size"), ["doc_id"], 3).count() == 0
 
 
+def test_clashing_columns_pass_through(spark):
+    names = ["doc_id", "text", "source", "score", "_key", "_times", "_row", "_p", "_tie", "_part", "_at", "row_no", "digest", "class_id"]
+    rows = [(i, f"some words of text number {i} that differ {i * 7}", "s", *[float(i + k) for k in range(len(names) - 3)]) for i in range(20)]
+    d = spark.createDataFrame([*rows, (3, "another text under the same id, nobody's copy", *rows[3][2:])], "doc_id long, text string, source string, " + ", ".join(f"`{n}` double" for n in names[3:]))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    key = lambda df: sorted(map(str, map(tuple, df.select(*names).collect())))
+    assert key(toxicity.keep_clean(d, labels)) == key(neardup.keep_first(d)) == key(sharding.shard(d, ["doc_id"], 3)) == key(quality.keep_good(d, labels)) == key(d)
+    assert set(key(mixing.mixed_documents(d))) <= set(key(d)) and mixing.mixed_documents(d).columns == names
+
+
 def test_archive_round_trip(spark, tmp_path):
     big = "é" * 600
     rows = [(1, "u1", big), (2, "u2", big), (3, None, big), (4, "u\r\n4", "small"), (5, "u5", "small"), (None, "u6", None), (7, "ü7", ""), (7, "ü7", ""), (8, "x", "y" * 200_000)]
