@@ -68,3 +68,54 @@ def noise_floor(rows: DataFrame, by: str, value: str, quantile: float = 0.7) ->
     low = rows.join(F.broadcast(cut), by).where(F.col(value) < F.col("cut"))
     med = low.groupBy(by).agg(F.median(value).alias("med"))
     return low.join(F.broadcast(med), by).groupBy(by).agg(F.greatest(F.lit(1e-6), 1.4826 * F.median(F.abs(F.col(value) - F.col("med")))).alias("sigma"))
+
+
+def permutation_p(rows: DataFrame, unit: str, group: str, a: str, rounds: int, seed: int) -> DataFrame:
+    """(metric, p): two-sided permutation test of the difference of means, for rows(unit, group, metric, value) with a row for each unit and metric.
+
+    In a round as many units as group a has are drawn, those with the least digests of unit and round; p = (hits + 1) / (rounds + 1), where a
+    hit differs at least as much as the groups do, but for 1e-12. Digests make the draw the same in any layout of the table.
+    """
+    units = rows.select(unit, group).distinct()
+    na = units.where(F.col(group) == a).agg(F.count("*").alias("na"))
+    drawn = units.select(unit, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("r"))
+    place = F.row_number().over(Window.partitionBy("r").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("r"), F.col(unit)).cast("binary")), unit))
+    drawn = drawn.withColumn("place", place).join(F.broadcast(na)).select(unit, "r", (F.col("place") <= F.col("na")).alias("in_a"))  # one row
+    diff = lambda cond: F.avg(F.when(cond, F.col("value"))) - F.avg(F.when(~cond, F.col("value")))
+    seen = rows.groupBy("metric").agg(diff(F.col(group) == a).alias("d"))
+    tried = rows.join(drawn, unit).groupBy("metric", "r").agg(diff(F.col("in_a")).alias("e"))
+    hits = tried.join(seen, "metric").groupBy("metric").agg(F.count_if(F.abs("e") >= F.abs("d") - 1e-12).alias("hits"))
+    return hits.select("metric", ((F.col("hits") + 1) / (rounds + 1)).alias("p"))
+
+
+def two_samples(rows: DataFrame, group: str, a: str) -> DataFrame:
+    """(metric, u, z, ks): Mann-Whitney's U of group a with its normal score (ties corrected), and the Kolmogorov-Smirnov distance.
+
+    Values are counted first, so ranks and distributions are running sums over different values.
+    """
+    c = rows.groupBy("metric", "value").agg(F.count_if(F.col(group) == a).alias("a"), F.count_if(F.col(group) != a).alias("b"))
+    up = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    run = c.select("*", F.sum("a").over(up).alias("ca"), F.sum("b").over(up).alias("cb"), (F.col("a") + F.col("b")).alias("t"))
+    total = c.groupBy("metric").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    rank = F.col("ca") + F.col("cb") - (F.col("t") - 1) / 2
+    far = F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))
+    s = run.join(total, "metric").groupBy("metric").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum(rank * F.col("a")).alias("r"), F.max(far).alias("ks"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    n, ab = F.col("na") + F.col("nb"), F.col("na").cast("double") * F.col("nb")
+    u = F.col("r") - F.col("na").cast("double") * (F.col("na") + 1) / 2
+    sd = F.sqrt(ab / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    return s.select("metric", u.alias("u"), F.round((u - ab / 2) / sd, 6).alias("z"), F.round("ks", 6).alias("ks"))
+
+
+def knot_percentile(rows: DataFrame, by: str, value: str, p: float) -> DataFrame:
+    """(by, p): the percentile with knots at 100 (i - 0.5) / n, held to the least and greatest value."""
+    w = Window.partitionBy(by)
+    r = rows.select(by, F.col(value).alias("v"), F.row_number().over(w.orderBy(value)).alias("i"), F.count("*").over(w).alias("n"))
+    at = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), p / 100 * F.col("n") + 0.5))
+    share = F.greatest(F.lit(0.0), 1 - F.abs(F.col("i") - at))
+    return r.groupBy(by).agg(F.round(F.sum(F.col("v") * share), 6).alias("p"))
+
+
+def standard_scores(rows: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
+    """rows(keep, columns) with each column's z over all rows, by one row of sums."""
+    s = rows.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    return rows.join(F.broadcast(s)).select(*keep, *[((F.col(c) - F.col(f"m{i}")) / (F.col(f"s{i}") + 1e-9)).alias(c) for i, c in enumerate(columns)])

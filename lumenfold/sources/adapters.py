@@ -86,7 +86,17 @@ def rois(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy(k)).cast("long")
-    return o.select(F.col("o_custkey").alias("sample"), n.alias("id"), (k * 7 % 90 - 10).alias("x"), (k * 11 % 90 - 10).alias("y"), (k % 5 * 6 + 8).alias("w"), (k % 7 * 4 + 8).alias("h"))
+    return o.select(F.col("o_custkey").alias("sample"), n.alias("id"), (k * 7 % 52 - 4).alias("x"), (k * 11 % 52 - 4).alias("y"), (k % 5 * 2 + 4).alias("w"), (k % 7 + 4).alias("h"))
 
 
-ROIS = "roi AS (SELECT o_custkey AS sample, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS id, o_orderkey * 7 % 90 - 10 AS x, o_orderkey * 11 % 90 - 10 AS y, o_orderkey % 5 * 6 + 8 AS w, o_orderkey % 7 * 4 + 8 AS h FROM orders)"
+ROIS = "roi AS (SELECT o_custkey AS sample, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS id, o_orderkey * 7 % 52 - 4 AS x, o_orderkey * 11 % 52 - 4 AS y, o_orderkey % 5 * 2 + 4 AS w, o_orderkey % 7 + 4 AS h FROM orders)"
+
+
+def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample, y, x, v): what a customer's order lines sum to on a 48 x 48 plane."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") % 48).alias("y"), (F.col("l_suppkey") * 5 % 48).alias("x"), "l_quantity")
+    own = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("sample"))
+    return lines.join(own, "o_orderkey").groupBy("sample", "y", "x").agg(F.sum("l_quantity").cast("long").alias("v"))
+
+
+PLANES = "px AS (SELECT o_custkey AS sample, l_partkey % 48 AS y, l_suppkey * 5 % 48 AS x, sum(l_quantity)::BIGINT AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)"
