@@ -104,7 +104,7 @@ ALL = {
     "reference_difference": (reference_difference, f"WITH {_C}, r AS (SELECT z, chunk, y, x, round(avg(v), 6) AS mean FROM cf GROUP BY 1, 2, 3, 4) SELECT z, t, round(avg(abs(v - mean)), 6) AS off FROM cf JOIN r USING (z, chunk, y, x) GROUP BY 1, 2"),
     "frame_shifts": (frame_shifts, f"WITH {_SH} SELECT * FROM sh"),
     "trusted_shifts": (trusted_shifts, f"WITH {_SH}, g AS (SELECT z, i, sum(CASE WHEN greatest(abs(dy), abs(dx)) <= {CAP} THEN dy ELSE 0 END) OVER w AS dy, sum(CASE WHEN greatest(abs(dy), abs(dx)) <= {CAP} THEN dx ELSE 0 END) OVER w AS dx FROM sh WINDOW w AS (PARTITION BY z ORDER BY i)) SELECT z, i, dy - median(dy) OVER (PARTITION BY z) AS dy, dx - median(dx) OVER (PARTITION BY z) AS dx FROM g"),
-    "moved_frames": (moved_frames, f"WITH {_SH} SELECT a.z, a.i, a.y, a.x, coalesce(b.v, 0) AS v FROM cf a JOIN sh USING (z, i) LEFT JOIN cf b ON b.z = a.z AND b.i = a.i AND b.y = a.y - dy AND b.x = a.x - dx UNION ALL SELECT z, i, y, x, 0 FROM cf WHERE i = 0"),
+    "moved_frames": (moved_frames, f"WITH {_SH} SELECT a.z, a.i, a.y, a.x, coalesce(b.v, 0) AS v FROM cf a JOIN sh USING (z, i) LEFT JOIN cf b ON b.z = a.z AND b.i = a.i AND b.y = a.y - dy AND b.x = a.x - dx UNION ALL SELECT z, i, y, x, v FROM cf WHERE i = 0"),
     "shift_summary": (shift_summary, f"WITH {_SH} SELECT z, round(median(sqrt(dy * dy + dx * dx)), 6) AS median, round(quantile_cont(sqrt(dy * dy + dx * dx), 0.95), 6) AS p95, median(dy) AS dy, median(dx) AS dx FROM sh GROUP BY 1"),
     "depth_shift": (depth_shift, f"WITH {src.FRAMES}, s AS (SELECT z, y, x, round(avg(v), 6) AS v FROM frames GROUP BY 1, 2, 3) SELECT a.z, a.y, a.x, round(0.75::DOUBLE * coalesce(b.v, 0) + 0.25::DOUBLE * coalesce(c.v, 0), 6) AS v FROM s a LEFT JOIN s b ON b.z = a.z - 1 AND b.y = a.y AND b.x = a.x LEFT JOIN s c ON c.z = a.z - 2 AND c.y = a.y AND c.x = a.x"),
     "plane_range": (plane_range, f"WITH {src.FRAMES}, h AS (SELECT y, x, nullif(v, 0) AS v FROM frames, (SELECT max(z) + 1 AS nz FROM frames) WHERE z + 1 BETWEEN floor(0.25 * nz + 0.5) AND floor(0.75 * nz + 0.5)) SELECT y, x, round(coalesce(avg(v), 0), 6) AS mean, coalesce(max(v), 0) AS max, coalesce(median(v), 0) AS median FROM h GROUP BY 1, 2"),

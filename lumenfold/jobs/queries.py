@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.numeric import half_away, percent_change, stretch
 from lumenfold.jobs import frame_queries, mask_queries, table_queries
-from lumenfold.operators import cells, frames, grid, spatial, stats
+from lumenfold.operators import cells, frames, grid, rois, spatial, stats
 from lumenfold.sources import adapters as src
 
 VALUES = ["m1", "m2", "m3"]
@@ -51,7 +51,7 @@ def fdr_by_nation(spark: SparkSession, sf: str) -> DataFrame:
 
 def replicate_screen(spark: SparkSession, sf: str) -> DataFrame:
     image = src.groups(spark, sf).groupBy("c_nationkey", F.col("c_mktsegment").alias("metric")).agg(F.round(F.avg("c_acctbal"), 6).alias("value"))
-    image = image.where("c_nationkey < 6").withColumn("condition", F.when(F.col("c_nationkey") < 3, "WT").otherwise("HET"))
+    image = image.withColumn("condition", F.when(F.col("c_nationkey") % 2 == 0, "WT").otherwise("HET"))
     return stats.replicate_screen(image, "metric", "condition", "value", "WT")
 
 
@@ -138,7 +138,7 @@ def seed_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return cells.sweep(src.seeds(spark, sf), [0.2, 0.3, 0.4, 0.5, 0.6], [0.0, 1.0, 2.0])
+    return cells.sweep(cells.scored_seeds(src.seeds(spark, sf)), [0.2, 0.3, 0.4, 0.5, 0.6], [0.2, 0.26, 0.3], [0.0, 1.0, 2.0])
 
 
 def top_seeds(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,7 +162,8 @@ def crowded_seeds(spark: SparkSession, sf: str) -> DataFrame:
 def roi_overlap(spark: SparkSession, sf: str) -> DataFrame:
     s = src.read(spark, sf, "supplier")
     k = F.col("s_suppkey")
-    return spatial.earlier_overlap(s.select(F.col("s_nationkey").alias("sample"), k.alias("id"), (k * 7 % 48).alias("x"), (k * 11 % 48).alias("y"), F.lit(16).cast("long").alias("w"), F.lit(16).cast("long").alias("h")))
+    boxes = s.select(F.col("s_nationkey").alias("sample"), k.alias("id"), (k * 7 % 48).alias("x"), (k * 11 % 48).alias("y"), F.lit(16).alias("w"), F.lit(16).alias("h"))
+    return rois.covered(rois.cropped(boxes, 64)).select("sample", "id", "overlap")
 
 
 def plane_projection(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,8 +194,8 @@ def sample_names(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("c_custkey", name.alias("kind"), F.expr("try_cast(regexp_extract(c_name, '#0*([0-9]+)$', 1) as bigint)").alias("number"))
 
 
-_SEEDS2 = f"{src.SEEDS}, scored AS (SELECT *, round(0.25 * compact + 0.20 * blob + 0.20 / (1 + exp(-greatest(-30, least(30, rprom)))) - 0.20 * tube, 9) AS score FROM seeds), " \
-    "typed AS (SELECT *, CASE WHEN tube > blob AND n_dirs <= 2 THEN 'rejected' WHEN score >= 0.3 AND n_dirs >= 3 THEN 'strong' WHEN score >= 0.15 THEN 'weak' ELSE 'process_peak' END AS type FROM scored)"
+_SEEDS2 = f"{src.SEEDS}, scored AS (SELECT *, round(0.25 * compact + 0.20 * blob + 0.20 / (1 + exp(-greatest(-30, least(30, rprom)))) + 0.15 * CASE WHEN n_dirs >= 3 THEN 1.0 WHEN n_dirs = 2 THEN 0.4 WHEN n_dirs = 1 THEN 0.2 ELSE 0.05 END - 0.20 * tube, 9) AS score FROM seeds), " \
+    "typed AS (SELECT *, CASE WHEN blob < 0.2 OR NOT (lc_area BETWEEN 6 AND 200 AND lc_ecc < 0.92 AND lc_sol > 0.5) THEN 'process_peak' WHEN score >= 0.4 AND n_dirs >= 3 AND rprom >= 1 THEN 'strong' WHEN score >= 0.26 THEN 'weak' ELSE 'process_peak' END AS type FROM scored)"
 _MEDIANS = f"{src.METRICS}, medians AS (SELECT sample, median(m1) AS m1, median(m2) AS m2, median(m3) AS m3, count(roi_id) AS n_roi FROM metrics GROUP BY 1)"
 _LONG = f"{_MEDIANS}, {src.GROUPS}, long AS (SELECT geno, metric, value FROM (SELECT geno, m1, m2, m3 FROM medians JOIN grp USING (sample)) UNPIVOT (value FOR metric IN (m1, m2, m3)))"
 
@@ -221,9 +222,9 @@ ALL = {
     "fdr_by_nation": (fdr_by_nation, f"""WITH {src.GROUPS}, p AS (SELECT c_nationkey, (count(*) FILTER (c_acctbal < 0) + 1) / (count(*) + 1)::DOUBLE AS p FROM grp GROUP BY 1),
         r AS (SELECT *, p * count(*) OVER (PARTITION BY c_nationkey % 2) / (SELECT count(*) FROM p b WHERE b.p <= a.p AND b.c_nationkey % 2 = a.c_nationkey % 2) AS r FROM p a)
         SELECT c_nationkey, round(p, 6) AS p, round(least(1, (SELECT min(r) FROM r b WHERE b.p >= a.p AND b.c_nationkey % 2 = a.c_nationkey % 2)), 6) AS q FROM r a"""),
-    "replicate_screen": (replicate_screen, f"""WITH {src.GROUPS}, i AS (SELECT c_nationkey, c_mktsegment AS metric, round(avg(c_acctbal), 6) AS v FROM grp WHERE c_nationkey < 6 GROUP BY 1, 2),
-        s AS (SELECT metric, avg(v) FILTER (c_nationkey < 3) AS wt, avg(v) FILTER (c_nationkey >= 3) AS het, min(v) FILTER (c_nationkey >= 3) AS lo, max(v) FILTER (c_nationkey >= 3) AS hi FROM i GROUP BY 1)
-        SELECT metric, round(wt, 6) AS wt, round(het, 6) AS het, CASE WHEN wt IS NULL OR het IS NULL OR wt = 0 THEN 'n/a' WHEN (lo > wt OR hi < wt) AND hi - lo < abs(het - wt) AND abs(het - wt) > 0 THEN 'CLEAN' WHEN lo > wt OR hi < wt THEN 'noisy' ELSE 'disagree' END AS verdict FROM s"""),
+    "replicate_screen": (replicate_screen, f"""WITH {src.GROUPS}, i AS (SELECT c_nationkey, c_mktsegment AS metric, round(avg(c_acctbal), 6) AS v FROM grp GROUP BY 1, 2),
+        s AS (SELECT metric, avg(v) FILTER (c_nationkey % 2 = 0) AS wt, avg(v) FILTER (c_nationkey % 2 = 1) AS het, min(v) FILTER (c_nationkey % 2 = 1) AS lo, max(v) FILTER (c_nationkey % 2 = 1) AS hi FROM i GROUP BY 1)
+        SELECT metric, round(wt, 6) AS wt, round(het, 6) AS het, CASE WHEN wt <> 0 THEN round(100 * (het - wt) / wt, 1) END AS pct, CASE WHEN wt IS NULL OR het IS NULL OR wt = 0 THEN 'n/a' WHEN (lo > wt OR hi < wt) AND hi - lo < abs(het - wt) AND abs(het - wt) > 0 THEN 'CLEAN' WHEN lo > wt OR hi < wt THEN 'same-side' ELSE 'disagree' END AS verdict FROM s"""),
     "variation": (variation, f"WITH {src.PIXELS} SELECT image, round(coalesce(stddev_pop(v) / nullif(avg(v), 0), 0), 6) AS cv FROM pixels GROUP BY 1"),
     "percentile_ladder": (percentile_ladder, f"WITH {src.PIXELS} SELECT image, " + ", ".join(f"round(quantile_cont(v, {q / 100}), 6) AS p{q}" for q in (5, 25, 50, 75, 95)) + " FROM pixels GROUP BY 1"),
     "otsu_threshold": (otsu_threshold, f"""WITH {src.PIXELS}, h AS (SELECT image, v, count(*) AS n FROM pixels GROUP BY 1, 2),
@@ -245,14 +246,15 @@ ALL = {
     "component_features": (component_features, f"{_LABELS} SELECT image, label, count(*) AS area, round(avg(y), 6) AS yc, round(avg(x), 6) AS xc, max(y) - min(y) + 1 AS height, max(x) - min(x) + 1 AS width FROM labelled GROUP BY 1, 2"),
     "large_components": (large_components, f"{_LABELS} SELECT image, y, x, label FROM labelled WHERE (image, label) IN (SELECT (image, label) FROM labelled GROUP BY image, label HAVING count(*) >= 3)"),
     "seed_scores": (seed_scores, f"WITH {_SEEDS2} SELECT label, round(score, 6) AS score, type FROM typed"),
-    "threshold_sweep": (threshold_sweep, f"WITH {src.SEEDS} SELECT blob_min, rprom_min, count(*) FILTER (blob >= blob_min AND rprom >= rprom_min) AS n_accept FROM seeds, (VALUES (0.2::DOUBLE), (0.3::DOUBLE), (0.4::DOUBLE), (0.5::DOUBLE), (0.6::DOUBLE)) a(blob_min), (VALUES (0.0::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE)) b(rprom_min) GROUP BY 1, 2"),
+    "threshold_sweep": (threshold_sweep, f"""WITH {_SEEDS2}, k AS (SELECT blob_min, weak, rprom_min, CASE WHEN blob < blob_min OR NOT (lc_area BETWEEN 6 AND 200 AND lc_ecc < 0.92 AND lc_sol > 0.5) THEN 'process_peak' WHEN score >= 0.4 AND n_dirs >= 3 AND rprom >= rprom_min THEN 'strong' WHEN score >= weak THEN 'weak' END AS kind
+        FROM scored, (VALUES (0.2::DOUBLE), (0.3::DOUBLE), (0.4::DOUBLE), (0.5::DOUBLE), (0.6::DOUBLE)) a(blob_min), (VALUES (0.2::DOUBLE), (0.26::DOUBLE), (0.3::DOUBLE)) c(weak), (VALUES (0.0::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE)) b(rprom_min))
+        SELECT blob_min, weak, rprom_min, count(*) FILTER (kind = 'strong') AS n_strong, count(*) FILTER (kind = 'weak') AS n_weak FROM k GROUP BY 1, 2, 3"""),
     "top_seeds": (top_seeds, f"WITH {_SEEDS2} SELECT label, round(score, 6) AS score FROM typed ORDER BY typed.score DESC, label LIMIT 10"),
     "seeds_without_near": (seeds_without_near, f"WITH {src.SEEDS} SELECT label, yc, xc FROM seeds a WHERE label % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM seeds b WHERE b.label % 3 = 0 AND {_D2} < 64)"),
     "nearest_seed": (nearest_seed, f"WITH {src.SEEDS}, n AS (SELECT a.label, b.label AS match, {_D2} AS d2, row_number() OVER (PARTITION BY a.label ORDER BY {_D2}, b.label) AS r FROM seeds a JOIN seeds b ON a.label % 3 <> 0 AND b.label % 3 = 0 AND {_D2} <= 625) SELECT label, match, d2 FROM (SELECT label FROM seeds WHERE label % 3 <> 0) LEFT JOIN (SELECT label, match, d2 FROM n WHERE r = 1) USING (label)"),
     "crowded_seeds": (crowded_seeds, f"WITH {src.SEEDS} SELECT a.label, count(*) AS n FROM seeds a JOIN seeds b ON a.label <> b.label AND {_D2} <= 625 GROUP BY 1 HAVING count(*) >= 2"),
-    "roi_overlap": (roi_overlap, """WITH r AS (SELECT s_nationkey AS sample, s_suppkey AS id, s_suppkey * 7 % 48 AS x, s_suppkey * 11 % 48 AS y FROM supplier)
-        SELECT sample, id, coalesce(o, 0)::BIGINT AS overlap FROM r LEFT JOIN (SELECT a.sample, a.id, sum(greatest(0, least(a.x, b.x) + 16 - greatest(a.x, b.x)) * greatest(0, least(a.y, b.y) + 16 - greatest(a.y, b.y))) AS o
-        FROM r a JOIN r b ON a.sample = b.sample AND b.id < a.id GROUP BY 1, 2) USING (sample, id)"""),
+    "roi_overlap": (roi_overlap, """WITH c AS (SELECT s_nationkey AS sample, s_suppkey AS id, s_suppkey * 7 % 48 + dx AS x, s_suppkey * 11 % 48 + dy AS y FROM supplier, range(0, 16) a(dx), range(0, 16) b(dy)),
+        f AS (SELECT sample, id, id > min(id) OVER (PARTITION BY sample, y, x) AS again FROM c) SELECT sample, id, count(*) FILTER (again) AS overlap FROM f GROUP BY 1, 2"""),
     "plane_projection": (plane_projection, f"WITH {src.FRAMES} SELECT z, y, x, round(avg(v), 6) AS mean, max(v) AS max, median(v) AS median, count(*) AS n FROM frames GROUP BY 1, 2, 3"),
     "frame_agreement": (frame_agreement, f"""WITH {src.FRAMES}, m AS (SELECT z, y, x, round(avg(v), 6) AS w FROM frames GROUP BY 1, 2, 3)
         SELECT t, round(corr(v, w), 6) AS pearson_r, round(sqrt(avg((v - w) * (v - w))) / nullif(max(v) - min(v), 0), 6) AS nrmse FROM frames JOIN m USING (z, y, x) GROUP BY 1"""),

@@ -90,12 +90,12 @@ def image_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def master_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Image means by metric and condition, their difference in percent and, as text, all images' values."""
-    t = _tiles(spark, sf).groupBy("image").agg(*[F.round(F.avg(c), 3).alias(c) for c in ("fg_share", "mean", "tips_per")])
+    """Image means by metric and condition, their difference in percent and the least and greatest image."""
+    t = _tiles(spark, sf).groupBy("image").agg(*[F.round(F.avg(c), 8).alias(c) for c in ("fg_share", "mean", "tips_per")])
     u = t.unpivot(["image"], ["fg_share", "mean", "tips_per"], "metric", "value")
     wt, het = F.col("image") % 2 == 0, F.col("image") % 2 == 1
-    g = u.groupBy("metric").agg(F.avg(F.when(wt, F.col("value"))).alias("a"), F.avg(F.when(het, F.col("value"))).alias("b"), F.array_sort(F.collect_list(F.when(F.col("image") <= 5, F.struct("image", F.format_string("%.3f", "value").alias("t"))))).alias("s"))
-    return g.select("metric", F.round("a", 6).alias("wt"), F.round("b", 6).alias("het"), F.round(F.try_divide(100 * (F.col("b") - F.col("a")), F.col("a")), 1).alias("pct"), F.array_join(F.transform("s", lambda x: x["t"]), ";").alias("first_images"))
+    g = u.groupBy("metric").agg(F.avg(F.when(wt, F.col("value"))).alias("a"), F.avg(F.when(het, F.col("value"))).alias("b"), F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most"))
+    return g.select("metric", F.round("a", 6).alias("wt"), F.round("b", 6).alias("het"), F.round(F.try_divide(100 * (F.col("b") - F.col("a")), F.col("a")), 1).alias("pct"), "least", "most")
 
 
 def morphotypes(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,9 +191,9 @@ def seeded_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def digests(spark: SparkSession, sf: str) -> DataFrame:
-    """SHA-256 of each page against a list of known ones (of even ids, one in seven of them altered)."""
-    p = src.read(spark, sf, "pages").select("page_id", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("digest"))
-    known = p.where("page_id % 2 = 0").select("page_id", F.when(F.col("page_id") % 7 == 0, F.reverse("digest")).otherwise(F.col("digest")).alias("known"))
+    """SHA-256 of each page against a list of known ones (of the longer pages, some of them altered)."""
+    p = src.read(spark, sf, "pages").select("page_id", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("digest"), F.length("html").alias("n"))
+    known = p.where("n > 1500").select("page_id", F.when(F.startswith("digest", F.lit("0")), F.reverse("digest")).otherwise(F.col("digest")).alias("known"))
     return p.join(known, "page_id", "left").select("page_id", "digest", F.when(F.col("known").isNull(), "unknown").when(F.col("known") == F.col("digest"), "same").otherwise("differs").alias("state"))
 
 
@@ -228,7 +228,7 @@ def combined_seeds(spark: SparkSession, sf: str) -> DataFrame:
 def version_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Counts by version and class, side by side, with the baseline's share or a default text."""
     o = src.read(spark, sf, "orders").groupBy((F.col("o_orderkey") % 11).alias("version")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).fillna(0)
-    base = src.read(spark, sf, "orders").where("o_orderkey % 11 < 9 and o_orderstatus = 'F'").groupBy((F.col("o_orderkey") % 11).alias("version")).agg(F.count("*").alias("was"))
+    base = src.read(spark, sf, "orders").where("o_orderstatus = 'P' and o_totalprice > 400000").groupBy((F.col("o_orderkey") % 11).alias("version")).agg(F.count("*").alias("was"))
     return o.join(base, "version", "left").select("version", "F", "O", "P", F.coalesce(F.col("was").cast("string"), F.lit("none")).alias("was"))
 
 
@@ -275,8 +275,8 @@ ALL = {
     "fragmentation": (fragmentation, f"WITH {_HOT} SELECT * FROM hot"),
     "best_window": (best_window, f"WITH {_SC}, m AS (SELECT c.image, c.ty, c.tx, round(avg(s.score), 6) AS mean FROM (SELECT DISTINCT image, a.ty, b.tx FROM sc, range(0, 4) a(ty), range(0, 4) b(tx)) c JOIN sc s ON s.image = c.image AND abs(s.ty - c.ty) <= 1 AND abs(s.tx - c.tx) <= 1 GROUP BY 1, 2, 3 HAVING count(*) >= 5) SELECT image, first(ty ORDER BY mean DESC, ty, tx) AS ty, first(tx ORDER BY mean DESC, ty, tx) AS tx, max(mean) AS mean FROM m GROUP BY 1"),
     "image_summary": (image_summary, f"WITH {_HOT} SELECT image, count(*) AS n, round(avg(mean), 6) AS mean, round(100 * avg(hot::INT), 6) AS hot_pct, round(median(tips_per), 6) AS median, round(quantile_cont(mean, 0.9), 6) AS p90 FROM tile JOIN hot USING (image, ty, tx) GROUP BY 1"),
-    "master_table": (master_table, f"""WITH {_T}, t AS (SELECT image, round(avg(fg_share), 3) AS fg_share, round(avg(mean), 3) AS mean, round(avg(tips_per), 3) AS tips_per FROM tile GROUP BY 1), u AS (UNPIVOT t ON fg_share, mean, tips_per INTO NAME metric VALUE value),
-        g AS (SELECT metric, avg(value) FILTER (image % 2 = 0) AS a, avg(value) FILTER (image % 2 = 1) AS b, string_agg(printf('%.3f', value), ';' ORDER BY image) FILTER (image <= 5) AS first_images FROM u GROUP BY 1) SELECT metric, round(a, 6) AS wt, round(b, 6) AS het, round(100 * (b - a) / a, 1) AS pct, first_images FROM g"""),
+    "master_table": (master_table, f"""WITH {_T}, t AS (SELECT image, round(avg(fg_share), 8) AS fg_share, round(avg(mean), 8) AS mean, round(avg(tips_per), 8) AS tips_per FROM tile GROUP BY 1), u AS (UNPIVOT t ON fg_share, mean, tips_per INTO NAME metric VALUE value),
+        g AS (SELECT metric, avg(value) FILTER (image % 2 = 0) AS a, avg(value) FILTER (image % 2 = 1) AS b, round(min(value), 6) AS least, round(max(value), 6) AS most FROM u GROUP BY 1) SELECT metric, round(a, 6) AS wt, round(b, 6) AS het, round(100 * (b - a) / a, 1) AS pct, least, most FROM g"""),
     "morphotypes": (morphotypes, None),
     "permutation_test": (permutation_test, f"""WITH {_MED}, u AS (SELECT DISTINCT sample, geno FROM long), d AS (SELECT sample, r, row_number() OVER (PARTITION BY r ORDER BY md5('7:' || r || ':' || sample), sample) <= (SELECT count(*) FROM u WHERE geno = 'WT') AS in_a FROM u, range(1, {ROUNDS + 1}) k(r)),
         s AS (SELECT metric, avg(value) FILTER (geno = 'WT') - avg(value) FILTER (geno <> 'WT') AS d, median(value) FILTER (geno = 'WT') AS da, median(value) FILTER (geno <> 'WT') AS db, avg(value) FILTER (geno = 'WT') AS ma, avg(value) FILTER (geno <> 'WT') AS mb, var_samp(value) FILTER (geno = 'WT') AS va, var_samp(value) FILTER (geno <> 'WT') AS vb, count(*) FILTER (geno = 'WT') AS na, count(*) FILTER (geno <> 'WT') AS nb FROM long GROUP BY 1),
@@ -298,13 +298,13 @@ ALL = {
     "image_names": (image_names, """WITH c AS (SELECT c_custkey, left(c_mktsegment, 1) || '_' || CASE c_custkey % 3 WHEN 0 THEN 'WT' WHEN 1 THEN 'HET' ELSE 'x' END || '_' || c_custkey % 200 || '_raw' AS stem, CASE WHEN c_custkey % 3 = 2 THEN (c_custkey % 200)::VARCHAR ELSE left(c_mktsegment, 1) || '_' || CASE c_custkey % 3 WHEN 0 THEN 'WT' ELSE 'HET' END || '_' || c_custkey % 200 END AS key FROM customer),
         k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY c_custkey) AS i FROM c) SELECT c_custkey, CASE WHEN i > 1 THEN stem || '_' || i ELSE key END AS key, CASE WHEN key LIKE '%WT%' THEN 'WT' ELSE 'HET' END AS condition FROM k"""),
     "seeded_choice": (seeded_choice, "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY md5('20260524:' || o_orderkey), o_orderkey) AS i FROM orders) WHERE i <= 3"),
-    "digests": (digests, "SELECT page_id, sha256(coalesce(html, '')) AS digest, CASE WHEN page_id % 2 <> 0 THEN 'unknown' WHEN page_id % 7 <> 0 THEN 'same' ELSE 'differs' END AS state FROM pages"),
+    "digests": (digests, "SELECT page_id, sha256(coalesce(html, '')) AS digest, CASE WHEN html IS NULL OR length(html) <= 1500 THEN 'unknown' WHEN sha256(html) NOT LIKE '0%' THEN 'same' ELSE 'differs' END AS state FROM pages"),
     "longest_thin_run": (longest_thin_run, """WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS i, l_quantity AS r FROM lineitem), e AS (SELECT *, least(first_value(r) OVER (PARTITION BY l_orderkey ORDER BY i), first_value(r) OVER (PARTITION BY l_orderkey ORDER BY i DESC)) AS ends, 1 AS i0, max(i) OVER (PARTITION BY l_orderkey) AS i1 FROM l),
         n AS (SELECT * FROM e WHERE i > i0 AND i < i1), g AS (SELECT l_orderkey, i - row_number() OVER (PARTITION BY l_orderkey ORDER BY i) AS g FROM n WHERE r < 0.5 * ends), c AS (SELECT l_orderkey, max(k) AS k FROM (SELECT l_orderkey, g, count(*) AS k FROM g GROUP BY 1, 2) GROUP BY 1)
         SELECT l_orderkey, coalesce(any_value(k), 0) AS longest, round(min(r) / any_value(ends), 6) AS neck FROM n LEFT JOIN c USING (l_orderkey) GROUP BY 1"""),
     "screening_reasons": (screening_reasons, "SELECT CASE WHEN p_size < 6 THEN 'small' WHEN p_size > 45 THEN 'large' WHEN p_retailprice < 950 THEN 'dim' WHEN contains(p_type, 'STEEL') THEN 'long' ELSE 'accepted' END AS reason, CASE WHEN p_size >= 30 THEN 'ramified' WHEN p_size >= 15 THEN 'middle' ELSE 'bare' END AS tier, count(*) AS n FROM part GROUP BY 1, 2"),
     "combined_seeds": (combined_seeds, f"WITH {src.SEEDS} SELECT label, blob, compact, NULL::DOUBLE AS tube, 'first' AS source FROM seeds WHERE n_dirs >= 3 UNION ALL SELECT label, blob, NULL, tube, 'second' FROM seeds WHERE n_dirs < 3 AND blob >= 0.5"),
-    "version_counts": (version_counts, "SELECT version, F, O, P, CASE WHEN version < 9 AND F > 0 THEN F::VARCHAR ELSE 'none' END AS was FROM (SELECT o_orderkey % 11 AS version, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1)"),
+    "version_counts": (version_counts, "SELECT version, F, O, P, CASE WHEN w > 0 THEN w::VARCHAR ELSE 'none' END AS was FROM (SELECT o_orderkey % 11 AS version, count(*) FILTER (o_orderstatus = 'P' AND o_totalprice > 400000) AS w, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1)"),
     "order_spectrum": (order_spectrum, "WITH j AS (SELECT o_custkey, count(*) AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_orderkey HAVING count(*) >= 3) SELECT o_custkey, count(*) AS n, round(avg(k), 6) AS mean, round(100 * avg((k = 3)::INT), 6) AS pct3, round(100 * avg((k = 4)::INT), 6) AS pct4, round(100 * avg((k >= 5)::INT), 6) AS pct5 FROM j GROUP BY 1"),
     "calibration": (calibration, f"WITH {src.SEEDS} SELECT cut, round(100 * avg((compact >= cut)::INT) FILTER (n_dirs >= 4), 6) AS keep_pct, round(100 * avg((compact < cut)::INT) FILTER (n_dirs < 4), 6) AS cut_pct FROM seeds, (SELECT t / 10.0::DOUBLE AS cut FROM range(1, 10) r(t)) GROUP BY 1"),
     "seed_rules": (seed_rules, f"WITH {src.SEEDS} SELECT label, coalesce(n, 0) AS n FROM seeds LEFT JOIN (SELECT l_partkey AS label, count(*) AS n FROM lineitem WHERE l_quantity >= 45 GROUP BY 1) USING (label) WHERE NOT (compact > 0.85 AND n_dirs <= 2) AND NOT (tube > blob AND n_dirs <= 2)"),

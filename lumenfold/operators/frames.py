@@ -11,11 +11,31 @@ def project(frames: DataFrame, over: str, keep: list[str]) -> DataFrame:
     return frames.groupBy(*keep).agg(F.round(F.avg("v"), 6).alias("mean"), F.max("v").alias("max"), F.median("v").alias("median"), F.count(over).alias("n"))
 
 
+def overall_median(df: DataFrame, column: str) -> float | None:
+    """The median of a column: rows are dealt out by range and sorted there, and only those in the middle are looked at."""
+    ranged = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = ranged.repartitionByRange(n, "v").sortWithinPartitions("v").select("v", F.spark_partition_id().alias("part"), at.alias("at")).checkpoint()
+    sizes = placed.groupBy("part").count().orderBy("part").collect()  # a row a partition
+    total = sum(r["count"] for r in sizes)
+    if not total:
+        return None
+    found = []
+    for k in {(total - 1) // 2, total // 2}:
+        for part, size in sizes:
+            if k < size:
+                found.append(placed.where((F.col("part") == part) & (F.col("at") == k)).first()["v"])
+                break
+            k -= size
+    return sum(found) / len(found)
+
+
 def centred(shifts: DataFrame) -> DataFrame:
     """rs minus the median of its time point, and minus the median of all."""
     by_t = shifts.groupBy("t").agg(F.median("rs").alias("mt"))
-    overall = shifts.agg(F.median("rs").alias("m"))
-    return shifts.join(by_t, "t").join(F.broadcast(overall)).select("z", "t", F.round(F.col("rs") - F.col("mt"), 6).alias("by_time"), F.round(F.col("rs") - F.col("m"), 6).alias("overall"))
+    overall = F.lit(overall_median(shifts, "rs")).cast("double")
+    return shifts.join(by_t, "t").select("z", "t", F.round(F.col("rs") - F.col("mt"), 6).alias("by_time"), F.round(F.col("rs") - overall, 6).alias("overall"))
 
 
 def agreement(a: DataFrame, b: DataFrame, keys: list[str], by: str) -> DataFrame:

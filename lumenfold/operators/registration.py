@@ -51,8 +51,9 @@ def trusted(shifts: DataFrame, cap: float, least: float = 0.0) -> DataFrame:
 
 
 def moved(frames: DataFrame, shifts: DataFrame, keys: list[str], side: int) -> DataFrame:
-    """Frames by their whole-pixel shift; what leaves the plane is lost, what enters it is 0."""
-    shifted = frames.join(shifts.select(*keys, "dy", "dx"), keys).select(*keys, (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "v")
+    """Frames by their whole-pixel shift, those without one as they are; what leaves the plane is lost, what enters it is 0."""
+    known = frames.join(shifts.select(*keys, "dy", "dx"), keys, "left").fillna(0, ["dy", "dx"])
+    shifted = known.select(*keys, (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "v")
     place = frames.select(*keys, "y", "x")
     return place.join(shifted.where(F.col("y").between(0, side - 1) & F.col("x").between(0, side - 1)), [*keys, "y", "x"], "left").fillna(0, ["v"])
 

@@ -39,14 +39,6 @@ def crowded(points: DataFrame, radius: float, least: int) -> DataFrame:
     return near_pairs(points, points, radius).where("label_a <> label_b").groupBy(F.col("label_a").alias("label")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def earlier_overlap(rois: DataFrame) -> DataFrame:
-    """(sample, id, overlap): area that rectangles(sample, id, x, y, w, h) share with each earlier one of the sample, summed."""
-    b = rois.select("sample", *[F.col(c).alias(f"{c}2") for c in ("id", "x", "y", "w", "h")])
-    side = lambda p, n: F.greatest(F.lit(0), F.least(F.col(p) + F.col(n), F.col(f"{p}2") + F.col(f"{n}2")) - F.greatest(F.col(p), F.col(f"{p}2")))
-    hit = rois.join(b, "sample").where("id2 < id").groupBy("sample", "id").agg(F.sum(side("x", "w") * side("y", "h")).alias("overlap"))
-    return rois.select("sample", "id").join(hit, ["sample", "id"], "left").fillna(0, ["overlap"])
-
-
 def _boxes(points: DataFrame, reach: int) -> DataFrame:
     """points(image, id, y, x) with each pixel (py, px) of the square around their whole-numbered place."""
     axis = F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long"))

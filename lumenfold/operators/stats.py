@@ -44,12 +44,15 @@ def benjamini_hochberg(rows: DataFrame, p: str, family: str) -> DataFrame:
 
 
 def replicate_screen(rows: DataFrame, metric: str, condition: str, value: str, control: str) -> DataFrame:
-    """CLEAN where all replicates of the condition lie on one side of the control mean and spread less than they differ from it."""
+    """CLEAN where all replicates of the condition lie on one side of the control mean and spread less than they differ from it, same-side where they
+    only do the former; with the difference in percent. Without replicates of both, or with a control mean of 0, neither is known."""
     c, h = F.when(F.col(condition) == control, F.col(value)), F.when(F.col(condition) != control, F.col(value))
     s = rows.groupBy(metric).agg(F.avg(c).alias("wt"), F.avg(h).alias("het"), F.min(h).alias("lo"), F.max(h).alias("hi"))
     side, gap = (F.col("lo") > F.col("wt")) | (F.col("hi") < F.col("wt")), F.abs(F.col("het") - F.col("wt"))
-    verdict = F.when(F.col("wt").isNull() | F.col("het").isNull() | (F.col("wt") == 0), "n/a").when(side & (F.col("hi") - F.col("lo") < gap) & (gap > 0), "CLEAN").when(side, "noisy").otherwise("disagree")
-    return s.select(metric, F.round("wt", 6).alias("wt"), F.round("het", 6).alias("het"), verdict.alias("verdict"))
+    known = F.col("wt").isNotNull() & F.col("het").isNotNull() & (F.col("wt") != 0)
+    verdict = F.when(~known, "n/a").when(side & (F.col("hi") - F.col("lo") < gap) & (gap > 0), "CLEAN").when(side, "same-side").otherwise("disagree")
+    pct = F.when(known, F.round(F.try_divide(100 * (F.col("het") - F.col("wt")), F.col("wt")), 1))
+    return s.select(metric, F.round("wt", 6).alias("wt"), F.round("het", 6).alias("het"), pct.alias("pct"), verdict.alias("verdict"))
 
 
 def otsu(hist: DataFrame, by: str) -> DataFrame:

@@ -59,13 +59,13 @@ SHIFTS = "shifts AS (SELECT user_id % 8 AS z, floor(epoch(ts) / 3600)::BIGINT AS
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(label, yc, xc, blob, compact, tube, rprom, n_dirs): parts as cell seeds on a plane."""
+    """(label, yc, xc, blob, compact, tube, rprom, n_dirs, lc_area, lc_ecc, lc_sol): parts as cell seeds on a plane."""
     p = read(spark, sf_dir, "part")
     k, size = F.col("p_partkey"), F.col("p_size")
-    return p.select(k.alias("label"), (k * 37 % 1009).alias("yc"), (k * 53 % 1013).alias("xc"), (size % 10 / 10.0).alias("blob"), (k % 7 / 7.0).alias("compact"), (size % 4 / 4.0).alias("tube"), (k % 5 - 1).cast("double").alias("rprom"), (size % 8).alias("n_dirs"))
+    return p.select(k.alias("label"), (k * 37 % 1009).alias("yc"), (k * 53 % 1013).alias("xc"), (size % 10 / 10.0).alias("blob"), (k % 7 / 7.0).alias("compact"), (size % 4 / 4.0).alias("tube"), (k % 5 - 1).cast("double").alias("rprom"), (size % 8).alias("n_dirs"), (k % 220).alias("lc_area"), (k % 11 / 11.0).alias("lc_ecc"), (k % 13 / 13.0).alias("lc_sol"))
 
 
-SEEDS = "seeds AS (SELECT p_partkey AS label, p_partkey * 37 % 1009 AS yc, p_partkey * 53 % 1013 AS xc, (p_size % 10) / 10.0::DOUBLE AS blob, (p_partkey % 7) / 7.0::DOUBLE AS compact, (p_size % 4) / 4.0::DOUBLE AS tube, (p_partkey % 5 - 1)::DOUBLE AS rprom, p_size % 8 AS n_dirs FROM part)"
+SEEDS = "seeds AS (SELECT p_partkey AS label, p_partkey * 37 % 1009 AS yc, p_partkey * 53 % 1013 AS xc, (p_size % 10) / 10.0::DOUBLE AS blob, (p_partkey % 7) / 7.0::DOUBLE AS compact, (p_size % 4) / 4.0::DOUBLE AS tube, (p_partkey % 5 - 1)::DOUBLE AS rprom, p_size % 8 AS n_dirs, p_partkey % 220 AS lc_area, (p_partkey % 11) / 11.0::DOUBLE AS lc_ecc, (p_partkey % 13) / 13.0::DOUBLE AS lc_sol FROM part)"
 
 
 #: Rows and columns of a scene.
