@@ -105,6 +105,44 @@ def test_restores_disguised_words():
     assert reader.features("")[0] == []
 
 
+def every_reading(channel, token, breaks):
+    """(cost, text) of all ways through the lattice of a token."""
+    ways = [(0.0, 0, 0, "")]
+    for sign in token:
+        new, gap = [], sign in toxicity.GAPS
+        readings = [(sign, toxicity.AS_IS if sign.isalpha() else toxicity.KEPT_SIGN)] + [(c, toxicity.LEET_COST) for c in toxicity.LEET.get(sign, "")]
+        for cost, a, b, text in ways:
+            for letter, price in readings:
+                c = channel.place.get(letter, toxicity.OTHER)
+                new.append((cost + price + channel.costs[a][b][c], b, c, text + letter))
+                if text and text[-1] == letter:
+                    new.append((cost + price + toxicity.AGAIN_COST, a, b, text))
+            if gap:
+                new.append((cost + toxicity.GAP_COST, a, b, text))
+        if breaks or gap:
+            new += [(cost + channel.costs[a][b][0], b, 0, text + " ") for cost, a, b, text in new if b]
+        ways = new
+    return [(cost + (channel.costs[a][b][0] if b else 0.0), text.strip()) for cost, a, b, text in ways]
+
+
+def test_restored_text_is_the_cheapest_of_all_readings():
+    rng = np.random.default_rng(7)
+    channel, signs = toxicity.Channel(rng.uniform(0.1, 6, (toxicity.SIZE,) * 3)), "abil1$0.|"
+    for _ in range(300):
+        token, breaks = "".join(rng.choice(list(signs), rng.integers(1, 5))), bool(rng.integers(2))
+        assert channel.restore(token, breaks) == min(every_reading(channel, token, breaks))[1], token
+
+
+def test_score_column_equals_its_rules(spark):
+    d, labels = labelled(spark, 200)
+    stats = textstats.with_statistics(d.select("doc_id", "text"))
+    model = quality.fit(stats.join(labels, "doc_id").selectExpr("cast(quality as double) AS label", *textstats.RATIOS))
+    assert model.rules
+    for r in stats.select("*", model.score().alias("got")).collect():
+        z = model.intercept + sum(w for rule, w in zip(model.rules, model.weights) if all(r[n] > t if up else r[n] <= t for n, up, t in rule))
+        assert abs(r.got - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_disguises_of_any_length_reach_the_features():
     costs = np.full((toxicity.SIZE,) * 3, 9.0)
     for text in ("a loser", "you idiot", "ass", "hell", "shit", "stupid"):
