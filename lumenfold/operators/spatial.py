@@ -78,3 +78,17 @@ def outside_boxes(points: DataFrame, px: DataFrame, reach: int) -> DataFrame:
     """(image, id) of points without any pixel in the square around them."""
     hit = _boxes(points, reach).join(px.select("image", "y", "x"), ["image", "y", "x"], "left_semi").select("image", "id")
     return points.select("image", "id").join(hit, ["image", "id"], "left_anti")
+
+
+def ring_pixels(points: DataFrame, px: DataFrame, inner: int, outer: int) -> DataFrame:
+    """(image, id, y, x): pixels from inner to outer away from each point."""
+    d2 = _d2()
+    return _boxes(points, outer + 1).join(px.select("image", "y", "x"), ["image", "y", "x"]).where((d2 >= inner * inner) & (d2 <= outer * outer)).select("image", "id", "y", "x")
+
+
+def window_median(px: DataFrame, value: str, reach: int) -> DataFrame:
+    """(image, y, x, median) of the values in the square around each pixel."""
+    axis = F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long"))
+    spread = px.select("image", F.col(value).alias("_v"), "x", F.explode(axis).alias("dy"), "y").select("image", "_v", (F.col("y") + F.col("dy")).alias("y"), "x", F.explode(axis).alias("dx"))
+    spread = spread.select("image", "y", (F.col("x") + F.col("dx")).alias("x"), "_v")
+    return px.select("image", "y", "x").join(spread, ["image", "y", "x"]).groupBy("image", "y", "x").agg(F.median("_v").alias("median"))
