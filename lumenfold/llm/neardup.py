@@ -346,7 +346,11 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
         roots = written(_composed(roots, m), "roots")
         return m
 
-    at = held.select("key", "node", "n", "i").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    def rooted(rows: DataFrame) -> DataFrame:
+        """rows(node, ...) with the present roots, by node: a join by root would put all members of a large class in one task."""
+        return rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    at = rooted(held.select("key", "node", "n", "i"))
     turn, dealt, before = 0, False, math.inf
     while True:
         now = still_open(at)
@@ -360,7 +364,7 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
             best = now.where(able).groupBy("key").agg(F.array(F.min(mixed), F.max(mixed)).alias("l")).select("key", F.explode("l").alias("l"))
             other = best.select("key", F.col("l.node").alias("node0"), F.col("l.n").alias("n0"), F.col("l.i").alias("i0"), F.col("l.root").alias("root0"))
             m = join_up(now.join(other, "key").where(size & (F.col("root") != F.col("root0"))), members)
-            at = now if m is None else _moved(now, m)
+            at = now if m is None else rooted(now)
             continue
         if dense and not dealt:
             met = now.groupBy("node").agg(F.first("root").alias("root"))
@@ -380,7 +384,7 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
             meet = size & (F.struct("n0", "node0") < F.struct(F.col("n"), F.col("node"))) & ~F.arrays_overlap("prior", "prior0")
             m = join_up(small.join(two, ["key", "root0"]).join(now, ["key", "root"]).where(meet), members)
             if m is not None and k + 1 < slices:
-                now = still_open(_moved(now, m))
+                now = still_open(rooted(now))
         break
     named = nodes.select("node", "digest", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = written(named, "named")
