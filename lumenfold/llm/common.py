@@ -30,6 +30,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clustered(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Like written, in buckets of `key`: what is grouped by it afterwards isn't shuffled. The catalog keeps no entry of the table."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/lumenfold-{uuid.uuid4().hex}/{name}"
+    entry = f"lumenfold_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    spark.sql(f"CREATE TABLE {entry} ({columns}) USING parquet CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    found = spark.table(entry)
+    found.schema  # resolved: the plan holds the files from here on
+    spark.sql(f"DROP TABLE {entry}")
+    return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import licences, mixing, neardup, packing, quality, rulelist, search, sharding, toxicity, warc
+from lumenfold.llm import licences, mixing, neardup, packing, quality, rulelist, search, sharding, substrings, toxicity, warc
 
 QUERIES = {
     "op1_rule_ensemble_quality": quality.op1_rule_ensemble_quality,
     "op10_deobfuscated_toxicity": toxicity.op10_deobfuscated_toxicity,
+    "op13_repeated_windows": substrings.op13_repeated_windows,
     "op2_licences": licences.op2_licences,
     "op3_feistel_shards": sharding.op3_feistel_shards,
     "op4_warc_archive": warc.op4_warc_archive,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op13_repeated_windows": substrings.OP13_SQL,
     "op2_licences": licences.OP2_SQL,
     "op4_warc_archive": warc.OP4_SQL,
     "op8_exact_top_k": search.OP8_SQL,
