@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import licences, mixing, neardup, packing, quality, rulelist, search, sharding, substrings, toxicity, warc
+from lumenfold.llm import alignment, licences, mixing, neardup, packing, quality, rulelist, search, sharding, substrings, toxicity, warc
 
 QUERIES = {
     "op1_rule_ensemble_quality": quality.op1_rule_ensemble_quality,
     "op10_deobfuscated_toxicity": toxicity.op10_deobfuscated_toxicity,
+    "op12_aligned_tokens": alignment.op12_aligned_tokens,
     "op13_repeated_windows": substrings.op13_repeated_windows,
     "op2_licences": licences.op2_licences,
     "op3_feistel_shards": sharding.op3_feistel_shards,
