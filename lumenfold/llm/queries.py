@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import alignment, licences, mixing, neardup, packing, quality, rulelist, search, sharding, substrings, toxicity, warc
+from lumenfold.llm import alignment, licences, mixing, neardup, packing, quality, rulelist, search, sharding, substrings, toxicity, vectorcodes, warc
 
 QUERIES = {
     "op1_rule_ensemble_quality": quality.op1_rule_ensemble_quality,
     "op10_deobfuscated_toxicity": toxicity.op10_deobfuscated_toxicity,
+    "op11_orchard_codes": vectorcodes.op11_orchard_codes,
     "op12_aligned_tokens": alignment.op12_aligned_tokens,
     "op13_repeated_windows": substrings.op13_repeated_windows,
     "op2_licences": licences.op2_licences,
@@ -20,6 +21,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op11_orchard_codes": vectorcodes.OP11_SQL,
     "op13_repeated_windows": substrings.OP13_SQL,
     "op2_licences": licences.OP2_SQL,
     "op4_warc_archive": warc.OP4_SQL,
