@@ -25,6 +25,8 @@ from lumenfold.llm.common import scratch_dir, table, written
 WAVE = 16_384
 #: Queries and vectors whose bounds are in memory at once: 4 matrices of 8 * 1024 * 2048 bytes.
 BLOCK, CHUNK = 1024, 2048
+#: Bounds that a task of the scan holds before it sends them off.
+HELD = 1 << 20
 #: Vectors, at most, that the marks between cells are fitted on; the outermost marks are exact.
 SAMPLE = 10_000
 CELLS = 256
@@ -33,14 +35,14 @@ CELLS = 256
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """vectors(vec_id, embedding) as (vec_id, v array<double>), v = floor(scale * x), x as double: whole numbers of any size.
 
-    Vectors that are null, or hold a null or non-finite component, are left out; so are null ids, empty vectors and those with a
-    component whose product with scale no double holds.
+    Vectors that are null, or hold a null or non-finite component, are left out; so are null ids and those with a
+    component whose product with scale no double holds. An empty vector stays.
     """
     scaled = F.transform("embedding", lambda x: x.cast("double") * scale)
     sound = F.forall("s", lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) != float("inf")))
     whole = F.transform("s", lambda y: F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y))  # from 2**53 on doubles are whole
     rows = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("s"))
-    return rows.where((F.size("s") > 0) & sound).select("vec_id", whole.alias("v"))
+    return rows.where(F.col("s").isNotNull() & sound).select("vec_id", whole.alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -99,28 +101,44 @@ def bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray, codes: np.nda
 
 
 def _scan(sent, k: int):
-    """Of each query the vectors of this task whose upper bound reaches its kth lower bound."""
+    """Of each query the vectors of this task whose upper bound reaches its kth lower bound.
+
+    What is held is cut by the bounds as they rise, and sent off where there is still too much of it: a task's memory doesn't grow with its vectors.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, qid, qno, low, high = sent.value
+        q, qno, low, high = sent.value
         best = np.full((len(q), k), -np.inf)
         found: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def left() -> list[np.ndarray]:
+            at, no, lower, upper = (np.concatenate(c) for c in zip(*found, strict=True))
+            keep = upper >= best.min(1)[at]
+            return [at[keep], no[keep], lower[keep], upper[keep]]
+
+        def sent_off(at: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (qno[at], *rest)], ["q", "no", "lower", "upper"])
+
         for batch in batches:
             codes = np.frombuffer(b"".join(batch["code"].to_pylist()), "uint8").reshape(batch.num_rows, q.shape[1])
-            ids, no = batch["vec_id"].to_numpy(), batch["no"].to_numpy()
-            for a in range(0, len(ids), CHUNK):
+            no = batch["no"].to_numpy()
+            for a in range(0, len(no), CHUNK):
                 for b in range(0, len(q), BLOCK):
                     lower, upper = bounds(q[b : b + BLOCK], low, high, codes[a : a + CHUNK])
-                    own = qid[b : b + BLOCK, None] == ids[None, a : a + CHUNK]
-                    lower[own] = upper[own] = -np.inf
                     both = np.hstack([best[b : b + BLOCK], lower])
                     best[b : b + BLOCK] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-                    i, j = np.nonzero((upper >= best[b : b + BLOCK].min(1)[:, None]) & ~own)
+                    i, j = np.nonzero(upper >= best[b : b + BLOCK].min(1)[:, None])
                     found.append((b + i, no[a + j], lower[i, j], upper[i, j]))
+                    held += len(i)
+                    if held > HELD:
+                        found = [tuple(left())]
+                        held = len(found[0][0])
+                        if held > HELD // 2:
+                            yield sent_off(*found[0])
+                            found, held = [], 0
         if found:
-            at, no, lower, upper = (np.concatenate(c) for c in zip(*found, strict=True))
-            left = upper >= best.min(1)[at]
-            yield pa.RecordBatch.from_arrays([pa.array(qno[at[left]]), pa.array(no[left]), pa.array(lower[left]), pa.array(upper[left])], ["q", "no", "lower", "upper"])
+            yield sent_off(*left())
 
     return scan
 
@@ -130,20 +148,22 @@ def scores(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for w, v in zip(batch["w"], batch["v"], strict=True):
-                a, b = (x.values.to_numpy() for x in (w, v))
-                if len(a) * float(np.abs(a).max()) * float(np.abs(b).max()) < 2.0**53:  # each partial sum is a whole number that a double holds
-                    out.append(int(a @ b))
-                else:
-                    out.append(max(-(1 << 63), min((1 << 63) - 1, sum(int(x) * int(y) for x, y in zip(a.tolist(), b.tolist(), strict=True)))))
-            yield pa.RecordBatch.from_arrays([batch["q"], batch["no"], pa.array(out, "int64")], ["q", "no", "score"])
+            if not batch.num_rows:
+                continue
+            dim = len(batch["w"][0])
+            a, b = _matrix(batch["w"], dim), _matrix(batch["v"], dim)
+            out = np.zeros(len(a), "int64")
+            small = dim * np.abs(a).max(1, initial=0) * np.abs(b).max(1, initial=0) < 2.0**53  # each partial sum is a whole number that a double holds
+            out[small] = np.einsum("ij,ij->i", a[small], b[small]).astype("int64")
+            for i in np.flatnonzero(~small).tolist():
+                out[i] = max(-(1 << 63), min((1 << 63) - 1, sum(int(x) * int(y) for x, y in zip(a[i].tolist(), b[i].tolist(), strict=True))))
+            yield pa.RecordBatch.from_arrays([batch["q"], batch["no"], pa.array(out)], ["q", "no", "score"])
 
     return pairs.select("q", "no", "w", "v").mapInArrow(run, "q long, no long, score long")
 
 
 def candidates(vectors: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
-    """(q, no, upper, place) for queries(q, vec_id, v) and vectors(no, vec_id, v), all of `dim` components: what the approximations leave, by upper bound.
+    """(q, no, upper, place) for queries(q, v) and vectors(no, vec_id, v), all of `dim` components: what the approximations leave, by upper bound.
 
     Queries go out in waves of a fixed size, each of which scans the approximations once and writes what it finds.
     """
@@ -156,8 +176,8 @@ def candidates(vectors: DataFrame, queries: DataFrame, dim: int, k: int) -> Data
     queries.withColumn("wave", F.pmod(F.xxhash64("q"), F.lit(waves)).cast("int")).repartition("wave").write.partitionBy("wave").parquet(dealt)
     base = f"{scratch_dir(spark)}/lumenfold-{uuid.uuid4().hex}/candidates"
     for w in range(waves):
-        rows = spark.read.schema("q long, vec_id long, v array<double>, wave int").parquet(dealt).where(F.col("wave") == w).select("q", "vec_id", "v").toArrow()  # about WAVE queries
-        sent = spark.sparkContext.broadcast((_matrix(rows["v"].combine_chunks(), dim), rows["vec_id"].to_numpy(), rows["q"].to_numpy(), low, high))
+        rows = spark.read.schema("q long, v array<double>, wave int").parquet(dealt).where(F.col("wave") == w).select("q", "v").toArrow()  # about WAVE queries
+        sent = spark.sparkContext.broadcast((_matrix(rows["v"].combine_chunks(), dim), rows["q"].to_numpy(), low, high))
         file.mapInArrow(_scan(sent, k), "q long, no long, lower double, upper double").write.parquet(f"{base}/wave={w}")
         sent.unpersist()
     found = spark.read.schema("q long, no long, lower double, upper double, wave int").parquet(base)
@@ -169,11 +189,11 @@ def candidates(vectors: DataFrame, queries: DataFrame, dim: int, k: int) -> Data
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank int, vec_id, score long): for each of queries(vec_id, v) the k best of vectors(vec_id, v), ties to smaller ids.
+    """(query_id, rank int, vec_id, score long): for each of queries(vec_id, v), which are rows of vectors(vec_id, v), its k best other rows, ties to smaller ids.
 
-    A query meets vectors of its own length only, but none of its own id. Fewer than k vectors give fewer rows; empty tables give
-    none. Rows that repeat an id each take a place; queries that share an id have k rows between them. Of equal vectors only the k + 1 least
-    ids are searched: no other can be among a query's k best. Scores beyond a long are held to its range before they are ranked.
+    A query meets vectors of its own length only, and every row but its own: rows that share its id or its vector, too. Fewer than k other rows give
+    fewer rows; empty tables give none. Queries that share an id have their own k rows each. Of equal vectors only the k + 1 least ids are
+    searched: no other can be among a query's k best. Scores beyond a long are held to its range before they are ranked.
     """
     spark = vectors.sparkSession
     own = written(queries.groupBy("vec_id", "v").count().withColumn("q", F.monotonically_increasing_id()), "queries")
@@ -185,18 +205,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     once = written(once.select(F.monotonically_increasing_id().alias("no"), "vec_id", "v", "count"), "vectors")
     parts = []
     for dim in dims:
-        here, asked = once.where(F.size("v") == dim), own.where(F.size("v") == dim).select("q", "vec_id", "v")
-        found = candidates(here.select("no", "vec_id", "v"), asked, dim, k)
+        here, asked = once.where(F.size("v") == dim), own.where(F.size("v") == dim).select("q", "v")
+        if not dim:  # empty vectors are equal, and their product is 0
+            parts.append(written(asked.join(here.select("v", "no"), "v").select("q", "no", F.lit(0).cast("long").alias("score")), "scores"))
+            continue
+        found = candidates(here.select("no", "vec_id", "v"), asked, dim, k + 1)  # one may be the query itself
         exact = lambda c, here=here, asked=asked: written(scores(c.join(here.select("no", "v"), "no").join(asked.select("q", F.col("v").alias("w")), "q")), "scores")
         first = exact(found.where(F.col("place") <= 2 * k))
         nth = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "no"))
-        sure = first.withColumn("r", nth).where(F.col("r") == k).select("q", "score")
+        sure = first.withColumn("r", nth).where(F.col("r") == k + 1).select("q", "score")
         more = found.where(F.col("place") > 2 * k).join(sure, "q").where(F.col("upper") >= F.col("score"))
         parts += [first, exact(more.select("q", "no"))]
-    counted = reduce(DataFrame.unionByName, parts).join(once.select("no", "vec_id", "count"), "no").join(own.select("q", F.col("vec_id").alias("query_id"), F.col("count").alias("asked")), "q")
-    each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("count") * F.col("asked"), F.lit(k)))))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    counted = reduce(DataFrame.unionByName, parts).join(once.select("no", "vec_id", "count", F.xxhash64("v").alias("vector")), "no")
+    counted = counted.join(own.select("q", F.col("vec_id").alias("query_id"), F.col("count").alias("asked"), F.xxhash64("v").alias("own")), "q")
+    itself = (F.col("vec_id") == F.col("query_id")) & (F.col("vector") == F.col("own"))
+    copies = F.least(F.col("count") - itself.cast("long"), F.lit(k))
+    each = counted.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    best = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
+    ranked = each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.withColumn("ask", F.explode(F.sequence(F.lit(1).cast("long"), "asked"))).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,13 +234,13 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, CASE WHEN len(q.v) = 0 THEN 0 ELSE list_inner_product(q.v, c.v) END::BIGINT AS score
+  FROM v q JOIN v c ON q.row <> c.row AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
 ), r AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+  SELECT query_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
 )
 SELECT * FROM r WHERE rank <= 5
 """

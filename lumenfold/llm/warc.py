@@ -111,20 +111,22 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def parse_records(records: DataFrame) -> DataFrame:
     """Reads record bytes: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for a revisit).
 
-    The payload's SHA-1 and length are checked against the header; a difference stops the read with an error.
+    Header lines end with CR LF and nothing else, whatever signs a url has. The payload's SHA-1 and length are checked against the header; a difference stops the read with an error.
     """
-    head = F.split_part(F.decode("record", "ISO-8859-1"), F.lit(CRLF * 2), F.lit(1))  # a character per byte
-    field = lambda name: F.nullif(F.regexp_extract("head", f"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
+    head = F.substring_index(F.col("record").cast("string"), CRLF * 2, 1)  # the same bytes, up to the first empty line
+    line = lambda name: F.get(F.filter("lines", lambda x: x.startswith(f"{name}: ")), F.lit(0))
+    field = lambda name: F.substring(line(name), len(name) + 3, (1 << 31) - 1)
     page = lambda name: F.expr(f"try_cast(regexp_extract({name}, 'urn:x-page:([^:]*):', 1) as bigint)")
     read = (
         records.select("record", head.alias("head"))
-        .select("record", "head", field("WARC-Type").alias("record_type"), field("WARC-Record-ID").alias("id"), field("WARC-Refers-To").alias("to"), field("WARC-Payload-Digest").alias("digest"), field("Content-Length").cast("int").alias("n"), field("WARC-Payload-Length").cast("long").alias("whole"), field("WARC-Target-URI").alias("uri"))
-        .withColumn("payload", F.when(F.col("record_type") == "response", F.substring("record", F.length("head") + 5, F.col("n"))))
+        .select("record", F.octet_length("head").alias("start"), F.split("head", CRLF).alias("lines"))
+        .select("record", "start", field("WARC-Type").alias("record_type"), field("WARC-Record-ID").alias("id"), field("WARC-Refers-To").alias("to"), field("WARC-Payload-Digest").alias("digest"), field("Content-Length").cast("int").alias("n"), field("WARC-Payload-Length").cast("long").alias("whole"), field("WARC-Target-URI").alias("url"))
+        .withColumn("payload", F.when(F.col("record_type") == "response", F.substring("record", F.col("start") + 5, F.col("n"))))
     )
     found = F.concat(F.lit("sha1:"), F.sha1("payload"))
     sound = (F.col("record_type") == "revisit") | ((found == F.col("digest")) & (F.octet_length("payload") == F.col("whole")))
     checked = F.when(sound, F.col("whole")).otherwise(F.raise_error(F.concat(F.lit("damaged payload in record "), F.col("id"))).cast("long"))
-    return read.select(page("id").alias("page_id"), F.decode(F.encode("uri", "ISO-8859-1"), "UTF-8").alias("url"), checked.alias("payload_bytes"), F.substring_index("digest", ":", -1).alias("payload_digest"), "record_type", page("to").alias("refers_to"), "payload")
+    return read.select(page("id").alias("page_id"), "url", checked.alias("payload_bytes"), F.substring_index("digest", ":", -1).alias("payload_digest"), "record_type", page("to").alias("refers_to"), "payload")
 
 
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
