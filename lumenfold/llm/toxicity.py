@@ -2,7 +2,8 @@
 
 A character trigram model of all documents and a channel model of leetspeak, spacing and repetition restore what a
 written token was meant to be: a Viterbi search over the lattice of readings. Restored words and their beginnings are the features of a sparse
-logistic model learned from labels; its weights score every whole text.
+logistic model learned from labels; its weights score every whole text. When texts are scored, only what could be read as a feature with a weight is
+searched: signs that can stand for each other are folded together, and a token or run whose folded form holds no such feature has no reading with one.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,15 +36,47 @@ SIZE = OTHER + 1
 #: What leetspeak writes for letters.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "(": "c"}
 #: Characters that spacing puts between letters.
-GAPS = " .-_*~·"
+GAPS = " .-_*~·/\\,'’"
+#: Letters of other scripts that look like Latin ones.
+ALIKE = dict(zip("асеһіјкмнорѕтухвԁɡαεικνορτυχ", "acehijkmhopstyxbdgaeiknoptux", strict=True))
 #: Costs of the channel, as negative natural logarithms: a letter as it is, for another sign, written once more, a gap.
 AS_IS, LEET_COST, AGAIN_COST, GAP_COST, KEPT_SIGN = 0.05, 1.5, 1.0, 0.7, 9.0
+#: Cost of reading a star as some letter.
+STAR_COST = 2.5
 #: Tokens whose features each Python worker keeps, and how long they are at most.
 KEPT_TOKENS, KEPT_LENGTH = 200_000, 64
 
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€(])(?:[ .\-_*~·](?:[^\W_]|[@$!|+€(])){2,}(?!\S)")
-_DISGUISED = re.compile("[" + re.escape("".join(LEET) + GAPS.strip()) + r"]|(.)\1")
+_SIGNS = re.escape("".join(LEET) + ".-_*~·")
+#: What is searched for a disguise: while no features are known, if it could be read as one, and if it could be read as a whole word.
+_FIRST, _DISGUISED, _WIDER = re.compile(rf"[{_SIGNS}]|(.)\1\1"), re.compile(rf"[{_SIGNS}]|(.)\1"), re.compile(r"[/\\,'’]|[^\x00-\x7F]")
 _DECOR = re.compile(r"([^\w\s])\1{2,}")
+_STAR = re.compile(r"[^\W_]\*+[^\W_]")
+_AGAIN = re.compile(r"(.)\1+")
+_ENDS = ".,;:!?\"'()[]{}…«»“”"
+#: Letters, at most, of the parts that a spaced word is put together from.
+SHORT = 3
+
+
+def plain_letter(sign: str) -> str:
+    """The letter without its accents that a sign is, or looks like; the sign itself if it is none."""
+    return ALIKE.get(sign) or unicodedata.normalize("NFD", sign)[0]
+
+
+def _folding() -> dict[int, str | None]:
+    """A sign for all signs that can be read as each other; None for gaps."""
+    table: dict[int, str | None] = {ord(c): None for c in GAPS}
+    table |= {ord(c): letters[0] for c, letters in LEET.items()}
+    table |= {i: plain_letter(chr(i)) for i in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]} | {ord(c): x for c, x in ALIKE.items()}
+    one = lambda x: "i" if x in ("l", "|", "!", "1") else x  # noqa: E731  read as i and as l
+    return {k: one(v) for k, v in table.items()} | {ord(c): "i" for c in "l|!1"}
+
+
+_FOLDED = _folding()
+
+
+def folded(text: str) -> str:
+    """Texts of which one can be read as the other have the same form (but for stars): signs folded, gaps dropped, repeated signs once."""
+    return _AGAIN.sub(r"\1", text.lower().translate(_FOLDED))
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
@@ -101,6 +136,10 @@ class Channel:
 
             gap = sign in GAPS
             readings = [(sign, AS_IS if sign.isalpha() else KEPT_SIGN)] + [(c, LEET_COST) for c in LEET.get(sign, "")]
+            if sign == "*":
+                readings += [(c, STAR_COST) for c in LETTERS[:26]]
+            elif sign > "\x7f" and (base := plain_letter(sign)) != sign:
+                readings.append((base, LEET_COST))
             for (a, b), (cost, way) in states.items():
                 for letter, price in readings:
                     c = at(letter, OTHER)
@@ -122,43 +161,94 @@ class Channel:
         return "".join(reversed(signs)).strip()
 
 
-def _features(token: str, channel: Channel) -> tuple[str, ...]:
-    """Of a token: the word as written and, where it may be disguised, the words as restored; of each the first 4 to 8 letters."""
-    ends = ".,;:!?\"'()[]{}…«»“”"
-    bare = _DECOR.sub("", token).strip(ends)
-    words = {bare} if bare else set()
-    for form in {bare, token.lstrip(ends.replace("!", "")).rstrip(ends)}:  # signs that were taken for decoration may be letters
-        if _DISGUISED.search(form):
-            words.update(channel.restore(form).split())
-    return tuple({f for w in words for f in (f"={w}", *(f"^{w[:n]}" for n in range(4, 9) if len(w) >= n))})
-
-
 class Reader:
-    """Features of whole texts, of all or of those with a weight; those of frequent tokens are kept."""
+    """Features of whole texts, of all or of those with a weight; those of frequent tokens are kept.
+
+    Features are words as written and as restored, and of each the first 4 to 8 letters. A word may be spread over a run of parts of at most SHORT
+    letters, whatever white space or punctuation is between them: letters that stand alone are put together, other parts if what they spell is
+    read as a whole word with a weight.
+    """
 
     def __init__(self, costs: np.ndarray, weights: dict[str, float] | None = None):
         self.channel, self.weights = Channel(costs), weights
         self.kept: dict[str, tuple[str, ...]] = {}
+        either = lambda forms: re.compile("|".join(map(re.escape, sorted(forms))) if forms else "(?!)")
+        self.possible = either({folded(f[1:]) for f in weights or {}})
+        self.possible_words = either({folded(f[1:]) for f in weights or {} if f[0] == "="})
+        self.heads = {f[1:5] for f in weights or {}}
+        self.words = sorted({f[1:] for f in weights or {} if f[0] == "=" and len(f) > 4})
+
+    def restored(self, token: str) -> set[str]:
+        """The words of a token that may be disguised, as restored; those that it takes other scripts, accents or punctuation to read, if they are known."""
+        if self.weights is None:
+            return set(self.channel.restore(token).split()) if _FIRST.search(token) else set()
+        if _DISGUISED.search(token) and (self.possible.search(folded(token)) or _STAR.search(token)):
+            return set(self.channel.restore(token).split())
+        if _WIDER.search(token) and self.possible_words.search(folded(token)):
+            return {w for w in self.channel.restore(token).split() if f"={w}" in self.weights}
+        return set()
+
+    def words_of(self, token: str) -> set[str]:
+        """The word as written and, where it may be disguised, the words as restored."""
+        plain = token.isalpha()
+        bare = token if plain else _DECOR.sub("", token).strip(_ENDS)
+        words = {bare} if bare else set()
+        for form in {bare} if plain else {bare, token.lstrip(_ENDS.replace("!", "")).rstrip(_ENDS)}:  # signs that were taken for decoration may be letters
+            words |= self.restored(form)
+        return words
 
     def of(self, token: str) -> tuple[str, ...]:
         found = self.kept.get(token)
         if found is None:
-            found = _features(token, self.channel)
+            words = self.words_of(token)
             if self.weights is not None:
+                words = [w for w in words if w[:4] in self.heads]
+            found = tuple({f for w in words for f in (f"={w}", *(f"^{w[:n]}" for n in range(4, 9) if len(w) >= n))}) if words else ()
+            if found and self.weights is not None:
                 found = tuple(f for f in found if f in self.weights)
             if len(self.kept) < KEPT_TOKENS and len(token) <= KEPT_LENGTH:
                 self.kept[token] = found
         return found
 
-    def tokens(self, text: str) -> set[str]:
-        """The distinct tokens of a text, and of runs of spaced single letters the whole run, without its gaps, and its words as restored."""
-        text = text.lower()
-        found = set(text.split())
-        for run in _SPACED.findall(text):
-            letters = re.sub(r"[ .\-_*~·]", "", run)
-            found.update({letters, self.channel.restore(letters), *self.channel.restore(letters, breaks=True).split()})
+    def spread(self, tokens: list[str]) -> set[str]:
+        """Words that are spread over runs of short parts."""
+        runs, run = [], []
+        for token in tokens:
+            if (n := len(token)) <= SHORT + 3:
+                if token.isalpha() or (n == 1 and token in LEET):
+                    part = token
+                else:
+                    part = token if n == 1 and token.isalnum() else token.strip(_ENDS + GAPS)
+                    if not part:
+                        continue  # punctuation between parts
+                    n = len(part)
+                if n <= SHORT:
+                    run.append(part)
+                    continue
+            if len(run) > 1:
+                runs.append(run)
+            run = []
+        if len(run) > 1:
+            runs.append(run)
+        found = set()
+        for run in runs:
+            for single, parts in itertools.groupby(run, key=lambda p: len(p) == 1):
+                letters = "".join(parts) if single else ""
+                if len(letters) > 2:
+                    whole = self.channel.restore(letters)
+                    found.update({letters, whole, *self.channel.restore(letters, breaks=True).split()}, (w for w in self.words if w in whole))
+        if self.weights is not None and runs:
+            spelled = [folded("".join(r)) for r in runs]
+            text, ends = "\n".join(spelled), list(itertools.accumulate(len(x) + 1 for x in spelled))
+            for at in sorted({bisect_right(ends, m.start()) for m in self.possible_words.finditer(text)}):
+                found.update(w for w in self.channel.restore(" ".join(runs[at])).split() if f"={w}" in self.weights)
         return found
 
+    def tokens(self, text: str) -> set[str]:
+        """The distinct tokens of a text, and the words that are spread over several."""
+        tokens = text.lower().split()
+        return {*tokens, *self.spread(tokens)}
+
     def features(self, text: str) -> tuple[list[str], float]:
         """The features of all distinct tokens, and the square root of their number: what features weigh is divided by it, so that a
         few chance words in a long text count for little, and a few in a short text for much."""
@@ -181,21 +271,25 @@ def featured(rows: DataFrame, costs: np.ndarray) -> DataFrame:
     return rows.select("label", "text").mapInArrow(run, "label double, root double, features array<string>")
 
 
-def fit(train: DataFrame, least: int = 4, lift: float = 4.0, strength: float = 2e-5) -> tuple[dict[str, float], float]:
-    """Weights of features, and the intercept, from train(label, root, features).
+def fit(train: DataFrame, least: int = 4, lift: float = 4.0, strength: float = 2e-5, share: float = 0.15, sure_lift: float = 60.0) -> tuple[dict[str, float], dict[str, float], float]:
+    """Weights of features, what sure ones say by themselves, and the intercept, from train(label, root, features).
 
-    Candidates occur in at least `least` texts of label 1 and are `lift` times as frequent there; a lasso logistic regression
-    over them keeps few. With labels of one kind or none there are no weights and the intercept is the share of 1.
+    Candidates occur in at least `least` texts of label 1 and are `lift` times as frequent there (half a text is added to those of label 0); a lasso
+    logistic regression over them keeps few. Sure ones are in at least `share` of the texts of label 1 and `sure_lift` times as frequent there; each says
+    what share of the texts that have it (and one more) has label 1. With labels of one kind or none there are no weights and the intercept is the share of 1.
     """
     n, ones = train.agg(F.count("label"), F.sum("label")).first()
     if not n or ones in (0, n):
-        share = min(max((ones or 0) / n if n else 0.0, 1e-3), 1 - 1e-3)
-        return {}, math.log(share / (1 - share))
+        known = min(max((ones or 0) / n if n else 0.0, 1e-3), 1 - 1e-3)
+        return {}, {}, math.log(known / (1 - known))
     by = train.select("label", F.explode(F.array_distinct("features")).alias("f")).groupBy("f").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
     ratio = (F.col("bad") / ones) / ((F.col("good") + 0.5) / (n - ones))
-    names = [r["f"] for r in by.where((F.col("bad") >= least) & (ratio >= lift)).orderBy("f").collect()]  # bounded by the sample
+    is_sure = (F.col("bad") >= share * ones) & (ratio >= sure_lift)
+    known = F.when(is_sure, F.col("bad") / (F.col("bad") + F.col("good") + 1))
+    found = by.where((F.col("bad") >= least) & (ratio >= lift)).select("f", known.alias("known")).orderBy("f").collect()  # bounded by the sample
+    names, sure = [r["f"] for r in found], {r["f"]: r["known"] for r in found if r["known"]}
     if not names:
-        return {}, math.log(ones / (n - ones))
+        return {}, {}, math.log(ones / (n - ones))
     place = train.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     @F.udf(VectorUDT())
@@ -206,23 +300,24 @@ def fit(train: DataFrame, least: int = 4, lift: float = 4.0, strength: float = 2
 
     rows = written(train.select("label", vector("features", "root").alias("x")), "vectors")
     model = LogisticRegression(featuresCol="x", elasticNetParam=1.0, regParam=strength, maxIter=80, standardization=False).fit(rows)
-    return {f: float(w) for f, w in zip(names, model.coefficients.toArray(), strict=True) if w}, float(model.intercept)
+    return {f: float(w) for f, w in zip(names, model.coefficients.toArray(), strict=True) if w}, sure, float(model.intercept)
 
 
-def score_texts(rows: DataFrame, costs: np.ndarray, weights: dict[str, float], intercept: float) -> DataFrame:
-    """rows(doc_id, text, ...) with score double: the logistic of the intercept and the weights of the features the text has."""
-    sent = rows.sparkSession.sparkContext.broadcast((costs, weights, intercept))
+def score_texts(rows: DataFrame, costs: np.ndarray, weights: dict[str, float], sure: dict[str, float], intercept: float) -> DataFrame:
+    """rows(doc_id, text, ...) with score double: the logistic of the intercept and the weights of the features the text has, or what a sure one says
+    if that is more."""
+    sent = rows.sparkSession.sparkContext.broadcast((costs, weights, sure, intercept))
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        costs, weights, base = sent.value
-        reader = Reader(costs, weights)
+        costs, weights, sure, base = sent.value
+        reader = Reader(costs, {f: 0.0 for f in sure} | weights)
         for batch in batches:
             scores = []
             for text in batch["text"]:
                 found, root = reader.features(text.as_py() or "")
-                z = base + math.fsum(weights[f] for f in found) / root
-                scores.append(1 / (1 + math.exp(-max(-60.0, min(60.0, z)))))
+                z = base + math.fsum(weights.get(f, 0.0) for f in found) / root
+                scores.append(max(1 / (1 + math.exp(-max(-60.0, min(60.0, z)))), *(sure[f] for f in found if f in sure), 0.0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, "float64")], [*batch.schema.names, "score"])
 
     return rows.mapInArrow(run, schema)
@@ -238,8 +333,7 @@ def scored(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS
     costs = language_model(docs)
     sample = training_sample(labels, "toxic", 3, 1, max_rows)
     train = written(featured(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), costs), "features")  # at most max_rows labels
-    weights, intercept = fit(train)
-    return score_texts(docs, costs, weights, intercept)
+    return score_texts(docs, costs, *fit(train))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
