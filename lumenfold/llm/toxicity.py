@@ -50,7 +50,7 @@ _SIGNS = re.escape("".join(LEET) + ".-_*~·")
 #: What is searched for a disguise: while no features are known, if it could be read as one, and if it could be read as a whole word.
 _FIRST, _DISGUISED, _WIDER = re.compile(rf"[{_SIGNS}]|(.)\1\1"), re.compile(rf"[{_SIGNS}]|(.)\1"), re.compile(r"[/\\,'’]|[^\x00-\x7F]")
 _DECOR = re.compile(r"([^\w\s])\1{2,}")
-_STAR = re.compile(r"[^\W_]\*+[^\W_]")
+_STAR = re.compile(r"[^\W\d_]\*{1,2}[^\W\d_]")
 _AGAIN = re.compile(r"(.)\1+")
 _ENDS = ".,;:!?\"'()[]{}…«»“”"
 #: Letters, at most, of the parts that a spaced word is put together from.
@@ -118,10 +118,10 @@ class Channel:
         self.costs = costs.tolist()
         self.place = {c: i + 1 for i, c in enumerate(LETTERS)}
 
-    def restore(self, token: str, breaks: bool = False) -> str:
+    def restore(self, token: str, breaks: bool = False, stars: bool = False) -> str:
         """The likeliest reading of a token, in lower case: each sign is read as a letter, as the last letter once more, or as a gap.
 
-        A gap, with `breaks` every sign, may also end a word; words are parted by a space. The search keeps the best way to each pair of
+        A gap, with `breaks` every sign, may also end a word; words are parted by a space. With `stars` a star may be any letter. The search keeps the best way to each pair of
         last letters, so it takes time in proportion to the token.
         """
         at, costs = self.place.get, self.costs
@@ -136,7 +136,7 @@ class Channel:
 
             gap = sign in GAPS
             readings = [(sign, AS_IS if sign.isalpha() else KEPT_SIGN)] + [(c, LEET_COST) for c in LEET.get(sign, "")]
-            if sign == "*":
+            if stars and sign == "*":
                 readings += [(c, STAR_COST) for c in LETTERS[:26]]
             elif sign > "\x7f" and (base := plain_letter(sign)) != sign:
                 readings.append((base, LEET_COST))
@@ -182,7 +182,9 @@ class Reader:
         """The words of a token that may be disguised, as restored; those that it takes other scripts, accents or punctuation to read, if they are known."""
         if self.weights is None:
             return set(self.channel.restore(token).split()) if _FIRST.search(token) else set()
-        if _DISGUISED.search(token) and (self.possible.search(folded(token)) or _STAR.search(token)):
+        if token.count("*") < 3 and _STAR.search(token):
+            return set(self.channel.restore(token, stars=True).split())
+        if _DISGUISED.search(token) and self.possible.search(folded(token)):
             return set(self.channel.restore(token).split())
         if _WIDER.search(token) and self.possible_words.search(folded(token)):
             return {w for w in self.channel.restore(token).split() if f"={w}" in self.weights}

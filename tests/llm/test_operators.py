@@ -105,6 +105,43 @@ def test_restores_disguised_words():
     assert reader.features("")[0] == []
 
 
+def test_spread_and_foreign_letters_reach_the_features(spark):
+    texts = ["idiot", "loser", "stupid", "you are no one here", "go on", "put it in the tin"]
+    costs = toxicity.language_model(docs(spark, [(i, f"{t} " * 50, "s") for i, t in enumerate(texts)]))
+    weights = {f: 1.0 for w in ("idiot", "loser", "stupid") for f in (f"={w}", f"^{w[:4]}")}
+    reader = toxicity.Reader(costs, weights)
+    idiot = ["you i d i o t!", "you i d i o t, go", "(i d i o t)", "i  d  i  o  t", "i\nd\ni\no\nt", "i/d/i/o/t", "i - d - i - o - t", "id io t", "idi ot", "idi\not!", "idi*t", "idi\u00f6t", "\u0456diot", "1d10t", "!d!0t", "i.d.i.o.t", "idiooot", "y o u i d i o t"]
+    for text in idiot:
+        assert "=idiot" in reader.features(text)[0], text
+    for text in ("st*pid", "st\u00fcpid", "$tup1d", "stu pid", "s.tupid"):
+        assert "=stupid" in reader.features(text)[0], text
+    for text in ("go on", "put it in the tin", "*** ** *", "los er is two", "", "st\u00fcpf", "ipad iota"):
+        assert not [f for f in reader.features(text)[0] if f in ("=idiot", "=stupid")], text
+
+
+def test_fold_keeps_every_reading():
+    rng = random.Random(12)
+    channel = toxicity.Channel(np.random.default_rng(3).uniform(0.1, 6, (toxicity.SIZE,) * 3))
+    signs = "abeiloszt01345$@!|.-_\u00e9\u00f6\u0456" + "tt"
+    for _ in range(400):  # folding a token and folding what it is restored to give the same form
+        token = "".join(rng.choice(signs) for _ in range(rng.randint(1, 9)))
+        assert toxicity.folded(channel.restore(token).replace(" ", "")) == toxicity.folded(token), token
+
+
+def test_score_equals_its_features_and_weights(spark):
+    d, labels = labelled(spark, 300)
+    costs = toxicity.language_model(d)
+    train = toxicity.featured(d.join(labels, "doc_id").selectExpr("cast(toxic as double) AS label", "text"), costs)
+    weights, sure, base = toxicity.fit(train)
+    assert weights and sure and all(0.7 < p < 1 for p in sure.values())
+    reader = toxicity.Reader(costs, {f: 0.0 for f in sure} | weights)
+    for r in toxicity.score_texts(d.select("doc_id", "text"), costs, weights, sure, base).collect():
+        found, root = reader.features(r.text or "")
+        z = base + sum(weights.get(f, 0.0) for f in found) / root
+        assert abs(r.score - max([1 / (1 + np.exp(-z))] + [sure[f] for f in found if f in sure])) < 1e-9
+        assert set(found) == {f for f in toxicity.Reader(costs).features(r.text or "")[0] if f in weights or f in sure}
+
+
 def every_reading(channel, token, breaks):
     """(cost, text) of all ways through the lattice of a token."""
     ways = [(0.0, 0, 0, "")]
