@@ -60,7 +60,7 @@ def shift_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def depth_shift(spark: SparkSession, sf: str) -> DataFrame:
-    stack = src.frames(spark, sf).groupBy("z", "y", "x").agg(F.round(F.avg("v"), 6).alias("v"))
+    stack = src.frames(spark, sf).groupBy("z", "y", "x").agg(F.avg("v").alias("v"))
     return reg.depth_shifted(stack, 1.25)
 
 
@@ -96,7 +96,7 @@ def chain_shifts(spark: SparkSession, sf: str) -> DataFrame:
 _C = f"""{src.FRAMES}, n AS (SELECT z, t, row_number() OVER (PARTITION BY z ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY z) AS n FROM (SELECT DISTINCT z, t FROM frames)),
     k AS (SELECT z, t, i, greatest(1, floor(n / {CHUNK}.0::DOUBLE + 0.5))::BIGINT AS c, n FROM n), ch AS (SELECT z, t, i, i // (n // c) AS chunk FROM k WHERE i // (n // c) < c), cf AS (SELECT z, t, y, x, v, i, chunk FROM frames JOIN ch USING (z, t))"""
 _SH = f"""{_C}, cc AS (SELECT a.z, a.i, (b.y - a.y + {SIDE}) % {SIDE} AS sy, (b.x - a.x + {SIDE}) % {SIDE} AS sx, sum(a.v * b.v)::BIGINT AS c FROM cf a JOIN cf b ON a.z = b.z AND b.i = a.i - 1 GROUP BY 1, 2, 3, 4),
-    sh AS (SELECT z, i, first(CASE WHEN sy >= 4 THEN sy - 8 ELSE sy END ORDER BY c DESC, sx, sy) AS dy, first(CASE WHEN sx >= 4 THEN sx - 8 ELSE sx END ORDER BY c DESC, sx, sy) AS dx, max(c) AS peak FROM cc GROUP BY 1, 2)"""
+    sh AS (SELECT z, i, first(CASE WHEN sy >= 4 THEN sy - 8 ELSE sy END ORDER BY abs(c) DESC, sx, sy) AS dy, first(CASE WHEN sx >= 4 THEN sx - 8 ELSE sx END ORDER BY abs(c) DESC, sx, sy) AS dx, first(c ORDER BY abs(c) DESC, sx, sy) AS peak FROM cc GROUP BY 1, 2)"""
 
 ALL = {
     "chunk_numbers": (chunk_numbers, f"WITH {_C} SELECT z, t, i, chunk FROM ch"),
@@ -106,7 +106,7 @@ ALL = {
     "trusted_shifts": (trusted_shifts, f"WITH {_SH}, g AS (SELECT z, i, sum(CASE WHEN greatest(abs(dy), abs(dx)) <= {CAP} THEN dy ELSE 0 END) OVER w AS dy, sum(CASE WHEN greatest(abs(dy), abs(dx)) <= {CAP} THEN dx ELSE 0 END) OVER w AS dx FROM sh WINDOW w AS (PARTITION BY z ORDER BY i)) SELECT z, i, dy - median(dy) OVER (PARTITION BY z) AS dy, dx - median(dx) OVER (PARTITION BY z) AS dx FROM g"),
     "moved_frames": (moved_frames, f"WITH {_SH} SELECT a.z, a.i, a.y, a.x, coalesce(b.v, 0) AS v FROM cf a JOIN sh USING (z, i) LEFT JOIN cf b ON b.z = a.z AND b.i = a.i AND b.y = a.y - dy AND b.x = a.x - dx UNION ALL SELECT z, i, y, x, v FROM cf WHERE i = 0"),
     "shift_summary": (shift_summary, f"WITH {_SH} SELECT z, round(median(sqrt(dy * dy + dx * dx)), 6) AS median, round(quantile_cont(sqrt(dy * dy + dx * dx), 0.95), 6) AS p95, median(dy) AS dy, median(dx) AS dx FROM sh GROUP BY 1"),
-    "depth_shift": (depth_shift, f"WITH {src.FRAMES}, s AS (SELECT z, y, x, round(avg(v), 6) AS v FROM frames GROUP BY 1, 2, 3) SELECT a.z, a.y, a.x, round(0.75::DOUBLE * coalesce(b.v, 0) + 0.25::DOUBLE * coalesce(c.v, 0), 6) AS v FROM s a LEFT JOIN s b ON b.z = a.z - 1 AND b.y = a.y AND b.x = a.x LEFT JOIN s c ON c.z = a.z - 2 AND c.y = a.y AND c.x = a.x"),
+    "depth_shift": (depth_shift, f"WITH {src.FRAMES}, s AS (SELECT z, y, x, avg(v) AS v FROM frames GROUP BY 1, 2, 3) SELECT a.z, a.y, a.x, round(0.75::DOUBLE * coalesce(b.v, 0) + 0.25::DOUBLE * coalesce(c.v, 0), 9) AS v FROM s a LEFT JOIN s b ON b.z = a.z - 1 AND b.y = a.y AND b.x = a.x LEFT JOIN s c ON c.z = a.z - 2 AND c.y = a.y AND c.x = a.x"),
     "plane_range": (plane_range, f"WITH {src.FRAMES}, h AS (SELECT y, x, nullif(v, 0) AS v FROM frames, (SELECT max(z) + 1 AS nz FROM frames) WHERE z + 1 BETWEEN floor(0.25 * nz + 0.5) AND floor(0.75 * nz + 0.5)) SELECT y, x, round(coalesce(avg(v), 0), 6) AS mean, coalesce(max(v), 0) AS max, coalesce(median(v), 0) AS median FROM h GROUP BY 1, 2"),
     "best_frame": (best_frame, f"WITH {src.FRAMES}, m AS (SELECT z, y, x, round(avg(v), 6) AS w FROM frames GROUP BY 1, 2, 3), r AS (SELECT z, t, round(corr(v, w), 6) AS r FROM frames JOIN m USING (z, y, x) GROUP BY 1, 2) SELECT z, first(t ORDER BY r DESC, t) AS t, max(r) AS r FROM r GROUP BY 1"),
     "subpixel_shifts": (subpixel_shifts, None),

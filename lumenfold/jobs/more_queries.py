@@ -47,11 +47,12 @@ def long_branches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def field_noise(spark: SparkSession, sf: str) -> DataFrame:
-    """Of each plane's mean the power of the fastest change from row to row, columns centred first, against its variance."""
-    mean = src.frames(spark, sf).groupBy("z", "y", "x").agg(F.round(F.avg("v"), 6).alias("v"))
-    centred = mean.join(mean.groupBy("z", "x").agg(F.avg("v").alias("m")), ["z", "x"]).select("z", "x", "y", (F.col("v") - F.col("m")).alias("d"))
-    by = centred.groupBy("z", "x").agg(F.sum(F.when(F.col("y") % 2 == 0, F.col("d")).otherwise(-F.col("d"))).alias("s"), F.sum(F.col("d") * F.col("d")).alias("p"))
-    return by.groupBy("z").agg(F.round(F.sum(F.col("s") * F.col("s")) / F.sum("p"), 6).alias("ratio"))
+    """Of each plane's mean the power of the fastest change from row to row against the median power of the upper half of the band.
+
+    Columns are centred first; power is averaged over columns. Null where the plane has too few rows for four frequencies, or no power there.
+    """
+    mean = src.frames(spark, sf).groupBy("z", "y", "x").agg(F.avg("v").alias("v"))
+    return fr.nyquist_ratio(mean.join(mean.groupBy("z", "x").agg(F.avg("v").alias("m")), ["z", "x"]).select("z", "x", "y", (F.col("v") - F.col("m")).alias("v")))
 
 
 def first_frames(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,7 +97,9 @@ ALL = {
         g AS (SELECT image, v, round((w0::DOUBLE * (w - w0)) * (s0::DOUBLE / w0 - (s - s0)::DOUBLE / (w - w0)) * (s0::DOUBLE / w0 - (s - s0)::DOUBLE / (w - w0)), 3) AS g FROM c WHERE w0 < w), o AS (SELECT image, first(v ORDER BY g DESC, v) AS threshold FROM g GROUP BY 1)
         SELECT image, round(greatest(p20, 0.25::DOUBLE * threshold), 6) AS threshold FROM o JOIN (SELECT image, quantile_cont(v, 0.2) AS p20 FROM s GROUP BY 1) USING (image)"""),
     "long_branches": (long_branches, f"{_S}, {mq._DEG}, plain AS (SELECT image, y, x FROM deg WHERE degree <= 2), {mq._label('pl', 'plain')} SELECT image, y, x, label FROM pl SEMI JOIN (SELECT image, label FROM pl GROUP BY 1, 2 HAVING count(*) >= 4) USING (image, label)"),
-    "field_noise": (field_noise, f"WITH {src.FRAMES}, i AS (SELECT z, y, x, round(avg(v), 6) AS v FROM frames GROUP BY 1, 2, 3), c AS (SELECT z, x, y, v - avg(v) OVER (PARTITION BY z, x) AS d FROM i), b AS (SELECT z, x, sum(CASE WHEN y % 2 = 0 THEN d ELSE -d END) AS s, sum(d * d) AS p FROM c GROUP BY 1, 2) SELECT z, round(sum(s * s) / sum(p), 6) AS ratio FROM b GROUP BY 1"),
+    "field_noise": (field_noise, f"""WITH {src.FRAMES}, i AS (SELECT z, y, x, avg(v) AS v FROM frames GROUP BY 1, 2, 3), c AS (SELECT z, x, y, v - avg(v) OVER (PARTITION BY z, x) AS d FROM i), n AS (SELECT z, max(y) + 1 AS n FROM i GROUP BY 1),
+        w AS (SELECT z, k, x, sum(d * cos(2 * pi() * k * y / n)) AS re, sum(d * sin(2 * pi() * k * y / n)) AS im FROM c JOIN n USING (z), unnest(range(0, n // 2 + 1)) u(k) GROUP BY 1, 2, 3), p AS (SELECT z, k, avg(re * re + im * im) AS p FROM w GROUP BY 1, 2),
+        s AS (SELECT z, count(*) AS bins FROM p GROUP BY 1), b AS (SELECT z, any_value(bins) AS bins, median(p) FILTER (k >= bins // 2 AND k < bins - 1) AS band, max(p) FILTER (k = bins - 1) AS last FROM p JOIN s USING (z) GROUP BY 1) SELECT z, CASE WHEN bins >= 4 AND band > 0 THEN round(last / band, 6) END AS ratio FROM b"""),
     "first_frames": (first_frames, f"WITH {fq._C} SELECT z, y, x, round(avg(v), 6) AS mean, max(v) AS max, median(v) AS median, count(*) AS n FROM cf WHERE i < 50 GROUP BY 1, 2, 3"),
     "edited_regions": (edited_regions, f"WITH {src.ROIS}, kept AS (SELECT sample, id, x, y, w, h FROM roi WHERE id > 1), a AS (SELECT o_custkey AS sample, o_orderkey % 40 AS x, o_orderkey % 37 AS y, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders WHERE o_totalprice >= 250000) SELECT * FROM kept UNION ALL SELECT sample, coalesce(top, 0) + k, x, y, 8, 8 FROM a LEFT JOIN (SELECT sample, max(id) AS top FROM kept GROUP BY 1) USING (sample)"),
     "stitched_times": (stitched_times, f"WITH {fq._C} SELECT z, t, i AS place FROM ch"),

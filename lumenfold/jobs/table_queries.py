@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions.numeric import half_away
+from lumenfold.functions.numeric import half_away, natural_key
 from lumenfold.operators import rois as roi
 from lumenfold.operators import stats
 from lumenfold.sources import adapters as src
@@ -161,10 +161,9 @@ def probe_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def natural_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts of a brand numbered in natural order of a name whose numbers count as numbers."""
-    p = src.read(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 50).alias("folder"), F.concat(F.lit("scan_T"), F.col("p_partkey").cast("string"), F.lit("_C1.tif")).alias("name"))
-    digits = F.lpad(F.regexp_extract("name", "T([0-9]+)_", 1), 12, "0")
-    return p.select("folder", "name", F.row_number().over(Window.partitionBy("folder").orderBy(F.regexp_replace("name", "[0-9]+", ""), digits)).cast("long").alias("place"))
+    """Parts of a folder numbered in natural order of names: every run of digits counts as a number."""
+    p = src.read(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 50).alias("folder"), F.concat(F.lit("scan_T"), (F.col("p_partkey") % 13).cast("string"), F.lit("_C"), F.col("p_partkey").cast("string"), F.lit(".tif")).alias("name"))
+    return p.select("folder", "name", F.row_number().over(Window.partitionBy("folder").orderBy(natural_key("name"), "name")).cast("long").alias("place"))
 
 
 def dimensions(spark: SparkSession, sf: str) -> DataFrame:
@@ -250,7 +249,7 @@ def calibration(spark: SparkSession, sf: str) -> DataFrame:
 
 def seed_rules(spark: SparkSession, sf: str) -> DataFrame:
     """The two reject rules of the first detector, and its counts with 0 for accepted seeds that nothing was counted for."""
-    s = src.seeds(spark, sf).withColumn("ok", ~((F.col("compact") > 0.85) & (F.col("n_dirs") <= 2)) & ~((F.col("tube") > F.col("blob")) & (F.col("n_dirs") <= 2)))
+    s = src.seeds(spark, sf).withColumn("ok", ~((F.col("lc_ecc") > 0.85) & (F.col("n_dirs") <= 2)) & ~((F.col("tube") > F.col("blob")) & (F.col("n_dirs") <= 2)))
     counts = src.read(spark, sf, "lineitem").where("l_quantity >= 45").groupBy(F.col("l_partkey").alias("label")).agg(F.count("*").alias("n"))
     return s.where("ok").join(counts, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -278,9 +277,9 @@ ALL = {
     "master_table": (master_table, f"""WITH {_T}, t AS (SELECT image, round(avg(fg_share), 8) AS fg_share, round(avg(mean), 8) AS mean, round(avg(tips_per), 8) AS tips_per FROM tile GROUP BY 1), u AS (UNPIVOT t ON fg_share, mean, tips_per INTO NAME metric VALUE value),
         g AS (SELECT metric, avg(value) FILTER (image % 2 = 0) AS a, avg(value) FILTER (image % 2 = 1) AS b, round(min(value), 6) AS least, round(max(value), 6) AS most FROM u GROUP BY 1) SELECT metric, round(a, 6) AS wt, round(b, 6) AS het, round(100 * (b - a) / a, 1) AS pct, least, most FROM g"""),
     "morphotypes": (morphotypes, None),
-    "permutation_test": (permutation_test, f"""WITH {_MED}, u AS (SELECT DISTINCT sample, geno FROM long), d AS (SELECT sample, r, row_number() OVER (PARTITION BY r ORDER BY md5('7:' || r || ':' || sample), sample) <= (SELECT count(*) FROM u WHERE geno = 'WT') AS in_a FROM u, range(1, {ROUNDS + 1}) k(r)),
+    "permutation_test": (permutation_test, f"""WITH {_MED}, u AS (SELECT *, count(*) FILTER (geno = 'WT') OVER (PARTITION BY metric) AS na FROM long WHERE value IS NOT NULL), d AS (SELECT metric, value, r, row_number() OVER (PARTITION BY metric, r ORDER BY md5('7:' || r || ':' || sample), sample) <= na AS in_a FROM u, range(1, {ROUNDS + 1}) k(r)),
         s AS (SELECT metric, avg(value) FILTER (geno = 'WT') - avg(value) FILTER (geno <> 'WT') AS d, median(value) FILTER (geno = 'WT') AS da, median(value) FILTER (geno <> 'WT') AS db, avg(value) FILTER (geno = 'WT') AS ma, avg(value) FILTER (geno <> 'WT') AS mb, var_samp(value) FILTER (geno = 'WT') AS va, var_samp(value) FILTER (geno <> 'WT') AS vb, count(*) FILTER (geno = 'WT') AS na, count(*) FILTER (geno <> 'WT') AS nb FROM long GROUP BY 1),
-        e AS (SELECT metric, r, avg(value) FILTER (in_a) - avg(value) FILTER (NOT in_a) AS e FROM long JOIN d USING (sample) GROUP BY 1, 2), p AS (SELECT metric, (count(*) FILTER (abs(e) >= abs(d) - 1e-12::DOUBLE) + 1) / {ROUNDS + 1}::DOUBLE AS p FROM e JOIN s USING (metric) GROUP BY 1),
+        e AS (SELECT metric, r, avg(value) FILTER (in_a) - avg(value) FILTER (NOT in_a) AS e FROM d GROUP BY 1, 2), p AS (SELECT metric, (count(*) FILTER (abs(e) >= abs(d) - 1e-12::DOUBLE) + 1) / {ROUNDS + 1}::DOUBLE AS p FROM e JOIN s USING (metric) GROUP BY 1),
         q AS (SELECT metric, p, p * count(*) OVER () / (SELECT count(*) FROM p b WHERE b.p <= a.p) AS r FROM p a)
         SELECT metric, round(da, 6) AS median_a, round(db, 6) AS median_b, round((1 - 3 / (4 * (na + nb) - 9)::DOUBLE) * (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS hedges_g, round(p, 6) AS p, round(least(1, (SELECT min(b.r) FROM q b WHERE b.p >= a.p)), 6) AS q FROM q a JOIN s USING (metric)"""),
     "rank_tests": (rank_tests, f"""WITH {_MED}, r AS (SELECT metric, geno, value, rank() OVER (PARTITION BY metric ORDER BY value) + (count(*) OVER (PARTITION BY metric, value) - 1) / 2.0::DOUBLE AS k, count(*) OVER (PARTITION BY metric, value) AS t,
@@ -293,7 +292,7 @@ ALL = {
     "difference_report": (difference_report, f"WITH {src.SCENES}, d AS (SELECT image, abs(coalesce(v, 0) - coalesce(w, 0)) AS d FROM scene FULL JOIN (SELECT image - 1 AS image, y, x, v AS w FROM scene) USING (image, y, x)) SELECT image, bool_and(d = 0) AS same, max(d) AS most, round(avg((d > 0)::INT), 6) AS differs FROM d GROUP BY 1"),
     "probe_rows": (probe_rows, """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
         s AS (SELECT o_custkey, o_orderkey, CASE WHEN i = 1 THEN 'worst' WHEN i = n THEN 'best' WHEN i = n // 2 + 1 THEN 'middle' END AS role, i - 1 IN (0, (n - 1) // 4, (2 * (n - 1)) // 4, (3 * (n - 1)) // 4, n - 1) AS probe FROM r) SELECT * FROM s WHERE role IS NOT NULL OR probe"""),
-    "natural_order": (natural_order, "SELECT p_partkey % 50 AS folder, 'scan_T' || p_partkey || '_C1.tif' AS name, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) AS place FROM part"),
+    "natural_order": (natural_order, "SELECT p_partkey % 50 AS folder, 'scan_T' || p_partkey % 13 || '_C' || p_partkey || '.tif' AS name, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey % 13, p_partkey) AS place FROM part"),
     "dimensions": (dimensions, "WITH l AS (SELECT DISTINCT l_suppkey % 20 AS folder, l_linenumber % 2 + 1 AS c, l_partkey % 9 + 1 AS z, l_orderkey % 30 + 1 AS t FROM lineitem) SELECT folder, max(c)::BIGINT AS nc, max(z)::BIGINT AS nz, max(t)::BIGINT AS nt, count(*) AS n, (max(c) * max(z) * max(t) - count(*))::BIGINT AS missing FROM l GROUP BY 1"),
     "image_names": (image_names, """WITH c AS (SELECT c_custkey, left(c_mktsegment, 1) || '_' || CASE c_custkey % 3 WHEN 0 THEN 'WT' WHEN 1 THEN 'HET' ELSE 'x' END || '_' || c_custkey % 200 || '_raw' AS stem, CASE WHEN c_custkey % 3 = 2 THEN (c_custkey % 200)::VARCHAR ELSE left(c_mktsegment, 1) || '_' || CASE c_custkey % 3 WHEN 0 THEN 'WT' ELSE 'HET' END || '_' || c_custkey % 200 END AS key FROM customer),
         k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY c_custkey) AS i FROM c) SELECT c_custkey, CASE WHEN i > 1 THEN stem || '_' || i ELSE key END AS key, CASE WHEN key LIKE '%WT%' THEN 'WT' ELSE 'HET' END AS condition FROM k"""),
@@ -307,7 +306,7 @@ ALL = {
     "version_counts": (version_counts, "SELECT version, F, O, P, CASE WHEN w > 0 THEN w::VARCHAR ELSE 'none' END AS was FROM (SELECT o_orderkey % 11 AS version, count(*) FILTER (o_orderstatus = 'P' AND o_totalprice > 400000) AS w, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1)"),
     "order_spectrum": (order_spectrum, "WITH j AS (SELECT o_custkey, count(*) AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_orderkey HAVING count(*) >= 3) SELECT o_custkey, count(*) AS n, round(avg(k), 6) AS mean, round(100 * avg((k = 3)::INT), 6) AS pct3, round(100 * avg((k = 4)::INT), 6) AS pct4, round(100 * avg((k >= 5)::INT), 6) AS pct5 FROM j GROUP BY 1"),
     "calibration": (calibration, f"WITH {src.SEEDS} SELECT cut, round(100 * avg((compact >= cut)::INT) FILTER (n_dirs >= 4), 6) AS keep_pct, round(100 * avg((compact < cut)::INT) FILTER (n_dirs < 4), 6) AS cut_pct FROM seeds, (SELECT t / 10.0::DOUBLE AS cut FROM range(1, 10) r(t)) GROUP BY 1"),
-    "seed_rules": (seed_rules, f"WITH {src.SEEDS} SELECT label, coalesce(n, 0) AS n FROM seeds LEFT JOIN (SELECT l_partkey AS label, count(*) AS n FROM lineitem WHERE l_quantity >= 45 GROUP BY 1) USING (label) WHERE NOT (compact > 0.85 AND n_dirs <= 2) AND NOT (tube > blob AND n_dirs <= 2)"),
+    "seed_rules": (seed_rules, f"WITH {src.SEEDS} SELECT label, coalesce(n, 0) AS n FROM seeds LEFT JOIN (SELECT l_partkey AS label, count(*) AS n FROM lineitem WHERE l_quantity >= 45 GROUP BY 1) USING (label) WHERE NOT (lc_ecc > 0.85 AND n_dirs <= 2) AND NOT (tube > blob AND n_dirs <= 2)"),
 }
 QUERIES = {k: f for k, (f, _) in ALL.items()}
 ORACLE_SQL = {k: s for k, (_, s) in ALL.items() if s}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,22 @@ def project(frames: DataFrame, over: str, keep: list[str]) -> DataFrame:
     return frames.groupBy(*keep).agg(F.round(F.avg("v"), 6).alias("mean"), F.max("v").alias("max"), F.median("v").alias("median"), F.count(over).alias("n"))
 
 
+def nyquist_ratio(planes: DataFrame) -> DataFrame:
+    """(z, ratio) of planes(z, y, x, v): power at the fastest change from row to row against the median power of the upper half of the band without it.
+
+    Null with fewer than four frequencies, or where that median is 0. A plane is a group.
+    """
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((int(f["y"].max()) + 1, int(f["x"].max()) + 1))
+        a[f["y"], f["x"]] = f["v"]
+        power = (np.abs(np.fft.rfft(a, axis=0)) ** 2).mean(1)
+        band = float(np.median(power[len(power) // 2 : -1])) if len(power) >= 4 else 0.0
+        return pd.DataFrame({"z": f["z"].iloc[:1], "ratio": [round(float(power[-1]) / band, 6) if band > 0 else None]})
+
+    return planes.groupBy("z").applyInPandas(one, f"z {planes.schema['z'].dataType.simpleString()}, ratio double")
+
+
 def overall_median(df: DataFrame, column: str) -> float | None:
     """The median of a column: rows are dealt out by range and sorted there, and only those in the middle are looked at."""
     ranged = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))

@@ -30,16 +30,16 @@ def references(chunks: DataFrame) -> DataFrame:
 
 
 def whole_shifts(moving: DataFrame, fixed: DataFrame, keys: list[str], side: int) -> DataFrame:
-    """(keys, dy, dx, peak): the shift that brings moving(keys, y, x, v) onto fixed(keys, y, x, v), at the peak of their circular cross-correlation.
+    """(keys, dy, dx, peak): the shift that brings moving(keys, y, x, v) onto fixed(keys, y, x, v), where their circular cross-correlation is furthest from 0.
 
-    Ties go to the first in the order of columns, then rows. Shifts beyond half the side count from the other end.
+    `peak` is the correlation there, with its sign. Ties go to the first in the order of columns, then rows. Shifts beyond half the side count from the other end.
     """
     pairs = moving.join(fixed.select(*keys, F.col("y").alias("fy"), F.col("x").alias("fx"), F.col("v").alias("w")), keys)
     at = [F.pmod(F.col("fy") - F.col("y"), F.lit(side)).alias("sy"), F.pmod(F.col("fx") - F.col("x"), F.lit(side)).alias("sx")]
     c = pairs.groupBy(*keys, *at).agg(F.sum(F.col("v") * F.col("w")).alias("c"))
-    best = c.groupBy(*keys).agg(F.min(F.struct((-F.col("c")).alias("c"), "sx", "sy")).alias("b"))
+    best = c.groupBy(*keys).agg(F.min(F.struct((-F.abs("c")).alias("far"), "sx", "sy", "c")).alias("b"))
     signed = lambda s: F.when(F.col(s) >= (side + 1) // 2, F.col(s) - side).otherwise(F.col(s)).cast("long")
-    return best.select(*keys, signed("b.sy").alias("dy"), signed("b.sx").alias("dx"), (-F.col("b.c")).alias("peak"))
+    return best.select(*keys, signed("b.sy").alias("dy"), signed("b.sx").alias("dx"), F.col("b.c").alias("peak"))
 
 
 def trusted(shifts: DataFrame, cap: float, least: float = 0.0) -> DataFrame:
@@ -65,7 +65,7 @@ def depth_shifted(stack: DataFrame, z: float) -> DataFrame:
     a = stack.select((F.col("z") + zi).alias("z"), "y", "x", ((1 - f) * F.col("v")).alias("v"))
     b = stack.select((F.col("z") + zi + 1).alias("z"), "y", "x", (f * F.col("v")).alias("v"))
     both = a.union(b).groupBy("z", "y", "x").agg(F.sum("v").alias("v"))
-    return stack.select("z", "y", "x").join(both, ["z", "y", "x"], "left").select("z", "y", "x", F.round(F.coalesce("v", F.lit(0.0)), 6).alias("v"))
+    return stack.select("z", "y", "x").join(both, ["z", "y", "x"], "left").select("z", "y", "x", F.round(F.coalesce("v", F.lit(0.0)), 9).alias("v"))
 
 
 def upsampled(c: np.ndarray, size: int, factor: int, at: tuple[float, float]) -> np.ndarray:
@@ -77,20 +77,22 @@ def upsampled(c: np.ndarray, size: int, factor: int, at: tuple[float, float]) ->
 
 
 def subpixel_shift(moving: np.ndarray, fixed: np.ndarray, factor: int = 100) -> tuple[float, float]:
-    """The shift, to 1 / factor of a pixel, that brings moving onto fixed: the peak of their cross-correlation, then a fine grid around it."""
+    """The shift, to 1 / factor of a pixel, that brings moving onto fixed: where their cross-correlation is furthest from 0, then a fine grid
+    around it. A single row or column has no shift along it."""
     if not (np.isfinite(moving).all() and np.isfinite(fixed).all()):
         raise ValueError("frames with values that aren't finite can't be registered")
     c = np.fft.fft2(fixed) * np.conj(np.fft.fft2(moving))
     n, m = c.shape
-    x, y = np.unravel_index(np.argmax(np.round(np.fft.ifft2(c).real.T, 9)), (m, n))  # the first in the order of columns
+    x, y = np.unravel_index(np.argmax(np.round(np.abs(np.fft.ifft2(c).T), 9)), (m, n))  # the first in the order of columns
     coarse = np.array([y - n if y >= (n + 1) // 2 else y, x - m if x >= (m + 1) // 2 else x], float)
+    single = np.array([n == 1, m == 1])
     if factor == 1:
-        return coarse[0], coarse[1]
+        return tuple(np.where(single, 0.0, coarse).tolist())
     size = int(np.ceil(1.5 * factor)) | 1
     start = np.round(coarse * factor) - size // 2
-    fine = upsampled(c, size, factor, (start[0], start[1])).real
+    fine = np.abs(upsampled(c, size, factor, (start[0], start[1])))
     i, j = np.unravel_index(np.argmax(fine), fine.shape)
-    return (start[0] + i) / factor, (start[1] + j) / factor
+    return tuple(np.where(single, 0.0, (start + [i, j]) / factor).tolist())
 
 
 def fourier_shifted(a: np.ndarray, dy: float, dx: float) -> np.ndarray:

@@ -76,19 +76,20 @@ def noise_floor(rows: DataFrame, by: str, value: str, quantile: float = 0.7) ->
 def permutation_p(rows: DataFrame, unit: str, group: str, a: str, rounds: int, seed: int) -> DataFrame:
     """(metric, p): two-sided permutation test of the difference of means, for rows(unit, group, metric, value) with a row for each unit and metric.
 
-    In a round as many units as group a has are drawn, those with the least digests of unit and round; p = (hits + 1) / (rounds + 1), where a
-    hit differs at least as much as the groups do, but for 1e-12. Digests make the draw the same in any layout of the table.
+    In a round as many units of a metric as it has in group a are drawn, those with the least digests of unit and round; p = (hits + 1) / (rounds + 1),
+    where a hit differs at least as much as the groups do, but for 1e-12. Digests make the draw the same in any layout of the table. Units
+    without a value don't count; a metric with fewer than two units on a side has no p.
     """
-    units = rows.select(unit, group).distinct()
-    na = units.where(F.col(group) == a).agg(F.count("*").alias("na"))
-    drawn = units.select(unit, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("r"))
-    place = F.row_number().over(Window.partitionBy("r").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("r"), F.col(unit)).cast("binary")), unit))
-    drawn = drawn.withColumn("place", place).join(F.broadcast(na)).select(unit, "r", (F.col("place") <= F.col("na")).alias("in_a"))  # one row
+    valued = rows.where(F.col("value").isNotNull())
     diff = lambda cond: F.avg(F.when(cond, F.col("value"))) - F.avg(F.when(~cond, F.col("value")))
-    seen = rows.groupBy("metric").agg(diff(F.col(group) == a).alias("d"))
-    tried = rows.join(drawn, unit).groupBy("metric", "r").agg(diff(F.col("in_a")).alias("e"))
-    hits = tried.join(seen, "metric").groupBy("metric").agg(F.count_if(F.abs("e") >= F.abs("d") - 1e-12).alias("hits"))
-    return hits.select("metric", ((F.col("hits") + 1) / (rounds + 1)).alias("p"))
+    sides = [F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) != a).alias("nb")]
+    seen = valued.groupBy("metric").agg(diff(F.col(group) == a).alias("d"), *sides)
+    place = F.row_number().over(Window.partitionBy("metric", "r").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("r"), F.col(unit)).cast("binary")), unit))
+    drawn = valued.select("metric", unit, "value", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("r")).withColumn("place", place)
+    tried = drawn.join(seen, "metric").groupBy("metric", "r").agg(diff(F.col("place") <= F.col("na")).alias("e"), F.first("d").alias("d"))
+    hits = tried.groupBy("metric").agg(F.count_if(F.abs("e") >= F.abs("d") - 1e-12).alias("hits"))
+    p = F.when((F.col("na") >= 2) & (F.col("nb") >= 2), (F.col("hits") + 1) / (rounds + 1))
+    return seen.join(hits, "metric").select("metric", p.alias("p"))
 
 
 def two_samples(rows: DataFrame, group: str, a: str) -> DataFrame:
