@@ -195,10 +195,6 @@ def round_components(spark: SparkSession, sf: str) -> DataFrame:
     return s.where("n < 20 and share > 0.6 and peak >= 70").select("image", "label", "n", "peak")
 
 
-def skeleton(spark: SparkSession, sf: str) -> DataFrame:
-    return mo.skeleton(_px(spark, sf), SIDE)
-
-
 _NEAR8 = "abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.image = b.image"
 _S = f"WITH RECURSIVE {src.SCENES}, mask AS (SELECT * FROM scene WHERE v >= 45), odd AS (SELECT * FROM scene WHERE v % 3 = 0)"
 _SEEDS = "seed AS (SELECT DISTINCT l_suppkey AS image, l_orderkey * 10 + l_linenumber AS id, (l_partkey % 63) / 2.0::DOUBLE AS y, (l_orderkey % 63) / 2.0::DOUBLE AS x FROM lineitem WHERE l_quantity = 50)"
@@ -266,7 +262,6 @@ ALL = {
         SELECT image, id, first(y ORDER BY ring, d2, y, x) AS y, first(x ORDER BY ring, d2, y, x) AS x FROM c GROUP BY 1, 2"""),
     "seeds_outside_boxes": (seeds_outside_boxes, f"{_S}, {_SEEDS} SELECT image, id FROM seed s WHERE NOT EXISTS (SELECT 1 FROM scene m WHERE m.v >= 120 AND m.image = s.image AND abs(m.y - floor(s.y)) <= 4 AND abs(m.x - floor(s.x)) <= 4)"),
     "round_components": (round_components, f"{_S}, {_L}, {_erode('core', 'mask')}, {_dilate('near', 'core', 3)}, q AS (SELECT image, label, count(*) AS n, avg((near.y IS NOT NULL)::INT) AS share, max(v) AS peak FROM lab JOIN mask USING (image, y, x) LEFT JOIN near USING (image, y, x) GROUP BY 1, 2) SELECT image, label, n, peak FROM q WHERE n < 20 AND share > 0.6 AND peak >= 70"),
-    "skeleton": (skeleton, None),
 }
 QUERIES = {k: f for k, (f, _) in ALL.items()}
 ORACLE_SQL = {k: s for k, (_, s) in ALL.items() if s}

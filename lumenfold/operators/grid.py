@@ -71,6 +71,16 @@ def components(mask: DataFrame, offsets: list[tuple[int, int]] = OFFSETS8, width
     ends = beside.join(rim.select("image", "y", "x", F.col("label").alias("to")), ["image", "y", "x"])
     ends = ends.join(rim.select("image", F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("label").alias("id")), ["image", "y0", "x0"])
     edges = ends.select("image", "id", "to").distinct().checkpoint()
+    roots = least_labels(edges).select("image", F.col("id").alias("label"), F.col("label").alias("root"))
+    return local.join(roots, ["image", "label"], "left").select("image", "y", "x", F.coalesce("root", "label").alias("label"))
+
+
+def least_labels(edges: DataFrame) -> DataFrame:
+    """(image, id, label) of a graph with edges(image, id, to) in both directions: label is the least id of the node's component.
+
+    In a round every node takes the least label among its neighbours, then that label's own, so the number of rounds follows the logarithm of
+    a component's diameter where labels run along it. Rounds are checkpointed.
+    """
     state = edges.select("image", "id").distinct().withColumn("label", F.col("id"))
     moving = not edges.isEmpty()
     while moving:
@@ -79,8 +89,7 @@ def components(mask: DataFrame, offsets: list[tuple[int, int]] = OFFSETS8, width
         up = new.select("image", F.col("id").alias("label"), F.col("label").alias("above"))
         new = new.join(up, ["image", "label"]).select("image", "id", "old", F.col("above").alias("label")).checkpoint()
         state, moving = new.select("image", "id", "label"), not new.where("old <> label").isEmpty()
-    roots = state.select("image", F.col("id").alias("label"), F.col("label").alias("root"))
-    return local.join(roots, ["image", "label"], "left").select("image", "y", "x", F.coalesce("root", "label").alias("label"))
+    return state
 
 
 def component_features(labelled: DataFrame) -> DataFrame:

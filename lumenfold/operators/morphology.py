@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,31 +145,3 @@ def adjacent(labelled: DataFrame, clusters: DataFrame) -> DataFrame:
     """(image, label, cluster): pairs in which a pixel of the one is beside one of the other (4 neighbours, or the same pixel)."""
     reach = grid._around(clusters.select(*KEY), [(0, 0), *grid.OFFSETS4]).join(clusters.select("image", F.col("y").alias("y0"), F.col("x").alias("x0"), "cluster"), ["image", "y0", "x0"])
     return labelled.join(reach.select(*KEY, "cluster"), KEY).select("image", "label", "cluster").distinct()
-
-
-def thin(a: np.ndarray) -> np.ndarray:
-    """The Zhang-Suen skeleton of a boolean plane."""
-    a = np.pad(a.astype(bool), 1)
-    while True:
-        before = a.sum()
-        for second in (False, True):
-            p = [np.roll(a, s, (0, 1)) for s in ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1))]  # north, then clockwise
-            n = sum(q.astype(int) for q in p)
-            turns = sum((~p[i] & p[(i + 1) % 8]).astype(int) for i in range(8))
-            north, east, south, west = p[0], p[2], p[4], p[6]
-            sides = ~(north & east & west) & ~(north & south & west) if second else ~(north & east & south) & ~(east & south & west)
-            a = a & ~((n >= 2) & (n <= 6) & (turns == 1) & sides)
-        if a.sum() == before:
-            return a[1:-1, 1:-1]
-
-
-def skeleton(mask: DataFrame, side: int) -> DataFrame:
-    """The mask thinned to lines one pixel wide, an image (or a tile with its halo) at a time."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        plane = np.zeros((side, side), bool)
-        plane[f["y"], f["x"]] = True
-        y, x = np.nonzero(thin(plane))
-        return pd.DataFrame({"image": f["image"].iloc[0], "y": y, "x": x})
-
-    return mask.select(*KEY).groupBy("image").applyInPandas(run, mask.select(*KEY).schema)

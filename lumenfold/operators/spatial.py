@@ -92,3 +92,28 @@ def window_median(px: DataFrame, value: str, reach: int) -> DataFrame:
     spread = px.select("image", F.col(value).alias("_v"), "x", F.explode(axis).alias("dy"), "y").select("image", "_v", (F.col("y") + F.col("dy")).alias("y"), "x", F.explode(axis).alias("dx"))
     spread = spread.select("image", "y", (F.col("x") + F.col("dx")).alias("x"), "_v")
     return px.select("image", "y", "x").join(spread, ["image", "y", "x"]).groupBy("image", "y", "x").agg(F.median("_v").alias("median"))
+
+
+def suppressed(points: DataFrame, radius: float) -> DataFrame:
+    """points(image, id, y, x, score) that stay if one after the other, from the highest score on (then the least id), is kept unless a kept one is nearer than radius.
+
+    A point waits for those before it that are near. In a round all points that wait for none are kept, and those near them go; that is what the
+    sequential order gives. Points meet in grid cells as wide as the radius; only pairs that are near are held, and of them only those still undecided.
+    """
+    cell = lambda c: F.floor(F.col(c) / radius)
+    here = points.select("image", "id", "y", "x", "score").withColumn("cy", cell("y")).withColumn("cx", cell("x"))
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    other = here.select("image", F.col("id").alias("to"), F.col("y").alias("y2"), F.col("x").alias("x2"), F.col("score").alias("s2"), F.explode(steps).alias("o"), "cy", "cx")
+    other = other.withColumn("cy", F.col("cy") + F.col("o.a")).withColumn("cx", F.col("cx") + F.col("o.b")).drop("o")
+    near = (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")) + (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) < radius * radius
+    before = (F.col("s2") > F.col("score")) | ((F.col("s2") == F.col("score")) & (F.col("to") < F.col("id")))
+    waits = here.join(other, ["image", "cy", "cx"]).where(near & before).select("image", "id", F.col("to").alias("for")).checkpoint()
+    gone = points.select("image", "id").limit(0).checkpoint()
+    while not waits.isEmpty():
+        open_ = waits.select("image", "id").distinct()
+        kept = waits.select("image", F.col("for").alias("id")).distinct().join(open_, ["image", "id"], "left_anti")  # wait for none
+        lost = waits.join(kept.select("image", F.col("id").alias("for")), ["image", "for"], "left_semi").select("image", "id").distinct().checkpoint()
+        gone = gone.union(lost).checkpoint()
+        # who is lost neither waits nor is waited for; who waits for none any more is kept
+        waits = waits.join(lost, ["image", "id"], "left_anti").join(lost.select("image", F.col("id").alias("for")), ["image", "for"], "left_anti").checkpoint()
+    return points.join(gone, ["image", "id"], "left_anti")

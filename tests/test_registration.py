@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lumenfold.operators import morphology, registration as reg, rois, stats
+from lumenfold.operators import halo, registration as reg, rois, stats
 from lumenfold.sources import files
 
 
@@ -97,9 +97,15 @@ def test_screen_of_known_values(spark):
     assert got == {"a": ("CLEAN", 125.0), "b": ("same-side", 405.0), "c": ("disagree", 50.0), "d": ("n/a", None)}
 
 
+def thinned(a):
+    while (b := halo.thin_once(a)).sum() < a.sum():
+        a = b
+    return a
+
+
 def test_thin_lines_stay_connected():
     a = np.zeros((12, 20), bool)
     a[4:8, 2:18] = True
-    t = morphology.thin(a)
+    t = thinned(a)
     assert t.sum() < 20 and t.any() and not (t & ~a).any()
-    assert (morphology.thin(np.eye(9, dtype=bool)) == np.eye(9, dtype=bool)).all()
+    assert (thinned(np.eye(9, dtype=bool)) == np.eye(9, dtype=bool)).all()
