@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.jobs import mask_queries as mq
-from lumenfold.operators import halo, spatial, stats
+from lumenfold.operators import halo, roi_block, rois, spatial, stats
 from lumenfold.operators import morphology as mo
 from lumenfold.operators import skeletons as sk
 from lumenfold.sources import adapters as src
@@ -93,6 +93,40 @@ def suppressed_pixels(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.suppressed(points, 4.0).select("image", "id", "score")
 
 
+def _layers(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Layers of the scenes: bright pixels in place of a skeleton and cell bodies, distances to the background up to 3, a noise level."""
+    px = mq._px(spark, sf).withColumnRenamed("image", "sample")
+    radius = mo.distances(mq._px(spark, sf), SIDE, 3).select(F.col("image").alias("sample"), "y", "x", F.sqrt(F.coalesce("d2", F.lit(16))).alias("r"))
+    sigma = px.groupBy("sample").agg(F.lit(2.0).alias("sigma"))
+    return {"mask": px.where("v >= 20"), "soma": px.where("v >= 80"), "px": px, "radius": radius, "sigma": sigma}
+
+
+UNIT, MERGE, ROUND_Z = 0.7, 3.0, 45.0
+
+
+def roi_block_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The seventeen measurements of each region of the scenes, bright pixels being the skeleton."""
+    boxes = roi_block.keyed(rois.cropped(src.scene_boxes(spark, sf), SIDE))
+    sk_ = mq._mask(spark, sf).withColumnRenamed("image", "sample")
+    return roi_block.block(boxes, sk_, **_layers(spark, sf), unit=UNIT, merge=MERGE, round_z=ROUND_Z)
+
+
+def roi_block_corrected(spark: SparkSession, sf: str) -> DataFrame:
+    """The same on tissue, cells of 4 pixels with at least two bright ones, and outside of earlier regions, with the share of tissue."""
+    boxes = roi_block.keyed(rois.cropped(src.scene_boxes(spark, sf), SIDE))
+    sk_ = mq._mask(spark, sf).withColumnRenamed("image", "sample")
+    tissue = sk_.groupBy("sample", F.floor(F.col("y") / 4).alias("ty"), F.floor(F.col("x") / 4).alias("tx")).agg(F.count("*").alias("n")).where("n >= 2")
+    kept, share = roi_block.kept_cells(boxes, tissue, 4)
+    found = roi_block.block(boxes, sk_, **_layers(spark, sf), unit=UNIT, merge=MERGE, round_z=ROUND_Z, kept=kept.checkpoint())
+    return found.join(boxes.join(share, "image").select("sample", "id", "tissue_frac"), ["sample", "id"])
+
+
+def roi_block_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The seventeen measurements on skeletons of the scenes."""
+    boxes = roi_block.keyed(rois.cropped(src.scene_boxes(spark, sf), SIDE))
+    return roi_block.block(boxes, _lines(spark, sf).withColumnRenamed("image", "sample"), **_layers(spark, sf), unit=UNIT, merge=MERGE, round_z=ROUND_Z)
+
+
 _STEP = "CASE WHEN a.y <> b.y AND a.x <> b.x THEN sqrt(2.0::DOUBLE) ELSE 1.0::DOUBLE END"
 _N8 = mq._NEAR8
 _SEG = f"{mq._DEG}, joint AS (SELECT image, y, x FROM deg WHERE degree >= 3), plain AS (SELECT image, y, x, degree FROM deg WHERE degree < 3), {mq._label('jl', 'joint', 'junction')}, {mq._label('sl0', 'plain', 'segment')}, sl AS (SELECT image, y, x, segment, degree FROM sl0 JOIN plain USING (image, y, x))"
@@ -118,6 +152,32 @@ _HOLES = f"""thick AS (SELECT image, y, x, v FROM scene WHERE v >= 30), bg AS (S
     small AS (SELECT * FROM hl SEMI JOIN (SELECT image, hole FROM hl GROUP BY 1, 2 HAVING count(*) <= 20) USING (image, hole)), ring AS (SELECT DISTINCT t.image, t.y, t.x, t.v, h.hole FROM thick t JOIN small h ON t.image = h.image AND abs(t.y - h.y) + abs(t.x - h.x) = 1),
     cut AS (SELECT image, first(y ORDER BY v, y, x) AS y, first(x ORDER BY v, y, x) AS x FROM ring GROUP BY image, hole HAVING count(*) >= 3)"""
 
+
+def _block(corrected: bool) -> str:
+    """The block as SQL; corrected: on kept cells only."""
+    inside = lambda name, layer, more="": f"{name} AS (SELECT b.image, r.y, r.x{more} FROM box b JOIN {layer} r ON r.image = b.sample AND r.y >= y0 AND r.y < y1 AND r.x >= x0 AND r.x < x1{' SEMI JOIN kept k ON k.image = b.image AND k.y = r.y AND k.x = r.x' if corrected else ''})"
+    degree = "vs AS (SELECT a.image, a.y, a.x, count(*) - 1 AS degree FROM vs0 a JOIN vs0 b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.image = b.image GROUP BY 1, 2, 3)"
+    skeleton = f"{inside('vs0', 'mask')}, {degree}" if corrected else f"{mq._DEG}, {inside('vs', 'deg', ', degree')}"
+    cells = """cell AS (SELECT image, sample, id, y, x FROM (SELECT *, unnest(range(y0, y1)) AS y FROM box), range(0, 32) q(x) WHERE x >= x0 AND x < x1), tissue AS (SELECT image AS sample, y // 4 AS ty, x // 4 AS tx FROM mask GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+    kept AS (SELECT image, y, x FROM (SELECT *, row_number() OVER (PARTITION BY sample, y, x ORDER BY id) AS place, y // 4 AS ty, x // 4 AS tx FROM cell) SEMI JOIN tissue USING (sample, ty, tx) WHERE place = 1),
+    frac AS (SELECT image, round(avg((t.ty IS NOT NULL)::INT), 4) AS tissue_frac FROM cell c LEFT JOIN tissue t ON t.sample = c.sample AND t.ty = c.y // 4 AND t.tx = c.x // 4 GROUP BY 1),"""
+    count = lambda name, labelled: f"{name}_n AS (SELECT image, count(DISTINCT label) AS {name} FROM {labelled} GROUP BY 1)"
+    all_ = f"""{mq._S}, {src.SCENE_BOXES}, box AS (SELECT sample || '/' || id AS image, *, (x1 - x0) * (y1 - y0) AS area FROM (SELECT sample, id, greatest(0, x) AS x0, least(32, x + w) AS x1, greatest(0, y) AS y0, least(32, y + h) AS y1 FROM rect)), {cells if corrected else ''}
+    body AS (SELECT * FROM scene WHERE v >= 80), wide AS (SELECT * FROM scene WHERE v >= 20), {mq._PLANE}, rad AS (SELECT a.image, a.y, a.x, sqrt(coalesce(min((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)), 16)) AS r FROM scene a LEFT JOIN bg b ON a.image = b.image AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 9 GROUP BY 1, 2, 3),
+    {skeleton}, {inside('vm', 'wide', ', v')}, {inside('vb', 'body')}, {inside('vr', 'rad', ', r')}, {inside('vp', 'scene', ', v')},
+    jd AS (SELECT DISTINCT s.image, s.y + dy AS y, s.x + dx AS x FROM vs s JOIN box b USING (image), range(-2, 3) p(dy), range(-2, 3) q(dx) WHERE degree >= 3 AND dy * dy + dx * dx <= 4 AND s.y + dy >= y0 AND s.y + dy < y1 AND s.x + dx >= x0 AND s.x + dx < x1),
+    tip AS (SELECT image, y, x FROM vs WHERE degree = 1), {mq._label('jl', 'jd')}, {mq._label('tl', 'tip')}, {mq._label('bl', 'vb')}, {mq._label('pl', 'vs')}, {count('n_junctions', 'jl')}, {count('n_tips', 'tl')}, {count('n_soma', 'bl')}, {count('n_comp', 'pl')},
+    gapv AS (SELECT image, v, median(v) OVER (PARTITION BY image, label) AS med FROM pl JOIN vp USING (image, y, x)), gaps AS (SELECT image, avg((v < 0.2::DOUBLE * med)::INT) AS gap FROM gapv GROUP BY 1), width AS (SELECT image, avg(2 * {UNIT}::DOUBLE * r) AS width FROM vs JOIN vr USING (image, y, x) GROUP BY 1),
+    near AS (SELECT DISTINCT s.image, s.y + dy AS y, s.x + dx AS x FROM vb s JOIN box b USING (image), range(-3, 4) p(dy), range(-3, 4) q(dx) WHERE s.y + dy >= y0 AND s.y + dy < y1 AND s.x + dx >= x0 AND s.x + dx < x1),
+    rc AS (SELECT image, label, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM pl LEFT JOIN (SELECT *, 1 AS near FROM near) USING (image, y, x) GROUP BY 1, 2 HAVING count(*) * {UNIT} < 20 AND count(near) / count(*)::DOUBLE > 0.6),
+    rp AS (SELECT c.image, c.label FROM rc c JOIN vm m ON m.image = c.image AND m.y >= c.y0 - 8 AND m.y <= c.y1 + 8 AND m.x >= c.x0 - 8 AND m.x <= c.x1 + 8 GROUP BY 1, 2 HAVING max(v) / 2.0 >= {ROUND_Z}), n_round_n AS (SELECT image, count(*) AS n_round FROM rp GROUP BY 1),
+    area AS ({'SELECT image, count(*) AS cells FROM kept GROUP BY 1' if corrected else 'SELECT image, area AS cells FROM box'}), fg AS (SELECT image, count(*) AS fg FROM vm GROUP BY 1), ln AS (SELECT image, count(*) AS px FROM vs GROUP BY 1),
+    t AS (SELECT sample, id, {'tissue_frac, ' if corrected else ''}cells, cells * ({UNIT}::DOUBLE / 1000) * ({UNIT}::DOUBLE / 1000) AS mm2, coalesce(fg, 0) AS fg, coalesce(px, 0) AS px, coalesce(px, 0) * {UNIT}::DOUBLE AS um, coalesce(gap, 0) AS gap, coalesce(width, 0) AS width, coalesce(n_junctions, 0) AS n_junctions, coalesce(n_tips, 0) AS n_tips, coalesce(n_comp, 0) AS n_comp, coalesce(n_soma, 0) AS n_soma, coalesce(n_round, 0) AS n_round
+      FROM box JOIN area USING (image) {'JOIN frac USING (image)' if corrected else ''} LEFT JOIN fg USING (image) LEFT JOIN ln USING (image) LEFT JOIN gaps USING (image) LEFT JOIN width USING (image) LEFT JOIN n_junctions_n USING (image) LEFT JOIN n_tips_n USING (image) LEFT JOIN n_comp_n USING (image) LEFT JOIN n_soma_n USING (image) LEFT JOIN n_round_n USING (image))"""
+    return f"""{all_} SELECT sample, id, {'tissue_frac, ' if corrected else ''}round(mm2, 5) AS area_mm2, round(100 * fg / cells::DOUBLE, 3) AS fg_pct, round(um, 1) AS skel_len_um, round(um / 1000 / mm2, 3) AS skel_mm_per_mm2, n_junctions, n_tips, n_comp, n_soma, round(n_junctions / mm2, 1) AS junc_per_mm2, round(n_tips / mm2, 1) AS tips_per_mm2,
+    round(n_soma / mm2, 1) AS soma_per_mm2, CASE WHEN px > 0 THEN round(100 * n_junctions / um, 3) ELSE 0.0::DOUBLE END AS junc_per_100um, round(width, 3) AS mean_width_um, n_round, round(n_round / mm2, 1) AS round_per_mm2, round(n_round / greatest(n_comp, 1)::DOUBLE, 4) AS round_frac, round(gap, 4) AS skel_gap_frac FROM t"""
+
+
 ALL = {
     "ridges": (ridges, None),
     "seed_curvature": (seed_curvature, None),
@@ -132,6 +192,9 @@ ALL = {
     "clean_lines": (clean_lines, None),
     "opened_loops": (opened_loops, f"{mq._S}, {_HOLES} SELECT image, y, x FROM thick ANTI JOIN cut USING (image, y, x)"),
     "suppressed_pixels": (suppressed_pixels, None),
+    "roi_block_metrics": (roi_block_metrics, _block(False)),
+    "roi_block_corrected": (roi_block_corrected, _block(True)),
+    "roi_block_lines": (roi_block_lines, None),
 }
 QUERIES = {k: f for k, (f, _) in ALL.items()}
 ORACLE_SQL = {k: s for k, (_, s) in ALL.items() if s}

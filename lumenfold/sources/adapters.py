@@ -92,6 +92,16 @@ def rois(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROIS = "roi AS (SELECT o_custkey AS sample, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS id, o_orderkey * 7 % 52 - 4 AS x, o_orderkey * 11 % 52 - 4 AS y, o_orderkey % 5 * 2 + 4 AS w, o_orderkey % 7 + 4 AS h FROM orders)"
 
 
+def scene_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample, id, x, y, w, h): three rectangles on each supplier's scene, some of which overlap or reach over its edge."""
+    k, i = F.col("s_suppkey"), F.explode(F.array(*[F.lit(n).cast("long") for n in (1, 2, 3)])).alias("id")
+    three = read(spark, sf_dir, "supplier").select(k.alias("sample"), i)
+    return three.select("sample", "id", ((F.col("sample") * 7 + F.col("id") * 5) % 24 - 2).alias("x"), ((F.col("sample") * 11 + F.col("id") * 9) % 24 - 2).alias("y"), F.lit(14).cast("long").alias("w"), F.lit(12).cast("long").alias("h"))
+
+
+SCENE_BOXES = "rect AS (SELECT s_suppkey AS sample, id, (s_suppkey * 7 + id * 5) % 24 - 2 AS x, (s_suppkey * 11 + id * 9) % 24 - 2 AS y, 14 AS w, 12 AS h FROM supplier, range(1, 4) r(id))"
+
+
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample, y, x, v): what a customer's order lines sum to on a 48 x 48 plane."""
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") % 48).alias("y"), (F.col("l_suppkey") * 5 % 48).alias("x"), "l_quantity")
