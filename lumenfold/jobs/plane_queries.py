@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.jobs import frame_queries as fq
 from lumenfold.jobs import mask_queries as mq
 from lumenfold.operators import halo, roi_block, rois, spatial, stats
 from lumenfold.operators import morphology as mo
+from lumenfold.operators import registration as reg
 from lumenfold.operators import skeletons as sk
 from lumenfold.sources import adapters as src
 
@@ -93,6 +95,32 @@ def suppressed_pixels(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.suppressed(points, 4.0).select("image", "id", "score")
 
 
+def exact_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each pixel with a value the squared distance to the nearest one without, however far."""
+    return mo.exact_distances(mq._px(spark, sf), SIDE, SIDE)
+
+
+def translated_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames moved by quarters of a pixel that depend on their time."""
+    f = src.frames(spark, sf)
+    quarter = lambda n: (F.col("t") % n - n // 2) / 4
+    shifts = f.select("z", "t").distinct().select("z", "t", quarter(11).alias("dy"), quarter(7).alias("dx"))
+    return reg.translated(f, shifts, ["z", "t"], 8, 8)
+
+
+def volume_shifts(spark: SparkSession, sf: str) -> DataFrame:
+    """Volumes, the frames of one number in each plane, against the mean of all, to half a voxel."""
+    f = fq._chunks(spark, sf).select("z", "i", "y", "x", "v")
+    full = f.groupBy("i").agg(F.countDistinct("z").alias("n"))
+    planes = src.frames(spark, sf).agg(F.countDistinct("z").alias("n"))
+    f = f.join(full.join(F.broadcast(planes), "n"), "i")  # one row
+    cells = lambda name: F.transform(F.array_sort(F.collect_list(F.struct("z", "y", "x", F.col("v").cast("double").alias("v")))), lambda c: c["v"]).alias(name)
+    moving = f.groupBy(F.col("i").alias("t")).agg(cells("moving"))
+    fixed = f.groupBy("z", "y", "x").agg(F.avg("v").alias("v")).agg(cells("fixed"))
+    n = planes.first()["n"]
+    return reg.registered_volumes(moving.join(F.broadcast(fixed)), (n, 8, 8))  # one volume
+
+
 def _layers(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Layers of the scenes: bright pixels in place of a skeleton and cell bodies, distances to the background up to 3, a noise level."""
     px = mq._px(spark, sf).withColumnRenamed("image", "sample")
@@ -192,6 +220,11 @@ ALL = {
     "clean_lines": (clean_lines, None),
     "opened_loops": (opened_loops, f"{mq._S}, {_HOLES} SELECT image, y, x FROM thick ANTI JOIN cut USING (image, y, x)"),
     "suppressed_pixels": (suppressed_pixels, None),
+    "exact_distances": (exact_distances, f"{mq._S}, {mq._PLANE} SELECT a.image, a.y, a.x, min((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))::BIGINT AS d2 FROM scene a LEFT JOIN bg b ON a.image = b.image GROUP BY 1, 2, 3"),
+    "translated_frames": (translated_frames, f"""WITH {src.FRAMES}, s AS (SELECT *, (t % 11 - 5) / 4.0::DOUBLE AS dy, (t % 7 - 3) / 4.0::DOUBLE AS dx FROM frames),
+        p AS (SELECT z, t, y + floor(dy)::BIGINT + a AS y, x + floor(dx)::BIGINT + b AS x, v * abs(1 - a - (dy - floor(dy))) * abs(1 - b - (dx - floor(dx))) AS v FROM s, range(0, 2) i(a), range(0, 2) j(b) WHERE (a = 0 OR dy > floor(dy)) AND (b = 0 OR dx > floor(dx)))
+        SELECT z, t, y, x, round(sum(v), 9) AS v FROM p WHERE y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7 GROUP BY 1, 2, 3, 4"""),
+    "volume_shifts": (volume_shifts, None),
     "roi_block_metrics": (roi_block_metrics, _block(False)),
     "roi_block_corrected": (roi_block_corrected, _block(True)),
     "roi_block_lines": (roi_block_lines, None),

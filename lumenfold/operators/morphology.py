@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.operators import grid
@@ -121,6 +123,38 @@ def distances(mask: DataFrame, side: int, reach: int) -> DataFrame:
     return mask.select(*KEY).join(near, KEY, "left")
 
 
+def exact_distances(mask: DataFrame, rows: int, columns: int) -> DataFrame:
+    """(image, y, x, d2): squared distance of each pixel to the nearest one of the plane outside the mask, however far; null where the plane has none.
+
+    Down a column it follows from the ends of the run the pixel is in; along a row the least of those distances with the offset to them is taken, within
+    the pixel's run and to the background at its ends, behind which nothing can be nearer. Only pixels of the mask are held.
+    """
+    px = mask.select(*KEY).distinct()
+    column = Window.partitionBy("image", "x")
+    runs = px.withColumn("run", F.col("y") - F.row_number().over(column.orderBy("y")))
+    ends = Window.partitionBy("image", "x", "run")
+    up = F.when(F.min("y").over(ends) > 0, F.col("y") - F.min("y").over(ends) + 1)
+    down = F.when(F.max("y").over(ends) < rows - 1, F.max("y").over(ends) - F.col("y") + 1)
+    vertical = runs.withColumn("g", F.least(up, down)).select(*KEY, F.col("g").cast("double").alias("g"))
+
+    def across(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["y", "x"], ignore_index=True)
+        x, g2 = f["x"].to_numpy(), f["g"].fillna(np.inf).to_numpy() ** 2
+        best = np.full(len(x), np.inf)
+        cuts = np.flatnonzero((np.diff(x) != 1) | (np.diff(f["y"].to_numpy()) != 0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(x)], strict=True):
+            sites = [(x[a:b], g2[a:b])] + [([at], [0.0]) for at in (x[a] - 1, x[b - 1] + 1) if 0 <= at < columns]
+            at, cost = (np.concatenate(c) for c in zip(*sites, strict=True))
+            at, cost = at[np.isfinite(cost)], cost[np.isfinite(cost)]
+            for k in range(a, b, 256):  # a block of pixels against the run's sites
+                if len(at):
+                    best[k : min(b, k + 256)] = ((x[k : min(b, k + 256), None] - at[None]) ** 2 + cost[None]).min(1)
+        return pd.DataFrame({"image": f["image"], "y": f["y"], "x": x, "d2": pd.array([int(v) if np.isfinite(v) else None for v in best], dtype="Int64")})
+
+    kind = mask.schema["image"].dataType.simpleString()
+    return vertical.groupBy("image", F.floor(F.col("y") / 64)).applyInPandas(across, f"image {kind}, y long, x long, d2 long")
+
+
 def mode_label(points: DataFrame, labelled: DataFrame, reach: int = 2) -> DataFrame:
     """points(image, id, y, x) as (image, id, label): the commonest label around the rounded place (halves to even), the least on ties, 0 if there is none."""
     at = points.select("image", "id", F.bround("y").cast("long").alias("y"), F.bround("x").cast("long").alias("x"))

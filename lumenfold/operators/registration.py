@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.functions.numeric import half_away
+
 
 def chunked(frames: DataFrame, size: int) -> DataFrame:
     """frames(t, z, ...) with their place i in the plane, and the chunk: about size frames each, what is over at the end left out.
@@ -68,6 +70,55 @@ def depth_shifted(stack: DataFrame, z: float) -> DataFrame:
     return stack.select("z", "y", "x").join(both, ["z", "y", "x"], "left").select("z", "y", "x", F.round(F.coalesce("v", F.lit(0.0)), 9).alias("v"))
 
 
+def translated(frames: DataFrame, shifts: DataFrame, keys: list[str], rows: int, columns: int, whole: bool = False) -> DataFrame:
+    """frames(keys, y, x, v) moved by shifts(keys, dy, dx), to fractions of a pixel, as (keys, y, x, v double) of pixels that something reaches.
+
+    output(y, x) = input(y - dy, x - dx), linear on both axes, 0 beyond the plane: every pixel goes to the four it is part of, and one sum by pixel
+    adds them up. With `whole` values are rounded, halves away from 0, to 0..65535.
+    """
+    placed = frames.join(shifts.select(*keys, "dy", "dx"), keys)
+    for c, d, n in (("y", "dy", rows), ("x", "dx", columns)):
+        low, part = F.floor(d), F.col(d) - F.floor(d)
+        ends = F.array(F.struct((F.col(c) + low).alias("at"), (1 - part).alias("w")), F.struct((F.col(c) + low + 1).alias("at"), part.alias("w")))
+        placed = placed.withColumn("e", F.explode(ends)).where(f"e.w > 0 AND e.at >= 0 AND e.at < {n}").withColumn(c, F.col("e.at")).withColumn("v", F.col("v") * F.col("e.w")).drop("e")
+    v = F.sum("v")
+    v = F.least(F.lit(65535.0), F.greatest(F.lit(0.0), half_away(v))) if whole else F.round(v, 9)
+    return placed.groupBy(*keys, "y", "x").agg(v.alias("v"))
+
+
+def volume_shift(moving: np.ndarray, fixed: np.ndarray, factor: float = 2) -> tuple[float, float, float]:
+    """(dy, dx, dz) that brings moving onto fixed, both [y, x, z], to 1 / factor of a voxel: where the correlation on a grid so much finer is furthest from 0.
+
+    The finer grid comes from the spectrum put into one of the finer grid's size. Ties go to the first in the order of planes, columns, rows.
+    A single row or column has no shift along it; a single plane, or a factor that makes no whole grid, is refused.
+    """
+    n = moving.shape
+    out = tuple(factor * k for k in n)
+    if len(n) != 3 or n[2] == 1 or factor <= 0 or any(k != int(k) for k in out) or out[2] == 1:
+        raise ValueError(f"volumes of shape {n} can't be registered on a grid {factor} times as fine")
+    out = tuple(int(k) for k in out)
+    c = np.fft.fftshift(np.fft.fftn(fixed) * np.conj(np.fft.fftn(moving)))
+    wide = np.zeros(out, complex)
+    inner = [slice(max(0, m // 2 - k // 2), max(0, m // 2 - k // 2) + min(k, m)) for k, m in zip(n, out, strict=True)]
+    source = [slice(max(0, k // 2 - m // 2), max(0, k // 2 - m // 2) + min(k, m)) for k, m in zip(n, out, strict=True)]
+    wide[tuple(inner)] = c[tuple(source)]
+    far = np.round(np.abs(np.fft.ifftn(np.fft.ifftshift(wide))), 9)
+    at = np.unravel_index(np.argmax(far.transpose(2, 1, 0)), out[::-1])[::-1]
+    return tuple(0.0 if k == 1 and i < 2 else float(a - m if a >= (m + 1) // 2 else a) / factor for i, (a, k, m) in enumerate(zip(at, n, out, strict=True)))
+
+
+def registered_volumes(pairs: DataFrame, shape: tuple[int, int, int], factor: float = 2) -> DataFrame:
+    """pairs(t, moving, fixed: arrays of a volume by plane, row, column) as (t, dy, dx, dz). shape: planes, rows, columns. A volume is a row."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in parts:
+            cube = lambda a: np.asarray(a, float).reshape(shape).transpose(1, 2, 0)
+            found = [volume_shift(cube(a), cube(b), factor) for a, b in zip(f["moving"], f["fixed"], strict=True)]
+            yield pd.DataFrame({"t": f["t"], **{c: [r[i] for r in found] for i, c in enumerate(("dy", "dx", "dz"))}})
+
+    return pairs.select("t", "moving", "fixed").mapInPandas(run, "t long, dy double, dx double, dz double")
+
+
 def upsampled(c: np.ndarray, size: int, factor: int, at: tuple[float, float]) -> np.ndarray:
     """A size x size piece, from `at` on, of the inverse transform of c on a grid `factor` times as fine, by two matrix products."""
     n, m = c.shape
