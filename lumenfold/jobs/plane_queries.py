@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.jobs import frame_queries as fq
 from lumenfold.jobs import mask_queries as mq
-from lumenfold.operators import halo, roi_block, rois, spatial, stats
+from lumenfold.operators import geodesics, grid, halo, roi_block, rois, spatial, stats
 from lumenfold.operators import morphology as mo
 from lumenfold.operators import registration as reg
 from lumenfold.operators import skeletons as sk
@@ -95,6 +95,29 @@ def suppressed_pixels(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.suppressed(points, 4.0).select("image", "id", "score")
 
 
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    """The brightest pixels, in the order of their brightness."""
+    at = (F.col("y") * SIDE + F.col("x")).alias("id")
+    return mq._mask(spark, sf, 80).select("image", at, "y", "x", (-F.col("v") * SIDE * SIDE + at).alias("place"))
+
+
+def attributed_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Bright pixels with the source that reaches them first."""
+    return geodesics.attributed(mq._mask(spark, sf), _sources(spark, sf))
+
+
+def source_hops(spark: SparkSession, sf: str) -> DataFrame:
+    """How many steps each bright pixel is from the nearest source."""
+    return attributed_pixels(spark, sf).select("image", "y", "x", F.col("hops").cast("long").alias("hops"))
+
+
+def tip_hops(spark: SparkSession, sf: str) -> DataFrame:
+    """How many steps each tip of the bright pixels is from the first source on its way."""
+    tips = grid.degree(mq._mask(spark, sf)).where("degree = 1").select("image", (F.col("y") * SIDE + F.col("x")).alias("id"), "y", "x")
+    goals = _sources(spark, sf).select("image", "y", "x", F.col("id").alias("label"))
+    return geodesics.first_reached(mq._mask(spark, sf), tips, goals).select("image", "id", F.col("hops").cast("long").alias("hops"))
+
+
 def exact_distances(spark: SparkSession, sf: str) -> DataFrame:
     """Of each pixel with a value the squared distance to the nearest one without, however far."""
     return mo.exact_distances(mq._px(spark, sf), SIDE, SIDE)
@@ -180,6 +203,8 @@ _HOLES = f"""thick AS (SELECT image, y, x, v FROM scene WHERE v >= 30), bg AS (S
     small AS (SELECT * FROM hl SEMI JOIN (SELECT image, hole FROM hl GROUP BY 1, 2 HAVING count(*) <= 20) USING (image, hole)), ring AS (SELECT DISTINCT t.image, t.y, t.x, t.v, h.hole FROM thick t JOIN small h ON t.image = h.image AND abs(t.y - h.y) + abs(t.x - h.x) = 1),
     cut AS (SELECT image, first(y ORDER BY v, y, x) AS y, first(x ORDER BY v, y, x) AS x FROM ring GROUP BY image, hole HAVING count(*) >= 3)"""
 
+_HOPS = f"hop AS (SELECT image, y, x, 0 AS hops FROM mask WHERE v >= 80 UNION SELECT b.image, b.y, b.x, a.hops + 1 FROM hop a JOIN mask b ON {_N8} AND (a.y <> b.y OR a.x <> b.x) WHERE a.hops < 100 AND NOT (b.v >= 80))"
+
 
 def _block(corrected: bool) -> str:
     """The block as SQL; corrected: on kept cells only."""
@@ -220,6 +245,9 @@ ALL = {
     "clean_lines": (clean_lines, None),
     "opened_loops": (opened_loops, f"{mq._S}, {_HOLES} SELECT image, y, x FROM thick ANTI JOIN cut USING (image, y, x)"),
     "suppressed_pixels": (suppressed_pixels, None),
+    "attributed_pixels": (attributed_pixels, None),
+    "source_hops": (source_hops, f"{mq._S}, {_HOPS} SELECT image, y, x, min(hops)::BIGINT AS hops FROM hop GROUP BY 1, 2, 3"),
+    "tip_hops": (tip_hops, f"{mq._S}, {mq._DEG}, {_HOPS} SELECT image, y * {SIDE} + x AS id, min(hops)::BIGINT AS hops FROM hop JOIN deg USING (image, y, x) WHERE degree = 1 GROUP BY 1, 2"),
     "exact_distances": (exact_distances, f"{mq._S}, {mq._PLANE} SELECT a.image, a.y, a.x, min((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))::BIGINT AS d2 FROM scene a LEFT JOIN bg b ON a.image = b.image GROUP BY 1, 2, 3"),
     "translated_frames": (translated_frames, f"""WITH {src.FRAMES}, s AS (SELECT *, (t % 11 - 5) / 4.0::DOUBLE AS dy, (t % 7 - 3) / 4.0::DOUBLE AS dx FROM frames),
         p AS (SELECT z, t, y + floor(dy)::BIGINT + a AS y, x + floor(dx)::BIGINT + b AS x, v * abs(1 - a - (dy - floor(dy))) * abs(1 - b - (dx - floor(dx))) AS v FROM s, range(0, 2) i(a), range(0, 2) j(b) WHERE (a = 0 OR dy > floor(dy)) AND (b = 0 OR dx > floor(dx)))

@@ -201,7 +201,7 @@ def drawn(spark, seed):
     return pixels, spark.createDataFrame([("a", y, x) for y, x in pixels], "image string, y long, x long")
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", [1])
 def test_segments_and_spurs_equal_plain_walks(spark, seed):
     pixels, sk = drawn(spark, seed)
     segments, joints = skeletons.parts(sk)
