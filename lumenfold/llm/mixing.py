@@ -41,12 +41,13 @@ def water_fill(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
 
 def _choose(group: pd.DataFrame) -> pd.DataFrame:
     """How many of the n equal documents of each row get one repetition more: from the largest on, a document of size s is taken if what is owed so
-    far and its own share reach u * s, u its seeded uniform number. Where documents that follow couldn't make up for it, the nearest number is taken,
-    so that at the end at most half of the smallest size is owed, or too much."""
+    far and its own share reach u * s, u its seeded uniform number. No more is taken than documents that follow can make up for; where they can't
+    take what is left over, the nearest number is."""
     group = group.sort_values(["size", "u", "doc_id", "digest"], ascending=[False, True, True, True], kind="stable")
     s, n, f, u = (group[c].to_numpy("float64") for c in ("size", "n", "fraction", "u"))
     share, room = f * s * n, np.where(f > 0, s * n, 0.0)
-    later_share, later_room = share[::-1].cumsum()[::-1] - share, room[::-1].cumsum()[::-1] - room
+    later_share = share[::-1].cumsum()[::-1] - share
+    later_room = room[::-1].cumsum()[::-1] - room - later_share  # what later ones can take over their own share
     owed, more = 0.0, np.zeros(len(group), "int64")
     for i, (size, count, frac, draw, own, less, most) in enumerate(zip(s.tolist(), n.tolist(), f.tolist(), u.tolist(), share.tolist(), later_share.tolist(), later_room.tolist(), strict=True)):
         if not frac:
@@ -56,7 +57,9 @@ def _choose(group: pd.DataFrame) -> pd.DataFrame:
             continue
         owed += own
         k = min(count, max(0.0, math.floor(owed / size - draw) + 1))
-        if k * size - owed > less or owed - k * size > most:
+        if k * size - owed > less:
+            k = min(count, max(0.0, math.floor(owed / size)))
+        if owed - k * size > most:
             k = min(count, max(0.0, math.floor(owed / size + 0.5)))
         owed -= k * size
         more[i] = int(k)

@@ -554,6 +554,20 @@ def test_mix_meets_targets(spark, odd):
     assert mixing.mixed_documents(docs(spark, odd)).columns == docs(spark, odd).columns
 
 
+@pytest.mark.parametrize("fraction", [0.005, 0.3, 0.5, 0.97, 0.995])
+def test_choice_ends_near_what_is_owed(fraction):
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        n = int(rng.integers(20, 80))
+        size = np.sort((rng.exponential(300, n) + 5).astype("int64"))
+        group = pd.DataFrame({"source": "a", "doc_id": np.arange(n), "size": size, "digest": 0, "n": rng.integers(1, 3, n), "source_size": 0, "target": 0.0, "whole": 1, "fraction": fraction, "u": rng.random(n)})
+        got = mixing._choose(group.sample(frac=1, random_state=2))
+        owed = fraction * (group["size"] * group["n"]).sum()
+        assert ((got["more"] >= 0) & (got["more"] <= got["n"])).all() and abs((got["more"] * got["size"]).sum() - owed) <= max(20, 0.02 * owed, size[:4].max())
+
+
 def test_mix_splits_a_repeated_id(spark):
     rows = spark.range(1_000_000).selectExpr("if(id % 10 < 9, 7L, id) as doc_id", "if(id % 3 = 0, 'a', 'b') as source", "if(id % 10 < 9, 3L, id % 50) as size")
     rows = rows.unionByName(spark.range(1000).selectExpr("cast(null as long) as doc_id", "cast(null as string) as source", "5L as size"))
