@@ -79,3 +79,31 @@ def first_reached(sk: DataFrame, starts: DataFrame, goals: DataFrame) -> DataFra
             done = [_together(done).checkpoint()]
         frontier, before = _placed(new.join(found, keys, "left_anti"), keys), frontier
     return _together(done)
+
+
+def ways_between(sk: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
+    """(image, a, b, radii): for each of pairs(image, a, b, ay, ax, by, bx) the values r of sk(image, y, x, r) along the shortest way from a's pixel to b's.
+
+    Both ends count, and a way has at most `limit` pixels; pairs without one are left out. Each a searches once for all its b, until all are found or
+    ways get too long. A frontier pixel carries the values on its way, no more than `limit`, so no way is traced back.
+    """
+    keys, pair = ["image", "a"], ["image", "a", "b"]
+    graph = sk.select("image", "y", "x", F.col("r").cast("double").alias("r"))
+    goals = pairs.select(*pair, F.col("by").alias("y"), F.col("bx").alias("x")).distinct().checkpoint()
+    at = pairs.select(*keys, F.col("ay").alias("y"), F.col("ax").alias("x")).distinct().join(graph, ["image", "y", "x"])
+    frontier, before = at.select(*keys, "y", "x", F.lit(1).alias("place"), F.array("r").alias("from")).checkpoint(), None
+    done, n = [], 0
+    while not frontier.isEmpty():
+        found, n = goals.join(frontier, [*keys, "y", "x"]).select(*pair, F.col("from").alias("radii")).checkpoint(), n + 1
+        done.append(found)
+        if len(done) == GATHERED:
+            done = [_together(done).checkpoint()]
+        if n == limit:
+            break
+        if not found.isEmpty():  # who has found all its goals searches no more
+            goals = goals.join(found, pair, "left_anti").checkpoint()
+            frontier = frontier.join(goals.select(*keys).distinct(), keys, "left_semi")
+        new = _looked_at(frontier, graph, keys, before)
+        carried = F.struct("first.place", "first.k", F.array_append("first.from", F.col("r")).alias("from")).alias("first")
+        frontier, before = _placed(new.select(*keys, "y", "x", carried), keys), frontier
+    return _together(done) if done else goals.select(*pair, F.array().cast("array<double>").alias("radii"))

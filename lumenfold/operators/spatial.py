@@ -108,7 +108,13 @@ def suppressed(points: DataFrame, radius: float) -> DataFrame:
     near = (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")) + (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) < radius * radius
     before = (F.col("s2") > F.col("score")) | ((F.col("s2") == F.col("score")) & (F.col("to") < F.col("id")))
     waits = here.join(other, ["image", "cy", "cx"]).where(near & before).select("image", "id", F.col("to").alias("for")).checkpoint()
-    gone = points.select("image", "id").limit(0).checkpoint()
+    return points.join(lost_in_order(waits), ["image", "id"], "left_anti")
+
+
+def lost_in_order(waits: DataFrame) -> DataFrame:
+    """(image, id) of those that go if one after the other is kept unless a kept one before it stands in its way: waits(image, id, for), checkpointed, names
+    for each all before it that would."""
+    gone = waits.select("image", "id").limit(0).checkpoint()
     while not waits.isEmpty():
         open_ = waits.select("image", "id").distinct()
         kept = waits.select("image", F.col("for").alias("id")).distinct().join(open_, ["image", "id"], "left_anti")  # wait for none
@@ -116,4 +122,4 @@ def suppressed(points: DataFrame, radius: float) -> DataFrame:
         gone = gone.union(lost).checkpoint()
         # who is lost neither waits nor is waited for; who waits for none any more is kept
         waits = waits.join(lost, ["image", "id"], "left_anti").join(lost.select("image", F.col("id").alias("for")), ["image", "for"], "left_anti").checkpoint()
-    return points.join(gone, ["image", "id"], "left_anti")
+    return gone
