@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.numeric import half_away, percent_change, stretch
-from lumenfold.jobs import frame_queries, mask_queries, more_queries, plane_queries, table_queries
+from lumenfold.jobs import cell_queries, frame_queries, mask_queries, more_queries, plane_queries, table_queries
 from lumenfold.operators import cells, frames, grid, rois, spatial, stats
 from lumenfold.sources import adapters as src
 
@@ -265,6 +265,6 @@ ALL = {
     "shift_steps": (shift_steps, f"WITH {src.SHIFTS}, d AS (SELECT z, t, round(rs - lag(rs) OVER (PARTITION BY z ORDER BY t), 6) AS step FROM shifts) SELECT * FROM d WHERE step IS NOT NULL"),
     "sample_names": (sample_names, r"SELECT c_custkey, regexp_extract(c_name, '^(\w+)#(\d+)$', 1) AS kind, try_cast(regexp_extract(c_name, '#0*([0-9]+)$', 1) AS BIGINT) AS number FROM customer"),
 }
-ALL |= mask_queries.ALL | table_queries.ALL | frame_queries.ALL | more_queries.ALL | plane_queries.ALL
+ALL |= mask_queries.ALL | table_queries.ALL | frame_queries.ALL | more_queries.ALL | plane_queries.ALL | cell_queries.ALL
 QUERIES = {k: f for k, (f, _) in ALL.items()}
 ORACLE_SQL = {k: s for k, (_, s) in ALL.items() if s}

@@ -239,3 +239,35 @@ def small_holes(mask: DataFrame, most: int, shape: tuple[int, int], tile: int =
 
     schema = f"image {mask.schema['image'].dataType.simpleString()}, y long, x long, hole long"
     return dealt(mask.select("image", "y", "x"), shape, halo, tile).groupBy("image", "ty", "tx").applyInPandas(run, schema)
+
+
+def ranked(a: Plane, size: int) -> Plane:
+    """The median of the size x size square around each pixel, size being odd; the outermost pixels go on."""
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(a, size // 2, mode="edge"), (size, size))
+    return np.median(around, axis=(2, 3))
+
+
+def local_scores(px: DataFrame, size: int, step: int, floor: float, shape: tuple[int, int], tile: int = 256) -> DataFrame:
+    """(image, y, x, z) of px(image, y, x, v): each value less the local median, over 1.4826 times the local median deviation or the floor if that is more.
+
+    Both are taken over size x size squares (size: odd) of every step-th pixel, the deviation from each pixel's own median, and interpolated in between:
+    corners of both grids fall together. The thin grid is filtered on halo tiles; every pixel then pulls its four neighbours there.
+    """
+    if size % 2 == 0:
+        raise ValueError(f"squares of {size} pixels have no middle")
+    small = tuple(-(-n // step) for n in shape)
+    thin = px.where(f"y % {step} = 0 AND x % {step} = 0").select("image", F.floor(F.col("y") / step).alias("y"), F.floor(F.col("x") / step).alias("x"), "v")
+
+    def kernel(a: Plane) -> tuple[Plane, Plane]:
+        med = ranked(a, size)
+        return med, ranked(np.abs(a - med), size)
+
+    local = filtered(thin, kernel, ["med", "mad"], small, 2 * (size // 2), tile)
+    at = px.select("image", "y", "x", "v").withColumns({f"s{c}": F.col(c) * ((m - 1) / (n - 1) if n > 1 else 0.0) for c, m, n in zip("yx", small, shape, strict=True)})
+    for c in "yx":
+        low, part = F.floor(f"s{c}"), F.col(f"s{c}") - F.floor(f"s{c}")
+        ends = F.array(F.struct(low.alias("at"), (1 - part).alias("w")), F.struct((low + 1).alias("at"), part.alias("w")))
+        at = at.withColumn("e", F.explode(ends)).withColumns({f"t{c}": F.col("e.at"), f"w{c}": F.col("e.w")}).drop("e")
+    pulled = at.join(local.select("image", F.col("y").alias("ty"), F.col("x").alias("tx"), "med", "mad"), ["image", "ty", "tx"], "left").fillna(0.0, ["med", "mad"])
+    both = pulled.groupBy("image", "y", "x", "v").agg(*[F.sum(F.col("wy") * F.col("wx") * F.col(n)).alias(n) for n in ("med", "mad")])
+    return both.select("image", "y", "x", F.round((F.col("v") - F.col("med")) / F.greatest(1.4826 * F.col("mad"), F.lit(floor)), 6).alias("z"))
