@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lumenfold.jobs import frame_queries as fq
 from lumenfold.jobs import mask_queries as mq
 from lumenfold.jobs import plane_queries as pq
-from lumenfold.operators import geodesics, grid, halo, motion, profiles, seeds, stats
+from lumenfold.jobs import table_queries as tq
+from lumenfold.operators import detector, geodesics, grid, halo, motion, profiles, seeds, stats
 from lumenfold.operators import morphology as mo
 from lumenfold.operators import registration as reg
 from lumenfold.sources import adapters as src
@@ -17,6 +18,7 @@ SIDE = src.SIDE
 #: Scenes are small, and so are the seeds' limits on them.
 LIMITS = seeds.Limits(way=10, trim=1, snap=2, same=3, run=1)
 STRONG, WEAK = 75, 60
+GATES = detector.Gates(pixels=4, radius=1.2, bright=0.5, apart=4, prominence=1.1, prominent_from=10, ring=3, pad=0)
 CUTS = (30, 45, 60)
 
 
@@ -67,6 +69,35 @@ def sensitivity_screen(spark: SparkSession, sf: str) -> DataFrame:
     return stats.replicate_screen(rows, "metric", "condition", "value", "WT")
 
 
+def _thick(spark: SparkSession, sf: str, sk: DataFrame) -> DataFrame:
+    """sk with distances to the background up to 4 and brightness in hundreds."""
+    px = mq._px(spark, sf)
+    radius = mo.distances(px, SIDE, 4).select("image", "y", "x", F.sqrt(F.coalesce("d2", F.lit(25))).alias("r"))
+    return sk.select("image", "y", "x").join(radius, ["image", "y", "x"]).join(px.select("image", "y", "x", (F.col("v") / 100).alias("v")), ["image", "y", "x"])
+
+
+def part_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """Which parts of the bright pixels may hold cells, and why others don't."""
+    parts = detector.known(_thick(spark, sf, mq._mask(spark, sf)))
+    return detector.gated(parts, GATES).select("image", "label", "n", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def skeleton_first_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of the scenes' skeletons; who reaches a pixel first depends on the order of a queue, so there is no SQL."""
+    return detector.cells(_thick(spark, sf, pq._lines(spark, sf)).checkpoint(), GATES)
+
+
+def round_cell_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Round cells and gaps of the scenes' regions, medians by scene, compared between even and odd scenes (geno) and between pairs of them (sex)."""
+    names = ["round_per_mm2", "round_frac", "skel_gap_frac"]
+    m = stats.sample_medians(pq.roi_block_metrics(spark, sf), "sample", names, "id").select("sample", *[F.round(n, 4).alias(n) for n in names])
+    sides = F.array(F.struct(F.lit("geno").alias("by"), (F.col("sample") % 2 == 0).alias("a")), F.struct(F.lit("sex").alias("by"), (F.floor(F.col("sample") / 2) % 2 == 0).alias("a")))
+    rows = stats.long_form(m, ["sample"], names).withColumn("s", F.explode(sides))
+    rows = rows.select("sample", F.concat_ws(":", "metric", "s.by").alias("metric"), F.when(F.col("s.a"), "a").otherwise("b").alias("side"), "value").checkpoint()
+    p = stats.permutation_p(rows, "sample", "side", "a", tq.ROUNDS, 7).select("metric", F.round("p", 6).alias("p"))
+    return stats.compare(rows, "side", "a", "b").select("metric", *[F.round(c, 6).alias(c) for c in ("median_a", "median_b", "hedges_g")]).join(p, "metric")
+
+
 def composed_shifts(spark: SparkSession, sf: str) -> DataFrame:
     """Shifts of every frame onto the one before, added up outwards from the middle frame of its plane."""
     steps = fq._steps(spark, sf).select("z", F.col("i").cast("long").alias("i"), "dy", "dx")
@@ -137,8 +168,20 @@ _SENSE = f"""WITH {src.SCENES}, t AS (SELECT image, cut, y, x FROM scene, (VALUE
     SELECT metric, round(wt, 6) AS wt, round(het, 6) AS het, CASE WHEN wt <> 0 THEN round(100 * (het - wt) / wt, 1) END AS pct, CASE WHEN wt IS NULL OR het IS NULL OR wt = 0 THEN 'n/a' WHEN (lo > wt OR hi < wt) AND hi - lo < abs(het - wt) AND het <> wt THEN 'CLEAN' WHEN lo > wt OR hi < wt THEN 'same-side' ELSE 'disagree' END AS verdict FROM s"""
 _COMPOSED = f"""WITH {fq._SH}, s AS (SELECT z, i, dy, dx FROM sh UNION ALL SELECT DISTINCT z, 0, 0, 0 FROM cf WHERE i = 0), c AS (SELECT z, i, sum(dy) OVER w AS dy, sum(dx) OVER w AS dx FROM s WINDOW w AS (PARTITION BY z ORDER BY i)),
     m AS (SELECT z, (max(i) + 1) // 2 AS i FROM s GROUP BY 1), mid AS (SELECT z, dy AS my, dx AS mx FROM c JOIN m USING (z, i)) SELECT z, i, (dy - my)::BIGINT AS dy, (dx - mx)::BIGINT AS dx FROM c JOIN mid USING (z)"""
+_GATES = f"""{mq._S}, {mq._DEG}, {mq._PLANE}, rad AS (SELECT a.image, a.y, a.x, sqrt(coalesce(min((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)), 25)) AS r FROM mask a LEFT JOIN bg b ON a.image = b.image AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 16 GROUP BY 1, 2, 3), {mq._label('pl', 'mask')},
+    c AS (SELECT image, label, count(*) AS n, count(*) FILTER (degree = 1 OR degree >= 3) AS nodes, median(r) AS usual, max(r) FILTER (r >= {GATES.radius}::DOUBLE AND v >= {GATES.bright * 100}) AS best FROM pl JOIN deg USING (image, y, x) JOIN rad USING (image, y, x) JOIN mask USING (image, y, x) GROUP BY 1, 2)
+    SELECT image, label, n, CASE WHEN n < {GATES.pixels} THEN 'too_small' WHEN nodes = 0 THEN 'no_morphology' WHEN best IS NULL THEN 'no_fat_point' WHEN n >= {GATES.prominent_from} AND usual > 0 AND best < {GATES.prominence}::DOUBLE * usual THEN 'low_prominence' ELSE '' END AS reason FROM c"""
+_ROUND = f"""WITH blk AS ({pq._block(False)}), m AS (SELECT sample, round(median(round_per_mm2), 4) AS round_per_mm2, round(median(round_frac), 4) AS round_frac, round(median(skel_gap_frac), 4) AS skel_gap_frac FROM blk GROUP BY 1),
+    u AS (UNPIVOT m ON round_per_mm2, round_frac, skel_gap_frac INTO NAME name VALUE value), long AS (SELECT sample, name || ':geno' AS metric, sample % 2 = 0 AS a, value FROM u UNION ALL SELECT sample, name || ':sex', (sample // 2) % 2 = 0, value FROM u),
+    s AS (SELECT metric, avg(value) FILTER (a) - avg(value) FILTER (NOT a) AS d, median(value) FILTER (a) AS da, median(value) FILTER (NOT a) AS db, avg(value) FILTER (a) AS ma, avg(value) FILTER (NOT a) AS mb, var_samp(value) FILTER (a) AS va, var_samp(value) FILTER (NOT a) AS vb, count(*) FILTER (a) AS na, count(*) FILTER (NOT a) AS nb FROM long GROUP BY 1),
+    t AS (SELECT metric, r, value, row_number() OVER (PARTITION BY metric, r ORDER BY md5('7:' || r || ':' || sample), sample) AS place FROM long, range(1, {tq.ROUNDS + 1}) k(r)), e AS (SELECT metric, r, avg(value) FILTER (place <= na) - avg(value) FILTER (place > na) AS e FROM t JOIN s USING (metric) GROUP BY 1, 2),
+    p AS (SELECT metric, (count(*) FILTER (abs(e) >= abs(d) - 1e-12::DOUBLE) + 1) / {tq.ROUNDS + 1}::DOUBLE AS p FROM e JOIN s USING (metric) GROUP BY 1)
+    SELECT metric, round(da, 6) AS median_a, round(db, 6) AS median_b, round((1 - 3 / (4 * (na + nb) - 9)::DOUBLE) * (ma - mb) / nullif(sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 0), 6) AS hedges_g, round(p, 6) AS p FROM s JOIN p USING (metric)"""
 
 ALL = {
+    "part_gates": (part_gates, _GATES),
+    "skeleton_first_cells": (skeleton_first_cells, None),
+    "round_cell_groups": (round_cell_groups, _ROUND),
     "seed_ways": (seed_ways, _WAYS),
     "resolved_seeds": (resolved_seeds, None),
     "skeleton_profiles": (skeleton_profiles, _PROFILE),
