@@ -88,14 +88,17 @@ def skeleton_first_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def round_cell_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Round cells and gaps of the scenes' regions, medians by scene, compared between even and odd scenes (geno) and between pairs of them (sex)."""
+    """Round cells and gaps of the scenes' regions, medians by scene, compared between even and odd scenes (geno) and between pairs of them (sex).
+
+    Medians are counted in ten-thousandths, so sums are exact and draws that equal the groups' difference count as such.
+    """
     names = ["round_per_mm2", "round_frac", "skel_gap_frac"]
-    m = stats.sample_medians(pq.roi_block_metrics(spark, sf), "sample", names, "id").select("sample", *[F.round(n, 4).alias(n) for n in names])
+    m = stats.sample_medians(pq.roi_block_metrics(spark, sf), "sample", names, "id").select("sample", *[F.round(F.col(n) * 10000).alias(n) for n in names])
     sides = F.array(F.struct(F.lit("geno").alias("by"), (F.col("sample") % 2 == 0).alias("a")), F.struct(F.lit("sex").alias("by"), (F.floor(F.col("sample") / 2) % 2 == 0).alias("a")))
     rows = stats.long_form(m, ["sample"], names).withColumn("s", F.explode(sides))
     rows = rows.select("sample", F.concat_ws(":", "metric", "s.by").alias("metric"), F.when(F.col("s.a"), "a").otherwise("b").alias("side"), "value").checkpoint()
     p = stats.permutation_p(rows, "sample", "side", "a", tq.ROUNDS, 7).select("metric", F.round("p", 6).alias("p"))
-    return stats.compare(rows, "side", "a", "b").select("metric", *[F.round(c, 6).alias(c) for c in ("median_a", "median_b", "hedges_g")]).join(p, "metric")
+    return stats.compare(rows, "side", "a", "b").select("metric", *[F.round(F.col(c) / 10000, 6).alias(c) for c in ("median_a", "median_b")], F.round("hedges_g", 6).alias("hedges_g")).join(p, "metric")
 
 
 def composed_shifts(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,12 +174,12 @@ _COMPOSED = f"""WITH {fq._SH}, s AS (SELECT z, i, dy, dx FROM sh UNION ALL SELEC
 _GATES = f"""{mq._S}, {mq._DEG}, {mq._PLANE}, rad AS (SELECT a.image, a.y, a.x, sqrt(coalesce(min((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)), 25)) AS r FROM mask a LEFT JOIN bg b ON a.image = b.image AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 16 GROUP BY 1, 2, 3), {mq._label('pl', 'mask')},
     c AS (SELECT image, label, count(*) AS n, count(*) FILTER (degree = 1 OR degree >= 3) AS nodes, median(r) AS usual, max(r) FILTER (r >= {GATES.radius}::DOUBLE AND v >= {GATES.bright * 100}) AS best FROM pl JOIN deg USING (image, y, x) JOIN rad USING (image, y, x) JOIN mask USING (image, y, x) GROUP BY 1, 2)
     SELECT image, label, n, CASE WHEN n < {GATES.pixels} THEN 'too_small' WHEN nodes = 0 THEN 'no_morphology' WHEN best IS NULL THEN 'no_fat_point' WHEN n >= {GATES.prominent_from} AND usual > 0 AND best < {GATES.prominence}::DOUBLE * usual THEN 'low_prominence' ELSE '' END AS reason FROM c"""
-_ROUND = f"""WITH blk AS ({pq._block(False)}), m AS (SELECT sample, round(median(round_per_mm2), 4) AS round_per_mm2, round(median(round_frac), 4) AS round_frac, round(median(skel_gap_frac), 4) AS skel_gap_frac FROM blk GROUP BY 1),
+_ROUND = f"""WITH blk AS ({pq._block(False)}), m AS (SELECT sample, round(median(round_per_mm2) * 10000) AS round_per_mm2, round(median(round_frac) * 10000) AS round_frac, round(median(skel_gap_frac) * 10000) AS skel_gap_frac FROM blk GROUP BY 1),
     u AS (UNPIVOT m ON round_per_mm2, round_frac, skel_gap_frac INTO NAME name VALUE value), long AS (SELECT sample, name || ':geno' AS metric, sample % 2 = 0 AS a, value FROM u UNION ALL SELECT sample, name || ':sex', (sample // 2) % 2 = 0, value FROM u),
     s AS (SELECT metric, avg(value) FILTER (a) - avg(value) FILTER (NOT a) AS d, median(value) FILTER (a) AS da, median(value) FILTER (NOT a) AS db, avg(value) FILTER (a) AS ma, avg(value) FILTER (NOT a) AS mb, var_samp(value) FILTER (a) AS va, var_samp(value) FILTER (NOT a) AS vb, count(*) FILTER (a) AS na, count(*) FILTER (NOT a) AS nb FROM long GROUP BY 1),
     t AS (SELECT metric, r, value, row_number() OVER (PARTITION BY metric, r ORDER BY md5('7:' || r || ':' || sample), sample) AS place FROM long, range(1, {tq.ROUNDS + 1}) k(r)), e AS (SELECT metric, r, avg(value) FILTER (place <= na) - avg(value) FILTER (place > na) AS e FROM t JOIN s USING (metric) GROUP BY 1, 2),
     p AS (SELECT metric, (count(*) FILTER (abs(e) >= abs(d) - 1e-12::DOUBLE) + 1) / {tq.ROUNDS + 1}::DOUBLE AS p FROM e JOIN s USING (metric) GROUP BY 1)
-    SELECT metric, round(da, 6) AS median_a, round(db, 6) AS median_b, round((1 - 3 / (4 * (na + nb) - 9)::DOUBLE) * (ma - mb) / nullif(sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 0), 6) AS hedges_g, round(p, 6) AS p FROM s JOIN p USING (metric)"""
+    SELECT metric, round(da / 10000, 6) AS median_a, round(db / 10000, 6) AS median_b, round((1 - 3 / (4 * (na + nb) - 9)::DOUBLE) * (ma - mb) / nullif(sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 0), 6) AS hedges_g, round(p, 6) AS p FROM s JOIN p USING (metric)"""
 
 ALL = {
     "part_gates": (part_gates, _GATES),
