@@ -23,12 +23,8 @@ def annulus_trunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def local_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Each pixel against the median, and the median deviation, of the 5 x 5 square around it."""
-    px = mq._px(spark, sf)
-    med = spatial.window_median(px, "v", 2).withColumnRenamed("median", "med")
-    rest = px.join(med, ["image", "y", "x"]).withColumn("r", F.abs(F.col("v") - F.col("med")))
-    mad = spatial.window_median(rest, "r", 2).withColumnRenamed("median", "mad")
     z = (F.col("v") - F.col("med")) / F.greatest(1.4826 * F.col("mad"), F.lit(2.0))
-    return rest.join(mad, ["image", "y", "x"]).select("image", "y", "x", F.round(z, 6).alias("z"))
+    return spatial.window_spread(mq._px(spark, sf), 2).select("image", "y", "x", F.round(z, 6).alias("z"))
 
 
 def tissue_thresholds(spark: SparkSession, sf: str) -> DataFrame:
