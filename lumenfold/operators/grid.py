@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators import stacks
+
 OFFSETS8 = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
 OFFSETS4 = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 
@@ -28,33 +30,42 @@ def _around(mask: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     return mask.select("image", "y", "x", F.explode(steps).alias("o")).select("image", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.col("y").alias("y0"), F.col("x").alias("x0"))
 
 
+def counted(mask: DataFrame, offsets: list[tuple[int, int]], name: str = "n") -> DataFrame:
+    """(image, y, x, name): of each pixel of the mask from how many other offsets lead to it. Tiles know what is around them, so nothing is multiplied by offsets."""
+    back = [(-dy, -dx) for dy, dx in offsets]
+
+    def run(f: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        order, found = stacks.around(f, starts, back)
+        f = f.iloc[order]
+        return f[["image", "y", "x"]].assign(**{name: sum((at >= 0).astype(np.int64) for at in found)})[stacks.own(f)]
+
+    px = mask.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    reach = max(max(abs(dy), abs(dx)) for dy, dx in offsets)
+    return stacks.whole_groups(stacks.spread(px, reach), ["image", "ty", "tx"], run, f"image {px.schema['image'].dataType.simpleString()}, y long, x long, {name} long")
+
+
 def degree(mask: DataFrame, offsets: list[tuple[int, int]] = OFFSETS8) -> DataFrame:
-    """(image, y, x, degree): neighbours in the mask, one shuffle for the counts and one for the mask's own pixels."""
-    near = _around(mask, offsets).groupBy("image", "y", "x").agg(F.count("*").alias("degree"))
-    return mask.select("image", "y", "x").join(near, ["image", "y", "x"], "left").fillna(0, ["degree"])
-
-
-def _tile_labels(offsets: list[tuple[int, int]], width: int):
-    """Labels the pixels of one tile: every pixel takes the least number among its neighbours, then its number's own, until nothing changes."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        y, x = f["y"].to_numpy(), f["x"].to_numpy()
-        order = np.lexsort((x, y))
-        f, y, x = f.iloc[order], y[order], x[order]
-        at = np.full((int(y.max() - y.min()) + 3, int(x.max() - x.min()) + 3), -1)
-        at[y - y.min() + 1, x - x.min() + 1] = np.arange(len(y))
-        pairs = [(i, at[y - y.min() + 1 + dy, x - x.min() + 1 + dx]) for i in [np.arange(len(y))] for dy, dx in offsets if (dy, dx) > (0, 0)]
-        a, b = (np.concatenate(c) for c in zip(*[(i[j >= 0], j[j >= 0]) for i, j in pairs], strict=True))
-        label, before = np.arange(len(y)), None
-        while before is None or (label != before).any():
-            before = label.copy()
-            least = np.minimum(label[a], label[b])
-            np.minimum.at(label, a, least)
-            np.minimum.at(label, b, least)
+    """(image, y, x, degree): neighbours in the mask."""
+    return counted(mask, offsets, "degree")
+
+
+def labelled(f: pd.DataFrame, starts: np.ndarray, offsets: list[tuple[int, int]], width: int) -> pd.DataFrame:
+    """Labels the pixels of each group by themselves: every pixel takes the least number among its neighbours, then its number's own, until nothing changes."""
+    order, found = stacks.around(f, starts, [o for o in offsets if o > (0, 0)])
+    here = np.arange(len(order))
+    a, b = np.concatenate([here[at >= 0] for at in found]), np.concatenate([at[at >= 0] for at in found])
+    label = here.copy()
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least)  # the least number goes to the roots of both
+        np.minimum.at(label, label[b], least)
+        while (label[label] != label).any():
             label = label[label]
-        return f[["image", "y", "x"]].assign(label=y[label] * width + x[label])
-
-    return run
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    f = f.iloc[order]
+    y, x = f["y"].to_numpy(), f["x"].to_numpy()
+    return f.assign(label=y[label] * width + x[label])
 
 
 def components(mask: DataFrame, offsets: list[tuple[int, int]] = OFFSETS8, width: int = 1 << 20, tile: int = 256) -> DataFrame:
@@ -63,9 +74,15 @@ def components(mask: DataFrame, offsets: list[tuple[int, int]] = OFFSETS8, width
     Pixels are labelled tile by tile. Labels that meet where tiles do are edges of a graph, and only that graph, which has no more nodes than
     tiles have components at their borders, takes rounds of least labels, each of them checkpointed.
     """
-    px = mask.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct()
-    tiled = px.groupBy("image", F.floor(F.col("y") / tile), F.floor(F.col("x") / tile))
-    local = tiled.applyInPandas(_tile_labels(offsets, width), px.withColumn("label", F.lit(0).cast("long")).schema).checkpoint()
+    px = mask.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    tiled = px.withColumns({"ty": F.floor(F.col("y") / tile), "tx": F.floor(F.col("x") / tile)})
+    label = lambda f, starts: labelled(f, starts, offsets, width)[["image", "y", "x", "label"]]
+    local = stacks.whole_groups(tiled, ["image", "ty", "tx"], label, f"image {px.schema['image'].dataType.simpleString()}, y long, x long, label long").checkpoint()
+    # where all pixels are in tiles of one number no two tiles meet
+    ends = [f(F.floor(F.col(c) / tile)).alias(f"{n}{c}") for c in "yx" for n, f in (("low", F.min), ("high", F.max))]
+    reach = local.agg(*ends).first()
+    if reach["lowy"] == reach["highy"] and reach["lowx"] == reach["highx"]:
+        return local
     rim = local.where((F.pmod("y", F.lit(tile)) % (tile - 1) == 0) | (F.pmod("x", F.lit(tile)) % (tile - 1) == 0))
     beside = _around(rim, offsets).where((F.floor(F.col("y") / tile) != F.floor(F.col("y0") / tile)) | (F.floor(F.col("x") / tile) != F.floor(F.col("x0") / tile)))
     ends = beside.join(rim.select("image", "y", "x", F.col("label").alias("to")), ["image", "y", "x"])

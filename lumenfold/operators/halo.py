@@ -1,26 +1,33 @@
 """Filters of planes on tiles with a halo: a pixel goes to every tile that needs it, a tile is filtered by itself, and only its inner part is kept.
 
 Planes are relations (image, y, x, v) of their pixels other than 0, all of one size. A tile with its halo is all that a task holds of a plane, and
-results don't depend on how large tiles are. Beyond the plane's edge pixels are reflected, the outermost first.
+results don't depend on how large tiles are. Beyond the plane's edge pixels are reflected, the outermost first. Tiles of one shape go through a kernel as a
+stack, so kernels work along the last two axes. Where a tile would hold the whole plane in its halo, the plane is one tile.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.operators.grid import OFFSETS4, _tile_labels
+from lumenfold.operators import stacks
+from lumenfold.operators.grid import OFFSETS4, labelled
 
 Plane = np.ndarray
 #: Standard deviations at which kernels end.
 REACH, SMOOTH_REACH = 8.0, 4.0
 
 
+def _tile(shape: tuple[int, int], halo: int, tile: int) -> int:
+    return max(shape) if tile + 2 * halo >= max(shape) else tile
+
+
 def dealt(px: DataFrame, shape: tuple[int, int], halo: int, tile: int) -> DataFrame:
     """px with the tile (ty, tx) of every tile that has it in its inner part or its halo."""
     tiles = lambda c, n: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - halo) / tile)), F.least(F.lit((n - 1) // tile), F.floor((F.col(c) + halo) / tile)))
@@ -28,38 +35,86 @@ def dealt(px: DataFrame, shape: tuple[int, int], halo: int, tile: int) -> DataFr
     return inside.withColumn("ty", F.explode(tiles("y", shape[0]))).withColumn("tx", F.explode(tiles("x", shape[1])))
 
 
-def _dense(f: pd.DataFrame, shape: tuple[int, int], halo: int, tile: int) -> tuple[Plane, list[int], list[int], list[tuple[int, int]]]:
-    """The tile's pixels within the plane, where they begin, where its inner part begins, and how much is missing on either side."""
-    at, inner, missing, size = [], [], [], []
-    for t, n in zip((int(f["ty"].iloc[0]), int(f["tx"].iloc[0])), shape, strict=True):
-        a, b = max(0, t * tile - halo), min(n, (t + 1) * tile + halo)
-        at.append(a), inner.append(t * tile), size.append(b - a)
-        missing.append((a - (t * tile - halo), (min(n, (t + 1) * tile) + halo) - b))
-    plane = np.zeros(size)
-    plane[f["y"] - at[0], f["x"] - at[1]] = f["v"]
-    return plane, at, inner, missing
+@dataclass
+class Tiles:
+    """Tiles of one shape and one place against the plane's edges: their pixels within the plane, where they begin (`at`, `inner`: arrays of rows and columns), how
+    much is missing on either side, how far off `at` the inner part is, and how large."""
+
+    number: np.ndarray
+    plane: Plane
+    at: np.ndarray
+    inner: np.ndarray
+    missing: list[tuple[int, int]]
+    off: list[int]
+    size: list[int]
+
+
+def _tiles(f: pd.DataFrame, starts: np.ndarray, shape: tuple[int, int], halo: int, tile: int) -> Iterator[Tiles]:
+    inner = f[["ty", "tx"]].to_numpy()[starts] * tile
+    low, high = np.maximum(0, inner - halo), np.minimum(shape, inner + tile + halo)
+    kinds, of = np.unique(np.concatenate([low - inner, high - inner, np.minimum(tile, shape - inner)], axis=1), axis=0, return_inverse=True)
+    g, y, x, v = stacks.numbers(starts, len(f)), f["y"].to_numpy(), f["x"].to_numpy(), f["v"].to_numpy()
+    for k, kind in enumerate(kinds):
+        (a, b), (c, d), size = kind[:2], kind[2:4], kind[4:].tolist()
+        which = np.flatnonzero(of.ravel() == k)
+        many = max(1, stacks.CELLS // ((tile + 2 * halo) ** 2))
+        missing = [(int(n + halo), int(t + halo - e)) for n, e, t in zip((a, b), (c, d), size, strict=True)]
+        for m in range(0, len(which), many):
+            w = which[m : m + many]
+            number = np.full(len(starts), -1)
+            number[w] = np.arange(len(w))
+            rows = np.flatnonzero(number[g] >= 0)
+            plane = np.zeros((len(w), int(c - a), int(d - b)))
+            plane[number[g[rows]], y[rows] - low[g[rows], 0], x[rows] - low[g[rows], 1]] = v[rows]
+            yield Tiles(starts[w], plane, low[w], inner[w], missing, [int(-a), int(-b)], size)
+
+
+def _padded(t: Tiles, **mode) -> Plane:
+    return np.pad(t.plane, [(0, 0), *t.missing], **mode)
+
+
+def _inner(a: Plane, t: Tiles, halo: int) -> Plane:
+    return a[:, halo : halo + t.size[0], halo : halo + t.size[1]]
+
+
+def _places(f: pd.DataFrame, t: Tiles, keep: Plane) -> tuple[tuple[np.ndarray, ...], dict]:
+    """Where inner parts hold something: in the stack, and as columns."""
+    at = np.nonzero(keep)
+    return at, {"image": f["image"].to_numpy()[t.number[at[0]]], "y": at[1] + t.inner[at[0], 0], "x": at[2] + t.inner[at[0], 1]}
 
 
 def filtered(px: DataFrame, kernel: Callable[[Plane], Plane | tuple[Plane, ...]], names: list[str], shape: tuple[int, int], halo: int, tile: int = 256) -> DataFrame:
     """(image, y, x, names double): what kernel makes of the plane, where one of the values isn't 0. The kernel looks at most `halo` pixels away, and
     makes 0 of nothing but 0."""
+    tile = _tile(shape, halo, tile)
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        plane, _, inner, missing = _dense(f, shape, halo, tile)
-        found = kernel(np.pad(plane, missing, mode="symmetric"))
-        parts = [v[halo : halo + min(tile, shape[0] - inner[0]), halo : halo + min(tile, shape[1] - inner[1])] for v in (found if isinstance(found, tuple) else (found,))]
-        y, x = np.nonzero(np.any([p != 0 for p in parts], axis=0))
-        return pd.DataFrame({"image": f["image"].iloc[0], "y": y + inner[0], "x": x + inner[1]} | {n: p[y, x] for n, p in zip(names, parts, strict=True)})
+    def run(f: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        out = []
+        for t in _tiles(f, starts, shape, halo, tile):
+            found = kernel(_padded(t, mode="symmetric"))
+            parts = [_inner(v, t, halo) for v in (found if isinstance(found, tuple) else (found,))]
+            at, columns = _places(f, t, np.any([p != 0 for p in parts], axis=0))
+            out.append(pd.DataFrame(columns | {n: p[at] for n, p in zip(names, parts, strict=True)}))
+        return pd.concat(out, ignore_index=True)
 
     schema = f"image {px.schema['image'].dataType.simpleString()}, y long, x long, " + ", ".join(f"{n} double" for n in names)
-    return dealt(px.select("image", "y", "x", "v"), shape, halo, tile).groupBy("image", "ty", "tx").applyInPandas(run, schema)
+    return stacks.whole_groups(dealt(px.select("image", "y", "x", "v"), shape, halo, tile), ["image", "ty", "tx"], run, schema)
+
+
+def _wider(a: Plane, r: int, axis: int) -> Plane:
+    """The outermost pixels go on for r at both ends of an axis of planes, 0 or 1."""
+    return np.pad(a, [(r, r) if i == a.ndim - 2 + axis else (0, 0) for i in range(a.ndim)], mode="edge")
+
+
+def _part(a: Plane, k: int, n: int, axis: int) -> Plane:
+    return a[..., k : k + n, :] if axis == 0 else a[..., k : k + n]
 
 
 def along(a: Plane, weights: np.ndarray, axis: int) -> Plane:
     """Correlation with an odd number of weights along an axis; the outermost pixel goes on."""
-    r, n = len(weights) // 2, a.shape[axis]
-    wide = np.pad(a, [(r, r) if i == axis else (0, 0) for i in range(2)], mode="edge")
-    return sum(w * np.take(wide, range(k, k + n), axis) for k, w in enumerate(weights))
+    r, n = len(weights) // 2, a.shape[axis - 2]
+    wide = _wider(a, r, axis)
+    return sum(w * _part(wide, k, n, axis) for k, w in enumerate(weights))
 
 
 def gaussian(sigma: float, reach: float = SMOOTH_REACH) -> np.ndarray:
@@ -109,12 +164,12 @@ def _sliding(a: Plane, r: int, axis: int, pick: Callable) -> Plane:
     """The least, or greatest, of the 2 r + 1 pixels around each along an axis, by windows that double."""
     if not r:
         return a
-    n = a.shape[axis]
-    wide = np.pad(a, [(r, r) if i == axis else (0, 0) for i in range(2)], mode="edge")
-    at = lambda x, k, m: np.take(x, range(k, k + m), axis)
+    n = a.shape[axis - 2]
+    wide = _wider(a, r, axis)
+    at = lambda x, k, m: _part(x, k, m, axis)
     width = 1
     while 2 * width <= 2 * r + 1:
-        m = wide.shape[axis] - width
+        m = wide.shape[axis - 2] - width
         wide, width = pick(at(wide, 0, m), at(wide, width, m)), 2 * width
     return pick(at(wide, 0, n), at(wide, 2 * r + 1 - width, n))
 
@@ -123,7 +178,7 @@ def _over_disk(a: Plane, r: int, pick: Callable) -> Plane:
     out = None
     for dy in range(-r, r + 1):
         row = _sliding(a, math.isqrt(r * r - dy * dy), 1, pick)
-        wide = np.pad(row, ((r, r), (0, 0)), mode="edge")[r + dy : r + dy + len(a)]
+        wide = _part(_wider(row, r, 0), r + dy, a.shape[-2], 0)
         out = wide if out is None else pick(out, wide)
     return out
 
@@ -151,68 +206,86 @@ def without_background(px: DataFrame, r: int, step: int, shape: tuple[int, int],
     near = 1 + 2 * r + int(SMOOTH_REACH * r / 2 + 0.5) + 2
     halo = step * near
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        plane, at, inner, _ = _dense(f, shape, halo, tile)
+    tile = _tile(shape, halo, tile)
+
+    def run(f: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        out = []
+        for t in _tiles(f, starts, shape, halo, tile):
+            # tiles whose first coarse pixel is as far off are brought back alike
+            kinds, of = np.unique(np.concatenate([t.at, t.inner], axis=1), axis=0, return_inverse=True)
+            for k, kind in enumerate(kinds):
+                at, inner, which = kind[:2].tolist(), kind[2:].tolist(), np.flatnonzero(of.ravel() == k)
+                flat = flattened(t.plane[which], at, inner, t)
+                found, columns = _places(f, Tiles(t.number[which], flat, t.at[which], t.inner[which], t.missing, t.off, t.size), flat)
+                out.append(pd.DataFrame(columns | {"v": flat[found]}))
+        return pd.concat(out, ignore_index=True)
+
+    def flattened(plane: Plane, at: list[int], inner: list[int], t: Tiles) -> Plane:
         first = [-(-a // step) for a in at]
-        small = plane[first[0] * step - at[0] :: step, first[1] * step - at[1] :: step]
+        small = plane[:, first[0] * step - at[0] :: step, first[1] * step - at[1] :: step]
         # reflected only where the coarse plane itself ends
-        pad = [(near if o == 0 else 0, near if o + n == c else 0) for o, n, c in zip(first, small.shape, coarse, strict=True)]
-        a = np.pad(small, pad, mode="symmetric")
+        pad = [(near if o == 0 else 0, near if o + n == c else 0) for o, n, c in zip(first, small.shape[1:], coarse, strict=True)]
+        a = np.pad(small, [(0, 0), *pad], mode="symmetric")
         for axis in (0, 1):
             a = along(a, np.full(3, 1 / 3), axis)
-        a = smoothed(opened(a, r, True), r / 2)[pad[0][0] : a.shape[0] - pad[0][1], pad[1][0] : a.shape[1] - pad[1][1]]
-        size = [min(tile, n - i) for n, i in zip(shape, inner, strict=True)]
+        a = smoothed(opened(a, r, True), r / 2)[:, pad[0][0] : a.shape[1] - pad[0][1], pad[1][0] : a.shape[2] - pad[1][1]]
         for axis in (0, 1):
-            place = (inner[axis] + np.arange(size[axis])) * ((coarse[axis] - 1) / max(shape[axis] - 1, 1)) - first[axis]
-            low = np.minimum(np.floor(place).astype(int), a.shape[axis] - 1)
+            place = (inner[axis] + np.arange(t.size[axis])) * ((coarse[axis] - 1) / max(shape[axis] - 1, 1)) - first[axis]
+            low = np.minimum(np.floor(place).astype(int), a.shape[axis + 1] - 1)
             part = np.expand_dims(place - low, 1 - axis)
-            a = np.take(a, low, axis) * (1 - part) + np.take(a, np.minimum(low + 1, a.shape[axis] - 1), axis) * part
-        own = plane[inner[0] - at[0] :, inner[1] - at[1] :][: size[0], : size[1]]
-        flat = np.round(np.maximum(own - a, 0), 9)
-        y, x = np.nonzero(flat)
-        return pd.DataFrame({"image": f["image"].iloc[0], "y": y + inner[0], "x": x + inner[1], "v": flat[y, x]})
+            a = np.take(a, low, axis + 1) * (1 - part) + np.take(a, np.minimum(low + 1, a.shape[axis + 1] - 1), axis + 1) * part
+        own = plane[:, t.off[0] :, t.off[1] :][:, : t.size[0], : t.size[1]]
+        return np.round(np.maximum(own - a, 0), 9)
 
     schema = f"image {px.schema['image'].dataType.simpleString()}, y long, x long, v double"
-    return dealt(px.select("image", "y", "x", "v"), shape, halo, tile).groupBy("image", "ty", "tx").applyInPandas(run, schema)
+    return stacks.whole_groups(dealt(px.select("image", "y", "x", "v"), shape, halo, tile), ["image", "ty", "tx"], run, schema)
 
 
 def thin_once(a: Plane) -> Plane:
-    """An iteration of Zhang and Suen's thinning of a boolean plane."""
-    a = np.pad(a, 1)
+    """An iteration of Zhang and Suen's thinning of boolean planes."""
+    a = np.pad(a, [(0, 0)] * (a.ndim - 2) + [(1, 1), (1, 1)])
     for second in (False, True):
-        p = [np.roll(a, s, (0, 1)) for s in ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1))]  # north, then clockwise
-        n = sum(q.astype(int) for q in p)
-        turns = sum((~p[i] & p[(i + 1) % 8]).astype(int) for i in range(8))
+        p = [np.roll(a, s, (-2, -1)) for s in ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1))]  # north, then clockwise
+        n = sum(q.astype(np.int8) for q in p)
+        turns = sum((~p[i] & p[(i + 1) % 8]).astype(np.int8) for i in range(8))
         north, east, south, west = p[0], p[2], p[4], p[6]
         sides = ~(north & east & west) & ~(north & south & west) if second else ~(north & east & south) & ~(east & south & west)
         a = a & ~((n >= 2) & (n <= 6) & (turns == 1) & sides)
-    return a[1:-1, 1:-1]
+    return a[..., 1:-1, 1:-1]
 
 
 def skeleton(mask: DataFrame, shape: tuple[int, int], tile: int = 256, steps: int = 8) -> DataFrame:
     """(image, y, x): masks thinned to lines one pixel wide.
 
     An iteration looks two pixels away, so a tile with a halo of 2 * steps takes that many by itself. Rounds go on until no pixel goes; their number
-    follows the width of what is thinned, not the size of the plane.
+    follows the width of what is thinned, not the size of the plane. A plane that is one tile is thinned to the end at once.
     """
     halo = 2 * steps
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        plane, _, inner, missing = _dense(f.assign(v=1), shape, halo, tile)
-        a = np.pad(plane > 0, missing)
-        for _ in range(steps):
-            new = thin_once(a)
-            if (new == a).all():
-                break
-            a = new
-        y, x = np.nonzero(a[halo : halo + min(tile, shape[0] - inner[0]), halo : halo + min(tile, shape[1] - inner[1])])
-        return pd.DataFrame({"image": f["image"].iloc[0], "y": y + inner[0], "x": x + inner[1]})
+    tile = _tile(shape, halo, tile)
+    whole = tile >= max(shape)
+
+    def run(f: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        out = []
+        for t in _tiles(f.assign(v=1), starts, shape, halo, tile):
+            a = t.plane > 0 if whole else _padded(t) > 0
+            open_, left = np.arange(len(a)), steps
+            while len(open_) and (whole or left):
+                new, left = thin_once(a[open_]), left - 1
+                moved = (new != a[open_]).any(axis=(1, 2))
+                a[open_] = new
+                open_ = open_[moved]
+            out.append(pd.DataFrame(_places(f, t, a if whole else _inner(a, t, halo))[1]))
+        return pd.concat(out, ignore_index=True)
 
     schema = f"image {mask.schema['image'].dataType.simpleString()}, y long, x long"
-    now = mask.select("image", "y", "x").distinct()
+    once = lambda px: stacks.whole_groups(dealt(px, shape, halo, tile), ["image", "ty", "tx"], run, schema)
+    now = mask.select("image", "y", "x")
+    if whole:
+        return once(now)
+    now = now.distinct()
     before, left = None, now.count()
     while left != before:
-        now = dealt(now, shape, halo, tile).groupBy("image", "ty", "tx").applyInPandas(run, schema).checkpoint()
+        now = once(now).checkpoint()
         before, left = left, now.count()
     return now
 
@@ -223,28 +296,37 @@ def small_holes(mask: DataFrame, most: int, shape: tuple[int, int], tile: int =
     No such hole reaches further than `most` pixels, so a tile's halo holds all of those that begin in it. `hole` is the least y * 2**20 + x of its pixels.
     """
     halo = most + 1
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        plane, at, inner, _ = _dense(f.assign(v=1), shape, halo, tile)
-        y, x = np.nonzero(plane == 0)
-        if not len(y):
-            return pd.DataFrame({"image": [], "y": [], "x": [], "hole": []}).astype({"y": "int64", "x": "int64", "hole": "int64"})
-        parts = _tile_labels(OFFSETS4, 1 << 20)(pd.DataFrame({"image": f["image"].iloc[0], "y": y + at[0], "x": x + at[1]}))
-        edge = parts["y"].isin([at[0], at[0] + plane.shape[0] - 1]) | parts["x"].isin([at[1], at[1] + plane.shape[1] - 1])
-        by = parts.assign(edge=edge).groupby("label").agg(n=("y", "size"), edge=("edge", "any"))
-        by = by[(by["n"] <= most) & ~by["edge"]]
-        ly, lx = by.index // (1 << 20), by.index % (1 << 20)
-        own = by.index[(ly >= inner[0]) & (ly < inner[0] + tile) & (lx >= inner[1]) & (lx < inner[1] + tile)]
-        return parts[parts["label"].isin(own)].rename(columns={"label": "hole"})[["image", "y", "x", "hole"]]
+    tile = _tile(shape, halo, tile)
+
+    def run(f: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        out = [pd.DataFrame({"image": f["image"].iloc[:0], "y": [], "x": [], "hole": []}).astype({"y": "int64", "x": "int64", "hole": "int64"})]
+        for t in _tiles(f.assign(v=1), starts, shape, halo, tile):
+            g, y, x = np.nonzero(t.plane == 0)
+            if not len(g):
+                continue
+            at, end = t.at[g], t.at[g] + np.array(t.plane.shape[1:]) - 1
+            begins = np.flatnonzero(np.diff(g, prepend=-1))
+            parts = pd.DataFrame({"g": g, "y": y + at[:, 0], "x": x + at[:, 1]})
+            parts["edge"] = (parts["y"] == at[:, 0]) | (parts["y"] == end[:, 0]) | (parts["x"] == at[:, 1]) | (parts["x"] == end[:, 1])
+            parts = labelled(parts, begins, OFFSETS4, 1 << 20)
+            by = parts.groupby(["g", "label"])["edge"]
+            keep = (by.transform("size") <= most) & ~by.transform("any")
+            parts = parts[keep.to_numpy()].rename(columns={"label": "hole"})
+            own = t.inner[parts["g"]]
+            hy, hx = parts["hole"] // (1 << 20) - own[:, 0], parts["hole"] % (1 << 20) - own[:, 1]
+            parts = parts[((hy >= 0) & (hy < tile) & (hx >= 0) & (hx < tile)).to_numpy()]
+            out.append(parts.assign(image=f["image"].to_numpy()[t.number[parts["g"]]])[["image", "y", "x", "hole"]])
+        return pd.concat(out, ignore_index=True)
 
     schema = f"image {mask.schema['image'].dataType.simpleString()}, y long, x long, hole long"
-    return dealt(mask.select("image", "y", "x"), shape, halo, tile).groupBy("image", "ty", "tx").applyInPandas(run, schema)
+    return stacks.whole_groups(dealt(mask.select("image", "y", "x"), shape, halo, tile), ["image", "ty", "tx"], run, schema)
 
 
 def ranked(a: Plane, size: int) -> Plane:
     """The median of the size x size square around each pixel, size being odd; the outermost pixels go on."""
-    around = np.lib.stride_tricks.sliding_window_view(np.pad(a, size // 2, mode="edge"), (size, size))
-    return np.median(around, axis=(2, 3))
+    r = size // 2
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(a, [(0, 0)] * (a.ndim - 2) + [(r, r), (r, r)], mode="edge"), (size, size), axis=(-2, -1))
+    return np.median(around, axis=(-2, -1))
 
 
 def local_scores(px: DataFrame, size: int, step: int, floor: float, shape: tuple[int, int], tile: int = 256) -> DataFrame:
