@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.operators import grid
+from lumenfold.operators import grid, stacks
 
 KEY = ["image", "y", "x"]
 
@@ -24,13 +24,26 @@ def _inside(side: int) -> Column:
 
 def dilated(mask: DataFrame, offsets: list[tuple[int, int]], side: int) -> DataFrame:
     """Pixels of the plane that an offset reaches from a pixel of the mask."""
-    return grid._around(mask, offsets).where(_inside(side)).select(*KEY).distinct()
+    far = max(max(abs(dy), abs(dx)) for dy, dx in offsets)
+
+    def run(f: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        out = []
+        for rows, g, y, x, shape, y0, x0 in stacks.planes(f, starts, far):
+            plane, first = np.zeros(shape, bool), f.iloc[rows.start + np.flatnonzero(np.diff(g, prepend=-1))]
+            for dy, dx in offsets:
+                plane[g, y + dy, x + dx] = True
+            k, y, x = np.nonzero(plane)
+            found = pd.DataFrame({"image": first["image"].to_numpy()[k], "y": y + y0[k], "x": x + x0[k], "ty": first["ty"].to_numpy()[k], "tx": first["tx"].to_numpy()[k]})
+            out.append(found[stacks.own(found)][KEY])
+        found = pd.concat(out, ignore_index=True)
+        return found[found["y"].between(0, side - 1) & found["x"].between(0, side - 1)]
+
+    return stacks.whole_groups(stacks.spread(mask.select(*KEY), far), ["image", "ty", "tx"], run, f"image {mask.schema['image'].dataType.simpleString()}, y long, x long")
 
 
 def eroded(mask: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    """Pixels from which every offset stays in the mask; beyond the plane there is none."""
-    reached = grid._around(mask, offsets).groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") == len(offsets))
-    return mask.select(*KEY).join(reached, KEY, "left_semi") if (0, 0) not in offsets else reached.select(*KEY)
+    """Pixels of the mask from which every offset stays in it; beyond the plane there is none."""
+    return grid.counted(mask, offsets).where(F.col("n") == len(offsets)).select(*KEY)
 
 
 def closed(mask: DataFrame, offsets: list[tuple[int, int]], side: int) -> DataFrame:
@@ -115,12 +128,22 @@ def moments(labelled: DataFrame) -> DataFrame:
 
 def distances(mask: DataFrame, side: int, reach: int) -> DataFrame:
     """(image, y, x, d2): squared distance to the nearest pixel outside the mask (beyond the plane is none), for those nearer than reach + 1; others have none."""
-    axis = F.sequence(F.lit(0).cast("long"), F.lit(side - 1).cast("long"))
-    plane = mask.select("image").distinct().select("image", F.explode(axis).alias("y")).select("image", "y", F.explode(axis).alias("x"))
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in disk(reach) if dy or dx])
-    spread = without(plane, mask).select("image", "y", "x", F.explode(steps).alias("o"))
-    near = spread.groupBy("image", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).agg(F.min(F.col("o.dy") * F.col("o.dy") + F.col("o.dx") * F.col("o.dx")).alias("d2"))
-    return mask.select(*KEY).join(near, KEY, "left")
+    # the farthest first, so that nearer ones overwrite them
+    steps = sorted(((dy * dy + dx * dx, dy, dx) for dy, dx in disk(reach) if dy or dx), reverse=True)
+
+    def run(f: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        d2 = np.zeros(len(f), np.int64)
+        for rows, g, y, x, shape, y0, x0 in stacks.planes(f, starts, reach):
+            row, column = y0[:, None] + np.arange(shape[1]), x0[:, None] + np.arange(shape[2])
+            none = ((row >= 0) & (row < side))[:, :, None] & ((column >= 0) & (column < side))[:, None]
+            none[g, y, x] = False
+            least = d2[rows]
+            for n, dy, dx in steps:
+                least[none[g, y + dy, x + dx]] = n
+        return f[KEY].assign(d2=d2)[stacks.own(f)]
+
+    near = stacks.whole_groups(stacks.spread(mask.select(*KEY), reach), ["image", "ty", "tx"], run, f"image {mask.schema['image'].dataType.simpleString()}, y long, x long, d2 int")
+    return near.select(*KEY, F.nullif("d2", F.lit(0)).alias("d2"))
 
 
 def exact_distances(mask: DataFrame, rows: int, columns: int) -> DataFrame:
