@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.operators import stacks
+
 
 def clamped(rois: DataFrame, side: int, most: int) -> DataFrame:
     """Boxes of at most `most` by `most`, moved until they lie on the plane."""
@@ -29,12 +33,28 @@ def with_earlier(rois: DataFrame) -> DataFrame:
 def covered(boxes: DataFrame) -> DataFrame:
     """(sample, id, area, overlap): how much of each cropped box the union of its sample's earlier ones covers.
 
-    Each cell of the plane belongs to the first box that holds it, so one aggregation by cell finds all overlaps, without pairs of boxes.
+    Each cell of the plane belongs to the first box that holds it: a sample's boxes are laid on a plane, the last one first, and what is seen of each is
+    counted. A task holds the boxes of some samples and one plane.
     """
-    rows = boxes.select("sample", "id", "x0", "x1", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"))
-    cells = rows.select("sample", "id", "y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"))
-    first = cells.groupBy("sample", "y", "x").agg(F.min("id").alias("id")).groupBy("sample", "id").agg(F.count("*").alias("own"))
-    return boxes.join(first, ["sample", "id"], "left").select("sample", "id", "area", (F.col("area") - F.coalesce("own", F.lit(0))).alias("overlap"))
+
+    def run(f: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        out, ends = np.empty(len(f), np.int64), f[["y0", "y1", "x0", "x1"]].to_numpy(np.int64)
+        order = np.lexsort((f["id"].to_numpy(), stacks.numbers(starts, len(f))))  # groups stay where they are
+        ends, id_ = ends[order], f["id"].to_numpy()[order]
+        for i, j in zip(starts.tolist(), [*starts.tolist()[1:], len(f)], strict=True):
+            low, high = ends[i:j].min(0), ends[i:j].max(0)
+            plane = np.full((high[1] - low[0], high[3] - low[2]), -1)
+            number = np.cumsum(np.append(0, id_[i + 1 : j] != id_[i : j - 1]))  # boxes of one id are one
+            for k in range(j - i - 1, -1, -1):
+                a, b, c, d = ends[i + k]
+                plane[a - low[0] : b - low[0], c - low[2] : d - low[2]] = number[k]
+            own = np.bincount(plane[plane >= 0], minlength=j - i)
+            out[order[i:j]] = own[number]
+        return f[["sample", "id", "area"]].assign(overlap=f["area"].to_numpy() - out)
+
+    long_ = boxes.select("sample", "id", *[F.col(c).cast("long").alias(c) for c in ("x0", "x1", "y0", "y1")], "area")
+    kind = {c: boxes.schema[c].dataType.simpleString() for c in ("sample", "id", "area")}
+    return stacks.whole_groups(long_, ["sample"], run, f"sample {kind['sample']}, id {kind['id']}, area {kind['area']}, overlap long")
 
 
 def measured(boxes: DataFrame, px: DataFrame, bright: int, corrected: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from lumenfold.jobs import mask_queries, more_queries, plane_queries
-from lumenfold.operators import grid, spatial
+from lumenfold.operators import grid, roi_block, rois, spatial
 
 
 def plan_of(df):
@@ -69,3 +69,30 @@ def test_neighbours_are_counted_without_a_join(spark):
     assert "Join" not in plan_of(found)
     there = {(r.image, r.y, r.x) for r in px.collect()}
     assert {(r.image, r.y, r.x): r.degree for r in found.collect()} == {(i, y, x): sum((i, y + dy, x + dx) in there for dy, dx in grid.OFFSETS8) for i, y, x in there}
+
+
+def test_boxes_are_laid_on_planes(spark):
+    rng = random.Random(8)
+    rows = [(s, i, x, x + rng.randrange(1, 7), y, y + rng.randrange(1, 7)) for s in range(4) for i in rng.sample(range(20), 9) for x, y in [(rng.randrange(12), rng.randrange(12))]]
+    boxes = spark.createDataFrame([(*r, (r[3] - r[2]) * (r[5] - r[4])) for r in rows], "sample long, id long, x0 long, x1 long, y0 long, y1 long, area long")
+    found = rois.covered(boxes)
+    assert "explode" not in plan_of(found)
+    cells = lambda r: {(y, x) for y in range(r[4], r[5]) for x in range(r[2], r[3])}
+    before = lambda r: {c for o in rows if o[0] == r[0] and o[1] < r[1] for c in cells(o)}
+    assert {(r.sample, r.id): r.overlap for r in found.collect()} == {r[:2]: len(cells(r) & before(r)) for r in rows}
+
+
+def test_cells_of_regions_are_not_broadcast(spark):
+    boxes = roi_block.keyed(spark.createDataFrame([(1, 1, 0, 9, 0, 9, 81)], "sample long, id long, x0 long, x1 long, y0 long, y1 long, area long"))
+    kept, share = roi_block.kept_cells(boxes, spark.createDataFrame([(1, 0, 0)], "sample long, ty long, tx long"), 4)
+    layer = spark.createDataFrame([(1, 2, 2)], "sample long, y long, x long")
+    for df in (kept, share, roi_block.view(boxes, layer)):
+        assert "BroadcastHashJoin" not in plan_of(df)
+
+
+def test_pixels_beside_others_are_found_in_tiles(spark):
+    a = spark.createDataFrame([("i", 0, 0, 1), ("i", 5, 5, 2), ("i", 191, 3, 3)], "image string, y long, x long, a long")
+    b = spark.createDataFrame([("i", 1, 1, 7), ("i", 0, 1, 8), ("i", 192, 4, 9), ("j", 5, 6, 9)], "image string, y long, x long, b long")
+    met = grid.beside(a, "a", b, "b", grid.OFFSETS8)
+    assert "Join" not in plan_of(met)
+    assert {(r.image, r.y0, r.x0, r.y, r.x, r.a, r.b) for r in met.collect()} == {("i", 0, 0, 1, 1, 1, 7), ("i", 0, 0, 0, 1, 1, 8), ("i", 191, 3, 192, 4, 3, 9)}
