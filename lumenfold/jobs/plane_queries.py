@@ -77,7 +77,7 @@ def pruned_spurs(spark: SparkSession, sf: str) -> DataFrame:
 
 def clean_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Skeletons with small loops cut where they are dimmest and spurs shorter than 1.5 times the radius at their junction, or than 3, removed."""
-    px = mq._px(spark, sf)
+    px = mq._px(spark, sf).checkpoint()
     opened = sk.opened_loops(_lines(spark, sf), px, 20, SHAPE, SIDE, plain=True, rounds=3)
     radius = mo.distances(px, SIDE, 4).select("image", "y", "x", F.sqrt("d2").alias("r"))
     return sk.pruned_by_width(opened, radius, 1.5, 3.0)
@@ -146,8 +146,9 @@ def volume_shifts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _layers(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Layers of the scenes: bright pixels in place of a skeleton and cell bodies, distances to the background up to 3, a noise level."""
-    px = mq._px(spark, sf).withColumnRenamed("image", "sample")
-    radius = mo.distances(mq._px(spark, sf), SIDE, 3).select(F.col("image").alias("sample"), "y", "x", F.sqrt(F.coalesce("d2", F.lit(16))).alias("r"))
+    whole = mq._px(spark, sf).checkpoint()
+    px = whole.withColumnRenamed("image", "sample")
+    radius = mo.distances(whole, SIDE, 3).select(F.col("image").alias("sample"), "y", "x", F.sqrt(F.coalesce("d2", F.lit(16))).alias("r"))
     sigma = px.groupBy("sample").agg(F.lit(2.0).alias("sigma"))
     return {"mask": px.where("v >= 20"), "soma": px.where("v >= 80"), "px": px, "radius": radius, "sigma": sigma}
 

@@ -49,6 +49,35 @@ def degree(mask: DataFrame, offsets: list[tuple[int, int]] = OFFSETS8) -> DataFr
     return counted(mask, offsets, "degree")
 
 
+def beside(a: DataFrame, left: str, b: DataFrame, right: str, offsets: list[tuple[int, int]]) -> DataFrame:
+    """(image, y0, x0, y, x, left, right): pixels of a(image, y, x, left) with those of b(image, y, x, right) that an offset leads to from them. Tiles hold both."""
+    side = lambda df, name, is_left: df.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col(name).alias("name"), F.lit(is_left).alias("is_left"))
+    far = max(max(abs(dy), abs(dx)) for dy, dx in offsets)
+
+    def run(f: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        y, x, g = f["y"].to_numpy(), f["x"].to_numpy(), stacks.numbers(starts, len(f))
+        ly, lx = y - np.minimum.reduceat(y, starts)[g] + far, x - np.minimum.reduceat(x, starts)[g] + far
+        h, w = int(ly.max()) + far + 1, int(lx.max()) + far + 1
+        code, is_left = (g * h + ly) * w + lx, f["is_left"].to_numpy(bool)
+        here, there = np.flatnonzero(is_left & stacks.own(f)), np.flatnonzero(~is_left)
+        there = there[np.argsort(code[there], kind="stable")]
+        one, other = [here[:0]], [here[:0]]
+        for dy, dx in offsets:
+            want = code[here] + dy * w + dx
+            first, last = np.searchsorted(code[there], want), np.searchsorted(code[there], want, side="right")
+            n = last - first
+            one.append(np.repeat(here, n))
+            other.append(there[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        i, j = np.concatenate(one), np.concatenate(other)
+        label = f["name"].to_numpy()
+        return pd.DataFrame({"image": f["image"].to_numpy()[i], "y0": y[i], "x0": x[i], "y": y[j], "x": x[j], "name": label[i], "other": label[j]})
+
+    both = stacks.spread(side(a, left, True).union(side(b, right, False)), far)
+    kind, name = both.schema["image"].dataType.simpleString(), both.schema["name"].dataType.simpleString()
+    met = stacks.whole_groups(both, ["image", "ty", "tx"], run, f"image {kind}, y0 long, x0 long, y long, x long, name {name}, other {name}")
+    return met.withColumnsRenamed({"name": left, "other": right})
+
+
 def labelled(f: pd.DataFrame, starts: np.ndarray, offsets: list[tuple[int, int]], width: int) -> pd.DataFrame:
     """Labels the pixels of each group by themselves: every pixel takes the least number among its neighbours, then its number's own, until nothing changes."""
     order, found = stacks.around(f, starts, [o for o in offsets if o > (0, 0)])

@@ -281,7 +281,7 @@ def skeleton(mask: DataFrame, shape: tuple[int, int], tile: int = 256, steps: in
     once = lambda px: stacks.whole_groups(dealt(px, shape, halo, tile), ["image", "ty", "tx"], run, schema)
     now = mask.select("image", "y", "x")
     if whole:
-        return once(now)
+        return once(now).checkpoint()
     now = now.distinct()
     before, left = None, now.count()
     while left != before:

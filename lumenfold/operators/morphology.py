@@ -74,9 +74,9 @@ def filled(mask: DataFrame, side: int) -> DataFrame:
 
 def junction_clusters(mask: DataFrame, radius: float, side: int) -> DataFrame:
     """(image, y, x, cluster): pixels with three or more neighbours, clustered where disks around them join."""
-    joints = grid.degree(mask).where("degree >= 3").select(*KEY)
+    joints = grid.degree(mask).where("degree >= 3").select(*KEY).checkpoint()
     wide = grid.components(dilated(joints, disk(radius), side)).withColumnRenamed("label", "cluster")
-    return joints.join(wide, KEY)
+    return joints.hint("merge").join(wide, KEY)
 
 
 def clusters_by_label(labelled: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -200,5 +200,4 @@ def nearest_label(px: DataFrame, labelled: DataFrame, reach: int) -> DataFrame:
 
 def adjacent(labelled: DataFrame, clusters: DataFrame) -> DataFrame:
     """(image, label, cluster): pairs in which a pixel of the one is beside one of the other (4 neighbours, or the same pixel)."""
-    reach = grid._around(clusters.select(*KEY), [(0, 0), *grid.OFFSETS4]).join(clusters.select("image", F.col("y").alias("y0"), F.col("x").alias("x0"), "cluster"), ["image", "y0", "x0"])
-    return labelled.join(reach.select(*KEY, "cluster"), KEY).select("image", "label", "cluster").distinct()
+    return grid.beside(labelled, "label", clusters, "cluster", [(0, 0), *grid.OFFSETS4]).select("image", "label", "cluster").distinct()

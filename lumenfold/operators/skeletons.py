@@ -24,13 +24,12 @@ def parts(sk: DataFrame) -> tuple[DataFrame, DataFrame]:
     px = grid.degree(sk.select(*KEY).distinct()).checkpoint()
     joints = grid.components(px.where("degree >= 3").select(*KEY)).withColumnRenamed("label", "junction")
     plain = px.where("degree < 3")
-    return grid.components(plain.select(*KEY)).withColumnRenamed("label", "segment").join(plain, KEY), joints
+    return grid.components(plain.select(*KEY)).withColumnRenamed("label", "segment").join(plain.hint("merge"), KEY).checkpoint(), joints
 
 
 def attached(segments: DataFrame, junctions: DataFrame) -> DataFrame:
     """(image, segment, y0, x0, y, x, junction): pixels of segments beside pixels of junctions."""
-    beside = grid._around(segments.select(*KEY), grid.OFFSETS8).join(junctions, KEY)
-    return beside.join(segments.select("image", F.col("y").alias("y0"), F.col("x").alias("x0"), "segment"), ["image", "y0", "x0"])
+    return grid.beside(segments, "segment", junctions, "junction", grid.OFFSETS8)
 
 
 def measured(segments: DataFrame, junctions: DataFrame) -> DataFrame:
@@ -41,10 +40,9 @@ def measured(segments: DataFrame, junctions: DataFrame) -> DataFrame:
     junctions, 3 a ring. (my, mx) is the mean of its end pixels, those with at most one neighbour in it; of a ring the mean of all.
     """
     own = segments.select("image", "segment", "y", "x")
-    near = grid._around(own, grid.OFFSETS8).join(own, KEY)
-    near = near.join(own.select("image", F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("segment").alias("from")), ["image", "y0", "x0"]).where("segment = from")
+    near = grid.beside(own, "segment", own.withColumnRenamed("segment", "other"), "other", grid.OFFSETS8).where("segment = other")
     beside = near.groupBy("image", "segment", F.col("y0").alias("y"), F.col("x0").alias("x")).agg(F.count("*").alias("n"), F.sum(_step("y0", "x0")).alias("s"))
-    px = segments.join(beside, ["image", "segment", "y", "x"], "left").fillna(0, ["n", "s"])
+    px = segments.hint("merge").join(beside, ["image", "segment", "y", "x"], "left").fillna(0, ["n", "s"])
     end = F.col("n") <= 1
     by = px.groupBy("image", "segment").agg(
         F.count("*").alias("px"), (F.sum("s") / 2).alias("inner"), F.count_if(F.col("degree") <= 1).alias("tips"),
@@ -66,8 +64,7 @@ def merged_junctions(segments: DataFrame, junctions: DataFrame, under: float) ->
     """
     centres = junctions.groupBy("image", "junction").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"))
     short = segments.groupBy("image", "segment").agg(F.count("*").alias("n")).where(F.col("n") < under)
-    sides = grid._around(segments.join(short, ["image", "segment"], "left_semi").select(*KEY), grid.OFFSETS4).join(junctions, KEY)
-    ends = sides.join(segments.select("image", F.col("y").alias("y0"), F.col("x").alias("x0"), "segment"), ["image", "y0", "x0"]).select("image", "segment", "junction").distinct()
+    ends = grid.beside(segments.join(short, ["image", "segment"], "left_semi"), "segment", junctions, "junction", grid.OFFSETS4).select("image", "segment", "junction").distinct()
     first = ends.groupBy("image", "segment").agg(F.min("junction").alias("first"))
     pairs = ends.join(first, ["image", "segment"]).where("junction <> first").select("image", F.col("junction").alias("id"), F.col("first").alias("to"))
     both = pairs.union(pairs.select("image", F.col("to").alias("id"), F.col("id").alias("to"))).distinct().checkpoint()
@@ -114,15 +111,16 @@ def opened_loops(sk: DataFrame, px: DataFrame, most: int, shape: tuple[int, int]
     The loop is what touches the hole at a side; one of fewer than `least` pixels stays. With `plain` it is what touches it at a side or corner, and only pixels
     with two neighbours are cut, so that nothing comes apart.
     """
-    now = sk.select(*KEY).distinct()
+    now, px = sk.select(*KEY).distinct().checkpoint(), px.select(*KEY, "v").checkpoint()
     for _ in range(rounds):
         holes = halo.small_holes(now, most, shape, tile)
         reach = grid.OFFSETS8 if plain else grid.OFFSETS4
-        ring = grid._around(holes.select(*KEY), reach).join(holes.select("image", F.col("y").alias("y0"), F.col("x").alias("x0"), "hole"), ["image", "y0", "x0"]).select(*KEY, "hole").distinct()
-        loop = ring.join(grid.degree(now).where("degree = 2") if plain else now, KEY, "left_semi").join(px.select(*KEY, "v"), KEY, "left").fillna(0, ["v"])
+        may = grid.degree(now).where("degree = 2") if plain else now
+        ring = grid.beside(holes, "hole", may.withColumn("_", F.lit(0).cast("long")), "_", reach).select(*KEY, "hole").distinct()
+        loop = ring.hint("merge").join(px.select(*KEY, "v"), KEY, "left").fillna(0, ["v"])
         cut = loop.groupBy("image", "hole").agg(F.min(F.struct("v", "y", "x")).alias("c"), F.count("*").alias("n")).where(F.col("n") >= (1 if plain else least))
         cut = cut.select("image", "c.y", "c.x").distinct().checkpoint()
         if cut.isEmpty():
             break
-        now = now.join(cut, KEY, "left_anti").checkpoint()
+        now = now.join(cut.hint("merge"), KEY, "left_anti").checkpoint()
     return now
