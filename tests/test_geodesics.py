@@ -5,7 +5,7 @@ from collections import deque
 
 import pytest
 
-from lumenfold.operators import geodesics, grid
+from lumenfold.operators import geodesics, grid, stacks
 
 
 def walks(seed, n=9):
@@ -74,3 +74,29 @@ def test_no_sources_and_no_starts(spark):
     sk = spark.createDataFrame([("a", 1, 1)], "image string, y long, x long")
     none = spark.createDataFrame([], "image string, id long, y long, x long, place long, label long")
     assert geodesics.attributed(sk, none).count() == 0 and geodesics.first_reached(sk, none, none.select("image", "y", "x", "label")).count() == 0
+
+
+def test_ways_take_few_jobs_however_long_and_large_images_take_rounds(spark, monkeypatch):
+    """A line and some short walks: searched in tasks, in small blocks, and the walks in rounds with the line in tasks. Jobs don't follow the length of ways."""
+    line = [("line", 5, x) for x in range(12)]
+    rng, pixels = walks(3, 2)
+    spots = rng.sample(sorted(pixels), 6)
+    sk = spark.createDataFrame([(*p, float(p[2] % 7)) for p in line + [("walks", *p) for p in pixels]], "image string, y long, x long, r double")
+    sources = spark.createDataFrame([("line", 1, 5, 0, 1), ("line", 2, 5, 11, 0)] + [("walks", i, *p, -i) for i, p in enumerate(spots[:3])], "image string, id long, y long, x long, place long")
+    starts = spark.createDataFrame([("line", 1, 5, 2)] + [("walks", i, *p) for i, p in enumerate(spots[3:])], "image string, id long, y long, x long")
+    goals = spark.createDataFrame([("line", 5, 11, 8)] + [("walks", *p, i) for i, p in enumerate(spots[:3])], "image string, y long, x long, label long")
+    pairs = spark.createDataFrame([("line", 1, 2, 5, 0, 5, 11)] + [("walks", i, j, *p, *q) for i, p in enumerate(spots) for j, q in enumerate(spots) if i < j], "image string, a long, b long, ay long, ax long, by long, bx long")
+
+    def found():
+        tables = geodesics.attributed(sk, sources), geodesics.first_reached(sk, starts, goals), geodesics.ways_between(sk, pairs, 60)
+        return [sorted(map(tuple, df.collect())) for df in tables]
+
+    spark.sparkContext.setJobGroup("ways", "ways")
+    whole = found()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("ways")) < 40
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert ("line", 1, 8, 9) in whole[1] and ("line", 5, 5, 1, 5) in whole[0] and len(whole[2][0][3]) == 12
+    monkeypatch.setattr(stacks, "CELLS", 100)  # blocks of few starts
+    assert found() == whole
+    monkeypatch.setattr(geodesics, "PIXELS", 12)
+    assert len(pixels) > 12 and found() == whole
