@@ -1,11 +1,14 @@
 """What grows with the tables: plans without pairs of points, written out squares and disks, or broadcast products of an explode."""
 
+import hashlib
 import random
+from statistics import mean
 
 import pytest
 
-from lumenfold.jobs import mask_queries, more_queries, plane_queries
-from lumenfold.operators import grid, roi_block, rois, spatial
+from lumenfold.jobs import cell_queries, mask_queries, more_queries, plane_queries
+from lumenfold.operators import detector, grid, roi_block, rois, spatial, stacks, stats
+from lumenfold.operators import morphology as mo
 
 
 def plan_of(df):
@@ -96,3 +99,26 @@ def test_pixels_beside_others_are_found_in_tiles(spark):
     met = grid.beside(a, "a", b, "b", grid.OFFSETS8)
     assert "Join" not in plan_of(met)
     assert {(r.image, r.y0, r.x0, r.y, r.x, r.a, r.b) for r in met.collect()} == {("i", 0, 0, 1, 1, 1, 7), ("i", 0, 0, 0, 1, 1, 8), ("i", 191, 3, 192, 4, 3, 9)}
+
+
+def test_permutations_order_one_bucket_of_a_draw(spark):
+    rng = random.Random(4)
+    rows = [(u, "a" if u % 3 == 0 else "b", m, float(rng.randrange(9)) if rng.random() < 0.9 else None) for u in range(60) for m in ("m", "n")]
+    rows += [(u, "a" if u == 0 else "b", "few", 1.0) for u in range(5)]
+    want = {}
+    for m in ("m", "n", "few"):
+        of = [(u, g, v) for u, g, k, v in rows if k == m and v is not None]
+        na = sum(g == "a" for _, g, _ in of)
+        if na < 2:
+            want[m] = None
+            continue
+        apart = lambda a, b: mean(v for *_, v in a) - mean(v for *_, v in b)
+        d, hits = apart([r for r in of if r[1] == "a"], [r for r in of if r[1] != "a"]), 0
+        for k in range(1, 31):
+            order = sorted(of, key=lambda r: hashlib.md5(f"7:{k}:{r[0]}".encode()).hexdigest())  # noqa: B023
+            hits += abs(apart(order[:na], order[na:])) >= abs(d) - 1e-12
+        want[m] = (hits + 1) / 31
+    found = stats.permutation_p(spark.createDataFrame(rows, "unit long, side string, metric string, value double"), "unit", "side", "a", 30, 7)
+    assert "bucket" in plan_of(found)
+    got = {r.metric: r.p for r in found.collect()}
+    assert got["few"] is None and {k: pytest.approx(v) for k, v in want.items() if v} == {k: v for k, v in got.items() if v}
