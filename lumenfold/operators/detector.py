@@ -31,8 +31,7 @@ class Gates:
 
 def known(sk: DataFrame) -> DataFrame:
     """sk(image, y, x, r, v) with degree and the label of its part."""
-    px = sk.select(*KEY)
-    return sk.join(grid.degree(px), KEY).join(grid.components(px), KEY)
+    return grid.components(grid.degree(sk, keep=["r", "v"]), keep=["r", "v", "degree"])
 
 
 def gated(parts: DataFrame, gates: Gates) -> DataFrame:

@@ -30,23 +30,28 @@ def _around(mask: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     return mask.select("image", "y", "x", F.explode(steps).alias("o")).select("image", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.col("y").alias("y0"), F.col("x").alias("x0"))
 
 
-def counted(mask: DataFrame, offsets: list[tuple[int, int]], name: str = "n") -> DataFrame:
-    """(image, y, x, name): of each pixel of the mask from how many other offsets lead to it. Tiles know what is around them, so nothing is multiplied by offsets."""
+def kept(df: DataFrame, keep: list[str]) -> str:
+    """The columns of df that go through a task as they are, for its schema."""
+    return "".join(f", {n} {df.schema[n].dataType.simpleString()}" for n in keep)
+
+
+def counted(mask: DataFrame, offsets: list[tuple[int, int]], name: str = "n", keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """(image, y, x, keep, name): of each pixel of the mask from how many other offsets lead to it. Tiles know what is around them, so nothing is multiplied by offsets."""
     back = [(-dy, -dx) for dy, dx in offsets]
 
     def run(f: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         order, found = stacks.around(f, starts, back)
         f = f.iloc[order]
-        return f[["image", "y", "x"]].assign(**{name: sum((at >= 0).astype(np.int64) for at in found)})[stacks.own(f)]
+        return f[["image", "y", "x", *keep]].assign(**{name: sum((at >= 0).astype(np.int64) for at in found)})[stacks.own(f)]
 
-    px = mask.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    px = mask.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), *keep)
     reach = max(max(abs(dy), abs(dx)) for dy, dx in offsets)
-    return stacks.whole_groups(stacks.spread(px, reach), ["image", "ty", "tx"], run, f"image {px.schema['image'].dataType.simpleString()}, y long, x long, {name} long")
+    return stacks.whole_groups(stacks.spread(px, reach), ["image", "ty", "tx"], run, f"image {px.schema['image'].dataType.simpleString()}, y long, x long{kept(px, keep)}, {name} long")
 
 
-def degree(mask: DataFrame, offsets: list[tuple[int, int]] = OFFSETS8) -> DataFrame:
-    """(image, y, x, degree): neighbours in the mask."""
-    return counted(mask, offsets, "degree")
+def degree(mask: DataFrame, offsets: list[tuple[int, int]] = OFFSETS8, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """(image, y, x, keep, degree): neighbours in the mask."""
+    return counted(mask, offsets, "degree", keep)
 
 
 def beside(a: DataFrame, left: str, b: DataFrame, right: str, offsets: list[tuple[int, int]]) -> DataFrame:
@@ -97,16 +102,16 @@ def labelled(f: pd.DataFrame, starts: np.ndarray, offsets: list[tuple[int, int]]
     return f.assign(label=y[label] * width + x[label])
 
 
-def components(mask: DataFrame, offsets: list[tuple[int, int]] = OFFSETS8, width: int = 1 << 20, tile: int = 256) -> DataFrame:
-    """(image, y, x, label): label is the least y * width + x of the pixel's component.
+def components(mask: DataFrame, offsets: list[tuple[int, int]] = OFFSETS8, width: int = 1 << 20, tile: int = 256, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """(image, y, x, keep, label): label is the least y * width + x of the pixel's component.
 
     Pixels are labelled tile by tile. Labels that meet where tiles do are edges of a graph, and only that graph, which has no more nodes than
     tiles have components at their borders, takes rounds of least labels, each of them checkpointed.
     """
-    px = mask.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    px = mask.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), *keep)
     tiled = px.withColumns({"ty": F.floor(F.col("y") / tile), "tx": F.floor(F.col("x") / tile)})
-    label = lambda f, starts: labelled(f, starts, offsets, width)[["image", "y", "x", "label"]]
-    local = stacks.whole_groups(tiled, ["image", "ty", "tx"], label, f"image {px.schema['image'].dataType.simpleString()}, y long, x long, label long").checkpoint()
+    label = lambda f, starts: labelled(f, starts, offsets, width)[["image", "y", "x", *keep, "label"]]
+    local = stacks.whole_groups(tiled, ["image", "ty", "tx"], label, f"image {px.schema['image'].dataType.simpleString()}, y long, x long{kept(px, keep)}, label long").checkpoint()
     # where all pixels are in tiles of one number no two tiles meet
     ends = [f(F.floor(F.col(c) / tile)).alias(f"{n}{c}") for c in "yx" for n, f in (("low", F.min), ("high", F.max))]
     reach = local.agg(*ends).first()
@@ -118,7 +123,7 @@ def components(mask: DataFrame, offsets: list[tuple[int, int]] = OFFSETS8, width
     ends = ends.join(rim.select("image", F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("label").alias("id")), ["image", "y0", "x0"])
     edges = ends.select("image", "id", "to").distinct().checkpoint()
     roots = least_labels(edges).select("image", F.col("id").alias("label"), F.col("label").alias("root"))
-    return local.join(roots, ["image", "label"], "left").select("image", "y", "x", F.coalesce("root", "label").alias("label"))
+    return local.join(roots, ["image", "label"], "left").select("image", "y", "x", *keep, F.coalesce("root", "label").alias("label"))
 
 
 def least_labels(edges: DataFrame) -> DataFrame:

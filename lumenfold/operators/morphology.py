@@ -63,7 +63,9 @@ def within(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def filled(mask: DataFrame, side: int) -> DataFrame:
-    """The mask and its holes: 4-connected parts of the background that don't touch the edge of the plane."""
+    """The mask and its holes: 4-connected parts of the background that don't touch the edge of the plane. Planes no larger than a tile are filled in a task."""
+    if side <= stacks.TILE:
+        return _filled_whole(mask, side)
     axis = F.sequence(F.lit(0).cast("long"), F.lit(side - 1).cast("long"))
     plane = mask.select("image").distinct().select("image", F.explode(axis).alias("y")).select("image", "y", F.explode(axis).alias("x"))
     labelled = grid.components(without(plane, mask), grid.OFFSETS4)
@@ -72,6 +74,25 @@ def filled(mask: DataFrame, side: int) -> DataFrame:
     return mask.select(*KEY).union(labelled.join(inner, ["image", "label"], "left_semi").select(*KEY))
 
 
+def _filled_whole(mask: DataFrame, side: int) -> DataFrame:
+    def run(f: pd.DataFrame, _: np.ndarray) -> pd.DataFrame:
+        out, f = [f[KEY]], f.dropna(subset=KEY).astype({"y": "int64", "x": "int64"})
+        f = f[f["y"].between(0, side - 1) & f["x"].between(0, side - 1)]
+        starts = stacks._starts(f, ["image"])
+        for rows, g, y, x, shape, y0, x0 in stacks.planes(f, starts, 1) if len(f) else ():
+            plane, first = np.zeros(shape, bool), f["image"].to_numpy()[rows][np.flatnonzero(np.diff(g, prepend=-1))]
+            plane[g, y, x] = True
+            k, y, x = np.nonzero(~plane)
+            parts = grid.labelled(pd.DataFrame({"k": k, "y": y, "x": x}), np.flatnonzero(np.diff(k, prepend=-1)), grid.OFFSETS4, 1 << 20)
+            parts = parts[parts["label"] != 0]  # what isn't connected with the rim around all pixels
+            k = parts["k"].to_numpy()
+            out.append(pd.DataFrame({"image": first[k], "y": parts["y"].to_numpy() + y0[k], "x": parts["x"].to_numpy() + x0[k]}))
+        return pd.concat(out, ignore_index=True)
+
+    kind = mask.schema["image"].dataType.simpleString()
+    return stacks.whole_groups(mask.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")), ["image"], run, f"image {kind}, y long, x long")
+
+
 def junction_clusters(mask: DataFrame, radius: float, side: int) -> DataFrame:
     """(image, y, x, cluster): pixels with three or more neighbours, clustered where disks around them join."""
     joints = grid.degree(mask).where("degree >= 3").select(*KEY).checkpoint()
@@ -126,8 +147,8 @@ def moments(labelled: DataFrame) -> DataFrame:
     return by.select("image", "label", "area", F.round(F.sqrt(F.greatest(F.lit(0.0), 1 - small / big)), 6).alias("ecc"))
 
 
-def distances(mask: DataFrame, side: int, reach: int) -> DataFrame:
-    """(image, y, x, d2): squared distance to the nearest pixel outside the mask (beyond the plane is none), for those nearer than reach + 1; others have none."""
+def distances(mask: DataFrame, side: int, reach: int, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """(image, y, x, keep, d2): squared distance to the nearest pixel outside the mask (beyond the plane is none), for those nearer than reach + 1; others have none."""
     # the farthest first, so that nearer ones overwrite them
     steps = sorted(((dy * dy + dx * dx, dy, dx) for dy, dx in disk(reach) if dy or dx), reverse=True)
 
@@ -140,10 +161,10 @@ def distances(mask: DataFrame, side: int, reach: int) -> DataFrame:
             least = d2[rows]
             for n, dy, dx in steps:
                 least[none[g, y + dy, x + dx]] = n
-        return f[KEY].assign(d2=d2)[stacks.own(f)]
+        return f[[*KEY, *keep]].assign(d2=d2)[stacks.own(f)]
 
-    near = stacks.whole_groups(stacks.spread(mask.select(*KEY), reach), ["image", "ty", "tx"], run, f"image {mask.schema['image'].dataType.simpleString()}, y long, x long, d2 int")
-    return near.select(*KEY, F.nullif("d2", F.lit(0)).alias("d2"))
+    near = stacks.whole_groups(stacks.spread(mask.select(*KEY, *keep), reach), ["image", "ty", "tx"], run, f"image {mask.schema['image'].dataType.simpleString()}, y long, x long{grid.kept(mask, keep)}, d2 int")
+    return near.select(*KEY, *keep, F.nullif("d2", F.lit(0)).alias("d2"))
 
 
 def exact_distances(mask: DataFrame, rows: int, columns: int) -> DataFrame:

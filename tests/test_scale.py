@@ -101,6 +101,19 @@ def test_pixels_beside_others_are_found_in_tiles(spark):
     assert {(r.image, r.y0, r.x0, r.y, r.x, r.a, r.b) for r in met.collect()} == {("i", 0, 0, 1, 1, 1, 7), ("i", 0, 0, 0, 1, 1, 8), ("i", 191, 3, 192, 4, 3, 9)}
 
 
+def test_parts_are_known_without_a_join(spark):
+    sk = spark.createDataFrame([("a", 0, 0, 1.0, 0.5), ("a", 1, 1, 2.0, 0.1), ("b", 300, 255, 3.0, 0.2), ("b", 300, 256, 1.5, 0.4)], "image string, y long, x long, r double, v double")
+    assert "Join" not in plan_of(detector.known(sk.where("image = 'a'")))  # in one tile
+    found = detector.known(sk)
+    got = {(r.image, r.y, r.x, r.r, r.v, r.degree, r.label) for r in found.collect()}
+    far = 300 * (1 << 20) + 255
+    assert got == {("a", 0, 0, 1.0, 0.5, 1, 0), ("a", 1, 1, 2.0, 0.1, 1, 0), ("b", 300, 255, 3.0, 0.2, 1, far), ("b", 300, 256, 1.5, 0.4, 1, far)}
+
+
+def test_gates_take_no_join_of_pixels(spark, sf):
+    assert "Join" not in plan_of(cell_queries.part_gates(spark, sf))
+
+
 def test_permutations_order_one_bucket_of_a_draw(spark):
     rng = random.Random(4)
     rows = [(u, "a" if u % 3 == 0 else "b", m, float(rng.randrange(9)) if rng.random() < 0.9 else None) for u in range(60) for m in ("m", "n")]
