@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +48,8 @@ def edge_band(mask: DataFrame, sk: DataFrame, closing: float, band: float, side:
 
     ratio: tips for each junction pixel, of which at least one is assumed. Without anything but tissue there is no edge.
     """
-    tissue = mo.filled(mo.closed(mask, mo.disk(closing), side), side).checkpoint()
-    edge = mo.exact_distances(tissue, side, side).where(F.col("d2") < band * band).select("image", "y", "x")
+    tissue = mo.filled(mo.closed(mask, mo.disk(closing), side), side)
+    edge = mo.distances(tissue, side, math.ceil(band)).where(F.col("d2") < band * band).select("image", "y", "x")
     at = grid.degree(sk).join(edge, ["image", "y", "x"], "left_semi").groupBy("image").agg(F.count_if(F.col("degree") == 1).alias("tips"), F.count_if(F.col("degree") >= 3).alias("joints"))
     all_ = mask.select("image").distinct().join(at, "image", "left").fillna(0, ["tips", "joints"])
     return all_.select("image", "tips", "joints", F.round(F.col("tips") / F.greatest("joints", F.lit(1)), 6).alias("ratio"))

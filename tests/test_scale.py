@@ -114,6 +114,22 @@ def test_gates_take_no_join_of_pixels(spark, sf):
     assert "Join" not in plan_of(cell_queries.part_gates(spark, sf))
 
 
+def test_edges_are_near_without_windows(spark, sf):
+    plan = plan_of(cell_queries.edge_band(spark, sf))
+    assert "Window" not in plan and "explode" not in plan.replace("explode(sequence(cast(FLOOR", "").replace("explode(sequence(FLOOR", "")
+
+
+def test_small_planes_are_filled_in_tasks(spark, monkeypatch):
+    rng = random.Random(2)
+    px = {(i, y, x) for i in "abc" for y in range(14) for x in range(14) if rng.random() < (0.6 if i == "a" else 0.75)} | {("d", 3, 3), ("a", -1, 5), ("a", 20, 7)}
+    mask = spark.createDataFrame(sorted(px), "image string, y long, x long")
+    found = mo.filled(mask, 14)
+    assert "Join" not in plan_of(found) and "explode" not in plan_of(found)
+    whole = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(stacks, "TILE", 0)  # as planes larger than a tile are
+    assert whole == sorted(map(tuple, mo.filled(mask, 14).collect())) and len(whole) > len(px)
+
+
 def test_permutations_order_one_bucket_of_a_draw(spark):
     rng = random.Random(4)
     rows = [(u, "a" if u % 3 == 0 else "b", m, float(rng.randrange(9)) if rng.random() < 0.9 else None) for u in range(60) for m in ("m", "n")]
