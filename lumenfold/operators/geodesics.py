@@ -27,9 +27,12 @@ GATHERED = 32
 PIXELS, STEPS = 1 << 18, 1 << 26
 
 
-def _dealt(sk: DataFrame, starts: DataFrame, others: list[DataFrame], reach: int, whole: Callable[..., DataFrame], rounds: Callable[..., DataFrame]) -> DataFrame:
-    """whole(sk, starts, others) for images that fit a task, rounds(sk, starts, others) for the rest. reach: pixels that a start can get to at most, 0 where all starts share them."""
-    sk, starts = sk.dropna(subset=["image", "y", "x"]).checkpoint(), starts.dropna(subset=["image"]).checkpoint()
+def _dealt(sk: DataFrame, starts: DataFrame, others: list[DataFrame], reach: int, whole: Callable[..., DataFrame], rounds: Callable[..., DataFrame], tables: bool = False) -> DataFrame:
+    """whole(sk, starts, others) for images that fit a task, rounds(sk, starts, others) for the rest. reach: pixels that a start can get to at most, 0 where all starts share them.
+    tables: sk and starts are read from tables as they are, so they aren't written once more."""
+    sk, starts = sk.dropna(subset=["image", "y", "x"]), starts.dropna(subset=["image"])
+    if not tables:
+        sk, starts = sk.checkpoint(), starts.checkpoint()
     size = sk.groupBy("image").agg(F.count("*").alias("n")).join(starts.groupBy("image").agg(F.count("*").alias("k")), "image")
     large = size.where((F.col("n") > PIXELS) | (F.least("n", F.lit(reach)) * F.col("k") > STEPS)).select("image").checkpoint()
     if large.isEmpty():
@@ -116,10 +119,10 @@ def _together(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, tables)
 
 
-def attributed(sk: DataFrame, sources: DataFrame) -> DataFrame:
-    """(image, y, x, id, hops): each pixel of sk(image, y, x) that a way leads to, with the one of sources(image, id, y, x, place) that reaches it first.
+def attributed(sk: DataFrame, sources: DataFrame, keep: list[str] = [], tables: bool = False) -> DataFrame:  # noqa: B006
+    """(image, y, x, id, hops, keep): each pixel of sk(image, y, x, keep) that a way leads to, with the one of sources(image, id, y, x, place) that reaches it first.
 
-    Sources wait in the order of `place`; of those on one pixel the last has it. Sources beside the skeleton reach nothing.
+    Sources wait in the order of `place`; of those on one pixel the last has it. Sources beside the skeleton reach nothing. tables: both are read from tables.
     """
 
     def run(f: pd.DataFrame, g: np.ndarray, kind: np.ndarray) -> pd.DataFrame:
@@ -135,13 +138,17 @@ def attributed(sk: DataFrame, sources: DataFrame) -> DataFrame:
             pixel, n = to[new], n + 1
             owner[pixel], hops[pixel] = by[new], n
         got = owner >= 0
-        return f[["image", "y", "x"]].iloc[px[got]].assign(id=s["id"].to_numpy()[owner[got]], hops=hops[got])
+        return f[["image", "y", "x", *keep]].iloc[px[got]].assign(id=s["id"].to_numpy()[owner[got]], hops=hops[got])[["image", "y", "x", "id", "hops", *keep]]
 
     def whole(sk: DataFrame, sources: DataFrame) -> DataFrame:
         kind, name = sk.schema["image"].dataType.simpleString(), sources.schema["id"].dataType.simpleString()
-        return _by_image(sk, [sources], run, f"image {kind}, y long, x long, id {name}, hops int")
+        return _by_image(sk, [sources], run, f"image {kind}, y long, x long, id {name}, hops int{grid.kept(sk, keep)}")
 
-    return _dealt(sk.select("image", "y", "x"), sources.select("image", "id", "y", "x", "place").dropna(subset=["y", "x"]), [], 0, whole, _attributed_in_rounds)
+    def rounds(sk: DataFrame, sources: DataFrame) -> DataFrame:
+        found = _attributed_in_rounds(sk, sources)
+        return found.join(sk, ["image", "y", "x"]) if keep else found
+
+    return _dealt(sk.select("image", "y", "x", *keep), sources.select("image", "id", "y", "x", "place").dropna(subset=["y", "x"]), [], 0, whole, rounds, tables)
 
 
 def _attributed_in_rounds(sk: DataFrame, sources: DataFrame) -> DataFrame:
@@ -218,11 +225,11 @@ def _first_reached_in_rounds(sk: DataFrame, starts: DataFrame, goals: DataFrame)
     return _together(done)
 
 
-def ways_between(sk: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
-    """(image, a, b, radii): for each of pairs(image, a, b, ay, ax, by, bx) the values r of sk(image, y, x, r) along the shortest way from a's pixel to b's.
+def ways_between(sk: DataFrame, pairs: DataFrame, limit: int, keep: list[str] = [], tables: bool = False) -> DataFrame:  # noqa: B006
+    """(image, a, b, keep, radii): for each of pairs(image, a, b, ay, ax, by, bx, keep) the values r of sk(image, y, x, r) along the shortest way from a's pixel to b's.
 
     Both ends count, and a way has at most `limit` pixels; pairs without one are left out. Each a searches once for all its b, until all are found or
-    ways get too long.
+    ways get too long. tables: both are read from tables.
     """
 
     def run(f: pd.DataFrame, g: np.ndarray, kind: np.ndarray) -> pd.DataFrame:
@@ -262,15 +269,19 @@ def ways_between(sk: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
                 here = np.flatnonzero(np.isin(search, of))
                 search, pixel, parent = _on(beside, search[here], pixel[here], before)
                 parent, before = here[parent], now
-        return p[["image", "a", "b"]].iloc[np.concatenate(rows)].assign(radii=pd.Series(radii, dtype=object).to_numpy())
+        return p[["image", "a", "b", *keep]].iloc[np.concatenate(rows)].assign(radii=pd.Series(radii, dtype=object).to_numpy())
 
     def whole(sk: DataFrame, pairs: DataFrame) -> DataFrame:
         kinds = [df.schema[n].dataType.simpleString() for df, n in ((sk, "image"), (pairs, "a"), (pairs, "b"))]
-        return _by_image(sk, [pairs], run, "image {}, a {}, b {}, radii array<double>".format(*kinds))
+        return _by_image(sk, [pairs], run, "image {}, a {}, b {}{}, radii array<double>".format(*kinds, grid.kept(pairs, keep)))
+
+    def rounds(sk: DataFrame, pairs: DataFrame) -> DataFrame:
+        found = _ways_in_rounds(sk, pairs.withColumnsRenamed({"y": "ay", "x": "ax"}), limit)
+        return found.join(pairs.select("image", "a", "b", *keep).distinct(), ["image", "a", "b"]).select("image", "a", "b", *keep, "radii") if keep else found
 
     graph = sk.select("image", "y", "x", F.col("r").cast("double").alias("r"))
-    ends = pairs.select("image", "a", "b", F.col("ay").alias("y"), F.col("ax").alias("x"), *[F.col(c).cast("long").alias(c) for c in ("by", "bx")]).dropna(subset=["y", "x", "by", "bx"])
-    return _dealt(graph, ends, [], (2 * limit + 1) ** 2, whole, lambda sk, pairs: _ways_in_rounds(sk, pairs.withColumnsRenamed({"y": "ay", "x": "ax"}), limit))
+    ends = pairs.select("image", "a", "b", *keep, F.col("ay").alias("y"), F.col("ax").alias("x"), *[F.col(c).cast("long").alias(c) for c in ("by", "bx")]).dropna(subset=["y", "x", "by", "bx"])
+    return _dealt(graph, ends, [], (2 * limit + 1) ** 2, whole, rounds, tables)
 
 
 def _ways_in_rounds(sk: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:

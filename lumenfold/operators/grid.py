@@ -35,14 +35,18 @@ def kept(df: DataFrame, keep: list[str]) -> str:
     return "".join(f", {n} {df.schema[n].dataType.simpleString()}" for n in keep)
 
 
+def neighbours(f: pd.DataFrame, starts: np.ndarray, offsets: list[tuple[int, int]], name: str) -> pd.DataFrame:
+    """Rows of f without repeated pixels, with how many other offsets lead to each of them within its group."""
+    order, found = stacks.around(f, starts, [(-dy, -dx) for dy, dx in offsets])
+    return f.iloc[order].assign(**{name: sum((at >= 0).astype(np.int64) for at in found)})
+
+
 def counted(mask: DataFrame, offsets: list[tuple[int, int]], name: str = "n", keep: list[str] = []) -> DataFrame:  # noqa: B006
     """(image, y, x, keep, name): of each pixel of the mask from how many other offsets lead to it. Tiles know what is around them, so nothing is multiplied by offsets."""
-    back = [(-dy, -dx) for dy, dx in offsets]
 
     def run(f: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        order, found = stacks.around(f, starts, back)
-        f = f.iloc[order]
-        return f[["image", "y", "x", *keep]].assign(**{name: sum((at >= 0).astype(np.int64) for at in found)})[stacks.own(f)]
+        f = neighbours(f, starts, offsets, name)
+        return f[["image", "y", "x", *keep, name]][stacks.own(f)]
 
     px = mask.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), *keep)
     reach = max(max(abs(dy), abs(dx)) for dy, dx in offsets)

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators import morphology as mo
 from lumenfold.operators import stacks
 from lumenfold.operators.grid import OFFSETS4, labelled
 
@@ -290,6 +291,36 @@ def skeleton(mask: DataFrame, shape: tuple[int, int], tile: int = 256, steps: in
     return now
 
 
+def on_lines(f: pd.DataFrame, starts: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Which rows of f the skeletons of its groups have, each a plane of this shape; pixels beside it belong to none."""
+    y, x, g, ends, line = f["y"].to_numpy(), f["x"].to_numpy(), stacks.numbers(starts, len(f)), np.append(starts, len(f)), np.zeros(len(f), bool)
+    inside, many = (y >= 0) & (y < shape[0]) & (x >= 0) & (x < shape[1]), max(1, stacks.CELLS // (shape[0] * shape[1]))
+    for k in range(0, len(starts), many):
+        m = min(k + many, len(starts))
+        rows = ends[k] + np.flatnonzero(inside[ends[k] : ends[m]])
+        at, a = (g[rows] - k, y[rows], x[rows]), np.zeros((m - k, *shape), bool)
+        a[at] = True
+        open_ = np.arange(m - k)
+        while len(open_):
+            new = thin_once(a[open_])
+            moved = (new != a[open_]).any(axis=(1, 2))
+            a[open_] = new
+            open_ = open_[moved]
+        line[rows] = a[at]
+    return line
+
+
+def measured(px: DataFrame, reach: int, side: int, more: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What more makes of frames of many whole planes of px(image, y, x, v) that fit a task, with r, the distance to the nearest pixel of the plane that isn't in px (reach + 1
+    for those farther off than reach), and whether the skeleton of all pixels has each (`line`). Planes are dealt once; those without a place are left out."""
+
+    def run(f: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        d2 = mo.outside(f, starts, side, reach)
+        return more(f.assign(r=np.sqrt(np.where(d2 > 0, d2, (reach + 1) ** 2)), line=on_lines(f, starts, (side, side))))
+
+    return stacks.whole_groups(px.select("image", "y", "x", "v").dropna(subset=["image", "y", "x"]), ["image"], run, schema)
+
+
 def small_holes(mask: DataFrame, most: int, shape: tuple[int, int], tile: int = 256) -> DataFrame:
     """(image, y, x, hole): pixels of the holes of a mask of at most `most` pixels: 4-connected parts of the background that don't reach the edge of the plane.
 

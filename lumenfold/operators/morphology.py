@@ -147,21 +147,26 @@ def moments(labelled: DataFrame) -> DataFrame:
     return by.select("image", "label", "area", F.round(F.sqrt(F.greatest(F.lit(0.0), 1 - small / big)), 6).alias("ecc"))
 
 
-def distances(mask: DataFrame, side: int, reach: int, keep: list[str] = []) -> DataFrame:  # noqa: B006
-    """(image, y, x, keep, d2): squared distance to the nearest pixel outside the mask (beyond the plane is none), for those nearer than reach + 1; others have none."""
+def outside(f: pd.DataFrame, starts: np.ndarray, side: int, reach: int) -> np.ndarray:
+    """The squared distance of each row of f to the nearest pixel of the plane that its group doesn't have, 0 where none is nearer than reach + 1."""
     # the farthest first, so that nearer ones overwrite them
     steps = sorted(((dy * dy + dx * dx, dy, dx) for dy, dx in disk(reach) if dy or dx), reverse=True)
+    d2 = np.zeros(len(f), np.int64)
+    for rows, g, y, x, shape, y0, x0 in stacks.planes(f, starts, reach):
+        row, column = y0[:, None] + np.arange(shape[1]), x0[:, None] + np.arange(shape[2])
+        none = ((row >= 0) & (row < side))[:, :, None] & ((column >= 0) & (column < side))[:, None]
+        none[g, y, x] = False
+        least = d2[rows]
+        for n, dy, dx in steps:
+            least[none[g, y + dy, x + dx]] = n
+    return d2
+
+
+def distances(mask: DataFrame, side: int, reach: int, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """(image, y, x, keep, d2): squared distance to the nearest pixel outside the mask (beyond the plane is none), for those nearer than reach + 1; others have none."""
 
     def run(f: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        d2 = np.zeros(len(f), np.int64)
-        for rows, g, y, x, shape, y0, x0 in stacks.planes(f, starts, reach):
-            row, column = y0[:, None] + np.arange(shape[1]), x0[:, None] + np.arange(shape[2])
-            none = ((row >= 0) & (row < side))[:, :, None] & ((column >= 0) & (column < side))[:, None]
-            none[g, y, x] = False
-            least = d2[rows]
-            for n, dy, dx in steps:
-                least[none[g, y + dy, x + dx]] = n
-        return f[[*KEY, *keep]].assign(d2=d2)[stacks.own(f)]
+        return f[[*KEY, *keep]].assign(d2=outside(f, starts, side, reach))[stacks.own(f)]
 
     near = stacks.whole_groups(stacks.spread(mask.select(*KEY, *keep), reach), ["image", "ty", "tx"], run, f"image {mask.schema['image'].dataType.simpleString()}, y long, x long{grid.kept(mask, keep)}, d2 int")
     return near.select(*KEY, *keep, F.nullif("d2", F.lit(0)).alias("d2"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.operators import geodesics, grid, spatial
+from lumenfold.operators import geodesics, grid, halo, spatial, stacks
+from lumenfold.sources import files
 
 
 @dataclass(frozen=True)
@@ -55,20 +57,35 @@ def placed(seeds: DataFrame, sk: DataFrame, mask: DataFrame, limits: Limits) ->
 def pairs(at: DataFrame, reach: float) -> DataFrame:
     """(image, a, b, a_type, b_score, d2, ay, ax, by, bx): strong b for each weak a of the same part, and for each strong a those after it, within reach.
 
-    Strong ones are in the order of falling scores, then ids. Points meet in cells as wide as the reach.
+    Strong ones are in the order of falling scores, then ids. Points meet in cells four times as wide as the reach; a strong one goes to each that it
+    reaches into, at most four, so most go to one.
     """
-    cell = lambda c: F.floor(F.col(c) / reach)
-    here = at.withColumns({"cy": cell("y"), "cx": cell("x")})
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    a = here.select("image", "part", F.col("id").alias("a"), F.col("type").alias("a_type"), F.col("score").alias("a_score"), F.col("y").alias("y1"), F.col("x").alias("x1"), F.col("sy").alias("ay"), F.col("sx").alias("ax"), F.explode(steps).alias("o"), "cy", "cx")
-    a = a.withColumns({"cy": F.col("cy") + F.col("o.a"), "cx": F.col("cx") + F.col("o.b")}).drop("o")
-    b = here.where("type = 'strong'").select("image", "part", F.col("id").alias("b"), F.col("score").alias("b_score"), F.col("y").alias("y2"), F.col("x").alias("x2"), F.col("sy").alias("by"), F.col("sx").alias("bx"), "cy", "cx")
+    wide = 4 * reach
+    cell = lambda c: F.floor(F.col(c) / wide)
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / wide), F.floor((F.col(c) + reach) / wide)))
+    a = at.select("image", "part", F.col("id").alias("a"), F.col("type").alias("a_type"), F.col("score").alias("a_score"), F.col("y").alias("y1"), F.col("x").alias("x1"), F.col("sy").alias("ay"), F.col("sx").alias("ax"), cell("y").alias("cy"), cell("x").alias("cx"))
+    b = at.where("type = 'strong'").select("image", "part", F.col("id").alias("b"), F.col("score").alias("b_score"), F.col("y").alias("y2"), F.col("x").alias("x2"), F.col("sy").alias("by"), F.col("sx").alias("bx"))
+    b = b.withColumn("cy", span("y2")).withColumn("cx", span("x2"))
     d2 = (F.col("y1") - F.col("y2")) * (F.col("y1") - F.col("y2")) + (F.col("x1") - F.col("x2")) * (F.col("x1") - F.col("x2"))
     after = (F.col("a_type") == "weak") | (F.col("a_score") > F.col("b_score")) | ((F.col("a_score") == F.col("b_score")) & (F.col("a") < F.col("b")))
-    met = a.join(b, ["image", "part", "cy", "cx"]).where(after & (d2 <= reach * reach))
+    met = a.join(b.hint("merge"), ["image", "part", "cy", "cx"]).where(after & (d2 <= reach * reach))
     return met.select("image", "a", "b", "a_type", "b_score", d2.alias("d2"), "ay", "ax", "by", "bx")
 
 
+def placed_on_planes(px: DataFrame, reach: int, weak: float, limits: Limits, side: int) -> DataFrame:
+    """(image, y, x, v, r, line, part, sy, sx) of the lines and seeds of planes that fit a task, by `halo.measured`: seeds are the pixels of `weak` and more, placed as `placed`
+    does it where all pixels are the mask and its skeleton (`line`) is the skeleton."""
+    columns = ["image", "y", "x", "v", "r", "line", "part", "sy", "sx"]
+
+    def placed(f: pd.DataFrame) -> pd.DataFrame:
+        f = grid.labelled(f, stacks._starts(f, ["image"]), grid.OFFSETS8, 1 << 20).rename(columns={"label": "part"})
+        f = spatial.snapped(f, stacks._starts(f, ["image"]), f["line"].to_numpy(), (f["v"] >= weak).to_numpy(), limits.snap)
+        return f[columns][f["line"] | f["sy"].notna()]
+
+    kind = {n: px.schema[n].dataType.simpleString() for n in ("image", "v")}
+    return halo.measured(px, reach, side, placed, f"image {kind['image']}, y long, x long, v {kind['v']}, r double, line boolean, part long, sy long, sx long")
+
+
 def resolved(seeds: DataFrame, sk: DataFrame, mask: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(image, id, type, into, parted, unsure) of seeds(image, id, y, x, score, type), given sk(image, y, x, r) with radii and the mask.
 
@@ -78,15 +95,19 @@ def resolved(seeds: DataFrame, sk: DataFrame, mask: DataFrame, limits: Limits =
     For those that stay, `parted` and `unsure` name the other strong ones with and without a neck between, each once. Seeds off the mask or far from
     the skeleton, and those of other types, keep their type.
     """
+    return decided(seeds, files.table(sk), files.table(placed(seeds, sk, mask, limits)), limits)
+
+
+def decided(seeds: DataFrame, sk: DataFrame, at: DataFrame, limits: Limits) -> DataFrame:
+    """What `resolved` makes of seeds that are `placed`; sk and at are read from tables."""
     key = ["image", "id"]
-    at = placed(seeds, sk, mask, limits).checkpoint()
-    near = pairs(at, limits.way).checkpoint()
-    ways = geodesics.ways_between(sk, near, limits.way)
-    met = necks(ways, limits).join(near.select("image", "a", "b", "a_type", "b_score", "d2"), ["image", "a", "b"]).checkpoint()
+    near = files.table(pairs(at, limits.way))
+    carried = near.withColumn("weak", (F.col("a_type") == "weak").cast("int"))
+    met = files.table(necks(geodesics.ways_between(sk, carried, limits.way, ["weak", "b_score", "d2"], tables=True), limits))
     one, long_ = F.col("d2") <= limits.same**2, F.col("run") >= limits.run
-    goal = met.where("a_type = 'weak'").groupBy("image", F.col("a").alias("id")).agg(F.min(F.struct("n", (-F.col("b_score")).alias("s"), "b", "d2", "neck", "run")).alias("g"))
+    goal = met.where("weak = 1").groupBy("image", F.col("a").alias("id")).agg(F.min(F.struct("n", (-F.col("b_score")).alias("s"), "b", "d2", "neck", "run")).alias("g"))
     goal = goal.select(*key, "g.*").where(one | ((F.col("neck") < limits.demote) & long_)).select(*key, F.col("b").alias("peak_of"))
-    strong = met.where("a_type = 'strong'").withColumn("necked", (F.col("neck") < limits.split) & long_)
+    strong = met.where("weak = 0").withColumn("necked", (F.col("neck") < limits.split) & long_)
     takes = strong.where(one & ~F.col("necked")).select("image", F.col("b").alias("id"), F.col("a").alias("for")).checkpoint()
     lost = spatial.lost_in_order(takes)
     gone = lambda c: lost.select("image", F.col("id").alias(c))

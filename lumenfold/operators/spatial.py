@@ -145,6 +145,24 @@ def nearest_pixel(points: DataFrame, px: DataFrame, reach: int) -> DataFrame:
     return near.groupBy("image", "id").agg(F.min(F.struct(ring, _d2().alias("d2"), "y", "x")).alias("m")).select("image", "id", F.col("m.y").alias("y"), F.col("m.x").alias("x"))
 
 
+def snapped(f: pd.DataFrame, starts: np.ndarray, goal: np.ndarray, point: np.ndarray, reach: int) -> pd.DataFrame:
+    """f with sy, sx: where `point` is true the pixel with `goal` of its group that `nearest_pixel` finds, null for others."""
+    steps = range(-reach, reach + 1)
+    order = sorted((max(abs(dy), abs(dx)), dy * dy + dx * dx, dy, dx) for dy in steps for dx in steps)
+    y, x, g = f["y"].to_numpy(), f["x"].to_numpy(), stacks.numbers(starts, len(f))
+    ly, lx = y - np.minimum.reduceat(y, starts)[g] + reach, x - np.minimum.reduceat(x, starts)[g] + reach
+    h, w = int(ly.max()) + reach + 1, int(lx.max()) + reach + 1
+    code = (g * h + ly) * w + lx
+    goals, open_ = np.sort(code[goal]), np.flatnonzero(point)
+    found, none = np.zeros((2, len(f)), np.int64), np.ones(len(f), bool)
+    for _, _, dy, dx in order if len(goals) else ():
+        want = code[open_] + dy * w + dx
+        hit = goals[np.minimum(np.searchsorted(goals, want), len(goals) - 1)] == want
+        at, open_ = open_[hit], open_[~hit]
+        found[:, at], none[at] = (y[at] + dy, x[at] + dx), False
+    return f.assign(**{c: pd.arrays.IntegerArray(v, none.copy()) for c, v in zip(("sy", "sx"), found, strict=True)})
+
+
 def outside_boxes(points: DataFrame, px: DataFrame, reach: int) -> DataFrame:
     """(image, id) of points without any pixel in the square around them."""
     hit = _near(points, px.select("image", "y", "x"), reach).select("image", "id").distinct()
