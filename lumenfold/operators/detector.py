@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.operators import geodesics, grid, spatial
+from lumenfold.operators import geodesics, grid, halo, spatial, stacks
+from lumenfold.sources import files
 
 KEY = ["image", "y", "x"]
 
@@ -34,6 +37,19 @@ def known(sk: DataFrame) -> DataFrame:
     return grid.components(grid.degree(sk, keep=["r", "v"]), keep=["r", "v", "degree"])
 
 
+def known_on_planes(px: DataFrame, reach: int, side: int, unit: float) -> DataFrame:
+    """What `known` makes of the skeletons of planes of px(image, y, x, v) that fit a task, with distances to the background up to reach and v in units: see `halo.measured`."""
+
+    def parts(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.assign(v=f["v"] / unit)[f["line"]]
+        if len(f):  # none where all pixels are beside their planes
+            f = grid.neighbours(f, stacks._starts(f, ["image"]), grid.OFFSETS8, "degree")
+            f = grid.labelled(f, stacks._starts(f, ["image"]), grid.OFFSETS8, 1 << 20)
+        return f.reindex(columns=[*KEY, "r", "v", "degree", "label"])
+
+    return halo.measured(px, reach, side, parts, f"image {px.schema['image'].dataType.simpleString()}, y long, x long, r double, v double, degree long, label long")
+
+
 def gated(parts: DataFrame, gates: Gates) -> DataFrame:
     """(image, label, n, reason): why a part of `known` pixels holds no cell, null where it may."""
     body = (F.col("r") >= gates.radius) & (F.col("v") >= gates.bright)
@@ -56,11 +72,19 @@ def trunks(at: DataFrame, sk: DataFrame, gates: Gates) -> DataFrame:
     """(image, id, r_in, r_out, n_trunks) of at(image, id, y, x, r): connected pieces of the skeleton in the ring around each body."""
     near = F.greatest(F.lit(gates.ring_from), F.bround("r").cast("int") + gates.pad)
     ring = at.select("image", "id", F.col("y").alias("cy"), F.col("x").alias("cx"), near.alias("r_in"), (near + gates.ring).alias("r_out"))
-    axis = F.sequence(-F.col("r_out"), F.col("r_out"))
-    cells = ring.withColumn("dy", F.explode(axis)).withColumn("dx", F.explode(axis)).withColumn("d2", F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx"))
-    cells = cells.where((F.col("d2") >= F.col("r_in") * F.col("r_in")) & (F.col("d2") <= F.col("r_out") * F.col("r_out"))).select("image", "id", (F.col("cy") + F.col("dy")).alias("y"), (F.col("cx") + F.col("dx")).alias("x"))
-    pieces = grid.components(cells.join(sk.select(*KEY), KEY).select(F.struct("image", "id").alias("image"), "y", "x"))
-    n = pieces.groupBy("image").agg(F.countDistinct("label").alias("n_trunks")).select("image.*", "n_trunks")
+    # pixels and rings meet in cells of one width, so no ring is written out; its pixels are labelled by themselves
+    wide = 2 * (gates.ring_from + gates.pad + gates.ring) + 1
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("r_out")) / wide), F.floor((F.col(c) + F.col("r_out")) / wide)))
+    spread = ring.withColumn("ty", span("cy")).withColumn("tx", span("cx"))
+    met = spread.hint("merge").join(sk.select(*KEY, F.floor(F.col("y") / wide).alias("ty"), F.floor(F.col("x") / wide).alias("tx")), ["image", "ty", "tx"])
+    d2 = (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")) + (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx"))
+    met = met.where((d2 >= F.col("r_in") * F.col("r_in")) & (d2 <= F.col("r_out") * F.col("r_out"))).select("image", "id", "y", "x")
+
+    def pieces(f: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        return grid.labelled(f, starts, grid.OFFSETS8, 1 << 20).drop_duplicates(["image", "id", "label"]).groupby(["image", "id"], sort=False).size().rename("n_trunks").reset_index()
+
+    kind, name = (met.schema[c].dataType.simpleString() for c in ("image", "id"))
+    n = stacks.whole_groups(met, ["image", "id"], pieces, f"image {kind}, id {name}, n_trunks long")
     return ring.select("image", "id", "r_in", "r_out").join(n, ["image", "id"], "left").fillna(0, ["n_trunks"])
 
 
@@ -69,11 +93,15 @@ def cells(sk: DataFrame, gates: Gates = Gates(), width: int = 1 << 20) -> DataFr
 
     Pixels go to the body that reaches them first. A body that claims fewer tips than the gate is none, though its pixels stay with it.
     """
-    parts = known(sk).checkpoint()
-    passed = gated(parts, gates).where("reason IS NULL").select("image", "label", F.col("n").alias("comp_skel_px")).checkpoint()
-    at = bodies(parts, passed, gates, width).checkpoint()
-    open_ = parts.join(passed, ["image", "label"], "left_semi")
-    claimed = geodesics.attributed(open_.select(*KEY), at).join(open_.select(*KEY, "degree"), KEY).groupBy("image", "id")
+    return found(files.table(known(sk)), gates, width)
+
+
+def found(parts: DataFrame, gates: Gates = Gates(), width: int = 1 << 20) -> DataFrame:
+    """The `cells` of parts that are `known` and read from a table."""
+    passed = files.table(gated(parts, gates).where("reason IS NULL").select("image", "label", F.col("n").alias("comp_skel_px")))
+    at = files.table(bodies(parts, passed, gates, width))
+    # no way leads from a body to another part, so parts that didn't pass need not be taken out
+    claimed = geodesics.attributed(parts, at, ["degree"], tables=True).groupBy("image", "id")
     claimed = claimed.agg(F.count_if(F.col("degree") == 1).alias("n_endpoints"), F.count_if(F.col("degree") >= 3).alias("n_branches"), F.count("*").alias("skel_length"))
-    found = at.join(claimed, ["image", "id"]).withColumn("somas_in_comp", F.count("*").over(Window.partitionBy("image", "label"))).where(F.col("n_endpoints") >= gates.tips).checkpoint()
-    return found.join(passed, ["image", "label"]).join(trunks(found, sk, gates), ["image", "id"]).drop("place")
+    true = files.table(at.join(claimed, ["image", "id"]).withColumn("somas_in_comp", F.count("*").over(Window.partitionBy("image", "label"))).where(F.col("n_endpoints") >= gates.tips))
+    return true.join(passed, ["image", "label"]).join(trunks(true, parts, gates), ["image", "id"]).drop("place")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lumenfold.operators import geodesics, halo, seeds
+from lumenfold.operators import detector, geodesics, grid, halo, seeds
 from lumenfold.operators import morphology as mo
 from test_geodesics import walks
 from test_scale import plan_of
@@ -61,3 +61,31 @@ def test_ways_keep_what_pairs_carry(spark, monkeypatch):
         monkeypatch.setattr(geodesics, "PIXELS", most)
         found = geodesics.ways_between(sk, pairs, 40, ["far"], tables=True).collect()
         assert {(r.image, r.a, r.b): r.radii for r in found} == plain and all(r.far == r.a + r.b / 8 for r in found) and len(found) > 5
+
+
+def test_parts_are_known_where_planes_are_dealt_once(spark):
+    px = scenes(spark).checkpoint()
+    found = detector.known_on_planes(px, 4, SIDE, 100)
+    assert "Join" not in plan_of(found) and plan_of(found).count("Exchange") == 1
+    lines = one_by_one(px).join(px.select("image", "y", "x", (F.col("v") / 100).alias("v")), ["image", "y", "x"])
+    columns = ["image", "y", "x", "r", "v", "degree", "label"]
+    assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, detector.known(lines).select(columns).collect()))
+    assert detector.known_on_planes(px.where("image = 'f'"), 4, SIDE, 100).count() == 0
+
+
+def test_first_arrival_keeps_what_pixels_carry(spark, monkeypatch):
+    rng, pixels = walks(7, 9)
+    sk = grid.degree(spark.createDataFrame([("i", *p) for p in pixels], "image string, y long, x long")).checkpoint()
+    at = spark.createDataFrame([("i", k, *p, k) for k, p in enumerate(rng.sample(sorted(pixels), 4))], "image string, id long, y long, x long, place int").checkpoint()
+    want = sorted(map(tuple, geodesics.attributed(sk, at).join(sk, ["image", "y", "x"]).select("y", "x", "id", "hops", "degree").collect()))
+    for most in (geodesics.PIXELS, 0):
+        monkeypatch.setattr(geodesics, "PIXELS", most)
+        assert want == sorted(map(tuple, geodesics.attributed(sk, at, ["degree"], tables=True).select("y", "x", "id", "hops", "degree").collect()))
+
+
+def test_rings_for_trunks_are_not_written_out(spark):
+    at = spark.createDataFrame([("i", 1, 0, 0, 1.0), ("i", 2, 40, -40, 9.0)], "image string, id long, y long, x long, r double")
+    sk = spark.createDataFrame([("i", 0, x) for x in range(-30, 31)] + [("i", y, -40) for y in range(20, 80)], "image string, y long, x long")
+    found = detector.trunks(at, sk, detector.Gates())
+    assert "explode(sequence(-" not in plan_of(found) and "BroadcastHashJoin [image#" not in plan_of(found).split("MapInPandas")[1]
+    assert sorted(tuple(r) for r in found.select("id", "r_in", "r_out", "n_trunks").collect()) == [(1, 3, 9, 2), (2, 11, 17, 2)]
