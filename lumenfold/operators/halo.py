@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators import morphology as mo
 from lumenfold.operators import stacks
-from lumenfold.operators.grid import OFFSETS4, labelled
+from lumenfold.operators.grid import OFFSETS4, OFFSETS8, labelled
 
 Plane = np.ndarray
 #: Standard deviations at which kernels end.
@@ -291,6 +291,17 @@ def skeleton(mask: DataFrame, shape: tuple[int, int], tile: int = 256, steps: in
     return now
 
 
+def thinned(a: Plane) -> Plane:
+    """The skeletons of a stack of whole boolean planes."""
+    a, open_ = a.copy(), np.arange(len(a))
+    while len(open_):
+        new = thin_once(a[open_])
+        moved = (new != a[open_]).any(axis=(1, 2))
+        a[open_] = new
+        open_ = open_[moved]
+    return a
+
+
 def on_lines(f: pd.DataFrame, starts: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     """Which rows of f the skeletons of its groups have, each a plane of this shape; pixels beside it belong to none."""
     y, x, g, ends, line = f["y"].to_numpy(), f["x"].to_numpy(), stacks.numbers(starts, len(f)), np.append(starts, len(f)), np.zeros(len(f), bool)
@@ -300,13 +311,7 @@ def on_lines(f: pd.DataFrame, starts: np.ndarray, shape: tuple[int, int]) -> np.
         rows = ends[k] + np.flatnonzero(inside[ends[k] : ends[m]])
         at, a = (g[rows] - k, y[rows], x[rows]), np.zeros((m - k, *shape), bool)
         a[at] = True
-        open_ = np.arange(m - k)
-        while len(open_):
-            new = thin_once(a[open_])
-            moved = (new != a[open_]).any(axis=(1, 2))
-            a[open_] = new
-            open_ = open_[moved]
-        line[rows] = a[at]
+        line[rows] = thinned(a)[at]
     return line
 
 
@@ -321,6 +326,37 @@ def measured(px: DataFrame, reach: int, side: int, more: Callable[[pd.DataFrame]
     return stacks.whole_groups(px.select("image", "y", "x", "v").dropna(subset=["image", "y", "x"]), ["image"], run, schema)
 
 
+def _closed(a: Plane, at: np.ndarray, most: int) -> pd.DataFrame:
+    """(g, y, x, hole): 4-connected parts of at most `most` pixels, none at the edge, of what is 0 in a stack of planes that begin `at` rows and columns."""
+    g, y, x = np.nonzero(a == 0)
+    parts = pd.DataFrame({"g": g, "y": y + at[g, 0], "x": x + at[g, 1]})
+    if not len(g):
+        return parts.assign(hole=0)
+    parts["edge"] = (y == 0) | (y == a.shape[1] - 1) | (x == 0) | (x == a.shape[2] - 1)
+    parts = labelled(parts, np.flatnonzero(np.diff(g, prepend=-1)), OFFSETS4, 1 << 20)
+    by = parts.groupby(["g", "label"])["edge"]
+    keep = (by.transform("size") <= most) & ~by.transform("any")
+    return parts[keep.to_numpy()].rename(columns={"label": "hole"})
+
+
+def without_loops(a: Plane, v: Plane, most: int) -> Plane:
+    """A stack of whole planes of lines without loops around holes of at most `most` pixels, round by round until none is left that can be opened: of what touches a hole
+    at a side or corner the dimmest pixel (v; the first by row and column on ties) with two neighbours is cut. What a round doesn't open in a plane none after it does."""
+    a, open_ = a.copy(), np.arange(len(a))
+    while len(open_):
+        now = np.pad(a[open_], [(0, 0), (1, 1), (1, 1)])
+        may = now[:, 1:-1, 1:-1] & (sum(np.roll(now, o, (1, 2)).astype(np.int8) for o in OFFSETS8)[:, 1:-1, 1:-1] == 2)
+        holes = _closed(a[open_], np.zeros((len(open_), 2), int), most)
+        # holes don't reach the edge, so what is beside them is on the plane
+        ring = pd.concat([holes.assign(y=holes["y"] + dy, x=holes["x"] + dx) for dy, dx in OFFSETS8])
+        ring = ring[may[ring["g"], ring["y"], ring["x"]]]
+        ring = ring.assign(v=v[open_[ring["g"]], ring["y"], ring["x"]])
+        cut = ring.sort_values(["g", "hole", "v", "y", "x"]).drop_duplicates(["g", "hole"])
+        a[open_[cut["g"]], cut["y"], cut["x"]] = False
+        open_ = open_[np.unique(cut["g"])]
+    return a
+
+
 def small_holes(mask: DataFrame, most: int, shape: tuple[int, int], tile: int = 256) -> DataFrame:
     """(image, y, x, hole): pixels of the holes of a mask of at most `most` pixels: 4-connected parts of the background that don't reach the edge of the plane.
 
@@ -332,17 +368,7 @@ def small_holes(mask: DataFrame, most: int, shape: tuple[int, int], tile: int =
     def run(f: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         out = [pd.DataFrame({"image": f["image"].iloc[:0], "y": [], "x": [], "hole": []}).astype({"y": "int64", "x": "int64", "hole": "int64"})]
         for t in _tiles(f.assign(v=1), starts, shape, halo, tile):
-            g, y, x = np.nonzero(t.plane == 0)
-            if not len(g):
-                continue
-            at, end = t.at[g], t.at[g] + np.array(t.plane.shape[1:]) - 1
-            begins = np.flatnonzero(np.diff(g, prepend=-1))
-            parts = pd.DataFrame({"g": g, "y": y + at[:, 0], "x": x + at[:, 1]})
-            parts["edge"] = (parts["y"] == at[:, 0]) | (parts["y"] == end[:, 0]) | (parts["x"] == at[:, 1]) | (parts["x"] == end[:, 1])
-            parts = labelled(parts, begins, OFFSETS4, 1 << 20)
-            by = parts.groupby(["g", "label"])["edge"]
-            keep = (by.transform("size") <= most) & ~by.transform("any")
-            parts = parts[keep.to_numpy()].rename(columns={"label": "hole"})
+            parts = _closed(t.plane, t.at, most)
             own = t.inner[parts["g"]]
             hy, hx = parts["hole"] // (1 << 20) - own[:, 0], parts["hole"] % (1 << 20) - own[:, 1]
             parts = parts[((hy >= 0) & (hy < tile) & (hx >= 0) & (hx < tile)).to_numpy()]

@@ -162,6 +162,24 @@ def outside(f: pd.DataFrame, starts: np.ndarray, side: int, reach: int) -> np.nd
     return d2
 
 
+def far_outside(a: np.ndarray) -> np.ndarray:
+    """The squared distance of each pixel of a stack of boolean planes to the nearest one that is False, however far; infinite where a plane has none."""
+    vertical = np.full(a.shape, np.inf)
+    for rows in (range(a.shape[1]), range(a.shape[1])[::-1]):
+        run = np.full((a.shape[0], a.shape[2]), np.inf)
+        for y in rows:
+            run = np.where(a[:, y], run + 1, 0)
+            vertical[:, y] = np.minimum(vertical[:, y], run)
+    vertical **= 2
+    d2 = vertical.copy()
+    for k in range(1, a.shape[2]):
+        if k * k >= d2.max(initial=0):  # nothing is nearer than that from so many columns off
+            break
+        np.minimum(d2[:, :, k:], vertical[:, :, :-k] + k * k, out=d2[:, :, k:])
+        np.minimum(d2[:, :, :-k], vertical[:, :, k:] + k * k, out=d2[:, :, :-k])
+    return d2
+
+
 def distances(mask: DataFrame, side: int, reach: int, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """(image, y, x, keep, d2): squared distance to the nearest pixel outside the mask (beyond the plane is none), for those nearer than reach + 1; others have none."""
 

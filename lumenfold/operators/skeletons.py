@@ -6,10 +6,15 @@ are connected components (tiles first, rounds over tile borders only), so a long
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.operators import grid, halo
+from lumenfold.operators import grid, halo, stacks
+from lumenfold.operators import morphology as mo
 
 KEY = ["image", "y", "x"]
 
@@ -104,23 +109,48 @@ def pruned_by_width(sk: DataFrame, radius: DataFrame, times: float, least: float
     return sk.select(*KEY).distinct().join(_spurs(sk, radius, least, times), KEY, "left_anti")
 
 
-def opened_loops(sk: DataFrame, px: DataFrame, most: int, shape: tuple[int, int], tile: int = 256, plain: bool = False, least: int = 3, rounds: int = 8) -> DataFrame:
+def opened_loops(sk: DataFrame, px: DataFrame, most: int, shape: tuple[int, int], tile: int = 256, plain: bool = False, least: int = 3, rounds: int | None = None) -> DataFrame:
     """A skeleton without small loops: around each hole of at most `most` pixels the dimmest pixel (px.v, 0 where it has none; the first by row and column on
-    ties) is cut, until no loop is left, or `rounds` times.
+    ties) is cut, until no loop is left that can be cut, or `rounds` times.
 
     The loop is what touches the hole at a side; one of fewer than `least` pixels stays. With `plain` it is what touches it at a side or corner, and only pixels
-    with two neighbours are cut, so that nothing comes apart.
+    with two neighbours are cut, so that nothing comes apart. Pixels without an image stay.
     """
     now, px = sk.select(*KEY).distinct().checkpoint(), px.select(*KEY, "v").checkpoint()
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         holes = halo.small_holes(now, most, shape, tile)
         reach = grid.OFFSETS8 if plain else grid.OFFSETS4
         may = grid.degree(now).where("degree = 2") if plain else now
         ring = grid.beside(holes, "hole", may.withColumn("_", F.lit(0).cast("long")), "_", reach).select(*KEY, "hole").distinct()
         loop = ring.hint("merge").join(px.select(*KEY, "v"), KEY, "left").fillna(0, ["v"])
         cut = loop.groupBy("image", "hole").agg(F.min(F.struct("v", "y", "x")).alias("c"), F.count("*").alias("n")).where(F.col("n") >= (1 if plain else least))
-        cut = cut.select("image", "c.y", "c.x").distinct().checkpoint()
+        cut = cut.where("image IS NOT NULL").select("image", "c.y", "c.x").distinct().checkpoint()
         if cut.isEmpty():
             break
         now = now.join(cut.hint("merge"), KEY, "left_anti").checkpoint()
     return now
+
+
+def opened_planes(px: DataFrame, most: int, side: int) -> DataFrame:
+    """(image, y, x, r): skeletons of planes px(image, y, x, v) that fit a task, without loops around holes of at most `most` pixels, as of opened_loops with `plain` until
+    none is left that can be cut; r is the distance to the nearest pixel of the plane that px doesn't have, however far, infinite where it has all.
+
+    A plane is dealt once and its rounds are its own. Pixels without an image are thinned only.
+    """
+
+    def run(f: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        image, y, x, v, g = f["image"].to_numpy(), f["y"].to_numpy(), f["x"].to_numpy(), f["v"].to_numpy(), stacks.numbers(starts, len(f))
+        out, ends, many = [], np.append(starts, len(f)), max(1, stacks.CELLS // side**2)
+        for k in range(0, len(starts), many):
+            m = min(k + many, len(starts))
+            rows = slice(ends[k], ends[m])
+            at, mask, value = (g[rows] - k, y[rows], x[rows]), np.zeros((m - k, side, side), bool), np.zeros((m - k, side, side), v.dtype)
+            mask[at], value[at] = True, v[rows]
+            line, known = halo.thinned(mask), ~pd.isna(image[starts[k:m]])
+            line[known] = halo.without_loops(line[known], value[known], most)
+            at, r = np.nonzero(line), np.sqrt(mo.far_outside(mask))
+            out.append(pd.DataFrame({"image": image[starts[k + at[0]]], "y": at[1], "x": at[2], "r": r[at]}))
+        return pd.concat(out, ignore_index=True)
+
+    inside = px.where(F.col("y").between(0, side - 1) & F.col("x").between(0, side - 1)).select(*KEY, "v").fillna(0, ["v"])
+    return stacks.whole_groups(inside, ["image"], run, f"image {px.schema['image'].dataType.simpleString()}, y long, x long, r double")
